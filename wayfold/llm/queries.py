@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.decontamination import contaminated
 from wayfold.llm.html_extraction import extract_text
 from wayfold.llm.language_model import score
+from wayfold.llm.quality_classifier import score as quality_score
 from wayfold.llm.sentencepiece_codec import encode_and_decode
 from wayfold.llm.substring_dedup import remove_repeats
 from wayfold.llm.tables import table
@@ -50,6 +51,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sentencepiece": op2_sentencepiece,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
