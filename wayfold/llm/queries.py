@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.decontamination import contaminated
 from wayfold.llm.html_extraction import extract_text
 from wayfold.llm.language_model import score
+from wayfold.llm.pii import EXTRA, KINDS, find_personal_data, listed
 from wayfold.llm.quality_classifier import score as quality_score
 from wayfold.llm.sentencepiece_codec import encode_and_decode
 from wayfold.llm.substring_dedup import remove_repeats
@@ -56,6 +57,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(listed(KINDS), 256).alias("base_sha256"), listed(KINDS + EXTRA).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sentencepiece": op2_sentencepiece,
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
