@@ -26,8 +26,8 @@ from wayfold.llm.wordcode import BLANK_WORDS, U, grams, mixed, pieces, sliding_m
 #: Cells of a block of the sketch; their places in it fit 16 bits.
 BLOCK = 1 << 16
 #: Windows that a task holds before it hands them on, and that one exact group of windows should have.
-HELD = 2_000_000
-GROUPED = 1_000_000
+HELD = 1_500_000
+GROUPED = 750_000
 
 
 def _anchors(codes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_windows(docs: DataFrame, window: int, gram: int, depth: int, width: int) -> DataFrame:
     """(doc_id, text_code, starts, lengths): runs of windows that start in a document of a smaller id as well.
 
-    Rows of one document may be many; runs may overlap.
+    One row for each text of a document; its runs may overlap.
     """
     bits, n_windows = sketch(docs, window, gram, depth, width)
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
@@ -193,15 +193,21 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, depth: int, width:
                     yield from hand_on()
         yield from hand_on()
 
+    def packed(doc: np.ndarray, code: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Table:
+        """Runs as one row for each share of the documents, so that rows don't multiply by documents and buckets."""
+        share = (mixed(doc.astype(U)) % U(groups)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        parts = pieces(np.flatnonzero(np.diff(share[order], prepend=-1)), len(order))
+        columns = [pa.array([x[order[i:j]].tobytes() for i, j in parts], pa.binary()) for x in (doc, code, start, length)]
+        return pa.table([pa.array([int(share[order[i]]) for i, _ in parts], pa.int64()), *columns], names=["share", "doc_id", "text_code", "start", "length"])
+
     def group(table: pa.Table) -> pa.Table:
-        ids, codes, starts, lengths = [], [], [], []
-        held = []
+        """Exact groups of equal windows: all but those of the least document go, as runs."""
+        held, known = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         for row in table.to_pylist():
             if row["owner"] is None:
-                ids.append(row["doc_id"])
-                codes.append(row["text_code"])
-                starts.append(row["first"])
-                lengths.append(row["second"])
+                start, length = np.frombuffer(row["first"], np.int32), np.frombuffer(row["second"], np.int32)
+                known.append((np.full(len(start), row["doc_id"]), np.full(len(start), row["text_code"]), start, length))
             else:
                 owner = np.frombuffer(row["owner"], np.int32)
                 held.append((np.frombuffer(row["first"], U), np.frombuffer(row["second"], U), np.frombuffer(row["owners"], np.int64)[owner], np.frombuffer(row["owner_codes"], np.int64)[owner], np.frombuffer(row["place"], np.int32)))
@@ -213,19 +219,27 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, depth: int, width:
             least = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             gone = order[doc[order] > least]
             gone = gone[np.lexsort((place[gone], code[gone], doc[gone]))]
+            doc, code, place = doc[gone], code[gone], place[gone]
             new = np.ones(len(gone), bool)
-            new[1:] = (doc[gone[1:]] != doc[gone[:-1]]) | (code[gone[1:]] != code[gone[:-1]])
-            cut = np.flatnonzero(new)
-            for a, b in pieces(cut, len(gone)):
-                start, length = _runs(np.unique(place[gone[a:b]]))
-                ids.append(int(doc[gone[a]]))
-                codes.append(int(code[gone[a]]))
-                starts.append(start.astype(np.int32).tobytes())
-                lengths.append(length.astype(np.int32).tobytes())
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text_code": pa.array(codes, pa.int64()), "starts": pa.array(starts, pa.binary()), "lengths": pa.array(lengths, pa.binary())})
+            new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]) | (np.diff(place) > 1)
+            at = np.flatnonzero(new)
+            last = np.append(at[1:], len(gone))[: len(at)] - 1
+            known.append((doc[at], code[at], place[at], (place[last] - place[at] + 1).astype(np.int32)))
+        return packed(*(np.concatenate(x) for x in zip(*known, strict=True)))
+
+    def by_document(table: pa.Table) -> pa.Table:
+        doc, code, start, length = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("doc_id", np.int64), ("text_code", np.int64), ("start", np.int32), ("length", np.int32)))
+        order = np.lexsort((start, code, doc))
+        doc, code, start, length = doc[order], code[order], start[order], length[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+        parts = pieces(np.flatnonzero(new), len(doc))
+        at = [i for i, _ in parts]
+        return pa.table([pa.array(doc[at]), pa.array(code[at]), *(pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (start, length))], names=["doc_id", "text_code", "starts", "lengths"])
 
     found = docs.select("doc_id", "text", "text_code").mapInArrow(candidates, schema)
-    return found.groupBy("bucket").applyInArrow(group, "doc_id long, text_code long, starts binary, lengths binary")
+    runs = found.groupBy("bucket").applyInArrow(group, "share long, doc_id binary, text_code binary, start binary, length binary")
+    return runs.groupBy("share").applyInArrow(by_document, "doc_id long, text_code long, starts binary, lengths binary")
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
@@ -251,7 +265,6 @@ def remove_repeats(
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("text_code", F.coalesce(F.xxhash64("text"), F.lit(0)))
     runs = repeated_windows(rows.where(F.col("doc_id").isNotNull()), window, gram, depth, width)
-    runs = runs.groupBy("doc_id", "text_code").agg(F.collect_list(F.struct("starts", "lengths")).alias("runs"))
     joined = rows.join(runs.hint("shuffle_hash"), ["doc_id", "text_code"], "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,15 +273,14 @@ def remove_repeats(
                 words = words_of(batch.column(1), BLANK_WORDS, 0)
                 data = words.data.tobytes()
                 counts, gone, kept = words.counts, [], []
-                for i, runs in enumerate(batch.column(2).to_pylist()):
+                for i, (runs, sizes) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                     a, b = int(words.ends_at[i]), int(words.ends_at[i + 1])
                     stay = np.ones(b - a, bool)
                     if runs:
                         edge = np.zeros(b - a + 1, np.int32)
-                        for run in runs:
-                            start = np.frombuffer(run["starts"], np.int32)
-                            np.add.at(edge, start, 1)
-                            np.add.at(edge, start + np.frombuffer(run["lengths"], np.int32) + (window - 1), -1)
+                        start = np.frombuffer(runs, np.int32)
+                        np.add.at(edge, start, 1)
+                        np.add.at(edge, start + np.frombuffer(sizes, np.int32) + (window - 1), -1)
                         stay = np.cumsum(edge[:-1]) == 0
                     at = np.flatnonzero(stay) + a
                     kept.append(b" ".join([data[s:e] for s, e in zip(words.starts[at].tolist(), words.stops[at].tolist(), strict=True)]))
@@ -284,4 +296,4 @@ def remove_repeats(
                     names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
                 )
 
-    return joined.select("doc_id", "text", "runs").mapInArrow(keep, SCHEMA)
+    return joined.select("doc_id", "text", "starts", "lengths").mapInArrow(keep, SCHEMA)
