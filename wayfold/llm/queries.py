@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.decontamination import contaminated
 from wayfold.llm.html_extraction import extract_text
 from wayfold.llm.language_model import score
+from wayfold.llm.ngram_join import similar_documents
 from wayfold.llm.pii import EXTRA, KINDS, find_personal_data, listed
 from wayfold.llm.quality_classifier import score as quality_score
 from wayfold.llm.sentencepiece_codec import encode_and_decode
@@ -52,6 +53,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).drop("text_code")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return quality_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
 }
