@@ -50,7 +50,7 @@ def _values(df: DataFrame) -> list[str]:
 
 
 def _matches(words: DataFrame, wins: DataFrame, window: int) -> DataFrame:
-    """(row, doc_id, n_words, start, length, wid) of each occurrence, and a row without one for each document."""
+    """(row, doc_id, text_code, n_words, hit) of each place of a prefix token, and a row for each document without one."""
     vocabulary = _values(wins.select(F.explode("win").alias("w")).distinct())
     counts = words.select(F.explode(F.filter("words", lambda w: w.isin(vocabulary))).alias("w")).groupBy("w").count()
     each = wins.select("wid", F.explode(F.array_distinct("win")).alias("w")).join(counts, "w", "left")
@@ -68,18 +68,19 @@ def _matches(words: DataFrame, wins: DataFrame, window: int) -> DataFrame:
         return F.struct(i.alias("at"), low.alias("low"), F.element_at("words", i + 1).alias("token"), F.slice("words", low + 1, i - low + window).alias("near"))
 
     rare = F.when(n > 0, F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.element_at("words", i + 1).isin(tokens)))
-    places = words.select("row", "doc_id", n.alias("n_words"), F.explode_outer(F.transform(rare, place)).alias("p")).select("row", "doc_id", "n_words", "p.*")
+    places = words.select("row", "doc_id", "text_code", n.alias("n_words"), F.explode_outer(F.transform(rare, place)).alias("p")).select("row", "doc_id", "text_code", "n_words", "p.*")
     start = F.col("at") - F.col("ahead")
     fits = (start >= 0) & (start + F.size("win") <= F.col("n_words"))
     same = F.slice("near", start - F.col("low") + 1, F.size("win")) == F.col("win")
     return places.join(F.broadcast(prefixes), "token", "left").select(
-        "row", "doc_id", "n_words", F.when(fits & F.when(fits, same), F.struct(start.alias("start"), F.size("win").alias("length"), "wid")).alias("hit")
+        "row", "doc_id", "text_code", "n_words", F.when(fits & F.when(fits, same), F.struct(start.alias("start"), F.size("win").alias("length"), "wid")).alias("hit")
     )
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
     """One row for each row of docs: its words, those inside an occurrence of a benchmark window, and the items found.
 
+    text_code is xxhash64 of the text.
     Null and empty texts have no words; an item without words has no windows;
     an empty table of items hits nothing, and an empty table of documents gives
     an empty one. Repeated rows give repeated results; null ids stay null, and
@@ -91,7 +92,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     of_items = written(windows(items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")), window), "item_windows")
     wins = written(of_items.select("win").distinct().withColumn("wid", F.monotonically_increasing_id()), "windows")
     passes = _passes(wins)
-    words = id_and_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", plain_words(F.col("text")).alias("words"))
+    words = id_and_text(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_code"), plain_words(F.col("text")).alias("words"))
     found = None
     for k in range(passes):
         part = _matches(words, wins.where(F.pmod("wid", F.lit(passes)) == k), window)
@@ -105,11 +106,19 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         ),
     )["n"]
     hits = written(
-        found.groupBy("row", "doc_id", "n_words").agg(F.collect_set("hit").alias("hits")).select(
-            "row", "doc_id", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["wid"])).alias("wids")
+        found.groupBy("row", "doc_id", "text_code", "n_words").agg(F.collect_set("hit").alias("hits")).select(
+            "row", "doc_id", "text_code", F.col("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda h: h["wid"])).alias("wids")
         ),
         "hits",
     )
     of_wid = of_items.where(F.col("item_id").isNotNull()).distinct().join(wins, "win").select("wid", "item_id")
     named = hits.select("row", F.explode("wids").alias("wid")).join(of_wid, "wid").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return hits.join(named, "row", "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.col("n_hit") > 0).alias("contaminated"))
+    return hits.join(named, "row", "left").select("doc_id", "text_code", "n_words", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 10) -> DataFrame:
+    """The rows of docs, all columns as they are, without a word inside an occurrence of a benchmark window."""
+    found = contaminated(docs, items, id_col, text_col, window=window).where("contaminated")
+    keys = written(found.select(F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("key_null"), F.col("text_code").alias("key_code")).distinct(), "contaminated")
+    d, code = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    return docs.join(keys, (F.coalesce(d, F.lit(0)) == keys["key_id"]) & (d.isNull() == keys["key_null"]) & (code == keys["key_code"]), "left_anti")

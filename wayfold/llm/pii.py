@@ -215,7 +215,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     not read. Private-use code points U+E000 and U+E001 in a text count as any
     other character that no pattern takes. Without any candidate nothing is added.
     """
-    source = docs.select(F.struct(*(F.col(k) for k in keep)).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) if keep else id_and_text(docs, id_col, text_col)
+    source = docs.select(F.struct(*(F.col(k) for k in keep if k != text_col)).alias("kept"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) if keep else id_and_text(docs, id_col, text_col)
     text = F.coalesce(F.when(F.col("text").contains(OPEN) | F.col("text").contains(CLOSE), F.translate("text", OPEN + CLOSE, NEITHER * 2)).otherwise(F.col("text")), F.lit(""))
     source = source.withColumn("clean", text)
     clean = F.col("clean")
@@ -241,6 +241,13 @@ def _span(c: Column) -> Column:
     return F.struct(start.alias("start"), (start + F.length(core)).cast("int").alias("stop"))
 
 
+def without_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with every span of their text replaced by its kind; other columns stay as they are."""
+    found = find_personal_data(docs, id_col, text_col, keep_text=True, keep=docs.columns)
+    columns = [redacted(F.col("text"), KINDS + EXTRA).alias(c) if c == text_col else F.col(f"kept.{c}").alias(c) for c in docs.columns]
+    return found.select(*columns)
+
+
 def listed(kinds: list[str]) -> Column:
     """kind:start:end of all spans of these kinds, in order, joined by commas."""
     parts = [F.transform(F.array_sort(k), (lambda k: lambda c: F.concat_ws(":", F.lit(k), c["start"], c["stop"]))(k)) for k in kinds]

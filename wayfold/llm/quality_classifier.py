@@ -218,3 +218,20 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(y), pa.array((y >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(apply, SCHEMA)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, held_out: Column, text_col: str = "text", label_col: str = "quality", sample: int = 8000, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score reaches the threshold. Learns and scores as score() does."""
+    mark = F.coalesce(held_out, F.lit(True))
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("quality")).where(~mark)
+    net = train(id_and_text(docs, "doc_id", text_col), marks, sample)
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in steps(whole, at):
+                x, first = measures(words_of(batch.column(at), BLANK_WORDS))
+                y, _ = net.forward(net.encoded(x), first)
+                yield batch.filter(pa.array(y >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
