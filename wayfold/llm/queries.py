@@ -15,6 +15,7 @@ from wayfold.llm.pii import EXTRA, KINDS, find_personal_data, listed
 from wayfold.llm.quality_classifier import score as quality_score
 from wayfold.llm.sentencepiece_codec import encode_and_decode
 from wayfold.llm.substring_dedup import remove_repeats
+from wayfold.llm.suffix_dedup import remove_repeated_bytes
 from wayfold.llm.tables import table
 from wayfold.llm.topk import top_k
 
@@ -53,6 +54,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents")).drop("text_code")
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,

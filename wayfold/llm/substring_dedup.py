@@ -35,57 +35,55 @@ def _anchors(codes: np.ndarray, window: int, gram: int) -> np.ndarray:
     return sliding_min(grams(codes, gram), window - gram + 1)
 
 
-def _cells(anchors: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
+def sketch_cells(anchors: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
+    """The cell of each code in each row of the sketch."""
     return [(mixed(anchors + U(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1))) & U(width - 1)).astype(np.int64) + k * width for k in range(depth)]
 
 
-def sketch(docs: DataFrame, window: int, gram: int, depth: int, width: int) -> tuple[np.ndarray, int]:
-    """(a bit for each cell of the merged sketch: its count is over one; the number of windows).
+def over_one(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether the count of each cell of a merged sketch is over one."""
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
 
-    Its size is depth * width bits whatever the input; the driver gathers it.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n_held = n_windows = 0
+def sketch_rows(parts: Iterator[tuple[np.ndarray, int]], depth: int, width: int) -> Iterator[pa.RecordBatch]:
+    """A task's count-min sketch of codes, as sorted cells of count one and of count two or more, block by block.
 
-        def hand_on() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n_held, n_windows
-            anchors = np.concatenate(held) if held else np.zeros(0, U)
-            values, counts = np.unique(anchors, return_counts=True)
-            blocks, once, more = [], [], []
-            for cells in _cells(values, depth, width):
-                order = np.argsort(cells, kind="stable")
-                cells, many = cells[order], counts[order] > 1
-                same = np.flatnonzero(np.diff(cells, prepend=-1) != 0)
-                if len(same):
-                    many = np.maximum.reduceat(many, same) | (np.diff(same, append=len(cells)) > 1)
-                cells = cells[same]
-                cut = np.flatnonzero(np.diff(cells // BLOCK, prepend=-1))
-                for a, b in pieces(cut, len(cells)):
-                    low = (cells[a:b] % BLOCK).astype(np.uint16)
-                    blocks.append(int(cells[a]) // BLOCK)
-                    once.append(low[~many[a:b]].tobytes())
-                    more.append(low[many[a:b]].tobytes())
-            blocks, once, more = [-1, *blocks], [b"", *once], [n_windows.to_bytes(8, "little"), *more]
+    parts gives codes and how many windows they stand for; block -1 holds the sum of these.
+    """
+    held: list[np.ndarray] = []
+    n_held = n_windows = 0
+
+    def hand_on() -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
+        blocks, once, more = [-1], [b""], [n_windows.to_bytes(8, "little")]
+        for cells in sketch_cells(values, depth, width):
+            order = np.argsort(cells, kind="stable")
+            cells, many = cells[order], counts[order] > 1
+            same = np.flatnonzero(np.diff(cells, prepend=-1) != 0)
+            if len(same):
+                many = np.maximum.reduceat(many, same) | (np.diff(same, append=len(cells)) > 1)
+            cells = cells[same]
+            for a, b in pieces(np.flatnonzero(np.diff(cells // BLOCK, prepend=-1)), len(cells)):
+                low = (cells[a:b] % BLOCK).astype(np.uint16)
+                blocks.append(int(cells[a]) // BLOCK)
+                once.append(low[~many[a:b]].tobytes())
+                more.append(low[many[a:b]].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["block", "once", "more"])
+
+    for codes, n in parts:
+        held.append(codes)
+        n_held, n_windows = n_held + len(codes), n_windows + n
+        if n_held > HELD:
+            yield hand_on()
             held, n_held, n_windows = [], 0, 0
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["block", "once", "more"])
+    yield hand_on()
 
-        for whole in batches:
-            for batch in steps(whole, 1):
-                words = words_of(batch.column(1), BLANK_WORDS)
-                full = words.left()[: max(0, len(words.starts) - window + 1)] >= window
-                anchors = _anchors(words.codes[0], window, gram)
-                at = np.flatnonzero(full)
-                n_windows += len(at)
-                text = words.text_of()
-                new = np.ones(len(at), bool)
-                new[1:] = (anchors[at[1:]] != anchors[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
-                held.append(anchors[at[new]])
-                n_held += int(new.sum())
-                if n_held > HELD:
-                    yield from hand_on()
-        yield from hand_on()
+
+def merged_sketch(rows: DataFrame, depth: int, width: int) -> tuple[np.ndarray, int]:
+    """(a bit for each cell of the merged sketch: its count is over one; the number of windows).
+
+    Its size is depth * width bits whatever the input; the driver gathers it.
+    """
 
     def merge(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
@@ -98,11 +96,9 @@ def sketch(docs: DataFrame, window: int, gram: int, depth: int, width: int) -> t
             total[np.frombuffer(more, np.uint16)] += 2
         return pa.table({"block": pa.array([block], pa.int64()), "bits": pa.array([np.packbits(total > 1).tobytes()], pa.binary())})
 
-    parts = docs.select("doc_id", "text").mapInArrow(count, "block long, once binary, more binary")
-    merged = parts.groupBy("block").applyInArrow(merge, "block long, bits binary").collect()
     bits = np.zeros(depth * width // 8, np.uint8)
     n_windows = 0
-    for row in merged:
+    for row in rows.groupBy("block").applyInArrow(merge, "block long, bits binary").collect():
         if row["block"] < 0:
             n_windows = int.from_bytes(row["bits"], "little")
         else:
@@ -110,6 +106,32 @@ def sketch(docs: DataFrame, window: int, gram: int, depth: int, width: int) -> t
     return bits, n_windows
 
 
+SKETCH_SCHEMA = "block long, once binary, more binary"
+RUN_SCHEMA = "share long, doc_id binary, text_code binary, start binary, length binary"
+TEXT_SCHEMA = "doc_id long, text_code long, starts binary, lengths binary"
+
+
+def pack_by_document(doc: np.ndarray, code: np.ndarray, start: np.ndarray, length: np.ndarray, groups: int) -> pa.Table:
+    """Runs as one row for each share of the documents, so that rows don't multiply by documents and groups."""
+    share = (mixed(doc.astype(U)) % U(groups)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    parts = pieces(np.flatnonzero(np.diff(share[order], prepend=-1)), len(order))
+    columns = [pa.array([x[order[i:j]].tobytes() for i, j in parts], pa.binary()) for x in (doc, code, start.astype(np.int32), length.astype(np.int32))]
+    return pa.table([pa.array([int(share[order[i]]) for i, _ in parts], pa.int64()), *columns], names=["share", "doc_id", "text_code", "start", "length"])
+
+
+def unpack_by_document(table: pa.Table) -> pa.Table:
+    """One row of runs for each text of a share."""
+    doc, code, start, length = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("doc_id", np.int64), ("text_code", np.int64), ("start", np.int32), ("length", np.int32)))
+    order = np.lexsort((start, code, doc))
+    doc, code, start, length = doc[order], code[order], start[order], length[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+    parts = pieces(np.flatnonzero(new), len(doc))
+    at = [i for i, _ in parts]
+    return pa.table([pa.array(doc[at]), pa.array(code[at]), *(pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (start, length))], names=["doc_id", "text_code", "starts", "lengths"])
+
+
 def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of consecutive numbers in a sorted array."""
     if not len(at):
@@ -123,7 +145,20 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, depth: int, width:
 
     One row for each text of a document; its runs may overlap.
     """
-    bits, n_windows = sketch(docs, window, gram, depth, width)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+        for whole in batches:
+            for batch in steps(whole, 1):
+                words = words_of(batch.column(1), BLANK_WORDS)
+                full = words.left()[: max(0, len(words.starts) - window + 1)] >= window
+                anchors = _anchors(words.codes[0], window, gram)
+                at = np.flatnonzero(full)
+                text = words.text_of()
+                new = np.ones(len(at), bool)
+                new[1:] = (anchors[at[1:]] != anchors[at[:-1]]) | (text[at[1:]] != text[at[:-1]])
+                yield anchors[at[new]], len(at)
+
+    bits, n_windows = merged_sketch(docs.select("doc_id", "text").mapInArrow(lambda batches: sketch_rows(counted(batches), depth, width), SKETCH_SCHEMA), depth, width)
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     groups = max(1, -(-n_windows // GROUPED))
     schema = "bucket long, doc_id long, text_code long, first binary, second binary, owner binary, place binary, owners binary, owner_codes binary"
@@ -180,8 +215,8 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, depth: int, width:
                 words = words_of(batch.column(1), BLANK_WORDS, 2)
                 full = words.left()[: max(0, len(words.starts) - window + 1)] >= window
                 anchors = _anchors(words.codes[0], window, gram)
-                for cells in _cells(anchors, depth, width):
-                    full &= (known[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+                for cells in sketch_cells(anchors, depth, width):
+                    full &= over_one(known, cells)
                 at = np.flatnonzero(full)
                 text = words.text_of()[at]
                 one, two = (grams(words.codes[k], window, k)[at] for k in (0, 1))
@@ -193,14 +228,6 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, depth: int, width:
                     yield from hand_on()
         yield from hand_on()
 
-    def packed(doc: np.ndarray, code: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Table:
-        """Runs as one row for each share of the documents, so that rows don't multiply by documents and buckets."""
-        share = (mixed(doc.astype(U)) % U(groups)).astype(np.int64)
-        order = np.argsort(share, kind="stable")
-        parts = pieces(np.flatnonzero(np.diff(share[order], prepend=-1)), len(order))
-        columns = [pa.array([x[order[i:j]].tobytes() for i, j in parts], pa.binary()) for x in (doc, code, start, length)]
-        return pa.table([pa.array([int(share[order[i]]) for i, _ in parts], pa.int64()), *columns], names=["share", "doc_id", "text_code", "start", "length"])
-
     def group(table: pa.Table) -> pa.Table:
         """Exact groups of equal windows: all but those of the least document go, as runs."""
         held, known = [], [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
@@ -225,21 +252,11 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, depth: int, width:
             at = np.flatnonzero(new)
             last = np.append(at[1:], len(gone))[: len(at)] - 1
             known.append((doc[at], code[at], place[at], (place[last] - place[at] + 1).astype(np.int32)))
-        return packed(*(np.concatenate(x) for x in zip(*known, strict=True)))
-
-    def by_document(table: pa.Table) -> pa.Table:
-        doc, code, start, length = (np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("doc_id", np.int64), ("text_code", np.int64), ("start", np.int32), ("length", np.int32)))
-        order = np.lexsort((start, code, doc))
-        doc, code, start, length = doc[order], code[order], start[order], length[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
-        parts = pieces(np.flatnonzero(new), len(doc))
-        at = [i for i, _ in parts]
-        return pa.table([pa.array(doc[at]), pa.array(code[at]), *(pa.array([x[i:j].tobytes() for i, j in parts], pa.binary()) for x in (start, length))], names=["doc_id", "text_code", "starts", "lengths"])
+        return pack_by_document(*(np.concatenate(x) for x in zip(*known, strict=True)), groups)
 
     found = docs.select("doc_id", "text", "text_code").mapInArrow(candidates, schema)
-    runs = found.groupBy("bucket").applyInArrow(group, "share long, doc_id binary, text_code binary, start binary, length binary")
-    return runs.groupBy("share").applyInArrow(by_document, "doc_id long, text_code long, starts binary, lengths binary")
+    runs = found.groupBy("bucket").applyInArrow(group, RUN_SCHEMA)
+    return runs.groupBy("share").applyInArrow(unpack_by_document, TEXT_SCHEMA)
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"

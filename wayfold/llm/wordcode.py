@@ -13,7 +13,7 @@ STEP_BYTES = 4_000_000
 
 U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = [_RANDOM.integers(1, 2**63, 256, dtype=U) for _ in range(2)]
+BYTE_CODES = [_RANDOM.integers(1, 2**63, 256, dtype=U) for _ in range(2)]
 _BASE = [U(int(x) | 1) for x in _RANDOM.integers(2**62, 2**63, 2, dtype=U)]
 _GRAM = [U(int(x) | 1) for x in _RANDOM.integers(2**62, 2**63, 2, dtype=U)]
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -91,14 +91,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def steps(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about STEP_BYTES of text."""
+def steps(batch: pa.RecordBatch, text: int, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about that many bytes of text."""
     if not batch.num_rows:
         return
     _, offsets = text_bytes(batch.column(text))
     start = 0
     while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + STEP_BYTES, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -122,7 +122,7 @@ def words_of(column: pa.Array, lut: np.ndarray, hashes: int = 1) -> Words:
     for k in range(hashes):
         up, down = powers(k, n)
         total = np.zeros(n + 1, U)
-        np.cumsum(_BYTE[k][seen] * up[:n], out=total[1:])
+        np.cumsum(BYTE_CODES[k][seen] * up[:n], out=total[1:])
         codes.append(mixed((total[stops] - total[starts]) * down[starts]))
     return Words(data, offsets, starts, stops, np.searchsorted(starts, offsets), codes)
 
