@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.plans import routing_queries, timetable_queries
+from wayfold.plans import geometry_queries, routing_queries, timetable_queries
 
-QUERIES = {**routing_queries.QUERIES, **timetable_queries.QUERIES}
-ORACLE_SQL = {**routing_queries.ORACLE_SQL, **timetable_queries.ORACLE_SQL}
+QUERIES = {**routing_queries.QUERIES, **timetable_queries.QUERIES, **geometry_queries.QUERIES}
+ORACLE_SQL = {**routing_queries.ORACLE_SQL, **timetable_queries.ORACLE_SQL, **geometry_queries.ORACLE_SQL}
