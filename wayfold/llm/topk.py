@@ -97,7 +97,7 @@ def _block(packed: DataFrame, queries: DataFrame, scale: int, k: int, most: floa
     exact = True
     for length in sorted({r["size"] for r in gathered}):
         own = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in gathered if r["size"] == length])
-        cells = np.concatenate([np.frombuffer(r["cells"]).reshape(-1, length) for r in gathered if r["size"] == length])
+        cells = np.concatenate([np.frombuffer(r["cells"]).reshape(len(r["ids"]) // 8, length) for r in gathered if r["size"] == length])
         exact &= length * most * most < 2**53
         by_size[length] = (np.arange(n, n + len(own)), cells)
         ids.append(own)
@@ -113,7 +113,7 @@ def _block(packed: DataFrame, queries: DataFrame, scale: int, k: int, most: floa
                 if row["size"] not in blocks:
                     continue
                 which, cells = blocks[row["size"]]
-                there, other = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["cells"]).reshape(-1, row["size"])
+                there, other = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["cells"]).reshape(len(row["ids"]) // 8, row["size"])
                 step = max(1, TILE // max(1, len(there)))
                 for a in range(0, len(which), step):
                     yield which[a : a + step], there, _scores(cells[a : a + step], other, exact), own[which[a : a + step]]
