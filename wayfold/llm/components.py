@@ -26,10 +26,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        # written, so that both sides of the join are dealt anew and a hub's rows can be split
+        least = written(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where(F.col("u") != F.col("v")).distinct(), "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.where(F.col("u") != F.col("v")).distinct(), "small-star")

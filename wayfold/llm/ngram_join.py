@@ -239,9 +239,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     nodes = written(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("node").alias("grp"), F.count("*").alias("size")).where("size > 1").drop("size")
+    # leaders and blocks are written, so that the rows of a hot band or group can be split where they join
+    leaders = written(banded.groupBy("band").agg(F.min("node").alias("grp"), F.count("*").alias("size")).where("size > 1").drop("size"), "leaders")
     members = written(banded.join(leaders, "band").select("grp", "node").distinct(), "members")
-    blocks = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks"))
+    blocks = written(members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks")), "block-counts")
     near = members.join(nodes.select("node", "sig"), "node")
     likely = _compare(_block_pairs(near, ["sig"], blocks), least, None)
     coarse = components(likely.select(F.col("node").alias("u"), F.col("label").alias("v")))
@@ -278,7 +279,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     on = [chosen["doc_id"].eqNullSafe(found["doc_id"]), chosen["text_code"] == found["text_code"]]
     full = chosen.join(found, on).select("grp", "node", "sig", "codes", "n")
     full = full.dropDuplicates(["grp", "node"])
-    blocks = chosen.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks"))
+    blocks = written(chosen.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks")), "block-counts")
     linked = written(_compare(_block_pairs(full.drop("n"), ["sig", "codes"], blocks), least, Fraction(threshold).limit_denominator(10**6)), "links")
     degree = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
     final = components(linked.select(F.col("node").alias("u"), F.col("label").alias("v")))

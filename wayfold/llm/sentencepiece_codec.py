@@ -25,7 +25,7 @@ from wayfold.llm.tables import id_and_text
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 LONGEST_IN_STEP = 32
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 150_000
 
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string, ids_sha256 string, decoded_sha256 string"
 
@@ -261,5 +261,7 @@ def encode_and_decode(
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"],
                 )
+        # a worker goes on to other tasks; most chunks occur once
+        own.cache.clear()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(encode, SCHEMA)

@@ -31,6 +31,8 @@ from wayfold.llm.wordcode import BYTE_CODES, U, mixed, pieces, powers, sliding_m
 STEP = 1_000_000
 HELD = 300_000
 GROUPED = 200_000
+#: Segments that are sorted together, at least; the segments of an anchor always are.
+SORTED = 1500
 #: Entries of the sorted order that a round reads or writes at once.
 CHUNK = 1 << 22
 
@@ -302,12 +304,23 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
         name = mixed(mixed(doc.astype(U)) ^ code.astype(U)) + start.astype(U)
         whole = np.flatnonzero(gone & ~np.isin(name, name[collection]))
         # a segment that is alone under its anchor and holds no window twice has nothing to share
+        distinct = list(chosen)
         _, which, shared = np.unique(np.concatenate(anchors_)[at[collection]], return_inverse=True, return_counts=True)
         alone = (shared[which] == 1).tolist()
-        use = [k for k, s in enumerate(chosen) if not alone[k] or len({s[x : x + window] for x in range(len(s) - window + 1)}) <= len(s) - window]
-        collection, strings = collection[use], [strings[at[i]] for i in collection[use].tolist()]
-        who, offset = _later(strings, doc[collection], code[collection], start[collection], window)
-        who = collection[who]
+        use = [k for k, s in enumerate(distinct) if not alone[k] or len({s[x : x + window] for x in range(len(s) - window + 1)}) <= len(s) - window]
+        # whole anchors at a time, so many that the order they need stays in a processor's cache
+        use = np.array(use, np.int64)[np.argsort(which[use], kind="stable")] if use else np.zeros(0, np.int64)
+        ends = np.flatnonzero(np.diff(which[use], append=-1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        begin = 0
+        for end in (ends + 1).tolist():
+            if end - begin >= SORTED or end == len(use):
+                part = use[begin:end]
+                own = collection[part]
+                who, offset = _later([distinct[k] for k in part.tolist()], doc[own], code[own], start[own], window)
+                found.append((own[who], offset))
+                begin = end
+        who, offset = (np.concatenate(x) for x in zip(*found, strict=True))
         places = [np.concatenate([x, y]) for x, y in ((doc[whole], doc[who]), (code[whole], code[who]), (start[whole], (start[who] + offset).astype(np.int32)), (count[whole], np.ones(len(who), np.int32)))]
         return pack_by_document(*places, groups)
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: What one step works on, in bytes of text; a longer text is a step of its own.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 U = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
