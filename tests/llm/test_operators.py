@@ -168,6 +168,16 @@ def test_suffix_dedup(spark, docs, odd):
     assert [r.n_removed for r in suffix_dedup.remove_repeated_bytes(null).collect()] == [0, 0, 0]
 
 
+def test_suffix_dedup_of_periodic_and_shifted_texts(spark):
+    """Windows that share an anchor at other places, hold it several times, or share only one side of it."""
+    noise = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(900))
+    texts = ["ab" * 200, "x" + "ab" * 130 + "y", "abc" * 120, noise, noise[:150] + "#" + noise[250:420], "?" + noise[30:135] + "!" + noise[500:599] + "!" + noise[499:600], noise[:33] * 12, (noise[700:740] + "-") * 9, noise[100:240] * 2, noise[380:560][::-1]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {r[0]: r for r in plain.without_repeated_bytes(pairs(df))}
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeated_bytes(df).collect()}
+    assert {k: (r.n_removed, r.n_spans, r.kept_sha256) for k, r in got.items()} == {k: (r[2], r[3], r[4]) for k, r in want.items()}
+
+
 def test_sorted_suffixes():
     random.seed(3)
     strings = ["".join(random.choice("ab") for _ in range(random.randint(0, 30))).encode() for _ in range(60)] + [b"a" * 20, b"ab" * 10, b""]

@@ -179,6 +179,33 @@ def sorted_suffixes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) ->
     return string, length, common
 
 
+def may_share(strings: list[bytes], anchor: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Which distinct strings can have a window in common with another one, or twice, given the anchor of all windows of each.
+
+    Around the anchor that equal windows hold, the half of their other bytes
+    before it or the half behind it is equal too.
+    """
+    half = -(-(window - gram) // 2)
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    size = np.array([len(s) for s in strings], np.int64)
+    if len(data) < gram:
+        return np.zeros(len(strings), bool)
+    stops = np.cumsum(size)
+    total = _sums(data, 0)
+    owner = np.repeat(np.arange(len(strings)), size)[: len(data) - gram + 1]
+    places = np.flatnonzero(_codes(total, slice(0, len(data) - gram + 1), slice(gram, len(data) + 1), 0) == anchor[owner])
+    own = owner[places]
+    keys, whose = [], []
+    for side, begin, end in ((U(1), places - half, places + gram), (U(2), places, places + gram + half)):
+        inside = (begin >= (stops - size)[own]) & (end <= stops[own])
+        keys.append(mixed(_codes(total, begin[inside], end[inside], 0) ^ side))
+        whose.append(own[inside])
+    _, which, shared = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    found = np.zeros(len(strings), bool)
+    found[np.concatenate(whose)[shared[which] > 1]] = True
+    return found
+
+
 def _later(strings: list[bytes], doc: np.ndarray, code: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the windows of distinct strings that are equal to an earlier one of any of them."""
     size = np.array([len(s) for s in strings], np.int64)
@@ -303,13 +330,12 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
         # rows that repeat a document are not later than themselves
         name = mixed(mixed(doc.astype(U)) ^ code.astype(U)) + start.astype(U)
         whole = np.flatnonzero(gone & ~np.isin(name, name[collection]))
-        # a segment that is alone under its anchor and holds no window twice has nothing to share
         distinct = list(chosen)
-        _, which, shared = np.unique(np.concatenate(anchors_)[at[collection]], return_inverse=True, return_counts=True)
-        alone = (shared[which] == 1).tolist()
-        use = [k for k, s in enumerate(distinct) if not alone[k] or len({s[x : x + window] for x in range(len(s) - window + 1)}) <= len(s) - window]
+        own_anchor = np.concatenate(anchors_)[at[collection]]
+        _, which = np.unique(own_anchor, return_inverse=True)
+        use = np.flatnonzero(may_share(distinct, own_anchor, window, gram))
         # whole anchors at a time, so many that the order they need stays in a processor's cache
-        use = np.array(use, np.int64)[np.argsort(which[use], kind="stable")] if use else np.zeros(0, np.int64)
+        use = use[np.argsort(which[use], kind="stable")]
         ends = np.flatnonzero(np.diff(which[use], append=-1))
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         begin = 0
