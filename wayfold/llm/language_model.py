@@ -8,9 +8,8 @@ word. Each group writes its part of the model as arrays of sorted keys and
 their counts. Workers map these files into memory and look words up in sorted
 batches; what a batch doesn't touch is never read.
 
-Trigrams and bigrams of an adjusted count of one are counted in all totals,
-discounts and back-off weights but not stored: their probability goes to the
-back-off. Words in trigrams are told apart by 32 bits of their hash.
+All trigrams, bigrams and contexts are stored with their counts, those seen
+once too. Words in trigrams are told apart by 32 bits of their hash.
 """
 
 from __future__ import annotations
@@ -111,6 +110,10 @@ class Model:
                 np.save(f, x)
             os.replace(part, path)
 
+    def save_counts(self, name: str, key: np.ndarray, **counts: np.ndarray) -> None:
+        """Counts in as few bytes as the largest of them takes."""
+        self.save(name, key=key, **{k: x.astype(np.min_scalar_type(int(x.max(initial=0)))) for k, x in counts.items()})
+
     def discounted(self, order: int, counts: np.ndarray) -> np.ndarray:
         return counts - np.array([0.0, *self.discounts[order - 1]])[np.minimum(counts, 3).astype(np.int64)]
 
@@ -191,8 +194,8 @@ def _count_words(training: DataFrame, groups: int, folder: str) -> tuple[int, in
     return n, distinct, {r["words"]: r["counts"] for r in common.collect()}
 
 
-def train(training: DataFrame) -> Model:
-    """Count and store a model of (doc_id, text)."""
+def train(training: DataFrame, pruned: bool) -> Model:
+    """Count and store a model of (doc_id, text); a pruned one discounts trigrams and bigrams of a count of one by all of it."""
     spark = training.sparkSession
     folder = f"{_local(spark)}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder)
@@ -252,29 +255,23 @@ def train(training: DataFrame) -> Model:
         u, v, w, c = u[at], v[at], w[at], np.add.reduceat(c, at)
 
         def contexts(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-            """Of keys with a stored count: the sum of all counts, of the stored ones, and how many of these are 2 or more."""
+            """The sum of the counts of each key, and how many of these are 1, 2 and more."""
             key, which = np.unique(keys, return_inverse=True)
-            two, more = counts == 2, counts > 2
-            sums = [np.bincount(which, x, len(key)) for x in (counts, counts * (two | more), two, more)]
-            # a spread word's other groups may store some
-            use = (sums[1] > 0) | spread_keys(key)
-            return {"key": key[use], **{name: x[use] for name, x in zip(("all", "kept", "two", "more"), sums, strict=True)}}
-
-        spread_keys = lambda key: np.isin(key & U(0xFFFFFFFF), np.array(list(model.salts), U))
-        stored = c > 1
-        key = triple(u[stored], v[stored], w[stored])
+            sums = [np.bincount(which, x, len(key)).astype(np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            return {"key": key, **dict(zip(("all", "one", "two", "more"), sums, strict=True))}
+
+        key = triple(u, v, w)
         by_key = np.argsort(key)
-        model.save(f"tri-{g}", key=key[by_key], n=c[stored][by_key].astype(np.uint32))
-        model.save(f"ctx2-{g}", **contexts(pair(u, v), c))
+        model.save_counts(f"tri-{g}", key=key[by_key], n=c[by_key])
+        model.save_counts(f"ctx2-{g}", **contexts(pair(u, v), c))
         # bigrams: an adjusted count is the number of distinct words before, but the plain count after a start
         big, which = np.unique(pair(v, w), return_inverse=True)
         adjusted = np.bincount(which, minlength=len(big))
         plain = np.bincount(which, c, len(big))
         after_start = (big >> U(32)) == U(START)
         adjusted = np.where(after_start, plain, adjusted).astype(np.int64)
-        stored2 = adjusted > 1
-        model.save(f"bi-{g}", key=big[stored2], n=adjusted[stored2].astype(np.uint32))
-        model.save(f"ctx1-{g}", **contexts(big >> U(32), adjusted))
+        model.save_counts(f"bi-{g}", key=big, n=adjusted)
+        model.save_counts(f"ctx1-{g}", **contexts(big >> U(32), adjusted))
         last, n_before = np.unique((big & U(0xFFFFFFFF)), return_counts=True)
         dealt = (mixed(last) % U(model.groups)).astype(np.int64)
         by = np.argsort(dealt, kind="stable")
@@ -314,6 +311,9 @@ def train(training: DataFrame) -> Model:
         return [min(float(k), max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
 
     model.discounts = [discounts(uni), discounts(bi), discounts(tri)]
+    if pruned:
+        for d in model.discounts[1:]:
+            d[0] = 1.0
     model.types = float(uni[5])
     d = model.discounts[0]
     left = (uni[0] * d[0] + uni[1] * d[1] + uni[4] * d[2]) / model.types if model.types else 1.0
@@ -322,12 +322,12 @@ def train(training: DataFrame) -> Model:
 
 
 def _backed_off(model: Model, order: int, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(the total of a context, the weight of what is shorter); contexts that aren't stored back off wholly."""
-    total, kept, two, more = sums
+    """(the total of a context, the weight of what is shorter); contexts that were never seen back off wholly."""
+    total, one, two, more = sums
     d = model.discounts[order - 1]
     seen = total > 0
     safe = np.where(seen, total, 1)
-    return safe, np.where(seen, 1 - (kept - two * d[1] - more * d[2]) / safe, 1.0)
+    return safe, np.where(seen, (one * d[0] + two * d[1] + more * d[2]) / safe, 1.0)
 
 
 def _contexts(model: Model, name: str, keys: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
@@ -336,7 +336,7 @@ def _contexts(model: Model, name: str, keys: np.ndarray, v: np.ndarray) -> list[
     out = [np.zeros(len(keys)) for _ in range(4)]
     for salt in range(int(spread.max(initial=0))):
         at = np.flatnonzero(spread > salt)
-        for total, x in zip(out, _found(model.folder, name, keys[at], model.group(v[at], np.full(len(at), salt)), ("all", "kept", "two", "more")), strict=True):
+        for total, x in zip(out, _found(model.folder, name, keys[at], model.group(v[at], np.full(len(at), salt)), ("all", "one", "two", "more")), strict=True):
             total[at] += x
     return out
 
@@ -361,13 +361,15 @@ def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) ->
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", pruned: bool = True) -> DataFrame:
     """One row for each row of docs, scored by a model of the rows that aren't held out.
 
     held_out is a condition on doc_id. Tokens: runs without white space, A-Z
     lower-cased, then one end. base_score sums log10((c + 1) / (N + V + 1))
     over a text's tokens; score sums log10 of the trigram model's probability,
-    and perplexity is 10 ** (-score / n_tokens).
+    and perplexity is 10 ** (-score / n_tokens). The whole model is that of
+    pruned=False; by default trigrams and bigrams seen once give all their
+    probability to the back-off.
 
     Null and empty texts have the end alone, in training too. Repeated rows
     count each time. A null doc_id is held out. Without any training rows all
@@ -376,7 +378,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     """
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    model = train(rows.where(~F.col("held_out")).select("doc_id", "text"))
+    model = train(rows.where(~F.col("held_out")).select("doc_id", "text"), pruned)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

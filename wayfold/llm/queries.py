@@ -47,7 +47,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    return score(table(spark, sf_dir, "documents"), held_out)
+    return score(table(spark, sf_dir, "documents"), held_out, pruned=False)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
