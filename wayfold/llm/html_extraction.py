@@ -1,11 +1,13 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Pass one decides each block by
-itself: by the elements around it, its link density, its length and the
-density of stop words. Short blocks and those of middling density stay
-undecided. In pass two they take the label of the nearest decided blocks:
-where the neighbours on both sides agree, theirs; where they don't, the nearer
-one's.
+itself: by its link density, its length and the density of stop words. Elements
+and class words that name what surrounds articles make a block bad; an article
+or main element around it only lowers the thresholds. Short blocks and those of
+middling density stay undecided. In pass two they take the label of the nearest
+decided blocks: where the neighbours on both sides agree, theirs; where they
+don't, the nearer one's, but inside an article or main element the good one's.
+Where pass one finds nothing good, what is undecided inside such an element is.
 """
 
 from __future__ import annotations
@@ -58,11 +60,13 @@ MAIN_TAGS = frozenset(["article", "main"])
 
 #: Blocks of fewer characters are short; a block of a stop-word density is good from HIGH on, bad below LOW.
 SHORT, LONG, LOW, HIGH, LINKED = 70, 200, 0.12, 0.22, 0.35
+#: Inside an article or main element: what is short, what is good, and the links of a block of fewer stop words that make it bad.
+MAIN_SHORT, MAIN_HIGH, MAIN_LINKED = 30, 0.12, 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z:_-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
-GOOD, BAD, OPEN = 1, 0, -1
+GOOD, BAD, OPEN, NEAR = 1, 0, -1, -2
 
 
 @dataclass
@@ -73,19 +77,17 @@ class Block:
     main: bool
     heading: bool
 
-    def decided(self, has_main: bool) -> int:
-        """Pass one."""
-        if self.outside or (has_main and not self.main):
-            return BAD
+    def decided(self) -> int:
+        """Pass one; NEAR is undecided inside an article or main element."""
         size = len(self.text)
-        if self.linked > LINKED * size:
+        if self.outside or self.linked > LINKED * size:
             return BAD
-        if self.main:
-            return GOOD
-        if size < SHORT or self.heading:
-            return OPEN
+        if self.heading or size < (MAIN_SHORT if self.main else SHORT):
+            return NEAR if self.main else OPEN
         words = _WORD.findall(self.text.lower())
         density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if self.main:
+            return GOOD if density >= MAIN_HIGH else BAD if self.linked > MAIN_LINKED * size else NEAR
         if density >= HIGH:
             return GOOD
         if density < LOW:
@@ -184,21 +186,29 @@ def blocks(page: str) -> list[Block]:
 def extract(page: str) -> str:
     """The main text of one page."""
     found = blocks(page)
-    has_main = any(b.main and not b.outside for b in found)
-    labels = [b.decided(has_main) for b in found]
+    labels = [b.decided() for b in found]
+    if GOOD not in labels:
+        # an article of nothing but short or odd blocks
+        labels = [GOOD if x == NEAR else x for x in labels]
     before: list[tuple[int, int]] = []
     last = (BAD, -1)
     for i, label in enumerate(labels):
-        last = (label, i) if label != OPEN else last
+        last = (label, i) if label in (GOOD, BAD) else last
         before.append(last)
     last = (BAD, len(labels))
     kept = []
     for i in range(len(labels) - 1, -1, -1):
-        if labels[i] != OPEN:
+        if labels[i] in (GOOD, BAD):
             last = (labels[i], i)
         left, right = before[i], last
-        # a heading belongs to what follows it
-        if labels[i] == GOOD or labels[i] == OPEN and (right[0] if found[i].heading or right[1] - i < i - left[1] or left[0] == right[0] else left[0]) == GOOD:
+        if labels[i] == NEAR:
+            good = GOOD in (left[0], right[0])
+        elif labels[i] == OPEN:
+            # a heading belongs to what follows it
+            good = (right[0] if found[i].heading or right[1] - i < i - left[1] or left[0] == right[0] else left[0]) == GOOD
+        else:
+            good = labels[i] == GOOD
+        if good:
             kept.append(found[i].text)
     return " ".join(reversed(kept))
 
@@ -208,8 +218,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Character references are decoded, white space inside a block becomes one
     space, blocks are joined by one space; n_chars counts code points. Null,
-    empty and textless pages give the empty string. Where a page has an article
-    or main element, only its blocks can stay. Repeated rows give repeated
+    empty and textless pages give the empty string. Repeated rows give repeated
     results; null ids and urls stay null; an empty table gives an empty one;
     other columns are not read.
     """
