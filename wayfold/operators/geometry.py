@@ -120,16 +120,36 @@ def bridges(nodes: DataFrame, metres: float = BRIDGE_METRES) -> DataFrame:
     return pairs.groupBy("c_a", "c_b").agg(F.min(F.struct("m", "a", "b")).alias("x")).select("x.a", "x.b", "x.m")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFrame:
-    """(source, node, length): Bellman-Ford from all sources (source) at once over directed edges (a, b, minutes)."""
+def _with_shortcuts(edges: DataFrame) -> DataFrame:
+    """edges (a, b, minutes), each pair once, with paths of up to 16 edges entered as edges where these stay few."""
+    short = written(edges.groupBy("a", "b").agg(F.min("minutes").cast("long").alias("minutes")), "edges")
+    limit = 64 * short.count()
+    for _ in range(4):
+        begun, ended = (short.groupBy(F.col(k).alias("node")).agg(F.count("*").alias(f"n_{k}")) for k in "ab")
+        if (begun.join(ended, "node").agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0) > limit:
+            break
+        further = short.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("minutes").alias("more"))
+        longer = short.join(further, "b").select("a", F.col("c").alias("b"), (F.col("minutes") + F.col("more")).alias("minutes"))
+        short = written(short.unionByName(longer).groupBy("a", "b").agg(F.min("minutes").alias("minutes")), "edges")
+    return short
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, length): Bellman-Ford from all sources (source) at once over directed edges (a, b, minutes).
+
+    Rounds end when no length improves, however many edges a path has; so that
+    long paths take fewer rounds, each takes up to 16 edges. Negative minutes
+    are refused, as lengths might improve for ever.
+    """
+    edges = _with_shortcuts(edges)
+    if not edges.where("minutes < 0").isEmpty():
+        raise ValueError("shortest paths need minutes that aren't negative")
     known = written(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("length")), "lengths")
     current = known
-    for _ in range(rounds):
+    while not current.isEmpty():
         reached = current.join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("length") + F.col("minutes")).alias("length"))
         better = reached.join(known.select("source", "node", F.col("length").alias("before")), ["source", "node"], "left").where(F.col("before").isNull() | (F.col("length") < F.col("before"))).drop("before")
         current = written(better, "better")
-        if current.isEmpty():
-            break
         known = written(known.unionByName(current).groupBy("source", "node").agg(F.min("length").alias("length")), "lengths")
     return known
 
