@@ -214,6 +214,14 @@ class Codec:
         ids = self.library.encode(text, add_eos=True)
         return len(ids), " ".join(map(str, ids)), self.library.decode(ids)
 
+    def checked_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """encode_batch, with each text held against the library."""
+        found = self.encode_batch(texts)
+        wrong = [i for i, t in enumerate(texts) if found[i] != self.by_library(t)]
+        if wrong:
+            raise ValueError(f"{len(wrong)} of {len(texts)} texts differ from the library's result, the first of them: {texts[wrong[0]][:200]!r}")
+        return found
+
 
 _CODECS: dict[str, Codec] = {}
 
@@ -226,13 +234,12 @@ def codec(model_file: str) -> Codec:
 
 
 def encode_and_decode(
-    docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, check_every: int = 16
+    docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True
 ) -> DataFrame:
     """One row for each row of docs: ids, their number and digest, and the decoded text and its digest.
 
-    ids ends with the end id and holds no start id. In each Arrow batch, every
-    check_every-th text also goes through the sentencepiece library, encoding
-    and decoding; if any differs, the library's results stand for that batch.
+    ids ends with the end id and holds no start id. Every text also goes through
+    the sentencepiece library, encoding and decoding; any difference is an error.
     with_text=False leaves ids and decoded null and keeps the digests.
 
     Null and empty texts have the end id alone and decode to the empty string;
@@ -246,9 +253,7 @@ def encode_and_decode(
             for start in range(0, max(1, whole.num_rows), 1024):
                 batch = whole.slice(start, 1024)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                found = own.encode_batch(texts)
-                if any(found[i] != own.by_library(texts[i]) for i in range(0, len(texts), check_every)):
-                    found = [own.by_library(t) for t in texts]
+                found = own.checked_batch(texts)
                 digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
                 yield pa.RecordBatch.from_arrays(
                     [
