@@ -124,7 +124,7 @@ def base_spans(text):
 
 
 def kneser_ney(training, tests):
-    """log10 probabilities of texts under interpolated modified Kneser-Ney trigrams whose adjusted counts of one back off."""
+    """log10 probabilities of texts under interpolated modified Kneser-Ney trigrams."""
     end, start = "</s>", "<s>"
     tokens = lambda t: [*blank_words((t or "").translate(LOWER)), end]
     tri, uni = Counter(), Counter()
@@ -153,7 +153,7 @@ def kneser_ney(training, tests):
         for k, c in counts.items():
             x = sums[order][k[:-1]]
             x[0] += c
-            x[1] += c - d[min(c, 3)] if c > 1 else 0.0
+            x[1] += c - d[min(c, 3)]
 
     def p(u, v, w):
         c = one.get(w, 0)
@@ -162,7 +162,7 @@ def kneser_ney(training, tests):
             if ctx in sums[order]:
                 n, kept = sums[order][ctx]
                 c = counts.get((*ctx, w), 0)
-                out = ((c - d[min(c, 3)]) / n if c > 1 else 0.0) + (1 - kept / n) * out
+                out = (c - d[min(c, 3)]) / n + (1 - kept / n) * out
         return out
 
     scores = []

@@ -61,5 +61,5 @@ def test_query_scores_by_the_whole_model(spark, sf_dir, monkeypatch, grouped):
 
 def test_a_trigram_seen_once_is_likelier_than_one_never_seen(spark):
     docs = spark.createDataFrame([(0, "a b c"), (1, "a b d a b d c e c e a b d"), (2, "a b c"), (3, "a b e")], "doc_id long, text string")
-    got = {r.doc_id: r.score for r in language_model.score(docs, F.col("doc_id") > 1, pruned=False).collect()}
+    got = {r.doc_id: r.score for r in language_model.score(docs, F.col("doc_id") > 1).collect()}
     assert got[2] > got[3] + 0.1

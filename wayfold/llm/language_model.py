@@ -1,20 +1,28 @@
 """An interpolated modified Kneser-Ney model of word trigrams, counted in Spark and read by memory map.
 
-Counting: each task counts the distinct trigrams of its texts and deals them
-by their middle word, so that a trigram (u, v, w), its context (u, v), its
-suffix (v, w) and the shorter context (v) meet in one group. A middle word
-with a large share of all tokens is dealt over several groups by the third
-word. Each group writes its part of the model as arrays of sorted keys and
-their counts. Workers map these files into memory and look words up in sorted
-batches; what a batch doesn't touch is never read.
+Words get numbers: a first pass counts their 64-bit codes, deals them by range
+and writes them as sorted arrays; a word's number is its place in them. A
+second pass counts trigrams of numbers, task by task, and deals them by their
+middle word, so that a trigram (u, v, w), its context (u, v), its suffix (v, w)
+and the shorter context (v) meet in one group. A middle word with a large share
+of all tokens is dealt over several groups by the third word.
+
+N-grams are stored as sorted arrays of hashes. The leading bits of a hash name
+the group, so that the groups of one part, dealt in order, append to the same
+few files: their number doesn't grow with the text. More leading bits are left
+out and stand in an index of where each bucket of hashes starts; 32 further
+bits are stored. Workers map the files into memory and look up sorted batches;
+what a batch doesn't touch is never read.
 
 All trigrams, bigrams and contexts are stored with their counts, those seen
-once too. Words in trigrams are told apart by 32 bits of their hash.
+once too.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
+import shutil
 import urllib.parse
 import uuid
 from collections.abc import Iterator
@@ -32,12 +40,16 @@ from wayfold.llm.wordcode import BLANK_WORDS, U, mixed, pieces, steps, words_of
 LOWER_BLANK_WORDS = BLANK_WORDS.copy()
 LOWER_BLANK_WORDS[65:91] += 32
 #: The end of a text, as a token; the start only as context.
-END, START = U(0x1F2E3D4C5B6A7988), np.uint32(1)
-#: Trigrams that a task holds before it hands them on, and tokens that one group should have.
+END = U(0x1F2E3D4C5B6A7988)
+#: Numbers of words: 0 is none of the training words, 1 the start; words go from FIRST on.
+START, FIRST = 1, 2
+#: Tokens that a task holds before it hands them on, and that one group should have at most.
 HELD = 2_000_000
 GROUPED = 2_000_000
+#: Parts of a table at most, as a power of two.
+PARTS = 10
 #: Bytes of text that are scored at once: the more, the more lookups fall together.
-SCORED = 2_000_000
+SCORED = 3_000_000
 
 
 def tokens(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,92 +65,277 @@ def tokens(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def short(codes: np.ndarray) -> np.ndarray:
-    """32 bits of a token's code; none is START."""
-    return np.maximum((codes >> U(32)).astype(np.uint32), np.uint32(2))
-
-
-def trigrams(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words before each token, and the token; texts start with two STARTs."""
-    w = short(codes)
-    v, u = np.empty_like(w), np.empty_like(w)
-    v[1:], u[2:] = w[:-1], w[:-2]
+def trigrams(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words before each token, and the token, as numbers; texts start with two STARTs."""
+    v, u = np.empty_like(words), np.empty_like(words)
+    v[1:], u[2:] = words[:-1], words[:-2]
     first = starts[:-1]
     v[first] = u[first] = START
     second = first + 1
     u[second[second < starts[1:]]] = START
-    return u, v, w
+    return u, v, words
+
+
+def hashed(*words: np.ndarray) -> np.ndarray:
+    out = mixed(words[0].astype(U))
+    for w in words[1:]:
+        out = mixed(out * U(0x9E3779B97F4A7C15) + w.astype(U))
+    return out
+
+
+def in_order(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order by v, then u, then w."""
+    if v.dtype != np.uint32:
+        return np.lexsort((w, u, v))
+    # two words fill a key of 64 bits; the rank of their pair and the third word fill another
+    _, rank = np.unique((v.astype(U) << U(32)) | u, return_inverse=True)
+    return np.argsort((rank.astype(U) << U(32)) | w)
+
+
+def runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where the runs of equal rows start."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = False
+    for x in sorted_columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+# Rows of numbers travel with all their first bytes together, then all second ones, and so on.
+
 
+def packed(x: np.ndarray) -> bytes:
+    size = x.dtype.itemsize
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1, size).T.tobytes()
+    return np.array([len(x), size], np.int64).tobytes() + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
-def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a.astype(U) << U(32)) | b
 
+def unpacked(b: bytes) -> np.ndarray:
+    n, size = np.frombuffer(b[:16], np.int64).tolist()
+    raw = np.frombuffer(pa.decompress(b[16:], n * size, "zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(f"u{size}").ravel()
 
-def triple(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(mixed(pair(u, v)) + w.astype(U) * U(0x9E3779B97F4A7C15))
+
+def fitting(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest of them takes."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 @dataclass
 class Model:
-    """Where the arrays are, how words are dealt, and the few numbers that hold for all."""
+    """Where the files are, how words are dealt, and the few numbers that hold for all."""
 
     folder: str
-    groups: int
-    salts: dict[int, int]
-    n_tokens: int
-    n_words: int
+    #: Leading bits of a hash that name its part, its group and its bucket.
+    part_bits: int
+    bits: int
+    bucket_bits: int
+    bases: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    n_tokens: int = 0
+    n_words: int = 0
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    spreads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    start: list[int] = field(default_factory=lambda: [0] * 4)
     discounts: list[list[float]] = field(default_factory=list)
     types: float = 0.0
     floor: float = 1.0
 
-    def group(self, v: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        return ((mixed(v.astype(U)) + salt.astype(U)) % U(self.groups)).astype(np.int64)
+    @property
+    def kind(self) -> type:
+        """The type of words' numbers."""
+        return np.uint32 if self.n_words < 2**32 - FIRST else np.uint64
 
     def spread(self, v: np.ndarray) -> np.ndarray:
         """Over how many groups the trigrams of a middle word are dealt."""
         out = np.ones(len(v), np.int64)
-        for word, n in self.salts.items():
-            out[v == word] = n
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, v), len(self.common) - 1)
+            hit = self.common[at] == v
+            out[hit] = self.spreads[at[hit]]
         return out
 
-    def save(self, name: str, **arrays: np.ndarray) -> None:
-        """Whole files only: a task that runs again replaces them by equal ones."""
-        for k, x in arrays.items():
-            path = f"{self.folder}/{name}-{k}.npy"
-            part = f"{path}.{uuid.uuid4().hex}.tmp"
-            with open(part, "wb") as f:
-                np.save(f, x)
+    def group(self, v: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mixed(mixed(v.astype(U)) + salt.astype(U)) >> U(64 - self.bits)
+
+    def salt(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return mixed(w.astype(U)) % self.spread(v).astype(U)
+
+    def key(self, group: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """A hash that begins with the group."""
+        return (group << U(64 - self.bits)) | (code >> U(self.bits))
+
+    def path(self, table: str, part: int, of: str) -> str:
+        return f"{self.folder}/{table}-{part}.{of}"
+
+
+class Writer:
+    """A part of a table of sorted keys with values, written from front to back, group by group.
+
+    Small values are a code; others have the code FULL and stand in a list of their own.
+    A file gets its name when it is whole, so a task that runs again replaces it by an equal one.
+    """
+
+    def __init__(self, model: Model, table: str, part: int, wide: bool = False):
+        self.model, self.wide = model, wide
+        self.paths = [model.path(table, part, of) for of in ("starts", "keys", "codes", "over-at", "over")]
+        self.parts = [f"{p}.{uuid.uuid4().hex}.tmp" for p in self.paths]
+        self.files = [open(p, "wb") for p in self.parts]
+        self.n = 0
+        self.bucket = part << (model.bucket_bits - model.part_bits)
+        self.stop = (part + 1) << (model.bucket_bits - model.part_bits)
+
+    def _skip_to(self, bucket: int) -> None:
+        while self.bucket < bucket:
+            size = min(1 << 16, bucket - self.bucket)
+            self.files[0].write(np.full(size, self.n, np.int64).tobytes())
+            self.bucket += size
+
+    def add(self, keys: np.ndarray, codes: np.ndarray, values: np.ndarray) -> None:
+        """Keys of the next group, in any order; values are rows of counts."""
+        if not len(keys):
+            return
+        order = np.argsort(keys)
+        keys, codes = keys[order], codes[order]
+        model = self.model
+        bucket = (keys >> U(64 - model.bucket_bits)).astype(np.int64)
+        first = int(bucket[0])
+        self._skip_to(first)
+        counts = np.bincount(bucket - first)
+        self.files[0].write((self.n + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.bucket = first + len(counts)
+        self.files[1].write((keys if self.wide else ((keys << U(model.bucket_bits)) >> U(32)).astype(np.uint32)).tobytes())
+        self.files[2].write(codes.tobytes())
+        over = np.flatnonzero(codes == FULL[codes.dtype.itemsize])
+        self.files[3].write((self.n + over).astype(np.int64).tobytes())
+        self.files[4].write(values[order[over]].astype(np.int64).tobytes())
+        self.n += len(keys)
+
+    def close(self) -> None:
+        self._skip_to(self.stop)
+        self.files[0].write(np.int64(self.n).tobytes())
+        for f, part, path in zip(self.files, self.parts, self.paths, strict=True):
+            f.close()
             os.replace(part, path)
 
-    def save_counts(self, name: str, key: np.ndarray, **counts: np.ndarray) -> None:
-        """Counts in as few bytes as the largest of them takes."""
-        self.save(name, key=key, **{k: x.astype(np.min_scalar_type(int(x.max(initial=0)))) for k, x in counts.items()})
 
-    def discounted(self, order: int, counts: np.ndarray) -> np.ndarray:
-        return counts - np.array([0.0, *self.discounts[order - 1]])[np.minimum(counts, 3).astype(np.int64)]
+FULL = {1: 255, 2: 65535}
 
 
-@lru_cache(maxsize=4096)
-def _mapped(path: str) -> np.ndarray | None:
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+def count_codes(n: np.ndarray) -> np.ndarray:
+    """A byte for each count."""
+    return np.minimum(n, FULL[1]).astype(np.uint8)
 
 
-def _found(folder: str, name: str, keys: np.ndarray, group: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-    """The values of keys (zero where missing); keys are looked up in sorted order, group by group."""
-    out = [np.zeros(len(keys)) for _ in columns]
-    order = np.lexsort((keys, group))
-    cut = np.flatnonzero(np.diff(group[order], prepend=-1))
+def sums_of(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of counts: their sum, and how many are 1, 2 and more."""
+    return np.stack([np.add.reduceat(x.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)], 1)
+
+
+def sum_codes(sums: np.ndarray) -> np.ndarray:
+    """Two bytes for each row of sums: ones in 5 bits, twos in 3, more in 3, what these others sum up to in 5."""
+    total, one, two, more = sums.T
+    rest = total - one - 2 * two
+    small = (one < 32) & (two < 8) & (more < 8) & (rest < 32)
+    code = one | (two << 5) | (more << 8) | (rest << 11)
+    return np.where(small & (code != FULL[2]), code, FULL[2]).astype(np.uint16)
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    code = code.astype(np.int64)
+    one, two, more, rest = code & 31, code >> 5 & 7, code >> 8 & 7, code >> 11
+    return np.stack([one + 2 * two + rest, one, two, more], 1)
+
+
+@lru_cache(maxsize=1 << 16)
+def _mapped(path: str, kind: type) -> np.ndarray:
+    """A file as an array; no file is empty. The map holds no descriptor, so there may be many."""
+    if not os.path.exists(path) or not os.path.getsize(path):
+        return np.zeros(0, kind)
+    with open(path, "rb") as f:
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), kind)
+
+
+def _places(model: Model, table: str, part: int, keys: np.ndarray, wide: bool) -> np.ndarray:
+    """Where sorted keys stand in a part of a table; -1 where they don't."""
+    starts, stored = _mapped(model.path(table, part, "starts"), np.int64), _mapped(model.path(table, part, "keys"), U if wide else np.uint32)
+    if not len(stored):
+        return np.full(len(keys), -1)
+    bucket = (keys >> U(64 - model.bucket_bits)).astype(np.int64) - (part << (model.bucket_bits - model.part_bits))
+    low, end = starts[bucket], starts[bucket + 1]
+    wanted = keys if wide else ((keys << U(model.bucket_bits)) >> U(32)).astype(np.uint32)
+    high = end
+    while (going := low < high).any():
+        middle = (low + high) >> 1
+        less = going & (stored[np.minimum(middle, len(stored) - 1)] < wanted)
+        high = np.where(going & ~less, middle, high)
+        low = np.where(less, middle + 1, low)
+    hit = (low < end) & (stored[np.minimum(low, len(stored) - 1)] == wanted)
+    return np.where(hit, low, -1)
+
+
+def found(model: Model, table: str, keys: np.ndarray, code: type, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the values of keys, zeros where missing; their places over all parts, -1 where missing, for wide keys)."""
+    values, places = np.zeros((len(keys), width), np.int64), np.full(len(keys), -1)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    wide = table == "words"
+    cut = np.flatnonzero(np.diff((ordered >> U(64 - model.part_bits)).astype(np.int64), prepend=-1))
     for a, b in pieces(cut, len(order)):
-        part = order[a:b]
-        stored = _mapped(f"{folder}/{name}-{group[part[0]]}-key.npy")
-        if stored is None or not len(stored):
-            continue
-        wanted = keys[part]
-        at = np.minimum(np.searchsorted(stored, wanted), len(stored) - 1)
-        hit = stored[at] == wanted
-        for column, values in zip(columns, out, strict=True):
-            values[part[hit]] = _mapped(f"{folder}/{name}-{group[part[0]]}-{column}.npy")[at[hit]]
-    return out
+        part = int(ordered[a] >> U(64 - model.part_bits))
+        at = _places(model, table, part, ordered[a:b], wide)
+        hit = np.flatnonzero(at >= 0)
+        at = at[hit]
+        codes = _mapped(model.path(table, part, "codes"), code)[at]
+        got = decoded(codes) if code is np.uint16 else codes.astype(np.int64)[:, None]
+        over = np.flatnonzero(codes == FULL[codes.dtype.itemsize])
+        if len(over):
+            row = np.searchsorted(_mapped(model.path(table, part, "over-at"), np.int64), at[over])
+            got[over] = _mapped(model.path(table, part, "over"), np.int64).reshape(-1, width)[row]
+        values[order[a + hit]] = got
+        if wide:
+            places[order[a + hit]] = at + model.bases[part]
+    return values, places
+
+
+def numbered(model: Model, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of words, 0 for those not in training; their counts)."""
+    distinct, which = np.unique(codes, return_inverse=True)
+    counts, places = found(model, "words", distinct, np.uint8, 1)
+    return np.where(places < 0, 0, places + FIRST).astype(model.kind)[which], counts[:, 0][which]
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
+    """The rows of a partition that is sorted by g, group by group, as lists by column."""
+    own, held = None, {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["g"] != own:
+                if held:
+                    yield own, held
+                own, held = row["g"], {k: [] for k in row}
+            for k, x in row.items():
+                held[k].append(x)
+    if held:
+        yield own, held
+
+
+def dealt(model: Model, rows: DataFrame) -> DataFrame:
+    """Rows (g, ..) by part, each part's groups in order in one task."""
+    return rows.withColumn("part", F.shiftright("g", model.bits - model.part_bits)).repartition(1 << model.part_bits, "part").sortWithinPartitions("part", "g").drop("part")
+
+
+def by_part(model: Model, batches: Iterator[pa.RecordBatch], tables: dict[str, bool]) -> Iterator[tuple[int, dict[str, list], dict[str, Writer]]]:
+    """Groups of a partition and the writers (wide or not) of their part; writers are closed behind a part's last group."""
+    own, writers = None, {}
+    for g, rows in by_group(batches):
+        part = g >> (model.bits - model.part_bits)
+        if part != own:
+            for w in writers.values():
+                w.close()
+            own, writers = part, {t: Writer(model, t, part, wide) for t, wide in tables.items()}
+        yield g, rows, writers
+    for w in writers.values():
+        w.close()
 
 
 def _local(spark) -> str:
@@ -149,159 +346,179 @@ def _local(spark) -> str:
     return url.path
 
 
-def _count_words(training: DataFrame, groups: int, folder: str) -> tuple[int, int, dict[int, int]]:
-    """(tokens, distinct tokens, counts of the commonest by their 32 bits); writes a sorted array of all counts."""
+def _held(batches: Iterator[pa.RecordBatch], made, size) -> Iterator[list]:
+    """What made() gives for each step, in lists of some HELD tokens by size()."""
+    held, n = [], 0
+    for whole in batches:
+        for batch in steps(whole, 1):
+            held.append(made(batch))
+            n += size(held[-1])
+            if n >= HELD:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        n_held = 0
-
-        def hand_on() -> pa.RecordBatch:
-            codes, counts = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
-            group = (codes % U(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            parts = pieces(np.flatnonzero(np.diff(group[order], prepend=-1)), len(order))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([int(group[order[a]]) for a, _ in parts], pa.int64()), pa.array([codes[order[a:b]].tobytes() for a, b in parts], pa.binary()), pa.array([counts[order[a:b]].tobytes() for a, b in parts], pa.binary())],
-                names=["g", "key", "n"],
-            )
-
-        for whole in batches:
-            for batch in steps(whole, 1):
-                held.append(tokens(batch, 1)[0])
-                n_held += len(held[-1])
-                if n_held > 2 * HELD:
-                    yield hand_on()
-                    held, n_held = [], 0
-        yield hand_on()
-
-    own = Model(folder, groups, {}, 0, 0)
-
-    def merge(rows: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, U) for x in rows.column("key").to_pylist()])
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in rows.column("n").to_pylist()])
-        keys, at = np.unique(keys, return_inverse=True)
-        counts = np.bincount(at, counts).astype(np.int64)
-        own.save(f"count-{rows.column('g')[0].as_py()}", key=keys, n=counts)
-        most = np.argsort(-counts, kind="stable")[:64]
-        return pa.table({"n": [int(counts.sum())], "distinct": [len(keys)], "words": [short(keys[most]).astype(np.int64)], "counts": [counts[most]]})
-
-    out = training.mapInArrow(count, "g long, key binary, n binary").groupBy("g").applyInArrow(merge, "n long, distinct long, words array<long>, counts array<long>")
-    out = written(out, "word-counts")
-    n, distinct = out.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    common = out.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.*").where(F.col("counts") * 2 * groups > n)
-    # no more than 2 * groups words have such a share
-    return n, distinct, {r["words"]: r["counts"] for r in common.collect()}
 
+def _count_words(training: DataFrame, model: Model) -> None:
+    """Write the words with their counts; fill in their number, the first number of each part, and what the commonest are dealt over."""
 
-def train(training: DataFrame, pruned: bool) -> Model:
-    """Count and store a model of (doc_id, text); a pruned one discounts trigrams and bigrams of a count of one by all of it."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, lambda b: tokens(b, 1)[0], len):
+            codes, counts = np.unique(np.concatenate(held), return_counts=True)
+            group = (codes >> U(64 - model.bits)).astype(np.int64)
+            parts = pieces(np.flatnonzero(np.diff(group, prepend=-1)), len(group))
+            columns = [pa.array([int(group[a]) for a, _ in parts], pa.int64()), *(pa.array([f(x[a:b]) for a, b in parts], pa.binary()) for f, x in ((bytes, codes), (lambda x: packed(fitting(x)), counts)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["g", "key", "n"])
+
+    names = ["part", "n", "distinct", "words", "counts"]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, rows, writers in by_part(model, batches, {"words": True}):
+            before = writers["words"].n
+            keys, at = np.unique(np.concatenate([np.frombuffer(x, U) for x in rows["key"]]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([unpacked(x) for x in rows["n"]]).astype(np.int64)).astype(np.int64)
+            writers["words"].add(keys, count_codes(counts), counts[:, None])
+            most = np.argsort(-counts, kind="stable")[:64]
+            part = g >> (model.bits - model.part_bits)
+            yield pa.RecordBatch.from_pydict(dict(zip(names, ([part], [int(counts.sum())], [len(keys)], [(before + most).tolist()], [counts[most].tolist()]), strict=True)), out_schema)
+
+    out_schema = pa.schema([(k, pa.list_(pa.int64()) if k in names[3:] else pa.int64()) for k in names])
+    out = dealt(model, training.mapInArrow(count, "g long, key binary, n binary")).mapInArrow(merge, "part long, n long, distinct long, words array<long>, counts array<long>")
+    out = written(out, "word-counts")
+    sizes = np.zeros(1 << model.part_bits, np.int64)
+    for r in out.groupBy("part").agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct")).collect():
+        sizes[r["part"]] = r["distinct"]
+        model.n_tokens += r["n"]
+    model.bases = np.cumsum(sizes) - sizes
+    model.n_words = int(sizes.sum())
+    groups = 1 << model.bits
+    # no more than 2 * groups words have such a share of the tokens
+    common = out.select("part", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("part", "x.*").where(F.col("counts") * 2 * groups > model.n_tokens)
+    spreads = {FIRST + int(model.bases[r["part"]]) + r["words"]: r["counts"] for r in common.collect()}
+    # every text has one start, as it has one end
+    n_texts = int(found(model, "words", np.array([END]), np.uint8, 1)[0][0, 0])
+    if n_texts * 2 * groups > model.n_tokens:
+        spreads[START] = n_texts
+    words = sorted(spreads)
+    model.common = np.array(words, np.int64)
+    model.spreads = np.array([min(groups, -(-2 * groups * spreads[w] // model.n_tokens)) for w in words], np.int64)
+
+
+def _dense(model: Model, name: str, kind: type, width: int) -> np.ndarray:
+    """An array by number of word, mapped."""
+    return _mapped(f"{model.folder}/{name}", kind).reshape(-1, width)
+
+
+def train(training: DataFrame) -> Model:
+    """Count and store the model of (doc_id, text)."""
     spark = training.sparkSession
     folder = f"{_local(spark)}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder)
     size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(1, -(-size // (5 * GROUPED)))
-    n, distinct, common = _count_words(training, groups, folder)
-    salts = {w: min(groups, -(-2 * groups * c // n)) for w, c in common.items() if groups > 1 and 2 * groups * c > n}
-    model = Model(folder, groups, salts, n, distinct)
+    bits = max(1, (size // (5 * GROUPED)).bit_length())
+    model = Model(folder, min(bits, PARTS), bits, min(bits + max(1, (GROUPED // 32).bit_length()), 60))
+    _count_words(training, model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n_held = 0
-
-        def hand_on() -> pa.RecordBatch:
-            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint32),) * 3
-            group = model.group(v, mixed(w.astype(U)) % model.spread(v).astype(U))
-            order = np.lexsort((w, pair(v, u), group))
-            u, v, w, group = u[order], v[order], w[order], group[order]
-            new = np.ones(len(u), bool)
-            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-            at = np.flatnonzero(new)
-            counts = np.diff(at, append=len(u)).astype(np.uint32)
-            u, v, w, group = u[at], v[at], w[at], group[at]
-            columns: list[list] = [[] for _ in range(7)]
+        def made(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+            codes, starts = tokens(batch, 1)
+            return trigrams(numbered(model, codes)[0], starts)
+
+        for held in _held(batches, made, lambda x: len(x[0])):
+            u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = in_order(v, u, w)
+            u, v, w = u[order], v[order], w[order]
+            at = runs(v, u, w)
+            counts = np.diff(at, append=len(u))
+            u, v, w = u[at], v[at], w[at]
+            group = model.group(v, model.salt(v, w))
+            order = np.argsort(group.astype(np.min_scalar_type(1 << model.bits)), kind="stable")
+            u, v, w, counts, group = u[order], v[order], w[order], counts[order], group[order].astype(np.int64)
+            columns: list[list] = [[] for _ in range(8)]
             for a, b in pieces(np.flatnonzero(np.diff(group, prepend=-1)), len(group)):
-                runs = np.flatnonzero(np.diff(v[a:b].astype(np.int64), prepend=-1))
-                many = np.flatnonzero(counts[a:b] > 1).astype(np.uint32)
-                for c, x in zip(columns, (int(group[a]), v[a:b][runs].tobytes(), np.diff(runs, append=b - a).astype(np.uint32).tobytes(), u[a:b].tobytes(), w[a:b].tobytes(), many.tobytes(), counts[a:b][many].tobytes()), strict=True):
+                # a middle word once for its run, and the word before it once for the run of both
+                one, two = runs(v[a:b]), runs(v[a:b], u[a:b])
+                many = np.flatnonzero(counts[a:b] > 1)
+                fields = (v[a:b][one], fitting(np.diff(one, append=b - a)), u[a:b][two], fitting(np.diff(two, append=b - a)), w[a:b], many.astype(np.uint32), fitting(counts[a:b][many]))
+                for c, x in zip(columns, (int(group[a]), *map(packed, fields)), strict=True):
                     c.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["g", "v", "runs", "u", "w", "many", "counts"])
-
-        for whole in batches:
-            for batch in steps(whole, 1):
-                held.append(trigrams(*tokens(batch, 1)))
-                n_held += len(held[-1][0])
-                if n_held > HELD:
-                    yield hand_on()
-                    held, n_held = [], 0
-        yield hand_on()
-
-    def merge(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
-        us, vs, ws, cs = [], [], [], []
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["g", "v", "v_runs", "u", "u_runs", "w", "many", "counts"])
+
+    out_schema = pa.schema([("part", pa.int64()), ("w", pa.binary()), ("before", pa.binary()), ("v", pa.binary()), ("sums", pa.binary()), ("tri", pa.list_(pa.int64())), ("bi", pa.list_(pa.int64())), ("start", pa.list_(pa.int64()))])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Write a part's n-grams; hand on, by range of words, what each group knows of single words."""
+        of = lambda x: [int(np.count_nonzero(x == k)) for k in range(1, 5)]
+        for _, rows, writers in by_part(model, batches, {"tri": False, "ctx": False, "bi": False}):
+            us, vs, ws, cs = [], [], [], []
+            for v, v_runs, u, u_runs, w, many, counts in zip(*(rows[k] for k in ("v", "v_runs", "u", "u_runs", "w", "many", "counts")), strict=True):
+                vs.append(np.repeat(unpacked(v), unpacked(v_runs)))
+                us.append(np.repeat(unpacked(u), unpacked(u_runs)))
+                ws.append(unpacked(w))
+                c = np.ones(len(ws[-1]), np.int64)
+                c[unpacked(many)] = unpacked(counts)
+                cs.append(c)
+            u, v, w, c = (np.concatenate(x) for x in (us, vs, ws, cs))
+            order = in_order(v, u, w)
+            u, v, w, c = u[order], v[order], w[order], c[order]
+            at = runs(v, u, w)
+            u, v, w, c = u[at], v[at], w[at], np.add.reduceat(c, at)
+            group = model.group(v, model.salt(v, w))
+            writers["tri"].add(model.key(group, hashed(u, v, w)), count_codes(c), c[:, None])
+            at = runs(v, u)
+            sums = sums_of(c, at)
+            writers["ctx"].add(model.key(group[at], hashed(u[at], v[at])), sum_codes(sums), sums)
+            tri = of(c)
+            # bigrams: an adjusted count is the number of distinct words before, but the plain count after a start
+            order = in_order(v, w, u)
+            v, w, c = v[order], w[order], c[order]
+            at = runs(v, w)
+            n = np.diff(at, append=len(v))
+            v, w = v[at], w[at]
+            n = np.where(v == START, np.add.reduceat(c, at), n)
+            writers["bi"].add(model.key(group[0].repeat(len(v)), hashed(v, w)), count_codes(n), n[:, None])
+            at = runs(v)
+            v, sums = v[at], sums_of(n, at)
+            last, n_before = np.unique(w, return_counts=True)
+            start = v == START
+            lists: dict[str, list] = {k: [None] for k in out_schema.names} | {"part": [-1], "tri": [tri], "bi": [of(n)], "start": [sums[start].sum(0).tolist()]}
+            v, sums = v[~start], sums[~start]
+            parts = [np.searchsorted(model.bases, x.astype(np.int64) - FIRST, "right") - 1 for x in (last, v)]
+            for part in np.unique(np.concatenate(parts)).tolist():
+                of_last, of_v = parts[0] == part, parts[1] == part
+                row = {"part": part, "w": packed(last[of_last]), "before": packed(fitting(n_before[of_last])), "v": packed(v[of_v]), "sums": packed(fitting(sums[of_v].ravel()))}
+                for k, x in lists.items():
+                    x.append(row.get(k))
+            yield pa.RecordBatch.from_pydict(lists, out_schema)
+
+    for name, bytes_each in (("uni", 8), ("ctx1", 32)):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.truncate(model.n_words * bytes_each)
+
+    def singles(table: pa.Table) -> pa.Table:
+        """Write what is known of each word of a range: in how many distinct words' wake it comes, and its sums as a context."""
+        part = table.column("part")[0].as_py()
+        base = int(model.bases[part])
+        size = int(np.append(model.bases, model.n_words)[part + 1]) - base
+        uni, sums = np.zeros(size, np.int64), np.zeros((size, 4), np.int64)
         for row in table.to_pylist():
-            vs.append(np.repeat(np.frombuffer(row["v"], np.uint32), np.frombuffer(row["runs"], np.uint32)))
-            us.append(np.frombuffer(row["u"], np.uint32))
-            ws.append(np.frombuffer(row["w"], np.uint32))
-            c = np.ones(len(us[-1]), np.int64)
-            c[np.frombuffer(row["many"], np.uint32)] = np.frombuffer(row["counts"], np.uint32)
-            cs.append(c)
-        u, v, w, c = (np.concatenate(x) for x in (us, vs, ws, cs))
-        order = np.lexsort((w, pair(v, u)))
-        u, v, w, c = u[order], v[order], w[order], c[order]
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-        at = np.flatnonzero(new)
-        u, v, w, c = u[at], v[at], w[at], np.add.reduceat(c, at)
-
-        def contexts(keys: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-            """The sum of the counts of each key, and how many of these are 1, 2 and more."""
-            key, which = np.unique(keys, return_inverse=True)
-            sums = [np.bincount(which, x, len(key)).astype(np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)]
-            return {"key": key, **dict(zip(("all", "one", "two", "more"), sums, strict=True))}
-
-        key = triple(u, v, w)
-        by_key = np.argsort(key)
-        model.save_counts(f"tri-{g}", key=key[by_key], n=c[by_key])
-        model.save_counts(f"ctx2-{g}", **contexts(pair(u, v), c))
-        # bigrams: an adjusted count is the number of distinct words before, but the plain count after a start
-        big, which = np.unique(pair(v, w), return_inverse=True)
-        adjusted = np.bincount(which, minlength=len(big))
-        plain = np.bincount(which, c, len(big))
-        after_start = (big >> U(32)) == U(START)
-        adjusted = np.where(after_start, plain, adjusted).astype(np.int64)
-        model.save_counts(f"bi-{g}", key=big, n=adjusted)
-        model.save_counts(f"ctx1-{g}", **contexts(big >> U(32), adjusted))
-        last, n_before = np.unique((big & U(0xFFFFFFFF)), return_counts=True)
-        dealt = (mixed(last) % U(model.groups)).astype(np.int64)
-        by = np.argsort(dealt, kind="stable")
-        parts = pieces(np.flatnonzero(np.diff(dealt[by], prepend=-1)), len(by))
-        of = lambda x: [int((x == k).sum()) for k in range(1, 5)]
-        return pa.table(
-            {
-                "g": pa.array([-1, *(int(dealt[by[a]]) for a, _ in parts)], pa.int64()),
-                "key": pa.array([b"", *(last[by[a:b]].astype(np.uint32).tobytes() for a, b in parts)], pa.binary()),
-                "n": pa.array([b"", *(n_before[by[a:b]].astype(np.uint32).tobytes() for a, b in parts)], pa.binary()),
-                "tri": pa.array([of(c), *[None] * len(parts)], pa.list_(pa.int64())),
-                "bi": pa.array([of(adjusted), *[None] * len(parts)], pa.list_(pa.int64())),
-            }
-        )
-
-    def unigrams(table: pa.Table) -> pa.Table:
-        g = table.column("g")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("key").to_pylist()]).astype(U)
-        n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("n").to_pylist()])
-        keys, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, n).astype(np.int64)
-        model.save(f"uni-{g}", key=keys, n=n)
-        return pa.table({"n": pa.array([[int((n == k).sum()) for k in range(1, 5)] + [int((n > 2).sum()), int(n.sum())]], pa.list_(pa.int64()))})
-
-    schema = "g long, v binary, runs binary, u binary, w binary, many binary, counts binary"
-    dealt = training.mapInArrow(count, schema).groupBy("g").applyInArrow(merge, "g long, key binary, n binary, tri array<long>, bi array<long>")
-    dealt = written(dealt, "words-before")
+            uni[unpacked(row["w"]).astype(np.int64) - (FIRST + base)] += unpacked(row["before"]).astype(np.int64)
+            at = unpacked(row["v"]).astype(np.int64) - (FIRST + base)
+            sums[at] += unpacked(row["sums"]).astype(np.int64).reshape(-1, 4)
+        for name, x in (("uni", uni), ("ctx1", sums)):
+            # a range of a file of fixed size: a task that runs again writes equal bytes
+            with open(f"{folder}/{name}", "r+b") as f:
+                f.seek(base * x.itemsize * (x.size // max(1, size)))
+                f.write(x.tobytes())
+        return pa.table({"n": pa.array([[int((uni == k).sum()) for k in range(1, 5)] + [int((uni > 2).sum()), int(uni.sum())]], pa.list_(pa.int64()))})
+
+    schema = "g long, v binary, v_runs binary, u binary, u_runs binary, w binary, many binary, counts binary"
+    out = dealt(model, training.mapInArrow(count, schema)).mapInArrow(merge, "part long, w binary, before binary, v binary, sums binary, tri array<long>, bi array<long>, start array<long>")
+    out = written(out, "single-words")
     sums = lambda df, c, k: [x or 0 for x in df.agg(*(F.sum(F.element_at(c, i + 1)) for i in range(k))).first()]
-    tri, bi = (sums(dealt.where("g < 0"), c, 4) for c in ("tri", "bi"))
-    uni = sums(written(dealt.where("g >= 0").select("g", "key", "n").groupBy("g").applyInArrow(unigrams, "n array<long>"), "unigrams"), "n", 6)
+    tri, bi, model.start = (sums(out.where("part < 0"), c, 4) for c in ("tri", "bi", "start"))
+    uni = sums(written(out.where("part >= 0").select("part", "w", "before", "v", "sums").groupBy("part").applyInArrow(singles, "n array<long>"), "unigrams"), "n", 6)
 
     def discounts(n: list[int]) -> list[float]:
         """Of counts 1, 2 and more; where too few counts are there to estimate them: 0.5, 1 and 1.5."""
@@ -311,90 +528,106 @@ def train(training: DataFrame, pruned: bool) -> Model:
         return [min(float(k), max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
 
     model.discounts = [discounts(uni), discounts(bi), discounts(tri)]
-    if pruned:
-        for d in model.discounts[1:]:
-            d[0] = 1.0
     model.types = float(uni[5])
     d = model.discounts[0]
     left = (uni[0] * d[0] + uni[1] * d[1] + uni[4] * d[2]) / model.types if model.types else 1.0
-    model.floor = left / (distinct + 1)
+    model.floor = left / (model.n_words + 1)
     return model
 
 
-def _backed_off(model: Model, order: int, sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _discounted(model: Model, order: int, counts: np.ndarray) -> np.ndarray:
+    return counts - np.array([0.0, *model.discounts[order - 1]])[np.minimum(counts, 3)]
+
+
+def _backed_off(model: Model, order: int, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the total of a context, the weight of what is shorter); contexts that were never seen back off wholly."""
-    total, one, two, more = sums
-    d = model.discounts[order - 1]
+    total = sums[:, 0]
     seen = total > 0
     safe = np.where(seen, total, 1)
-    return safe, np.where(seen, (one * d[0] + two * d[1] + more * d[2]) / safe, 1.0)
+    return safe, np.where(seen, (sums[:, 1:] @ np.array(model.discounts[order - 1])) / safe, 1.0)
 
 
-def _contexts(model: Model, name: str, keys: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
-    """Sums of contexts, over all groups that their middle word is spread over."""
+def _contexts(model: Model, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Sums of contexts of two words, over all groups that their second word is spread over."""
     spread = model.spread(v)
-    out = [np.zeros(len(keys)) for _ in range(4)]
+    code = hashed(u, v)
+    out = np.zeros((len(v), 4), np.int64)
     for salt in range(int(spread.max(initial=0))):
         at = np.flatnonzero(spread > salt)
-        for total, x in zip(out, _found(model.folder, name, keys[at], model.group(v[at], np.full(len(at), salt)), ("all", "one", "two", "more")), strict=True):
-            total[at] += x
+        out[at] += found(model, "ctx", model.key(model.group(v[at], np.full(len(at), salt)), code[at]), np.uint16, 4)[0]
     return out
 
 
 def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """p(w | u, v) for arrays of 32-bit words."""
-    words, which = np.unique(w, return_inverse=True)
-    (n,) = _found(model.folder, "uni", words.astype(U), (mixed(words.astype(U)) % U(model.groups)).astype(np.int64), ("n",))
-    one = (np.maximum(model.discounted(1, n), 0) / max(model.types, 1) + model.floor)[which]
-    key, at, which = np.unique(pair(v, w), return_index=True, return_inverse=True)
-    bv, bw = v[at], w[at]
-    (n,) = _found(model.folder, "bi", key, model.group(bv, mixed(bw.astype(U)) % model.spread(bv).astype(U)), ("n",))
-    middle, of = np.unique(bv, return_inverse=True)
-    total, back = _backed_off(model, 2, _contexts(model, "ctx1", middle.astype(U), middle))
-    two = (model.discounted(2, n) / total[of] + back[of] * one[at])[which]
-    (n,) = _found(model.folder, "tri", triple(u, v, w), model.group(v, mixed(w.astype(U)) % model.spread(v).astype(U)), ("n",))
-    key, at, which = np.unique(pair(u, v), return_index=True, return_inverse=True)
-    total, back = _backed_off(model, 3, _contexts(model, "ctx2", key, v[at]))
-    return model.discounted(3, n) / total[which] + back[which] * two
+    """p(w | u, v) for arrays of numbers of words."""
+    uni, ctx1 = _dense(model, "uni", np.int64, 1), _dense(model, "ctx1", np.int64, 4)
+    order = in_order(v, u, w)
+    at = runs(v[order], u[order], w[order])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(order)))
+    u, v, w = (x[order][at] for x in (u, v, w))
+
+    # each distinct trigram; pairs of words once for their run
+    pair = runs(v, u)
+    of_pair = np.repeat(np.arange(len(pair)), np.diff(pair, append=len(v)))
+    known = w >= FIRST
+    n = np.zeros(len(w), np.int64)
+    n[known] = uni[w[known].astype(np.int64) - FIRST, 0]
+    p = np.maximum(_discounted(model, 1, n), 0) / max(model.types, 1) + model.floor
+
+    sums = np.zeros((len(pair), 4), np.int64)
+    pv, pu = v[pair], u[pair]
+    known = pv >= FIRST
+    sums[known] = ctx1[pv[known].astype(np.int64) - FIRST]
+    sums[pv == START] = model.start
+    total, back = _backed_off(model, 2, sums)
+    group = model.group(v, model.salt(v, w))
+    n = found(model, "bi", model.key(group, hashed(v, w)), np.uint8, 1)[0][:, 0]
+    p = _discounted(model, 2, n) / total[of_pair] + back[of_pair] * p
+
+    total, back = _backed_off(model, 3, _contexts(model, pu, pv))
+    n = found(model, "tri", model.key(group, hashed(u, v, w)), np.uint8, 1)[0][:, 0]
+    return (_discounted(model, 3, n) / total[of_pair] + back[of_pair] * p)[which]
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", pruned: bool = True) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs, scored by a model of the rows that aren't held out.
 
     held_out is a condition on doc_id. Tokens: runs without white space, A-Z
     lower-cased, then one end. base_score sums log10((c + 1) / (N + V + 1))
     over a text's tokens; score sums log10 of the trigram model's probability,
-    and perplexity is 10 ** (-score / n_tokens). The whole model is that of
-    pruned=False; by default trigrams and bigrams seen once give all their
-    probability to the back-off.
+    and perplexity is 10 ** (-score / n_tokens).
 
     Null and empty texts have the end alone, in training too. Repeated rows
     count each time. A null doc_id is held out. Without any training rows all
     probabilities are one. An empty table gives an empty one; other columns are
-    not read.
+    not read. Words are told apart by 64 bits of hash, n-grams by 32 bits and
+    those of their bucket, 64 at most.
+
+    The model is counted and the rows are scored when this is called; the model
+    is deleted then, and what is returned reads the scores from the shared folder.
     """
     rows = id_and_text(docs, id_col, text_col)
     rows = rows.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out"))
-    model = train(rows.where(~F.col("held_out")).select("doc_id", "text"), pruned)
+    model = train(rows.where(~F.col("held_out")).select("doc_id", "text"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, 1, SCORED):
                 codes, starts = tokens(batch, 1)
-                words, which = np.unique(codes, return_inverse=True)
-                (c,) = _found(model.folder, "count", words, (words % U(model.groups)).astype(np.int64), ("n",))
-                base = np.log10((c + 1) / (model.n_tokens + model.n_words + 1))[which]
-                logs = np.log10(probabilities(model, *trigrams(codes, starts)))
+                words, counts = numbered(model, codes)
+                base = np.log10((counts + 1) / (model.n_tokens + model.n_words + 1))
+                logs = np.log10(probabilities(model, *trigrams(words, starts)))
                 n = np.diff(starts)
                 total = np.add.reduceat(logs, starts[:-1])
                 columns = [
                     batch.column(0),
                     batch.column(2),
                     pa.array(n, pa.int64()),
-                    pa.array(np.add.reduceat((c > 0)[which].astype(np.int64), starts[:-1])),
+                    pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts[:-1])),
                     pa.array(np.full(len(n), model.n_tokens), pa.int64()),
                     pa.array(np.add.reduceat(base, starts[:-1])),
                     pa.array(total),
@@ -402,4 +635,6 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(apply, SCHEMA)
+    out = written(rows.mapInArrow(apply, SCHEMA), "scores")
+    shutil.rmtree(model.folder)
+    return out
