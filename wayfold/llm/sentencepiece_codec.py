@@ -3,10 +3,11 @@
 Each chunk of a text starts as one symbol per character. An agenda holds all
 adjacent pairs whose concatenation is a piece; the pair of the highest score
 (leftmost among equals) merges, and its two new neighbours enter the agenda.
-The agenda of many distinct chunks runs in lock-step on numpy matrices; long
-chunks use a heap. No piece holds a space after a non-space, so no merge
-crosses the border between a word and the space that follows, and chunks can
-be encoded once and looked up again.
+The agendas of many distinct chunks run in lock-step on numpy matrices; those of
+long chunks are heaps. No piece holds a space after a non-space, so no merge
+crosses the border between a word and the space that follows, and the distinct
+chunks of a batch are encoded once. Every text then goes through the
+sentencepiece library too, and has to come out the same.
 """
 
 from __future__ import annotations
@@ -15,23 +16,27 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from wayfold.llm.tables import id_and_text
+from wayfold.llm.wordcode import steps
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 LONGEST_IN_STEP = 32
-CACHED_CHUNKS = 150_000
+#: Bytes of text whose distinct chunks are encoded together.
+STEP = 8_000_000
 
 SCHEMA = "doc_id long, n_tokens long, ids string, decoded string, ids_sha256 string, decoded_sha256 string"
 
 
 class Codec:
-    """The tables of one model, and a bounded cache of encoded chunks."""
+    """The tables of one model."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -73,8 +78,7 @@ class Codec:
         self.keys = keys[order]
         self.ranks = np.array([r for r, _ in self.pairs.values()], np.int32)[order]
         self.merged = np.array([m for _, m in self.pairs.values()], np.int32)[order]
-        self.names = [str(i) for i in range(size)]
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.names = pa.array([str(i) for i in range(size)])
 
     # -- agenda ---------------------------------------------------------
 
@@ -85,34 +89,38 @@ class Codec:
         return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
 
     def _in_step(self, symbols: np.ndarray) -> np.ndarray:
-        """Merge all rows of a matrix of symbols (padded by -2) until no row has a pair left."""
+        """Merge all rows of a matrix of symbols until no row has a pair left; merged places hold -2 but for their first."""
         n, width = symbols.shape
-        todo = np.arange(n)
-        out = symbols.copy()
-        work = symbols
-        rank, into = self._look_up(work[:, :-1], work[:, 1:])
-        columns = np.arange(width)
-        while True:
-            best = rank.argmin(1)
-            live = rank[np.arange(len(todo)), best] != NONE
-            if not live.all():
-                out[todo[~live]] = work[~live]
-                todo, work, rank, into, best = todo[live], work[live], rank[live], into[live], best[live]
-            if not len(todo):
-                return out
-            row = np.arange(len(todo))
-            won = into[row, best]
-            take = np.minimum(columns + (columns > best[:, None]), width - 1)
-            tail = columns == width - 1
-            work = np.where(tail, -2, np.take_along_axis(work, take, 1))
-            work[row, best] = won
-            rank = np.where(tail[:-1], NONE, np.take_along_axis(rank, np.minimum(take[:, :-1], width - 2), 1))
-            into = np.take_along_axis(into, np.minimum(take[:, :-1], width - 2), 1)
-            rank[:, -1], into[:, -1] = NONE, -1
-            for shift in (-1, 0):
-                at = best + shift
-                ok = np.flatnonzero((at >= 0) & (at < width - 1))
-                rank[ok, at[ok]], into[ok, at[ok]] = self._look_up(work[ok, at[ok]], work[ok, at[ok] + 1])
+        flat = symbols.ravel().copy()
+        if width < 2:
+            return flat.reshape(n, width)
+        # the agenda: for each place the rank of the pair that begins there, and what it merges into
+        rank, into = np.full((n, width), NONE), np.full((n, width), -1, np.int32)
+        rank[:, :-1], into[:, :-1] = self._look_up(symbols[:, :-1], symbols[:, 1:])
+        into = into.ravel()
+        place = np.arange(n * width).reshape(n, width)
+        after, before = place + 1, place - 1
+        after[:, -1] = before[:, 0] = -1
+        after, before = after.ravel(), before.ravel()
+        row = np.arange(n)
+        while len(row):
+            part = rank if len(row) == n else rank[row]
+            best = part.argmin(1)
+            live = part[np.arange(len(row)), best] != NONE
+            row, best = row[live], best[live]
+            left = row * width + best
+            right = after[left]
+            flat[left], flat[right] = into[left], -2
+            then = after[right]
+            after[left] = then
+            ranks = rank.reshape(-1)
+            ranks[left] = ranks[right] = NONE
+            follows, leads = then >= 0, before[left] >= 0
+            before[then[follows]] = left[follows]
+            first = np.concatenate([left[follows], before[left[leads]]])
+            second = np.concatenate([then[follows], left[leads]])
+            ranks[first], into[first] = self._look_up(flat[first], flat[second])
+        return flat.reshape(n, width)
 
     def _by_heap(self, symbols: list[int]) -> list[int]:
         n = len(symbols)
@@ -138,48 +146,50 @@ class Codec:
             enter(a, after[a])
         return [s for s in symbols if s != -3]
 
-    def _finish(self, chunk: str, symbols: list[int]) -> tuple[str, int, str]:
-        """Names of ids, their number, and what they decode to. Symbols that are no piece fall back to bytes."""
-        if any(s < 0 or s >= self.n_pieces for s in symbols):
-            ids, at = [], 0
-            for s in symbols:
-                if 0 <= s < self.n_pieces:
-                    ids.append(s)
-                    at += len(self.raw[s].decode())
-                else:
-                    ids.extend(self.byte_ids[b] for b in chunk[at].encode())
-                    at += 1
-            symbols = ids
-        raw = self.raw
-        return " ".join([self.names[s] for s in symbols]), len(symbols), b"".join([raw[s] for s in symbols]).decode(errors="replace")
-
-    def learn(self, words: set[str]) -> None:
-        """Encode chunks (given without their first space) that the cache lacks."""
-        new = [w for w in words if w not in self.cache]
-        by_width: dict[int, list[str]] = {}
-        for w in new:
-            n = len(w) + 1
-            if n > LONGEST_IN_STEP:
-                full = (" " + w).replace(" ", SPACE)
-                start = self.char_symbol[np.frombuffer(full.encode("utf-32-le"), np.uint32)].tolist()
-                self.cache[w] = self._finish(" " + w, self._by_heap(start))
+    def _with_bytes(self, chunk: str, symbols: list[int]) -> list[int]:
+        """Symbols that are no piece fall back to bytes."""
+        ids, at = [], 0
+        for s in symbols:
+            if 0 <= s < self.n_pieces:
+                ids.append(s)
+                at += len(self.raw[s].decode())
             else:
-                by_width.setdefault(max(4, (n + 3) // 4 * 4), []).append(w)
-        for width, group in by_width.items():
-            for k in range(0, len(group), 50_000):
-                part = group[k : k + 50_000]
-                text = "".join([SPACE + w.replace(" ", SPACE) for w in part])
-                codes = self.char_symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-                sizes = np.fromiter((len(w) + 1 for w in part), np.int64, len(part))
-                grid = np.full((len(part), width), -2, np.int32)
-                grid[np.arange(width) < sizes[:, None]] = codes
-                done = self._in_step(grid)
-                counts = (done != -2).sum(1).tolist()
-                odd = (((done < 0) & (done != -2)) | (done >= self.n_pieces)).any(1).tolist()
-                name, cache = self.names.__getitem__, self.cache
-                for w, row, c, fall in zip(part, done.tolist(), counts, odd, strict=True):
-                    # without byte fallback the pieces' concatenation is the chunk
-                    cache[w] = self._finish(" " + w, row[:c]) if fall else (" ".join(map(name, row[:c])), c, " " + w)
+                ids.extend(self.byte_ids[b] for b in chunk[at].encode())
+                at += 1
+        return ids
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[pa.ListArray, list[str]]:
+        """Ids of distinct chunks (given without their first space), and what they decode to."""
+        decoded = [" " + c for c in chunks]
+        if not chunks:
+            return pa.array([], pa.list_(pa.int32())), decoded
+        start = self.char_symbol[np.frombuffer((SPACE + SPACE.join(chunks)).replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
+        sizes = np.fromiter((len(c) for c in decoded), np.int64, len(chunks))
+        first = np.cumsum(sizes) - sizes
+        lists, rows = [], []
+        odd: dict[int, list[int]] = {}
+        for i in np.flatnonzero(sizes > LONGEST_IN_STEP).tolist():
+            odd[i] = self._by_heap(start[first[i] : first[i] + sizes[i]].tolist())
+        for w in np.unique(sizes[sizes <= LONGEST_IN_STEP]).tolist():
+            same = np.flatnonzero(sizes == w)
+            for k in range(0, len(same), 50_000):
+                part = same[k : k + 50_000]
+                done = self._in_step(start[first[part][:, None] + np.arange(w)])
+                counts = (done != -2).sum(1)
+                fall = (((done < 0) & (done != -2)) | (done >= self.n_pieces)).any(1)
+                for j in np.flatnonzero(fall).tolist():
+                    odd[int(part[j])] = done[j][done[j] != -2].tolist()
+                done, counts = done[~fall], counts[~fall]
+                lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(done[done != -2], pa.int32())))
+                rows.append(part[~fall])
+        for i, symbols in odd.items():
+            # without byte fallback the pieces' concatenation is the chunk
+            ids = self._with_bytes(decoded[i], symbols) if any(s < 0 or s >= self.n_pieces for s in symbols) else symbols
+            odd[i] = ids
+            decoded[i] = b"".join([self.raw[s] for s in ids]).decode(errors="replace")
+        lists.append(pa.array(list(odd.values()), pa.list_(pa.int32())))
+        rows.append(np.array(list(odd), np.int64))
+        return pa.concat_arrays(lists).take(pa.array(np.argsort(np.concatenate(rows)))), decoded
 
     # -- texts ----------------------------------------------------------
 
@@ -193,31 +203,37 @@ class Codec:
             return [c[1:] for c in re.findall(r" +[^ ]+| +", " " + text)]
         return text.split(" ")
 
+    def _joined(self, ends: np.ndarray, ids: pa.Array) -> list[str]:
+        """The ids of each text, joined by a space."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.names.take(ids)), " ").to_pylist()
+
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by a space, decoded text) of each text."""
         split = [self.chunks(t) for t in texts]
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache.clear()
-        out = []
-        for start in range(0, len(split), 1024):
-            part = split[start : start + 1024]
-            self.learn(set().union(*part))
-            for words in part:
-                found = [self.cache[w] for w in words]
-                ids = " ".join([f[0] for f in found] + [self.names[self.end]])
-                out.append((1 + sum([f[1] for f in found]), ids, "".join([f[2] for f in found])[1:]))
-            if len(self.cache) > 2 * CACHED_CHUNKS:
-                self.cache.clear()
-        return out
+        at = np.concatenate([[0], np.cumsum([len(s) for s in split])])
+        coded = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+        ids, decoded = self.encode_chunks(coded.dictionary.to_pylist())
+        ids = ids.take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])[at]
+        names = self._joined(ends, ids.flatten())
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(decoded, pa.string()).take(coded.indices)), "").to_pylist()
+        end = str(self.end)
+        return [(n + 1, f"{x} {end}" if x else end, d[1:]) for n, x, d in zip(np.diff(ends).tolist(), names, whole, strict=True)]
 
     def by_library(self, text: str) -> tuple[int, str, str]:
-        ids = self.library.encode(text, add_eos=True)
-        return len(ids), " ".join(map(str, ids)), self.library.decode(ids)
+        return self.all_by_library([text])[0]
+
+    def all_by_library(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """What the library gives for each text."""
+        ids = self.library.encode(texts, add_eos=True, num_threads=1)
+        sizes = [len(i) for i in ids]
+        names = self._joined(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, sum(sizes))))
+        return list(zip(sizes, names, self.library.decode(ids, num_threads=1), strict=True))
 
     def checked_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """encode_batch, with each text held against the library."""
         found = self.encode_batch(texts)
-        wrong = [i for i, t in enumerate(texts) if found[i] != self.by_library(t)]
+        wrong = [i for i, x in enumerate(self.all_by_library(texts)) if found[i] != x]
         if wrong:
             raise ValueError(f"{len(wrong)} of {len(texts)} texts differ from the library's result, the first of them: {texts[wrong[0]][:200]!r}")
         return found
@@ -250,8 +266,7 @@ def encode_and_decode(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for whole in batches:
-            for start in range(0, max(1, whole.num_rows), 1024):
-                batch = whole.slice(start, 1024)
+            for batch in steps(whole, 1, STEP):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 found = own.checked_batch(texts)
                 digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -266,7 +281,5 @@ def encode_and_decode(
                     ],
                     names=["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"],
                 )
-        # a worker goes on to other tasks; most chunks occur once
-        own.cache.clear()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(encode, SCHEMA)
