@@ -51,3 +51,26 @@ def test_pages_without_their_article_tags(sf_dir, spark):
         kept += len(text)
         whole += len(truth)
     assert kept > 0.9 * whole
+
+
+def test_pages_whose_article_elements_are_plain_divs(spark):
+    """Without article and main elements density, length, links and neighbours find the same text; both passes decide blocks."""
+    import html as references
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    inside = lambda h: re.search(r"(?s)<article>(.*?)(?:</article>|\Z)", h)[1]
+    truth = [" ".join(references.unescape(re.sub(r"<[^>]*>", " ", inside(h))).split()) for h in pages]
+    plain = [re.sub(r"(?i)(</?)(article|main)\b", r"\1div", h) for h in pages]
+    found = [html_extraction.extract(h) for h in plain]
+    assert sum(f == t for f, t in zip(found, truth, strict=True)) >= 0.98 * len(pages)
+    assert all(f for f, t in zip(found, truth, strict=True) if t)
+    labels = [b.decided() for h in plain for b in html_extraction.blocks(h)]
+    first = sum(x in (html_extraction.GOOD, html_extraction.BAD) for x in labels)
+    assert first > 1000 and len(labels) - first > 500
+
+
+def test_a_short_block_goes_with_the_blocks_of_its_own_element():
+    text = "It was the best that they had, and so it is with all of us who have been there, as one would say of them. " * 3
+    page = f"<body><div><p>{text}</p><p>Short last one.</p></div><div><a href=x>Home and all the links of it</a></div><div><p>Also</p><a href=x>More links to be found there</a></div></body>"
+    assert html_extraction.extract(page) == f"{text.strip()} Short last one."

@@ -4,10 +4,14 @@ A page is cut into blocks at block-level tags. Pass one decides each block by
 itself: by its link density, its length and the density of stop words. Elements
 and class words that name what surrounds articles make a block bad; an article
 or main element around it only lowers the thresholds. Short blocks and those of
-middling density stay undecided. In pass two they take the label of the nearest
-decided blocks: where the neighbours on both sides agree, theirs; where they
-don't, the nearer one's, but inside an article or main element the good one's.
-Where pass one finds nothing good, what is undecided inside such an element is.
+middling density stay undecided, and so do those of few stop words and no links.
+In pass two they take the label of the nearest decided blocks: where the
+neighbours on both sides agree, theirs; where they don't, the nearer one's, but
+inside an article or main element the good one's. A neighbour is the nearer, the
+deeper the element that holds both, and then the fewer blocks stand between;
+a block without stop words only follows one of its own element.
+Where pass one finds nothing good, what is undecided inside an article or main
+element is, and without such an element, what is undecided if it is not very little.
 """
 
 from __future__ import annotations
@@ -58,15 +62,15 @@ OUTSIDE_WORDS = frozenset(
 )
 MAIN_TAGS = frozenset(["article", "main"])
 
-#: Blocks of fewer characters are short; a block of a stop-word density is good from HIGH on, bad below LOW.
-SHORT, LONG, LOW, HIGH, LINKED = 70, 200, 0.12, 0.22, 0.35
+#: Blocks of fewer characters are short; a block of a stop-word density is good from HIGH on, bad below LOW if it has links, odd below NONE.
+SHORT, LONG, NONE, LOW, HIGH, LINKED = 70, 200, 0.03, 0.12, 0.22, 0.35
 #: Inside an article or main element: what is short, what is good, and the links of a block of fewer stop words that make it bad.
 MAIN_SHORT, MAIN_HIGH, MAIN_LINKED = 30, 0.12, 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z:_-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
-GOOD, BAD, OPEN, NEAR = 1, 0, -1, -2
+GOOD, BAD, OPEN, NEAR, ODD = 1, 0, -1, -2, -3
 
 
 @dataclass
@@ -76,9 +80,11 @@ class Block:
     outside: bool
     main: bool
     heading: bool
+    #: Numbers of the elements around it.
+    path: tuple[int, ...] = ()
 
     def decided(self) -> int:
-        """Pass one; NEAR is undecided inside an article or main element."""
+        """Pass one; NEAR is undecided inside an article or main element, ODD without stop words and links outside one."""
         size = len(self.text)
         if self.outside or self.linked > LINKED * size:
             return BAD
@@ -91,9 +97,13 @@ class Block:
         if density >= HIGH:
             return GOOD
         if density < LOW:
-            return BAD
+            return BAD if self.linked else ODD if density < NONE else OPEN
         return GOOD if size >= LONG else OPEN
 
+    def shared(self, other: Block) -> int:
+        """How many elements hold both blocks."""
+        return next((k for k, (a, b) in enumerate(zip(self.path, other.path)) if a != b), min(len(self.path), len(other.path)))
+
 
 def _outside(tag: str, attrs: str, in_main: bool) -> bool:
     """Whether an element holds what surrounds an article."""
@@ -115,15 +125,15 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     state = {"linked": 0, "heading": False}
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
     closed = {t.lower() for t in re.findall(r"</([a-zA-Z]+)", page)}
     links = 0
 
     def flush() -> None:
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            _, outside, main = stack[-1]
-            out.append(Block(whole, state["linked"], outside, main, state["heading"]))
+            _, outside, main, _ = stack[-1]
+            out.append(Block(whole, state["linked"], outside, main, state["heading"], tuple(s[3] for s in stack)))
         text.clear()
         state["linked"] = 0
 
@@ -168,16 +178,16 @@ def blocks(page: str) -> list[Block]:
                 state["heading"] = True
         if tag in VOID_TAGS or m["attrs"].rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
-        _, outside, main = stack[-1]
+        _, outside, main, _ = stack[-1]
         if tag in MAIN_TAGS and not any(s[0] in OUTSIDE_TAGS for s in stack):
             # a wrapper's class can name what stands beside the article in it
             flush()
-            stack.append((tag, _outside(tag, m["attrs"], True), True))
+            stack.append((tag, _outside(tag, m["attrs"], True), True, at))
         elif tag in closed and _outside(tag, m["attrs"], main):
             flush()
-            stack.append((tag, True, main))
+            stack.append((tag, True, main, at))
         elif tag in closed and tag not in ("p", "a", "b", "i", "br"):
-            stack.append((tag, outside, main))
+            stack.append((tag, outside, main, at))
     add(page[at:])
     flush()
     return out
@@ -189,7 +199,9 @@ def extract(page: str) -> str:
     labels = [b.decided() for b in found]
     if GOOD not in labels:
         # an article of nothing but short or odd blocks
-        labels = [GOOD if x == NEAR else x for x in labels]
+        left_open = (NEAR,) if NEAR in labels else (OPEN, ODD)
+        if NEAR in labels or sum(len(b.text) for b, x in zip(found, labels, strict=True) if x in left_open) >= MAIN_SHORT:
+            labels = [GOOD if x in left_open else x for x in labels]
     before: list[tuple[int, int]] = []
     last = (BAD, -1)
     for i, label in enumerate(labels):
@@ -203,9 +215,11 @@ def extract(page: str) -> str:
         left, right = before[i], last
         if labels[i] == NEAR:
             good = GOOD in (left[0], right[0])
-        elif labels[i] == OPEN:
+        elif labels[i] in (OPEN, ODD):
             # a heading belongs to what follows it
-            good = (right[0] if found[i].heading or right[1] - i < i - left[1] or left[0] == right[0] else left[0]) == GOOD
+            near = [(-found[i].shared(found[k]) if 0 <= k < len(found) else 1, 0 if found[i].heading and k > i else abs(k - i), label) for label, k in (left, right)]
+            shared, _, label = min(near)
+            good = label == GOOD and (labels[i] == OPEN or -shared == len(found[i].path))
         else:
             good = labels[i] == GOOD
         if good:
