@@ -47,9 +47,24 @@ GAZETTEER = """
 
 
 def marked_spans(text: Column, pattern: str) -> Column:
-    """(start, stop, s, near) of each match, in code points: matches are put between two marks, and lengths are added up."""
+    """(start, stop, s, near) of each match, in code points: matches are put between two marks, and lengths are added up.
+
+    Pieces between marks go in rows of about the square root of their number,
+    so that adding to an array, which copies it, stays cheap.
+    """
     pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN)
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPANS).alias("found"))
+    return F.element_at(F.transform(F.array(pieces), _spans_of_pieces), 1)
+
+
+def _spans_of_pieces(pieces: Column) -> Column:
+    width = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / width).cast("int")), lambda i: F.slice(pieces, (i * width + 1).cast("int"), width))
+    first = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))).cast("array<struct<at:int,tail:string>>")
+
+    def goes_on(acc: Column, row: Column) -> Column:
+        last = F.element_at(acc, -1)
+        plain = F.translate(F.array_join(row, ""), CLOSE, "")
+        return F.concat(acc, F.array(F.struct((last["at"] + F.length(plain)).alias("at"), F.right(F.concat(last["tail"], F.right(plain, F.lit(NEAR))), F.lit(NEAR)).alias("tail"))))
 
     def add(acc: Column, piece: Column) -> Column:
         held = piece.contains(CLOSE)
@@ -58,11 +73,16 @@ def marked_spans(text: Column, pattern: str) -> Column:
         span = F.struct(acc["at"].alias("start"), stop.alias("stop"), s.alias("s"), acc["tail"].alias("near"))
         return F.struct(
             (acc["at"] + F.length(piece) - held.cast("int")).alias("at"),
-            F.right(F.concat(acc["tail"], F.translate(piece, CLOSE, "")), F.lit(NEAR)).alias("tail"),
+            F.right(F.concat(acc["tail"], F.right(F.translate(piece, CLOSE, ""), F.lit(NEAR))), F.lit(NEAR)).alias("tail"),
             F.when(held, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"),
         )
 
-    return F.aggregate(pieces, empty, add)["found"]
+    def of_row(start: Column, row: Column) -> Column:
+        begin = F.struct(start["at"].alias("at"), start["tail"].alias("tail"), F.array().cast(SPANS).alias("found"))
+        # the last start has no row behind it
+        return F.when(row.isNull(), F.array().cast(SPANS)).otherwise(F.aggregate(F.coalesce(row, F.array().cast("array<string>")), begin, add)["found"])
+
+    return F.element_at(F.transform(F.array(rows), lambda r: F.flatten(F.zip_with(F.aggregate(r, first, goes_on), r, of_row))), 1)
 
 
 def _digits(s: Column) -> Column:
@@ -104,7 +124,15 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def _core(c: Column) -> Column:
     """A candidate without a name before = or : and without quotes and closing marks."""
-    return F.regexp_replace(F.regexp_replace(c["s"], r"^[^\s=:\"']*[=:]+", ""), r"^[\"'(<\[]+|[\"')>\],.;:!?]+$", "")
+    bare = F.regexp_replace(c["s"], r"^[^\s=:\"']*+[=:]++", "")
+    return F.rtrim(F.ltrim(bare, F.lit("\"'(<[")), F.lit("\"')>],.;:!?"))
+
+
+def _named(c: Column) -> Column:
+    """Whether a known name and = or : stand in the candidate or just before it."""
+    name = rf"(?:{'|'.join(GAZETTEER)})[\"']?"
+    near = F.lower(c["near"])
+    return F.lower(c["s"]).rlike(f"{name}[=:]") | near.rlike(rf"{name}\s*[=:]\s*$") | (near.rlike(rf"{name}\s*$") & c["s"].rlike("^[=:]"))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -118,10 +146,10 @@ LABELERS: dict[str, Callable[[Column], Column]] = {
     ),
     # regex: numbers written as accounts, phones and social security numbers are
     "number_shape": lambda c: _vote(
-        _core(c).rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$|^\+?[0-9]{9,19}$|^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$|@"), _core(c).rlike(r"^[0-9]{1,2}[:./][0-9]{2}$|^[$€£][0-9.,]+$|^v?[0-9]{1,3}(?:\.[0-9]{1,3}){0,2}$")
+        _core(c).rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$|^\+?[0-9]{9,19}$|^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$|@"), _core(c).rlike(r"^[0-9]{1,2}[:./][0-9]{2}$|^[$€£][0-9.,]+$|^v?[0-9]{1,4}(?:\.[0-9]{1,3}){0,2}$")
     ),
     # gazetteer: a known name, then = or :, in the candidate or just before it
-    "named": lambda c: _vote(F.lower(F.concat(c["near"], c["s"])).rlike(rf"(?:{'|'.join(GAZETTEER)})[\"']?\s*[=:]\s*\S*$"), F.length(_core(c)) < 4),
+    "named": lambda c: _vote(_named(c), F.length(_core(c)) < 4),
     # context: a gazetteer word among the words before; no such word and few digits
     "context": lambda c: _vote(F.lower(c["near"]).rlike(rf"(?<![a-z])(?:{'|'.join(GAZETTEER)})(?![a-z])"), F.length(_digits(c["s"])) < 4),
     # context: the candidate goes on before or behind as a grouped number does
@@ -207,8 +235,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each row of docs: arrays of spans (start, stop; code points, stop exclusive) by kind.
 
     email, ip, card and phone hold the base spans; secret and number what the
-    classifier adds, none of which overlaps a base span. keep_text adds the
-    text itself, with the columns named in keep.
+    classifier adds: of runs without white space that hold a digit and don't
+    overlap a base span. keep_text adds the text itself, with the columns named
+    in keep.
 
     Null and empty texts have no spans; repeated rows give repeated results;
     null ids stay null; an empty table gives an empty one; other columns are

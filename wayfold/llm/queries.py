@@ -69,8 +69,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *counts, F.sha2(listed(KINDS), 256).alias("base_sha256"), listed(KINDS + EXTRA).alias("spans"))
+    counts = {k: F.size(k).cast("long").alias(f"n_{k}") for k in KINDS + EXTRA}
+    total = F.size(F.flatten(F.array(*KINDS, *EXTRA))).cast("long").alias("n_spans")
+    return out.select("doc_id", *(counts[k] for k in KINDS), F.sha2(listed(KINDS), 256).alias("base_sha256"), listed(KINDS + EXTRA).alias("spans"), *(counts[k] for k in EXTRA), total)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
