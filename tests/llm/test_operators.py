@@ -298,3 +298,33 @@ def test_pipeline(spark, sf_dir, docs):
     stage = dict(corpus_pipeline.STAGES)
     for name in list(stage)[:-1]:
         assert stage[name](spark, docs, sf_dir).columns == docs.columns
+
+
+@pytest.mark.parametrize("threshold", [(5, 10), (3, 10)])
+def test_ngram_join_at_low_thresholds(spark, threshold):
+    """Bands are made for the threshold, so that pairs at low ones are found too."""
+    random.seed(11)
+    words = [f"t{i}" for i in range(300)]
+    texts = []
+    for _ in range(8):
+        base = [random.choice(words) for _ in range(90)]
+        for k in range(12):
+            copy = list(base)
+            for _ in range(random.randint(0, 14)):
+                copy[random.randrange(len(copy))] = random.choice(words)
+            texts.append(" ".join(copy[: 90 - 2 * (k % 3)]))
+    planted = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in ngram_join.similar_documents(planted, threshold=threshold[0] / threshold[1]).collect()}
+    assert got == plain.similar(pairs(planted), threshold=threshold)
+    assert ngram_join.Bands.of(0.8).bands * ngram_join.Bands.of(0.8).rows <= ngram_join.MOST
+
+
+def test_ngram_join_of_repeated_rows_and_null_ids(spark):
+    rows = [(5, LOREM), (5, LOREM), (3, LOREM), (-4, LOREM + " y"), (None, LOREM + " y"), (None, "a b c d e f"), (None, None), (7, "g h")]
+    got = sorted(((r.doc_id, r.class_id, r.n_copies) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, -4, 3), (5, -4, 3), (3, -4, 3), (-4, -4, 2), (None, -4, 2), (None, None, 1), (None, None, 1), (7, 7, 1)], key=str)
+
+
+def test_components_that_are_not_final_are_an_error(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long"), rounds=1)

@@ -5,37 +5,57 @@ MinHash values are candidates: each band's nodes gather under their least
 node, and only nodes that share such a leader are compared. Comparisons go
 through MinHash values a few at a time; after each step a pair is dropped if
 the posterior probability that its similarity reaches the threshold is below a
-tolerance. What is left is verified exactly on the sets. Groups are compared
-block against block, so no pair is ever a row and no task holds a whole group.
+tolerance. What is left is verified exactly on the sets, and counted under the
+least leader that both nodes share. Groups are compared block against block, so
+no pair is ever a row and no task holds a whole group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import components
-from wayfold.llm.tables import id_and_text, written
+from wayfold.llm.tables import Scratch, id_and_text, written
 from wayfold.llm.wordcode import PLAIN_WORDS, U, Words, grams, mixed, steps, words_of
 
-BANDS, ROWS = 32, 3
-HASHES = BANDS * ROWS
-#: MinHash values compared between two looks at the posterior.
-LOOK = 16
+#: MinHash values compared between two looks at the posterior; values in bands at most; how likely a pair at the threshold may be missed.
+LOOK, MOST, MISSED = 16, 170, 1e-10
 #: Nodes, and bytes of shingle sets, that a block should have.
 BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
 #: Bits of the filter through which the second reading of the documents goes.
 FILTER_BITS = 1 << 26
 
 _RANDOM = np.random.Generator(np.random.PCG64(8088))
-_TIMES = _RANDOM.integers(1, 2**63, HASHES, dtype=U) | U(1)
-_PLUS = _RANDOM.integers(1, 2**63, HASHES, dtype=U)
+_TIMES = _RANDOM.integers(1, 2**63, 1024, dtype=U) | U(1)
+_PLUS = _RANDOM.integers(1, 2**63, 1024, dtype=U)
+
+
+@dataclass
+class Bands:
+    """Bands of MinHash values for a threshold: as many values to a band as let MOST values miss a pair at it with MISSED."""
+
+    bands: int
+    rows: int
+
+    @classmethod
+    def of(cls, threshold: float) -> Bands:
+        if not 0.05 <= threshold <= 1:
+            raise ValueError("the threshold has to be from 0.05 to 1")
+        needed = lambda rows: 1 if threshold == 1 else math.ceil(math.log(MISSED) / math.log(1 - threshold**rows))
+        rows = max([r for r in range(2, 17) if r * needed(r) <= MOST], default=1)
+        return cls(needed(rows), rows)
+
+    @property
+    def hashes(self) -> int:
+        return -(-self.bands * self.rows // LOOK) * LOOK
 
 
 def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +74,7 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[new], np.searchsorted(text[new], np.arange(len(counts) + 1))
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int, plan: Bands) -> DataFrame:
     """(doc_id, text_code, node, n, sig, bands): the set's 128-bit name and size, MinHash values to 16 bits, and band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,17 +85,17 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
                 full = n > 0
                 at = first[:-1][full]
                 names = np.zeros((len(n), 2), U)
-                values = np.zeros((len(n), HASHES), U)
+                values = np.zeros((len(n), plan.hashes), U)
                 if len(at):
                     names[full, 0] = np.add.reduceat(codes, at)
                     names[full, 1] = np.add.reduceat(mixed(codes ^ U(0x5851F42D4C957F2D)), at)
-                    for k in range(HASHES):
+                    for k in range(plan.hashes):
                         values[full, k] = np.minimum.reduceat(codes * _TIMES[k] + _PLUS[k], at)
                 names = mixed(names + n[:, None].astype(U))
-                bands = np.zeros((len(n), BANDS), U)
-                for k in range(ROWS):
-                    bands = mixed(bands * U(0x9E3779B97F4A7C15) + values[:, k::ROWS])
-                bands = mixed(bands + np.arange(BANDS, dtype=U) * U(0xC2B2AE3D27D4EB4F)).astype(np.int64)
+                bands = np.zeros((len(n), plan.bands), U)
+                for k in range(plan.rows):
+                    bands = mixed(bands * U(0x9E3779B97F4A7C15) + values[:, k : plan.bands * plan.rows : plan.rows])
+                bands = mixed(bands + np.arange(plan.bands, dtype=U) * U(0xC2B2AE3D27D4EB4F)).astype(np.int64)
                 short = (values >> U(40)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -92,7 +112,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text", "text_code").mapInArrow(sign, "doc_id long, text_code long, node binary, n long, sig binary, bands array<long>")
 
 
-def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
+def least_matches(threshold: float, tolerance: float, hashes: int) -> dict[int, int]:
     """For each number of compared values, the fewest matches that keep a pair.
 
     With a uniform prior, n values of which m match give Beta(m + 1, n - m + 1);
@@ -100,7 +120,7 @@ def least_matches(threshold: float, tolerance: float) -> dict[int, int]:
     trials of that probability.
     """
     out = {}
-    for n in range(LOOK, HASHES + 1, LOOK):
+    for n in range(LOOK, hashes + 1, LOOK):
         total, m = 0.0, 0
         while m <= n:
             total += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -121,7 +141,7 @@ def likely_pairs(a: np.ndarray, b: np.ndarray, same: bool, least: dict[int, int]
         keep &= np.arange(len(a))[:, None] < np.arange(len(b))
     i, j = np.nonzero(keep)
     count = matches[i, j].astype(np.int64)
-    for n in range(2 * LOOK, HASHES + 1, LOOK):
+    for n in range(2 * LOOK, a.shape[1] + 1, LOOK):
         part = slice(n - LOOK, n)
         for at in range(0, len(i), 1 << 16):
             count[at : at + (1 << 16)] += (a[i[at : at + (1 << 16)], part] == b[j[at : at + (1 << 16)], part]).sum(1)
@@ -167,14 +187,14 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _block_pairs(members: DataFrame, columns: list[str], blocks: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, columns: list[str], blocks: DataFrame, scratch: Scratch) -> DataFrame:
     """Members (grp, node, columns) as blocks, and each block beside each block of its group, itself included.
 
     blocks gives each group's number of blocks; members are dealt over them by hash.
     """
     dealt = members.join(blocks, "grp").select("grp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i"), F.struct("node", *columns).alias("x"))
     packed = dealt.groupBy("grp", "blocks", "i").agg(F.collect_list("x").alias("a"))
-    packed = written(packed, "blocks")
+    packed = scratch.written(packed, "blocks")
     alone = packed.where(F.col("blocks") == 1).select("grp", F.lit(True).alias("same"), "a", F.lit(None).cast(packed.schema["a"].dataType).alias("b"))
     many = packed.where(F.col("blocks") > 1)
     left = many.select("grp", "i", "a", F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
@@ -184,7 +204,12 @@ def _block_pairs(members: DataFrame, columns: list[str], blocks: DataFrame) -> D
 
 
 def _compare(pairs: DataFrame, least: dict[int, int], exact: Fraction | None) -> DataFrame:
-    """(node, links, label): for each node of a pair of blocks with a link, how many, and the least node it leads to."""
+    """(grp, node, links, label): for each node of a pair of blocks with a link, how many, and the least node it leads to.
+
+    With exact, members hold their sets as codes, and as lower the codes of
+    their groups before this one: a pair that shares one of these is left to it.
+    """
+    hashes = max(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -193,8 +218,12 @@ def _compare(pairs: DataFrame, least: dict[int, int], exact: Fraction | None) ->
                 sides = [row.column(2).to_pylist()[0], row.column(3).to_pylist()[0]]
                 same = sides[1] is None
                 a, b = sides[0], sides[0] if same else sides[1]
-                sig = [np.frombuffer(b"".join([m["sig"] for m in s]), np.uint16).reshape(-1, HASHES) for s in (a, b)]
+                sig = [np.frombuffer(b"".join([m["sig"] for m in s]), np.uint16).reshape(-1, hashes) for s in (a, b)]
                 i, j = likely_pairs(sig[0], sig[1], same, least)
+                if exact is not None and len(i):
+                    lower = [[np.array(m["lower"], np.int64).view(U) for m in s] for s in (a, b)]
+                    own = shared_counts(*lower, i, j) == 0
+                    i, j = i[own], j[own]
                 if exact is not None and len(i):
                     sets = [[np.frombuffer(m["codes"], U) for m in s] for s in (a, b)]
                     both = shared_counts(*sets, i, j)
@@ -206,11 +235,25 @@ def _compare(pairs: DataFrame, least: dict[int, int], exact: Fraction | None) ->
                 links = np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))
                 label = _labels(len(nodes), i, j)
                 use = np.flatnonzero(links).tolist()
+                grp = row.column(0)[0].as_py()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[x] for x in use], pa.binary()), pa.array(links[use].astype(np.int64)), pa.array([nodes[label[x]] for x in use], pa.binary())], names=["node", "links", "label"]
+                    [pa.array([grp] * len(use), pa.binary()), pa.array([nodes[x] for x in use], pa.binary()), pa.array(links[use].astype(np.int64)), pa.array([nodes[label[x]] for x in use], pa.binary())],
+                    names=["grp", "node", "links", "label"],
                 )
 
-    return pairs.select("grp", "same", "a", "b").mapInArrow(run, "node binary, links long, label binary")
+    return pairs.select("grp", "same", "a", "b").mapInArrow(run, "grp binary, node binary, links long, label binary")
+
+
+def _name(rep: Column, node: Column) -> Column:
+    """A node's name, in whose order a smaller id comes first and null last."""
+    ordered = F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    return F.concat(F.when(rep.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), F.coalesce(ordered, F.unhex(F.lit("00" * 8))), node)
+
+
+def _rep(name: Column) -> Column:
+    """The id in a name."""
+    value = F.conv(F.hex(F.substring(name, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(2**63)).cast("decimal(20,0)")
+    return F.when(F.substring(name, 1, 1) == F.unhex(F.lit("00")), value.cast("long"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, tolerance: float = 1e-9) -> DataFrame:
@@ -223,33 +266,41 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of all documents that links and equal sets connect; n_links counts the
     other sets linked to the document's own, n_copies the rows of its own set.
 
-    A pair at the threshold is missed with a probability of about 1e-10 for the
-    bands and of the order of the tolerance for the pruning; there is no other
-    loss and no cap. Null and empty texts, and texts without words, have no set:
-    class_id is their doc_id, n_links 0, n_copies 1. Repeated rows count as
-    copies. Rows of null id take part; a class of such rows alone has a null
-    class_id. An empty table gives an empty one. Other columns are not read;
-    text_code is xxhash64 of the text.
+    A pair at the threshold is missed with a probability of at most 1e-10 for
+    the bands, which are made for the threshold, and of the order of the
+    tolerance for the pruning; there is no other loss and no cap. Null and empty
+    texts, and texts without words, have no set: class_id is their doc_id,
+    n_links 0, n_copies 1. Repeated rows count as copies. Rows of null id take
+    part; a class of such rows alone has a null class_id. An empty table gives
+    an empty one. Other columns are not read; text_code is xxhash64 of the text.
+
+    The join runs when this is called; what is returned reads its rows from the
+    shared folder, and the tables between are deleted.
     """
     rows = id_and_text(docs, id_col, text_col).withColumn("text_code", F.xxhash64("text"))
-    signed = written(signatures(rows, shingle), "signatures")
-    least = least_matches(threshold, tolerance)
+    scratch = Scratch(docs.sparkSession)
+    plan = Bands.of(threshold)
+    signed = scratch.written(signatures(rows, shingle, plan), "signatures")
+    least = least_matches(threshold, tolerance, plan.hashes)
     nodes = signed.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_code")).alias("source"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
     )
-    nodes = written(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = scratch.written(nodes.withColumn("name", _name(F.col("rep"), F.col("node"))), "nodes")
+    banded = nodes.select(F.col("name").alias("node"), F.explode("bands").alias("band"))
     # leaders and blocks are written, so that the rows of a hot band or group can be split where they join
-    leaders = written(banded.groupBy("band").agg(F.min("node").alias("grp"), F.count("*").alias("size")).where("size > 1").drop("size"), "leaders")
-    members = written(banded.join(leaders, "band").select("grp", "node").distinct(), "members")
-    blocks = written(members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks")), "block-counts")
-    near = members.join(nodes.select("node", "sig"), "node")
-    likely = _compare(_block_pairs(near, ["sig"], blocks), least, None)
-    coarse = components(likely.select(F.col("node").alias("u"), F.col("label").alias("v")))
-    coarse = written(coarse.unionByName(coarse.select(F.col("component").alias("node"), "component").distinct()), "coarse")
+    leaders = scratch.written(banded.groupBy("band").agg(F.min("node").alias("grp"), F.count("*").alias("size")).where("size > 1").drop("size"), "leaders")
+    members = scratch.written(banded.join(leaders, "band").select("grp", "node").distinct(), "members")
+    blocks = scratch.written(members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK_NODES).alias("blocks")), "block-counts")
+    near = members.join(nodes.select(F.col("name").alias("node"), "sig"), "node")
+    likely = scratch.written(_compare(_block_pairs(near, ["sig"], blocks, scratch), least, None).select("grp", "node").distinct(), "likely")
+
+    # the groups in which a node has a likely partner, each with the codes of those before it
+    own = F.sort_array(F.collect_list(F.struct(F.xxhash64("grp").alias("code"), "grp")))
+    before = F.transform("groups", lambda g: F.struct(g["grp"].alias("grp"), F.transform(F.filter("groups", lambda x: x["code"] < g["code"]), lambda x: x["code"]).alias("lower")))
+    chosen = likely.groupBy("node").agg(own.alias("groups")).withColumn("groups", before)
+    chosen = scratch.written(chosen.join(nodes.select(F.col("name").alias("node"), "sig", "n", "source"), "node").select("node", "groups", "sig", "n", "source.doc_id", "source.text_code"), "chosen")
 
     # the sets of these nodes, from the documents that may hold them
-    chosen = written(coarse.join(nodes, "node").select(F.col("component").alias("grp"), "node", "sig", "n", F.col("source.doc_id").alias("doc_id"), F.col("source.text_code").alias("text_code")), "chosen")
     place = F.pmod(F.col("text_code"), F.lit(FILTER_BITS))
     # FILTER_BITS bits in all, whatever the input
     filled = chosen.select(place.alias("p")).groupBy(F.call_function("bitmap_bucket_number", F.col("p")).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("p"))).alias("bits")).collect()
@@ -277,19 +328,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = rows.where(F.col("text_code").isNotNull()).select("doc_id", "text", "text_code").mapInArrow(sets, "doc_id long, text_code long, codes binary")
     # repeated rows of a document hold equal sets
     on = [chosen["doc_id"].eqNullSafe(found["doc_id"]), chosen["text_code"] == found["text_code"]]
-    full = chosen.join(found, on).select("grp", "node", "sig", "codes", "n")
-    full = full.dropDuplicates(["grp", "node"])
-    blocks = written(chosen.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks")), "block-counts")
-    linked = written(_compare(_block_pairs(full.drop("n"), ["sig", "codes"], blocks), least, Fraction(threshold).limit_denominator(10**6)), "links")
+    full = chosen.join(found, on).select("node", "groups", "sig", "codes").dropDuplicates(["node"])
+    full = full.select("node", "sig", "codes", F.explode("groups").alias("g")).select("g.grp", "node", "sig", "codes", "g.lower")
+    sized = chosen.select("n", F.explode("groups.grp").alias("grp"))
+    blocks = scratch.written(sized.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).alias("blocks")), "block-counts")
+    exact = Fraction(threshold).limit_denominator(10**6)
+    linked = scratch.written(_compare(_block_pairs(full, ["sig", "codes", "lower"], blocks, scratch), least, exact).drop("grp"), "links")
     degree = linked.groupBy("node").agg(F.sum("links").alias("n_links"))
-    final = components(linked.select(F.col("node").alias("u"), F.col("label").alias("v")))
-    named = nodes.select("node", "rep", "copies").join(final, "node", "left").join(degree, "node", "left")
-    named = written(named.withColumn("component", F.coalesce("component", "node")), "named")
-    class_id = named.where(F.col("n_links").isNotNull()).groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(class_id, "component", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
-    out = signed.select("doc_id", "text_code", "node").join(named, "node", "left")
+    final = components(linked.select(F.col("node").alias("u"), F.col("label").alias("v")), keep=scratch.written)
+    # names are in the order of ids, so a component's least name tells its least id
+    named = nodes.select("node", "name", "copies").join(final.withColumnRenamed("node", "name"), "name", "left").join(degree.withColumnRenamed("node", "name"), "name", "left")
+    named = named.select("node", _rep(F.coalesce("component", "name")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("copies").alias("n_copies"))
+    out = signed.select("doc_id", "text_code", "node").join(scratch.written(named, "named"), "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", "text_code", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return scratch.last(out.select("doc_id", "text_code", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")), "similar")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:

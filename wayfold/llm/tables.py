@@ -30,6 +30,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that written() makes on the way to a result, in a folder of their own."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"scratch-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        return written(df, f"{self.folder}/{name}")
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """The result, written; the tables before it are deleted."""
+        out = written(df, name)
+        drop_written(self.spark, f"{shared_folder(self.spark)}/{self.folder}")
+        return out
+
+
 def drop_written(spark: SparkSession, path: str) -> None:
     """Delete a table that written() made, through Hadoop's file system."""
     jvm = spark._jvm
