@@ -30,6 +30,8 @@ from wayfold.llm.wordcode import PLAIN_WORDS, U, Words, grams, mixed, steps, wor
 LOOK, MOST, MISSED = 16, 170, 1e-10
 #: Nodes, and bytes of shingle sets, that a block should have.
 BLOCK_NODES, BLOCK_BYTES = 512, 4 << 20
+#: Groups of several blocks whose sizes are sent to all tasks at most.
+SENT_GROUPS = 100_000
 #: Bits of the filter through which the second reading of the documents goes.
 FILTER_BITS = 1 << 26
 
@@ -192,7 +194,10 @@ def _block_pairs(members: DataFrame, columns: list[str], blocks: DataFrame, scra
 
     blocks gives each group's number of blocks; members are dealt over them by hash.
     """
-    dealt = members.join(blocks, "grp").select("grp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i"), F.struct("node", *columns).alias("x"))
+    # few groups have several blocks; where these are too many to send to all tasks, a join splits their rows
+    many = blocks.where(F.col("blocks") > 1)
+    many = F.broadcast(many) if many.count() <= SENT_GROUPS else many
+    dealt = members.join(many, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).select("grp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i"), F.struct("node", *columns).alias("x"))
     packed = dealt.groupBy("grp", "blocks", "i").agg(F.collect_list("x").alias("a"))
     packed = scratch.written(packed, "blocks")
     alone = packed.where(F.col("blocks") == 1).select("grp", F.lit(True).alias("same"), "a", F.lit(None).cast(packed.schema["a"].dataType).alias("b"))
