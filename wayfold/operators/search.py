@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from wayfold.functions.text import search_form
 
 #: Fixed values of the reference: suggestions shown, characters of a prefix that count.
-SHOWN, PREFIX_LENGTH = 8, 60
+SHOWN, PREFIX_LENGTH, LEAST_TYPED = 8, 60, 2
 
 
-def index(names: DataFrame, column: str) -> DataFrame:
-    """(name, suffix, at): each name's suffixes that start at a word."""
+def index(names: DataFrame, column: str, aliases: DataFrame | None = None) -> DataFrame:
+    """(name, suffix, at): each name's suffixes that start at a word, and the whole of its aliases (name, alias)."""
     words = F.split(column, " ")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: search_form(F.array_join(F.slice(words, i, F.size(words)), " ")))
-    return names.select(F.col(column).alias("name"), F.posexplode(suffixes).alias("at", "suffix"))
-
-
-def suggestions(suffixes: DataFrame, typed: DataFrame) -> DataFrame:
-    """(raw, name, rank) of typed texts (raw): names that start with the prefix first, then by name; an empty prefix finds all."""
-    prefixes = typed.select("raw", search_form(F.substring(F.btrim("raw"), 1, PREFIX_LENGTH)).alias("prefix"))
-    hits = suffixes.join(F.broadcast(prefixes), F.col("suffix").startswith(F.col("prefix"))).groupBy("raw", "name").agg(F.min("at").alias("at"))
+    out = names.select(F.col(column).alias("name"), F.posexplode(suffixes).alias("at", "suffix"))
+    # an alias finds a station, but its name doesn't start with it
+    return out if aliases is None else out.unionByName(aliases.join(names.select(F.col(column).alias("name")), "name", "left_semi").select("name", F.lit(1).alias("at"), search_form(F.col("alias")).alias("suffix")))
+
+
+def suggestions(suffixes: DataFrame, typed: DataFrame, least_typed: int = 0) -> DataFrame:
+    """(raw, name, rank) of typed texts (raw): names that start with the prefix first, then by name; an empty prefix finds all.
+
+    Texts of fewer than least_typed characters find nothing. Suffixes are cut to
+    each length that is typed, of which there are PREFIX_LENGTH at most, and
+    meet the prefixes by equality.
+    """
+    raw = F.btrim("raw")
+    prefixes = typed.where(F.length(raw) >= least_typed).select("raw", search_form(F.substring(raw, 1, PREFIX_LENGTH)).alias("prefix"))
+    sizes = prefixes.select(F.length("prefix").alias("size")).distinct()
+    cut = suffixes.join(F.broadcast(sizes), F.length("suffix") >= F.col("size")).select("name", "at", F.expr("left(suffix, size)").alias("prefix")).distinct()
+    hits = cut.join(prefixes, "prefix").groupBy("raw", "name").agg(F.min("at").alias("at"))
     order = Window.partitionBy("raw").orderBy(F.col("at") > 0, "name")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= SHOWN).select("raw", "name", "rank")

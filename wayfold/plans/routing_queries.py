@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions import text
 from wayfold.operators import analytics, routing
 from wayfold.plans import network
 from wayfold.sources.shared import table, written
@@ -77,15 +78,72 @@ def journey_description(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journey_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each leg with its wait, change note and text."""
+    """Each leg with its wait, change note, strip and text."""
     requests, times, _, labels = _routed(spark, sf_dir)
-    return analytics.steps(routing.legs(requests, labels, times))
+    return analytics.steps(routing.legs(requests, labels, times), requests)
 
 
 def journey_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each request's answer as JSON text."""
     requests, times, _, labels = _routed(spark, sf_dir)
-    return analytics.answers(requests, routing.legs(requests, labels, times))
+    legs = written(routing.legs(requests, labels, times), "legs")
+    return analytics.answers(requests, analytics.with_trips(legs, trips(spark, sf_dir), network.walks(spark, sf_dir).withColumn("metres", F.col("minutes") * analytics.WALK_METRES_A_MINUTE)))
+
+
+def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(trip, route_id, line, mode) on both days: the shape, the customer's nation, and the mode of the nation's number as a route type."""
+    lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").cast("long").alias("trip"), "c_nationkey")
+    rows = shapes(spark, sf_dir).select("trip", F.col("shape").alias("route_id")).join(lines, "trip", "left").withColumn("day", F.explode(F.array(F.lit(0), F.lit(1))))
+    return rows.select((F.col("trip") * 2 + F.col("day")).alias("trip"), "route_id", F.col("c_nationkey").cast("string").alias("line"), text.mode_of(F.col("c_nationkey") % 13).alias("mode"))
+
+
+def trip_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trip's line and mode; lines that no nation below 20 has are unknown and count as LOCAL."""
+    known = table(spark, sf_dir, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), text.mode_of(F.col("n_nationkey") % 13).alias("mode"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(known, "c_nationkey", "left")
+    return rows.select(F.col("o_orderkey").alias("trip"), F.col("c_nationkey").alias("line"), F.coalesce("mode", F.lit("LOCAL")).alias("mode"))
+
+
+def _made_up_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys of one trip's hops each: seven trips to a request, some hops on foot, some from the stop beside the last one's end."""
+    w = Window.partitionBy("trip").orderBy("seq")
+    rows = network.day_times(spark, sf_dir).withColumns({"to_stop": F.lead("stop").over(w), "to_arr": F.lead("arr").over(w)}).where(F.col("to_stop").isNotNull())
+    return rows.select(
+        F.floor(F.col("trip") / 7).alias("q"), (F.col("trip") % 7).alias("journey"), F.col("seq").alias("leg"), (F.col("stop") + (F.col("seq") % 3 == 2).cast("long")).alias("from_stop"), "to_stop", "trip",
+        ((F.col("stop") + F.col("to_stop")) % 4 == 0).alias("is_walk"), "dep", F.col("to_arr").alias("arr"),
+    )
+
+
+def journey_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, labels and order of journeys that are made of the hops of trips."""
+    return analytics.describe(_made_up_legs(spark, sf_dir))
+
+
+def journey_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waits, changes and notes of the same journeys."""
+    legs = _made_up_legs(spark, sf_dir)
+    asked = legs.select("q").distinct().withColumn("t0", (F.col("q") * 37) % 1440)
+    return analytics.steps(legs, asked).select("q", "journey", "leg", "wait", "change", "then_walk", "note", "strip")
+
+
+def stops_worth_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origin, changes and destination of the same journeys."""
+    return analytics.named_stops(_made_up_legs(spark, sf_dir))
+
+
+def stop_route_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2: where each stop stands on the routes that serve it."""
+    rows = shapes(spark, sf_dir).select("shape", "sequence", F.posexplode("calls").alias("position", "c"))
+    return rows.select(F.col("c.stop").alias("stop"), "shape", "sequence", F.col("position").cast("long").alias("position")).distinct()
+
+
+def station_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q6: one badge for each letter of a stop's lines, in the order in which letters first come, with the last line of the letter."""
+    lines = lines_at_stop(spark, sf_dir).where("n_lines > 0").select("stop", F.posexplode(F.split("lines", " ")).alias("pos", "line"))
+    named = lines.join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("line"), F.substring("n_name", 1, 1).alias("letter")), "line")
+    letters = named.groupBy("stop", "letter").agg(F.min("pos").alias("pos"), F.max_by("line", "pos").alias("line"))
+    badges = F.transform(F.array_sort(F.collect_list(F.struct("pos", "letter", "line"))), lambda b: F.concat_ws(":", b["letter"], b["line"]))
+    return letters.groupBy("stop").agg(F.array_join(badges, " ").alias("badges"))
 
 
 def query_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +169,11 @@ def stop_times_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(trip, shape, calls): a shape is named by its first and last stop and a digest of all."""
+    """(trip, shape, sequence, calls): a shape is named by its first and last stop and four digits of a digest of all, which sequence holds whole."""
     calls = network.day_times(spark, sf_dir).groupBy("trip").agg(F.array_sort(F.collect_list(F.struct("seq", "stop", "arr", "dep"))).alias("calls"))
     stops = F.transform("calls", lambda c: c["stop"].cast("string"))
-    name = F.concat(F.lit("SHP_"), F.element_at(stops, 1), F.lit("_TO_"), F.element_at(stops, -1), F.lit("_"), F.substring(F.md5(F.array_join(stops, "_")), 1, 8))
-    return calls.select("trip", name.alias("shape"), "calls")
+    name = F.concat(F.lit("SHP_"), F.element_at(stops, 1), F.lit("_TO_"), F.element_at(stops, -1), F.lit("_"), F.substring(F.md5(F.array_join(stops, "_")), 1, 4))
+    return calls.select("trip", name.alias("shape"), F.md5(F.array_join(stops, "_")).alias("sequence"), "calls")
 
 
 def trip_groups_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,15 +183,15 @@ def trip_groups_by_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overtaking_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours in order of departure within a shape where the later one is ahead at some position."""
-    order = Window.partitionBy("shape").orderBy(F.element_at("calls", 1)["dep"], "trip")
+    order = Window.partitionBy("shape", "sequence").orderBy(F.element_at("calls", 1)["dep"], "trip")
     rows = shapes(spark, sf_dir).withColumns({"before": F.lag("calls").over(order), "before_trip": F.lag("trip").over(order)})
     ahead = F.exists(F.zip_with("before", "calls", lambda a, b: (b["arr"] < a["arr"]) | (b["dep"] < a["dep"])), lambda x: x)
     return rows.where(F.col("before").isNotNull() & ahead).select("shape", "before_trip", "trip")
 
 
 def nonovertaking_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trips of each shape in groups in which none overtakes another."""
-    return analytics.nonovertaking(shapes(spark, sf_dir))
+    """Trips of each stop sequence in groups in which none overtakes another."""
+    return analytics.nonovertaking(shapes(spark, sf_dir).select("trip", F.concat_ws("_", "shape", "sequence").alias("shape"), "calls"))
 
 
 _N = network.SQL
@@ -158,14 +216,20 @@ _START = """, trips_asked AS (SELECT * FROM request WHERE src <> dst), v0 AS (
 _SHAPES = """, seqs AS (
   SELECT trip, string_agg(CAST(stop AS VARCHAR), '_' ORDER BY seq) AS s, arg_min(stop, seq) AS a, arg_max(stop, seq) AS b, list(arr ORDER BY seq) AS arrs, list(dep ORDER BY seq) AS deps FROM day_time GROUP BY trip
 ), shapes AS (
-  SELECT *, 'SHP_' || a || '_TO_' || b || '_' || substr(md5(s), 1, 8) AS shape FROM seqs
+  SELECT *, 'SHP_' || a || '_TO_' || b || '_' || substr(md5(s), 1, 4) AS shape, md5(s) AS sequence FROM seqs
+)"""
+
+_LEGS = """, legs AS (
+  SELECT trip // 7 AS q, trip % 7 AS journey, seq AS leg, stop + CAST(seq % 3 = 2 AS BIGINT) AS from_stop, to_stop, (stop + to_stop) % 4 = 0 AS is_walk, dep, to_arr AS arr
+  FROM (SELECT *, lead(stop) OVER w AS to_stop, lead(arr) OVER w AS to_arr FROM day_time WINDOW w AS (PARTITION BY trip ORDER BY seq)) WHERE to_stop IS NOT NULL
 )"""
+_DURATION = "CASE WHEN {m} < 60 THEN printf('%d min', {m}) WHEN {m} % 60 = 0 THEN printf('%d h', {m} // 60) ELSE printf('%d h %02d', {m} // 60, {m} % 60) END"
 
 QUERIES = {
     f.__name__: f
     for f in (
         pareto_front, walk_only_front, round1_labels, earliest_departure_asof, next_day_expand, footpath_relax, journey_legs, journey_leg_violations, journey_description, journey_steps, journey_json,
-        query_dedupe, lines_at_stop, stop_times_grouped, trip_groups_by_shape, overtaking_pairs, nonovertaking_routes,
+        journey_labels, journey_notes, stops_worth_naming, stop_route_positions, station_badges, trip_modes, query_dedupe, lines_at_stop, stop_times_grouped, trip_groups_by_shape, overtaking_pairs, nonovertaking_routes,
     )
 }
 
@@ -179,11 +243,36 @@ ORACLE_SQL = {
     "next_day_expand": f"WITH {_N} SELECT trip, stop, seq, arr, dep FROM stop_time",
     "footpath_relax": f"WITH {_N} SELECT b AS stop, min((a * 53) % 1440 + minutes) AS arr FROM walk GROUP BY b",
     "journey_leg_violations": "SELECT * FROM (VALUES ('printed times', CAST(0 AS BIGINT)), ('footpath time', 0), ('connection', 0), ('two walks', 0), ('early start', 0), ('wrong end', 0)) AS t(rule, violations)",
+    "journey_labels": f"""WITH {_N}{_LEGS}, totals AS (
+  SELECT q, journey, min(dep) AS depart, max(arr) AS arrive, count(*) FILTER (NOT is_walk) AS vehicles, CAST(coalesce(sum(arr - dep) FILTER (is_walk), 0) AS BIGINT) AS walk_minutes FROM legs GROUP BY q, journey
+), best AS (
+  SELECT *, first_value(journey) OVER w AS fastest, first_value(arrive) OVER w AS fa, first_value(arrive - depart) OVER w AS fd FROM totals WINDOW w AS (PARTITION BY q ORDER BY arrive, journey)
+), close AS (
+  SELECT *, arrive <= fa + greatest(30.0, fd / 2) AS near FROM best
+), least AS (
+  SELECT *, first_value(journey) OVER (PARTITION BY q ORDER BY near DESC, vehicles, journey) AS fewest FROM close
+) SELECT q, journey, depart, arrive, greatest(vehicles - 1, 0) AS changes, walk_minutes, walk_minutes * 80 AS walk_metres,
+  concat_ws(', ', CASE WHEN journey = fastest THEN 'fastest' END, CASE WHEN journey = fewest THEN 'fewest changes' END, CASE WHEN NOT near THEN 'slower' END) AS label,
+  row_number() OVER (PARTITION BY q ORDER BY CASE WHEN journey = fastest THEN 0 WHEN journey = fewest THEN 1 WHEN near THEN 2 ELSE 3 END, journey) AS place FROM least""",
+    "journey_notes": f"""WITH {_N}{_LEGS}, seen AS (
+  SELECT *, leg = min(leg) OVER w AS first, dep - coalesce(lag(arr) OVER o, (q * 37) % 1440) AS wait, NOT is_walk AND coalesce(NOT lag(is_walk) OVER o, false) AS change, coalesce(lead(is_walk) OVER o, false) AS then_walk FROM legs WINDOW w AS (PARTITION BY q, journey), o AS (PARTITION BY q, journey ORDER BY leg)
+) SELECT q, journey, leg, wait, change, then_walk, greatest(arr - dep, 6) AS strip,
+  CASE WHEN wait >= CASE WHEN first THEN 2 ELSE 1 END THEN CASE WHEN change THEN 'Change here, wait ' ELSE 'Wait ' END || {_DURATION.format(m='wait')} WHEN change THEN 'Change here' ELSE '' END AS note FROM seen""",
+    "stops_worth_naming": f"""WITH {_N}{_LEGS}, o AS (SELECT *, row_number() OVER w AS n, lead(from_stop) OVER w AS next FROM legs WINDOW w AS (PARTITION BY q, journey ORDER BY leg)), listed AS (
+  SELECT q, journey, n, 0 AS k, from_stop AS stop, 'origin' AS kind FROM o WHERE n = 1
+  UNION ALL SELECT q, journey, n, 1, to_stop, CASE WHEN next IS NULL THEN 'destination' ELSE 'change' END FROM o
+  UNION ALL SELECT q, journey, n, 2, next, 'change' FROM o WHERE next <> to_stop
+) SELECT q, journey, row_number() OVER (PARTITION BY q, journey ORDER BY n, k) AS pos, stop, kind FROM listed""",
+    "stop_route_positions": f"WITH {_N}{_SHAPES} SELECT DISTINCT stop, shape, sequence, seq - 1 AS position FROM day_time JOIN shapes USING (trip)",
+    "station_badges": f"""WITH {_N}, served AS (SELECT DISTINCT stop, c_nationkey AS line FROM call JOIN orders ON trip = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE stop IN (SELECT stop FROM stops)), letters AS (
+  SELECT stop, n_name[1] AS letter, min(line) AS first, max(line) AS last FROM served JOIN nation ON line = n_nationkey GROUP BY stop, n_name[1]
+) SELECT stop, string_agg(letter || ':' || last, ' ' ORDER BY first) AS badges FROM letters GROUP BY stop""",
+    "trip_modes": "SELECT o_orderkey AS trip, c_nationkey AS line, CASE WHEN c_nationkey < 20 AND c_nationkey % 13 = 1 THEN 'METRO' WHEN c_nationkey < 20 AND c_nationkey % 13 = 12 THEN 'MONORAIL' ELSE 'LOCAL' END AS mode FROM orders JOIN customer ON o_custkey = c_custkey",
     "query_dedupe": f"WITH {_N}, doubled AS (SELECT * FROM request UNION ALL SELECT q + 100, src, dst, t0 FROM request) SELECT q, min(q) OVER w AS answered_as, count(*) OVER w AS asked FROM doubled WINDOW w AS (PARTITION BY src, dst, t0)",
     "lines_at_stop": f"WITH {_N}, served AS (SELECT DISTINCT stop, c_nationkey AS line FROM call JOIN orders ON trip = o_orderkey JOIN customer ON o_custkey = c_custkey) SELECT stops.stop, coalesce(string_agg(CAST(served.line AS VARCHAR), ' ' ORDER BY served.line), '') AS lines, count(served.line) AS n_lines FROM stops LEFT JOIN served USING (stop) GROUP BY stops.stop",
     "stop_times_grouped": f"WITH {_N} SELECT trip, string_agg(CAST(stop AS VARCHAR), ' ' ORDER BY seq) AS stops, count(*) AS n_calls, arg_min(dep, seq) AS first_dep, arg_max(arr, seq) AS last_arr FROM day_time GROUP BY trip",
     "trip_groups_by_shape": f"WITH {_N}{_SHAPES} SELECT shape, count(*) AS trips, min(trip) AS first_trip, max(trip) AS last_trip FROM shapes GROUP BY shape",
     "overtaking_pairs": f"""WITH {_N}{_SHAPES}, pairs AS (
-  SELECT shape, trip, arrs, deps, lag(trip) OVER w AS before_trip, lag(arrs) OVER w AS before_arrs, lag(deps) OVER w AS before_deps FROM shapes WINDOW w AS (PARTITION BY shape ORDER BY deps[1], trip)
+  SELECT shape, trip, arrs, deps, lag(trip) OVER w AS before_trip, lag(arrs) OVER w AS before_arrs, lag(deps) OVER w AS before_deps FROM shapes WINDOW w AS (PARTITION BY shape, sequence ORDER BY deps[1], trip)
 ) SELECT DISTINCT shape, before_trip, trip FROM (SELECT *, unnest(range(1, len(arrs) + 1)) AS i FROM pairs WHERE before_trip IS NOT NULL) WHERE arrs[i] < before_arrs[i] OR deps[i] < before_deps[i]""",
 }

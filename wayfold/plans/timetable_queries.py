@@ -14,10 +14,12 @@ from wayfold.sources.shared import table
 MINUTES = "(VALUES ('480'), ('0'), ('1439'), ('abc'), (''), ('-5'), ('1440'), ('99999999999999999999'), ('12.5'), ('6 00'), (' 480'), ('+480'), ('0480'), ('00480')) AS t(raw)"
 TIMES = "(VALUES ('5:12'), ('05:12:00'), ('05:51:59.962'), ('23:59:30'), ('23:59:29'), ('00:00:30'), ('00:01:30'), ('24:10'), ('nan'), (''), ('5.12'), ('12:5'), ('123:00')) AS t(raw)"
 HEADERS = "(VALUES ('DRD 93001'), ('95802      97202'), ('VR'), ('93005A FAST'), ('12 CAR'), ('1930012'), ('x93001')) AS t(cell)"
-LINES = "(VALUES ('CR_MAIN', 'Central Line', 2, '#DC2626'), ('WR_MAIN', 'Western Line', 2, '#2563EB'), ('M1', 'Blue Line', 1, '#0EA5E9'), ('M7', 'Red Line', 1, '#F87171'), ('MONO', 'Monorail', 12, '#FDE047'), ('M3', 'Aqua Line', 1, '#22D3EE')) AS t(id, name, route_type, color)"
+#: Lines whose label or letter isn't that of their name.
+LABELS, LETTERS = {"L2": "Second", "L5": "Fifth"}, {"L3": "X", "L5": "V"}
+ALIASES = "(VALUES ('red bolt', 'rb'), ('red bolt', 'the screw'), ('no such part', 'zzz')) AS t(name, alias)"
 STATIONS = "(VALUES ('Kings Circle', 'KINGS CIRCLE|King''s Circle|Kings  Circle'), ('Matunga Road', 'MATUNGA RD|Matunga  road'), ('Dadar', 'DADAR|Dadar W'), ('Mahim', 'MAHIM JN'), ('Mahim Junction', 'Mahim jn|MAHIM')) AS t(name, raw_names)"
 PRINTED = "(VALUES ('dadar '), ('KING''S   CIRCLE'), ('matunga rd'), ('Bandra'), ('Dadar w'), ('kings circle')) AS t(station)"
-OSM_NAMES = "(VALUES ('M1', 'Marol Naka (Line 1)'), ('M7', 'Dahisar (East) [Line 7]'), ('M3', 'Aarey  JVLR (eastbound)'), ('M2', ' D.N. Nagar '), ('M1', 'Saki Naka [x] (westbound)')) AS t(line, name)"
+OSM_NAMES = "(VALUES ('A1', 'Mill Lane (Line 4)'), ('B7', 'Old Dock (North) [Line 9]'), ('C3', 'Fair  Oak (eastbound)'), ('D2', ' St. K. Cross '), ('A1', 'Low Hill [y] (westbound)')) AS t(line, name)"
 GRID = """(VALUES
   (1, 1, 'STATIONS', array('DRD 93001', 'VR', '95802      97202')), (1, 2, '', array('', '93005', '')), (1, 3, 'Virar ', array('5:12', '6:00:31', '7:00 7:30')), (1, 4, 'Nallasopara', array('', '06:05', '7:05')),
   (1, 5, 'Station', array('93007', '', '93009A')), (1, 6, 'Virar', array('23:59:30', '8:00', '9:10')), (2, 1, 'STATION', array('94001', '94003')), (2, 2, 'Panvel', array('x', '10:00'))) AS t(sheet, row, name, cells)"""
@@ -45,7 +47,7 @@ def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """minutes of up to three days as clock texts and durations."""
     m = (F.col("o_orderkey") * 37 % 4320).cast("long")
-    return table(spark, sf_dir, "orders").select("o_orderkey", timefn.clock(m).alias("clock"), timefn.long_clock(m).alias("long_clock"), text.duration_text(m).alias("duration"), text.metres_text(m).alias("metres"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", timefn.clock(m).alias("clock"), timefn.long_clock(m).alias("long_clock"), text.duration_text(m).alias("duration"), text.metres_text(m).alias("metres"), timefn.is_next_day(m).alias("next_day"), F.when(timefn.is_clock(timefn.clock(m)), timefn.from_hhmm(timefn.clock(m))).alias("back"))
 
 
 def to_hhmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +66,14 @@ def unpivot_timetable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with mode, label and the text colour that reads on theirs."""
-    light = text.luminance(F.col("color"))
-    ink = F.when(1.05 / (light + 0.05) >= (light + 0.05) / 0.05, "#FFFFFF").otherwise("#000000")
-    return _given(spark, LINES).select("id", text.mode_of(F.col("route_type")).alias("mode"), F.regexp_replace("name", " Line$", "").alias("label"), ink.alias("ink"))
+    """Lines made up from parts, with mode, label, letter and the text colour that reads on theirs."""
+    number = F.col("p_partkey").cast("long")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("L"), number.cast("string")).alias("id"), F.concat("p_name", F.lit(" Line")).alias("name"), F.upper(F.substring("p_name", 1, 3)).alias("short_name"),
+        F.format_string("#%06X", (number * 7919 * 613) % 16777216).alias("color"), text.mode_of(F.col("p_size") % 13).alias("mode"),
+    )
+    label = text.line_label(F.col("id"), F.col("name"), F.col("short_name"), F.col("mode"), LABELS)
+    return rows.select("id", "name", "short_name", "color", "mode", label.alias("label"), text.line_letter(F.col("id"), label, LETTERS).alias("letter"), text.ink_on(F.col("color")).alias("ink"))
 
 
 def _stations(spark: SparkSession) -> DataFrame:
@@ -96,6 +102,12 @@ def station_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.suggestions(search.index(names, "p_name"), _given(spark, PREFIXES))
 
 
+def suggestion_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1, O2: suggestions from two typed characters on, aliases included."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return search.suggestions(search.index(names, "p_name", _given(spark, ALIASES)), _given(spark, PREFIXES.replace("('w')", "('w'), ('rb'), ('the s')")), search.LEAST_TYPED)
+
+
 def rollover_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of one day put back in order past midnight."""
     day = network.day_times(spark, sf_dir)
@@ -162,7 +174,7 @@ def metro_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        invalid_queries, time_parse, time_format, to_hhmm, train_numbers, unpivot_timetable, line_catalog, alias_resolution, alias_conflicts, stop_names, station_search,
+        invalid_queries, time_parse, time_format, to_hhmm, train_numbers, unpivot_timetable, line_catalog, alias_resolution, alias_conflicts, stop_names, station_search, suggestion_box,
         rollover_fix, past_midnight, run_split, assemble_pieces, branch_route, headway_lookup, headway_departures, metro_stop_times,
     )
 }
@@ -183,7 +195,7 @@ ORACLE_SQL = {
     "invalid_queries": f"SELECT raw, coalesce(CASE WHEN regexp_matches(raw, '^\\d{{1,4}}$') THEN TRY_CAST(raw AS INTEGER) < 1440 END, false) AS valid FROM {MINUTES}",
     "time_parse": "SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS minutes FROM events",
     "time_format": """SELECT o_orderkey, printf('%02d:%02d', (m % 1440) // 60, m % 60) AS clock, printf('%02d:%02d:00', m // 60, m % 60) AS long_clock,
-  CASE WHEN m // 60 = 0 THEN printf('%d min', m % 60) WHEN m % 60 = 0 THEN printf('%d h', m // 60) ELSE printf('%d h %d min', m // 60, m % 60) END AS duration,
+  CASE WHEN m // 60 = 0 THEN printf('%d min', m % 60) WHEN m % 60 = 0 THEN printf('%d h', m // 60) ELSE printf('%d h %02d', m // 60, m % 60) END AS duration, m >= 1440 AS next_day, (m % 1440) AS back,
   CASE WHEN m >= 950 THEN printf('%.1f km', round(m / 1000.0 + 1e-9, 1)) ELSE printf('%d m', CAST(round(m / 10.0) * 10 AS BIGINT)) END AS metres
 FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
     "to_hhmm": f"""SELECT raw, CASE WHEN regexp_matches(raw, {_FULL}) THEN printf('%02d:%02d', (t // 60) % 24, t % 60) END AS time FROM (
@@ -191,9 +203,14 @@ FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
     "train_numbers": f"SELECT cell, array_to_string(regexp_extract_all(string_split(cell, chr(10))[1], '\\b(\\d{{5}}[A-Z]?)\\b', 1), ' ') AS numbers FROM {HEADERS}",
     "unpivot_timetable": """SELECT * FROM (VALUES (1, 3, '93001', 'Virar', '05:12'), (1, 3, '93005', 'Virar', '06:01'), (1, 3, '95802', 'Virar', '07:00'), (1, 3, '97202', 'Virar', '07:30'), (1, 4, '93005', 'Nallasopara', '06:05'),
   (1, 4, '95802', 'Nallasopara', '07:05'), (1, 4, '97202', 'Nallasopara', '07:05'), (1, 6, '93007', 'Virar', '23:59'), (1, 6, '93009A', 'Virar', '09:10'), (2, 2, '94003', 'Panvel', '10:00')) AS t(sheet, row, train_number, station, time)""",
-    "line_catalog": f"""SELECT id, CASE route_type WHEN 1 THEN 'METRO' WHEN 12 THEN 'MONORAIL' ELSE 'LOCAL' END AS mode, regexp_replace(name, ' Line$', '') AS label, CASE WHEN 1.05 / (l + 0.05) >= (l + 0.05) / 0.05 THEN '#FFFFFF' ELSE '#000000' END AS ink FROM (
-  SELECT *, 0.2126 * v[1] + 0.7152 * v[2] + 0.0722 * v[3] AS l FROM (
-    SELECT *, list_transform([2, 4, 6], lambda i: CASE WHEN CAST(('0x' || substr(color, i, 2)) AS INTEGER) / 255.0 <= 0.03928 THEN CAST(('0x' || substr(color, i, 2)) AS INTEGER) / 255.0 / 12.92 ELSE pow((CAST(('0x' || substr(color, i, 2)) AS INTEGER) / 255.0 + 0.055) / 1.055, 2.4) END) AS v FROM {LINES}))""",
+    "line_catalog": """WITH line AS (
+  SELECT 'L' || p_partkey AS id, p_name || ' Line' AS name, upper(substr(p_name, 1, 3)) AS short_name, printf('#%06X', (CAST(p_partkey AS BIGINT) * 7919 * 613) % 16777216) AS color, (CAST(p_partkey AS BIGINT) * 7919 * 613) % 16777216 AS c,
+    CASE p_size % 13 WHEN 1 THEN 'METRO' WHEN 12 THEN 'MONORAIL' ELSE 'LOCAL' END AS mode FROM part
+), lit AS (
+  SELECT *, list_transform([c // 65536, c // 256 % 256, c % 256], lambda x: CASE WHEN x / 255.0 <= 0.03928 THEN x / 255.0 / 12.92 ELSE pow((x / 255.0 + 0.055) / 1.055, 2.4) END) AS v FROM line
+), named AS (
+  SELECT *, 0.2126 * v[1] + 0.7152 * v[2] + 0.0722 * v[3] + 0.05 AS l, CASE WHEN mode <> 'LOCAL' THEN short_name WHEN id = 'L2' THEN 'Second' WHEN id = 'L5' THEN 'Fifth' ELSE regexp_replace(name, ' Line$', '') END AS label FROM lit
+) SELECT id, name, short_name, color, mode, label, CASE id WHEN 'L3' THEN 'X' WHEN 'L5' THEN 'V' ELSE substr(label, 1, 1) END AS letter, CASE WHEN l / 0.0598 > 1.05 / l THEN '#0C1A26' ELSE '#FFFFFF' END AS ink FROM named""",
     "alias_resolution": f"WITH {_ALIASES} SELECT station, name FROM {PRINTED} LEFT JOIN aliases ON alias = {_NORMAL.format('station')}",
     "alias_conflicts": f"WITH {_ALIASES} SELECT alias, count(*) AS names FROM aliases GROUP BY alias HAVING count(*) > 1",
     "stop_names": f"""SELECT name, clean, line || '_' || trim(regexp_replace(upper(clean), '[^A-Z0-9]+', '_', 'g'), '_') AS metro_id, upper(replace(clean, ' ', '_')) AS local_id FROM (
@@ -201,6 +218,11 @@ FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
     "station_search": f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), typed AS (SELECT raw, replace(replace(lower(substr(trim(raw), 1, 60)), '''', ''), '.', '') AS prefix FROM {PREFIXES}), hits AS (
   SELECT raw, name, starts_with(replace(replace(lower(name), '''', ''), '.', ''), prefix) AS first FROM typed, names
   WHERE len(list_filter(range(len(string_split(name, ' '))), lambda i: starts_with(replace(replace(lower(array_to_string(string_split(name, ' ')[i + 1:], ' ')), '''', ''), '.', ''), prefix))) > 0
+) SELECT raw, name, rank FROM (SELECT raw, name, row_number() OVER (PARTITION BY raw ORDER BY first DESC, name) AS rank FROM hits) WHERE rank <= 8""",
+    "suggestion_box": f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), typed AS (SELECT raw, translate(lower(substr(trim(raw), 1, 60)), chr(39) || '.', '') AS prefix FROM {PREFIXES.replace("('w')", "('w'), ('rb'), ('the s')")} WHERE length(trim(raw)) >= 2), hits AS (
+  SELECT raw, name, starts_with(lower(name), prefix) AS first FROM typed, names
+  WHERE len(list_filter(range(len(string_split(name, ' '))), lambda i: starts_with(lower(array_to_string(string_split(name, ' ')[i + 1:], ' ')), prefix))) > 0
+     OR EXISTS (SELECT 1 FROM {ALIASES.replace('AS t(', 'AS al(')} WHERE al.name = names.name AND starts_with(al.alias, prefix))
 ) SELECT raw, name, rank FROM (SELECT raw, name, row_number() OVER (PARTITION BY raw ORDER BY first DESC, name) AS rank FROM hits) WHERE rank <= 8""",
     "rollover_fix": f"""WITH RECURSIVE {_N}, day AS MATERIALIZED (SELECT trip, seq, arr % 1440 AS arr, dep % 1440 AS dep FROM day_time), fixed AS (
   SELECT trip, seq, arr, dep + CASE WHEN dep < arr THEN 1440 ELSE 0 END AS dep, CAST(0 AS BIGINT) AS extra FROM day WHERE seq = 1
