@@ -29,7 +29,7 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
 
 
 def transfers(pairs: DataFrame, manual: DataFrame) -> DataFrame:
-    """(a, b, kind, seconds, metres), both ways, of pairs (a < b, m) and manual interchanges (a, b, metres).
+    """(a, b, kind, seconds, metres, minutes), both ways, of pairs (a < b, m) and manual interchanges (a, b, metres).
 
     A manual interchange replaces the routed walk at 80 metres a minute and may
     be longer than the limit; every transfer takes two minutes more than the
@@ -39,8 +39,8 @@ def transfers(pairs: DataFrame, manual: DataFrame) -> DataFrame:
     metres = F.coalesce("own", F.round(F.col("m") * 1.3).cast("long"))
     minutes = F.when(F.col("own").isNotNull(), F.bround(F.col("own") / 80.0, 1)).otherwise(F.col("m") * 1.3 / 75.0)
     kept = routed.withColumns({"metres": metres, "minutes": minutes}).where(F.col("own").isNotNull() | (F.col("metres") <= WALK_METRES))
-    out = kept.select("a", "b", F.lit(2).alias("kind"), ((F.ceil("minutes") + 2) * 60).cast("long").alias("seconds"), "metres")
-    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", "seconds", "metres"))
+    out = kept.select("a", "b", F.lit(2).alias("kind"), ((F.ceil("minutes") + 2) * 60).cast("long").alias("seconds"), "metres").withColumn("minutes", F.ceil(F.col("seconds") / 60))
+    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "kind", "seconds", "metres", "minutes"))
 
 
 def nearest(stops: DataFrame, points: DataFrame) -> DataFrame:
@@ -93,6 +93,51 @@ def slices(points: DataFrame, hops: DataFrame) -> DataFrame:
     return ends.select("hop", F.when(on, F.col("i")).otherwise(F.least("i", "whole")).alias("first"), F.when(on, F.col("j")).otherwise(F.greatest("i", "whole")).alias("last"))
 
 
+def with_via(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(trip, seq, stop): calls with a point put in between, where a rule (a, b, via) names their neighbours; numbered anew."""
+    w = Window.partitionBy("trip").orderBy("seq")
+    rows = calls.withColumn("next", F.lead("stop").over(w))
+    put = rows.join(rules, (F.col("stop") == F.col("a")) & (F.col("next") == F.col("b"))).select("trip", "seq", F.lit(1).alias("k"), F.col("via").alias("stop"))
+    both = rows.select("trip", "seq", F.lit(0).alias("k"), "stop").unionByName(put)
+    return both.select("trip", F.row_number().over(Window.partitionBy("trip").orderBy("seq", "k")).cast("long").alias("seq"), "stop")
+
+
+def largest_part(edges: DataFrame, nodes: DataFrame, metres: float = BRIDGE_METRES) -> DataFrame:
+    """Nodes (node, lat, lon) of the largest part of a track, once its parts are joined by bridges between their closest nodes.
+
+    Of parts of equal size the one of the least node is kept.
+    """
+    parts = track_components(edges).join(nodes, "node")
+    joined = edges.select("a", "b").unionByName(bridges(parts, metres).select("a", "b"))
+    whole = written(track_components(joined), "joined")
+    size = whole.groupBy("component").agg(F.count("*").alias("n")).agg(F.min_by("component", F.struct((-F.col("n")).alias("n"), "component")).alias("component"))
+    return nodes.join(whole.join(F.broadcast(size), "component").select("node"), "node", "left_semi")
+
+
+def path_or_line(pairs: DataFrame, lengths: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b, metres, straight): the length along the track of each pair (a, b), or the straight line where no path joins them."""
+    end = lambda k: places.select(F.col("node").alias(k), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+    rows = pairs.join(lengths.select(F.col("source").alias("a"), F.col("node").alias("b"), "length"), ["a", "b"], "left").join(end("a"), "a").join(end("b"), "b")
+    line = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return rows.select("a", "b", F.coalesce(F.col("length").cast("double"), line).alias("metres"), F.col("length").isNull().alias("straight"))
+
+
+def leg_lines(legs: DataFrame, points: DataFrame, places: DataFrame) -> DataFrame:
+    """(leg, positions): each leg as a line: its stations, and between those of a ride the part of its shape.
+
+    legs: (leg, shape, from_stop, to_stop); a leg of no shape, or of an unknown
+    one, is a straight line. points: (shape, seq, lat, lon); places: (stop, lat, lon).
+    """
+    end = lambda k, n: places.select(F.col("stop").alias(k), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"))
+    rows = legs.join(end("from_stop", 1), "from_stop").join(end("to_stop", 2), "to_stop")
+    cut = slices(points, rows.select(F.col("leg").alias("hop"), "shape", "lat1", "lon1", "lat2", "lon2"))
+    inner = rows.join(cut.withColumnRenamed("hop", "leg"), "leg").join(points, "shape").where(F.col("seq").between(F.col("first"), F.col("last")))
+    inner = inner.groupBy("leg").agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("v"))
+    at = lambda n: F.array(F.struct(F.col(f"lat{n}").alias("lat"), F.col(f"lon{n}").alias("lon")))
+    middle = F.coalesce(F.transform("v", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))), F.array().cast("array<struct<lat:double,lon:double>>"))
+    return rows.join(inner, "leg", "left").select("leg", F.concat(at(1), middle, at(2)).alias("positions"))
+
+
 def track_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) of undirected edges (a, b): the least node that each is connected to.
 
@@ -109,8 +154,8 @@ def track_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         new = written(labels.join(spread, F.col("node") == F.col("a"), "left").join(jump, "label", "left").select("node", F.col("label").alias("was"), F.least("label", "near", "further").alias("label")), "new")
         labels = new.select("node", "label")
         if new.where("label < was").isEmpty():
-            break
-    return labels.select("node", F.col("label").alias("component"))
+            return labels.select("node", F.col("label").alias("component"))
+    raise RuntimeError(f"components are not final after {rounds} rounds")
 
 
 def bridges(nodes: DataFrame, metres: float = BRIDGE_METRES) -> DataFrame:

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.text import normal_name
+from wayfold.functions.text import clean_name, normal_name
 from wayfold.functions.timefn import rollover, to_hhmm
 
+# A train's number, what a header cell holds, what no station's name holds, and the least minutes between metro stations.
 TRAIN_NUMBER = r"\b(\d{5}[A-Z]?)\b"
+HEADER_START, HEADER_CELLS = "STATION", ["TR.NO", "TRAIN NO"]
+NOT_A_STATION = ["LADIES ONLY", "TIME TABLE", "W.E.F", "TRAINS"]
+LEAST_SEGMENT_MINUTES = 1.0
+
+
+def is_header(cell: Column) -> Column:
+    u = F.upper(cell)
+    return u.startswith(HEADER_START) | reduce(or_, (u.contains(h) for h in HEADER_CELLS))
+
+
+def is_station(cell: Column) -> Column:
+    """Whether a cell names a station: not empty, no long cell of two lines, and no title."""
+    u = F.upper(cell)
+    return ~((F.btrim(cell) == "") | (cell == "nan") | ((F.length(cell) > 30) & cell.contains("\n")) | reduce(or_, (u.contains(t) for t in NOT_A_STATION)))
 
 
 def train_numbers(cell: Column) -> Column:
@@ -20,25 +38,77 @@ def train_numbers(cell: Column) -> Column:
 def unpivot(grid: DataFrame) -> DataFrame:
     """(train_number, station, time) of a sheet (sheet, row, name, cells).
 
-    A header row (its name starts with STATION) says which trains its columns
+    A header row (its name starts with STATION or holds TR.NO or TRAIN NO) says which trains its columns
     hold, down to the next header; a header cell without a number takes the one
     that fills a cell of the next three rows. A cell of two trains holds two
     times. Cells that are no time are left out.
     """
     cells = grid.select("sheet", "row", "name", F.posexplode("cells").alias("column", "cell"))
     down = Window.partitionBy("sheet", "column").orderBy("row")
-    is_header = F.upper("name").startswith("STATION")
+    header = is_header(F.col("name"))
     below = F.coalesce(*(F.nullif(F.regexp_extract(F.btrim(F.lead("cell", k).over(down)), r"^(\d{5}[A-Z]?)$", 1), F.lit("")) for k in (1, 2, 3)))
     own = train_numbers(F.col("cell"))
-    numbers = F.when(is_header, F.when(F.size(own) > 0, own).when((F.btrim("cell") != "") & below.isNotNull(), F.array(below)).otherwise(F.array().cast("array<string>")))
+    numbers = F.when(header, F.when(F.size(own) > 0, own).when((F.btrim("cell") != "") & below.isNotNull(), F.array(below)).otherwise(F.array().cast("array<string>")))
     carried = cells.withColumn("numbers", numbers).withColumn("trains", F.last("numbers", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = carried.where(~is_header & (F.size("trains") > 0) & (F.btrim("name") != ""))
+    rows = carried.where(~header & (F.size("trains") > 0) & is_station(F.col("name")))
     parts = F.split(F.btrim("cell"), r"\s+")
     parts = F.when((F.size("trains") > 1) & (F.size(parts) == F.size("trains")), parts).otherwise(F.array_repeat(F.btrim("cell"), F.size("trains")))
     pairs = rows.select("sheet", "row", "name", F.explode(F.arrays_zip(F.col("trains"), parts.alias("parts"))).alias("x")).select("sheet", "row", F.col("x.trains").alias("train_number"), F.btrim("name").alias("station"), to_hhmm(F.col("x.parts")).alias("time"))
     return pairs.where(F.col("time").isNotNull())
 
 
+def backward(calls: DataFrame) -> DataFrame:
+    """(train, source, from_stop, to_stop): neighbours in the last run of a train in a source whose times go back.
+
+    calls: (train, source, n, stop, minute) in the sheet's own order. Earlier
+    runs of a train are not looked at; times past midnight are put right first.
+    """
+    numbered = runs(calls.select(F.struct("train", "source").alias("trip"), "n", "stop", "minute")).join(calls.select(F.struct("train", "source").alias("trip"), "n", "minute"), ["trip", "n"])
+    whole = Window.partitionBy("trip")
+    last = numbered.withColumn("last", F.max("run").over(whole)).where("run = last")
+    timed = last.withColumn("at", past_midnight(F.col("minute"), F.min("minute").over(whole), F.max("minute").over(whole)))
+    order = whole.orderBy("n")
+    pairs = timed.withColumns({"next": F.lead("stop").over(order), "next_at": F.lead("at").over(order)})
+    return pairs.where(F.col("next_at") < F.col("at")).select("trip.train", "trip.source", F.col("stop").alias("from_stop"), F.col("next").alias("to_stop"))
+
+
+def assembled_lines(parts: DataFrame, renames: DataFrame) -> DataFrame:
+    """(line, pos, name, lat, lon): stations in order, from parts (line, part, reverse, skip, stops: array of (name, lat, lon)).
+
+    A part may run backwards and leave out its first stations then; renames
+    (line, name, new_name) apply to cleaned names.
+    """
+    turned = F.when(F.coalesce("reverse", F.lit(False)), F.reverse("stops")).otherwise(F.col("stops"))
+    used = F.slice(turned, F.coalesce("skip", F.lit(0)) + 1, F.greatest(F.size(turned) - F.coalesce("skip", F.lit(0)), F.lit(0)))
+    rows = parts.select("line", "part", F.posexplode(used).alias("i", "s")).select("line", "part", "i", clean_name(F.col("s.name")).alias("name"), "s.lat", "s.lon")
+    named = rows.join(renames.select("line", "name", "new_name"), ["line", "name"], "left")
+    pos = F.row_number().over(Window.partitionBy("line").orderBy("part", "i")) - 1
+    return named.select("line", pos.cast("long").alias("pos"), F.coalesce("new_name", "name").alias("name"), "lat", "lon")
+
+
+def unique_names(stations: DataFrame) -> DataFrame:
+    """The stations of lines (line, name); two of one name on a line are an error."""
+    twice = stations.groupBy("line", "name").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"stations of one name on a line: {[(r['line'], r['name']) for r in twice]}")
+    return stations
+
+
+def offsets(segments: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, pos, offset): minutes from a line's first station, of segments (line, pos, metres) that end at pos.
+
+    lines: (line, end_to_end, speed); a line without minutes from end to end
+    takes those of its length at its speed in km/h. They are dealt over the
+    segments by length, a minute to each at least.
+    """
+    whole = Window.partitionBy("line")
+    rows = segments.join(lines, "line").withColumn("all", F.sum("metres").over(whole))
+    minutes = F.coalesce("end_to_end", F.col("all") / 1000 / F.col("speed") * 60)
+    rows = rows.withColumn("minutes", F.greatest(F.lit(LEAST_SEGMENT_MINUTES), minutes * F.col("metres") / F.col("all")))
+    ends = rows.select("line", "pos", F.sum("minutes").over(whole.orderBy("pos")).alias("offset"))
+    return ends.unionByName(segments.select("line").distinct().select("line", F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("offset")))
+
+
 def alias_table(stations: DataFrame) -> DataFrame:
     """(alias, name) of stations (name, raw_names)."""
     return stations.select("name", F.explode(F.array_union(F.array("name"), "raw_names")).alias("raw")).select(normal_name(F.col("raw")).alias("alias"), "name").distinct()

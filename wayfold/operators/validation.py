@@ -12,6 +12,7 @@ from wayfold.operators.geometry import near_pairs
 
 #: Fixed values of the reference's checks.
 MAX_SPEED_KMH, LONG_HOP_KM, MAX_TRIP_MINUTES, STOP_METRES, MAX_FOOTPATH_METRES, REPORTED = 120, 1.5, 330, 200, 1200, 15
+MAX_GAP_MINUTES, PEAK_MINUTES, LENGTHS, MAX_METRO_KMH = 15, 0.6, (0.8, 1.15), 90
 
 
 def problems(df: DataFrame, check: str, *parts: Column) -> DataFrame:
@@ -47,6 +48,78 @@ def stations(places: DataFrame, box: tuple[float, float, float, float]) -> DataF
     return together(problems(twice, "stations", F.lit("name twice"), F.col("name")), problems(close, "stations", F.lit("too close"), text("a"), text("b")), problems(outside, "stations", F.lit("outside"), text("stop")))
 
 
+def northward(places: DataFrame, order: DataFrame, tolerance: float) -> DataFrame:
+    """Stops of a line's order (line, pos, stop) that lie south of the one before by more than the tolerance in degrees."""
+    w = Window.partitionBy("line").orderBy("pos")
+    rows = order.join(places.select("stop", "lat"), "stop").withColumns({"before": F.lag("stop").over(w), "before_lat": F.lag("lat").over(w)})
+    return problems(rows.where(F.col("lat") < F.col("before_lat") - tolerance), "stations", F.lit("south of"), *(F.col(c).cast("string") for c in ("line", "before", "stop")))
+
+
+def filed_lines(calls: DataFrame, trips: DataFrame, expected: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Trips (trip, route) that serve a stop of another route (expected: stop, route) or one that their route never serves (forbidden: route, stop)."""
+    served = calls.select("trip", "stop").distinct().join(trips, "trip")
+    text = lambda c: F.col(c).cast("string")
+    wrong = served.join(expected.select("stop", F.col("route").alias("wanted")), "stop").where(F.col("route") != F.col("wanted"))
+    return together(
+        problems(wrong, "lines", F.lit("wrong route"), text("trip"), text("stop"), text("wanted")),
+        problems(served.join(forbidden, ["route", "stop"], "left_semi"), "lines", F.lit("forbidden stop"), text("trip"), text("stop")),
+    )
+
+
+def shapes_by_stops(points: DataFrame, calls: DataFrame, places: DataFrame, metres: float = 1500) -> DataFrame:
+    """Shapes (shape, seq, lat, lon) none of whose points is near enough to a stop that they serve; calls: (shape, stop)."""
+    at = calls.select("shape", "stop").distinct().join(places.select("stop", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")), "stop")
+    near = points.join(at, "shape").groupBy("shape", "stop").agg(F.min(haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).alias("m"))
+    return problems(near.where(F.col("m") > metres), "shapes", F.lit("passes by"), F.col("shape").cast("string"), F.col("stop").cast("string"))
+
+
+def own_tracks(points: DataFrame, tracks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shapes that run over tracks of other lines only: points meet tracks (lat, lon, line) at five decimals; wanted: (shape, line)."""
+    key = [F.round(c, 5).alias(c) for c in ("lat", "lon")]
+    lines = tracks.select(*key, "line").groupBy("lat", "lon").agg(F.collect_set("line").alias("lines"))
+    rows = points.select("shape", *key).join(lines, ["lat", "lon"]).join(wanted, "shape").where(~F.array_contains("lines", F.col("line")))
+    off = rows.select("shape", F.explode("lines").alias("off")).distinct()
+    return problems(off, "shapes", F.lit("on tracks of"), F.col("shape").cast("string"), F.col("off").cast("string"))
+
+
+def facts(stats: DataFrame, published: DataFrame) -> DataFrame:
+    """Lines whose statistics (line, first, last, longest, peak_mean, minutes, km) differ from what is published.
+
+    published: (line, first, last, peak, minutes, km); a null fact isn't checked.
+    """
+    rows = stats.join(published.select("line", *(F.col(c).alias(f"p_{c}") for c in ("first", "last", "peak", "minutes", "km"))), "line")
+    line = F.col("line").cast("string")
+    return together(
+        problems(rows.where((F.col("first") != F.col("p_first")) | (F.col("last") != F.col("p_last"))), "metro", F.lit("first or last train"), line),
+        problems(rows.where(F.col("longest") > MAX_GAP_MINUTES), "metro", F.lit("gap"), line),
+        problems(rows.where(F.abs(F.col("peak_mean") - F.col("p_peak")) > PEAK_MINUTES), "metro", F.lit("headway"), line),
+        problems(rows.where(F.abs(F.col("minutes") - F.col("p_minutes")) > 1), "metro", F.lit("end to end"), line),
+        problems(rows.where(~F.col("km").between(LENGTHS[0] * F.col("p_km"), LENGTHS[1] * F.col("p_km"))), "metro", F.lit("length"), line),
+    )
+
+
+def metro_hops(times: DataFrame, places: DataFrame) -> DataFrame:
+    """Hops of trips (trip, seq, stop, arr, dep) of less than a minute, or of more than half a kilometre at over 90 km/h."""
+    w = Window.partitionBy("trip").orderBy("seq")
+    rows = times.join(places.select("stop", "lat", "lon"), "stop").withColumns({f"next_{c}": F.lead(c).over(w) for c in ("stop", "arr", "lat", "lon")})
+    rows = rows.withColumns({"km": haversine(F.col("lat"), F.col("lon"), F.col("next_lat"), F.col("next_lon")) / 1000, "minutes": F.col("next_arr") - F.col("dep")})
+    bad = (F.col("minutes") < 1) | ((F.col("km") > 0.5) & (F.col("km") * 60 > MAX_METRO_KMH * F.col("minutes")))
+    return problems(rows.where(bad), "metro", F.lit("hop"), F.col("trip").cast("string"), F.col("seq").cast("string"))
+
+
+def loaded(stops: DataFrame, trips: DataFrame, calls: DataFrame, transfers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What a network is built of: stops with an id, calls of known stops and trips, trips with calls, transfers between two known stops.
+
+    Transfers (a, b) from a stop to itself go as well.
+    """
+    stops = stops.where((F.col("stop") != "") & F.col("stop").isNotNull())
+    calls = calls.join(stops.select("stop"), "stop", "left_semi").join(trips.select("trip"), "trip", "left_semi")
+    trips = trips.join(calls.select("trip"), "trip", "left_semi")
+    end = lambda c: stops.select(F.col("stop").alias(c))
+    transfers = transfers.where(F.col("a") != F.col("b")).join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi")
+    return stops, trips, calls, transfers
+
+
 def trips(times: DataFrame, places: DataFrame) -> DataFrame:
     """Of trips' calls (trip, seq, stop, arr, dep): one call only, a stop twice, times that go back, impossible speeds, very long trips."""
     w = Window.partitionBy("trip").orderBy("seq")
@@ -113,9 +186,15 @@ def shape_ends(points: DataFrame, calls: DataFrame, places: DataFrame, metres: f
 
 
 def headways(departures: DataFrame, peak: tuple[int, int]) -> DataFrame:
-    """(line, first, last, n, longest, peak_mean) of departures (line, minute): gaps, and their mean after departures in [peak)."""
-    w = Window.partitionBy("line").orderBy("minute")
-    rows = departures.withColumn("gap", F.lead("minute").over(w) - F.col("minute"))
+    """(line, first, last, n, longest, peak_mean) of departures (line, minute): gaps, and their mean after departures in [peak).
+
+    Gaps are found day by day; those over midnights from each day's first minute.
+    """
+    day = F.floor(F.col("minute") / 1440)
+    rows = departures.withColumn("day", day)
+    w = Window.partitionBy("line").orderBy("day")
+    firsts = rows.groupBy("line", "day").agg(F.min("minute").alias("minute")).select("line", "day", F.lead("minute").over(w).alias("next_day"))
+    rows = rows.join(firsts, ["line", "day"]).withColumn("gap", F.coalesce(F.lead("minute").over(Window.partitionBy("line", "day").orderBy("minute")), "next_day") - F.col("minute"))
     inside = (F.col("minute") >= peak[0]) & (F.col("minute") < peak[1])
     return rows.groupBy("line").agg(
         F.min("minute").alias("first"), F.max("minute").alias("last"), F.count("*").alias("n"), F.max("gap").alias("longest"), F.avg(F.when(inside, F.col("gap"))).alias("peak_mean")

@@ -212,12 +212,21 @@ _HEADWAY = """SELECT line, min(minute) AS first, max(minute) AS last, count(*) A
 FROM (SELECT line, minute, lead(minute) OVER (PARTITION BY line ORDER BY minute) - minute AS gap FROM dep) GROUP BY line"""
 
 ORACLE_SQL = {
+    "shape_checks": f"""{_HEAD}, placed AS (SELECT trip, seq, d.stop, lat, lon FROM day_time d JOIN place p ON d.stop = p.stop), point AS (
+  SELECT trip + CASE WHEN trip % 17 = 0 THEN 10000000 ELSE 0 END AS shape, seq, lat, lon FROM placed WHERE NOT (trip % 13 = 0 AND seq > 1)
+), pe AS (
+  SELECT shape, arg_min(lat, seq) AS a1, arg_min(lon, seq) AS o1, arg_max(lat, seq) AS a2, arg_max(lon, seq) AS o2 FROM point GROUP BY shape
+), se AS (
+  SELECT trip AS shape, arg_min(lat, seq) AS a1, arg_min(lon, seq) AS o1, arg_max(lat, seq) AS a2, arg_max(lon, seq) AS o2 FROM placed GROUP BY trip
+) SELECT 'shapes' AS "check", 'unused ' || shape AS problem FROM pe WHERE shape NOT IN (SELECT trip FROM day_time)
+UNION ALL SELECT DISTINCT 'shapes', 'missing ' || trip FROM day_time WHERE trip NOT IN (SELECT shape FROM pe)
+UNION ALL SELECT 'shapes', 'ends away ' || pe.shape FROM pe JOIN se ON pe.shape = se.shape WHERE {haversine_sql('pe.a1', 'pe.o1', 'se.a1', 'se.o1')} > 1500 OR {haversine_sql('pe.a2', 'pe.o2', 'se.a2', 'se.o2')} > 1500""",
     "station_pairs_near": f"{_HEAD}, {_PAIRS} SELECT a, b, CAST(round(m) AS BIGINT) AS metres FROM pairs",
     "transfer_table": f"""{_HEAD}, {_PAIRS}, costed AS (
   SELECT a, b, CASE WHEN (a * b) % 50 = 0 THEN 100 + (a + b) % 1500 ELSE CAST(round(m * 1.3) AS BIGINT) END AS metres, (a * b) % 50 = 0 AS own,
          CASE WHEN (a * b) % 50 = 0 THEN round_even((100 + (a + b) % 1500) / 80.0, 1) ELSE m * 1.3 / 75.0 END AS minutes FROM pairs
-), kept AS (SELECT a, b, 2 AS kind, CAST((ceil(minutes) + 2) * 60 AS BIGINT) AS seconds, metres FROM costed WHERE own OR metres <= 1000)
-SELECT * FROM kept UNION ALL SELECT b, a, kind, seconds, metres FROM kept""",
+), kept AS (SELECT a, b, 2 AS kind, CAST((ceil(minutes) + 2) * 60 AS BIGINT) AS seconds, metres FROM costed WHERE own OR metres <= 1000), timed AS (SELECT *, CAST(ceil(seconds / 60) AS BIGINT) AS minutes FROM kept)
+SELECT * FROM timed UNION ALL SELECT b, a, kind, seconds, metres, minutes FROM timed""",
     "nearest_track_point": f"""{_HEAD}, point AS (SELECT p_partkey AS point, CAST(p_size % 5 AS BIGINT) AS line, {_PLACE.format(k='(p_partkey * 3 + 1)')} FROM part), close AS (
   SELECT * FROM (SELECT stop, point.line, point, {haversine_sql('place.lat', 'place.lon', 'point.lat', 'point.lon')} AS m FROM place, point) WHERE m < 1000
 ), by_line AS (SELECT stop, line, min(struct_pack(m := m, p := point)) AS x FROM close GROUP BY stop, line), ranked AS (

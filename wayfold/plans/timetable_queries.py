@@ -22,7 +22,7 @@ PRINTED = "(VALUES ('dadar '), ('KING''S   CIRCLE'), ('matunga rd'), ('Bandra'),
 OSM_NAMES = "(VALUES ('A1', 'Mill Lane (Line 4)'), ('B7', 'Old Dock (North) [Line 9]'), ('C3', 'Fair  Oak (eastbound)'), ('D2', ' St. K. Cross '), ('A1', 'Low Hill [y] (westbound)')) AS t(line, name)"
 GRID = """(VALUES
   (1, 1, 'STATIONS', array('DRD 93001', 'VR', '95802      97202')), (1, 2, '', array('', '93005', '')), (1, 3, 'Virar ', array('5:12', '6:00:31', '7:00 7:30')), (1, 4, 'Nallasopara', array('', '06:05', '7:05')),
-  (1, 5, 'Station', array('93007', '', '93009A')), (1, 6, 'Virar', array('23:59:30', '8:00', '9:10')), (2, 1, 'STATION', array('94001', '94003')), (2, 2, 'Panvel', array('x', '10:00'))) AS t(sheet, row, name, cells)"""
+  (1, 5, 'Station', array('93007', '', '93009A')), (1, 6, 'Virar', array('23:59:30', '8:00', '9:10')), (2, 1, 'STATION', array('94001', '94003')), (2, 2, 'Panvel', array('x', '10:00')), (2, 3, 'LADIES ONLY', array('9:00', '9:01')), (2, 4, 'TRAIN NO.', array('', '94005')), (2, 5, 'nan', array('1:00', '1:00')), (2, 6, 'Nerul', array('11:00', '11:05'))) AS t(sheet, row, name, cells)"""
 DIRECTIONS = "(VALUES ('A', 0, 330, 1380), ('A', 1, 335, 1395), ('B', 0, 360, 1320)) AS t(line, dir, first, last)"
 BANDS = "(VALUES ('A', 0, 480, 8.0), ('A', 480, 660, 3.5), ('A', 660, 1440, 7.0), ('B', 0, 1440, 10.5)) AS t(line, start, stop, minutes)"
 OFFSETS = "(VALUES ('A', 0, 0.0), ('A', 1, 2.5), ('A', 2, 4.5), ('A', 3, 8.25), ('B', 0, 0.0), ('B', 1, 1.5)) AS t(line, pos, offset)"
@@ -150,10 +150,11 @@ def branch_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headway_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The headway of line A in force at the time of each event."""
+    """The headway of line A in force at the time of each event; a time in no band is an error."""
     minute = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
     events = table(spark, sf_dir, "events").select("event_id", minute.alias("minute"))
-    return events.join(F.broadcast(_given(spark, BANDS).where("line = 'A'")), (F.col("minute") >= F.col("start")) & (F.col("minute") < F.col("stop"))).select("event_id", "minute", F.col("minutes").cast("double").alias("headway"))
+    rows = events.join(F.broadcast(_given(spark, BANDS).where("line = 'A'")), (F.col("minute") >= F.col("start")) & (F.col("minute") < F.col("stop")), "left")
+    return rows.select("event_id", "minute", F.coalesce(F.col("minutes").cast("double"), F.raise_error(F.concat(F.lit("no headway at minute "), F.col("minute").cast("string"))).cast("double")).alias("headway"))
 
 
 def _departures(spark: SparkSession) -> DataFrame:
@@ -166,7 +167,7 @@ def headway_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metro_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated trips at each station, both directions."""
+    """Generated trips at each station, both directions."""
     offsets = _given(spark, OFFSETS).selectExpr("line", "pos", "CAST(offset AS DOUBLE) AS offset")
     return timetable.metro_stop_times(_departures(spark), offsets)
 
@@ -202,7 +203,7 @@ FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
   SELECT raw, TRY_CAST(regexp_extract(raw, {_FULL}, 1) AS BIGINT) * 60 + TRY_CAST(regexp_extract(raw, {_FULL}, 2) AS BIGINT) + CAST(round_even(coalesce(TRY_CAST(regexp_extract(raw, {_FULL}, 3) AS DOUBLE), 0) / 60, 0) AS BIGINT) AS t FROM {TIMES})""",
     "train_numbers": f"SELECT cell, array_to_string(regexp_extract_all(string_split(cell, chr(10))[1], '\\b(\\d{{5}}[A-Z]?)\\b', 1), ' ') AS numbers FROM {HEADERS}",
     "unpivot_timetable": """SELECT * FROM (VALUES (1, 3, '93001', 'Virar', '05:12'), (1, 3, '93005', 'Virar', '06:01'), (1, 3, '95802', 'Virar', '07:00'), (1, 3, '97202', 'Virar', '07:30'), (1, 4, '93005', 'Nallasopara', '06:05'),
-  (1, 4, '95802', 'Nallasopara', '07:05'), (1, 4, '97202', 'Nallasopara', '07:05'), (1, 6, '93007', 'Virar', '23:59'), (1, 6, '93009A', 'Virar', '09:10'), (2, 2, '94003', 'Panvel', '10:00')) AS t(sheet, row, train_number, station, time)""",
+  (1, 4, '95802', 'Nallasopara', '07:05'), (1, 4, '97202', 'Nallasopara', '07:05'), (1, 6, '93007', 'Virar', '23:59'), (1, 6, '93009A', 'Virar', '09:10'), (2, 2, '94003', 'Panvel', '10:00'), (2, 6, '94005', 'Nerul', '11:05')) AS t(sheet, row, train_number, station, time)""",
     "line_catalog": """WITH line AS (
   SELECT 'L' || p_partkey AS id, p_name || ' Line' AS name, upper(substr(p_name, 1, 3)) AS short_name, printf('#%06X', (CAST(p_partkey AS BIGINT) * 7919 * 613) % 16777216) AS color, (CAST(p_partkey AS BIGINT) * 7919 * 613) % 16777216 AS c,
     CASE p_size % 13 WHEN 1 THEN 'METRO' WHEN 12 THEN 'MONORAIL' ELSE 'LOCAL' END AS mode FROM part

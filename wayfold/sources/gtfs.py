@@ -35,7 +35,9 @@ def read_table(spark: SparkSession, folder: str, name: str, suffix: str = "txt")
     schema = T.StructType.fromDDL(SCHEMAS[name])
     try:
         raw = spark.read.options(**{**_CSV, "inferSchema": False}).csv(f"{folder}/{name}.{suffix}")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
     def column(f: T.StructField) -> Column:
@@ -52,6 +54,31 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
+def read_grid(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """A sheet saved as CSV without a header, as (sheet, row, name, cells): its first column, and the others."""
+    raw = spark.read.options(quote='"', escape='"', multiLine=True, header=False).csv(path)
+    cells = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in raw.columns[1:]))
+    # one file is one partition, read in its order
+    return raw.coalesce(1).select(F.lit(sheet).alias("sheet"), (F.monotonically_increasing_id() + 1).alias("row"), F.coalesce(F.col(raw.columns[0]), F.lit("")).alias("name"), cells.alias("cells"))
+
+
+def read_map(spark: SparkSession, path: str) -> DataFrame:
+    """(relation, name, stops, ways) of JSON documents of map relations."""
+    kind = "relation long, name string, stops array<struct<name:string,lat:double,lon:double>>, ways array<array<array<double>>>"
+    return spark.read.schema(kind).option("multiLine", True).json(path)
+
+
+def read_interchanges(spark: SparkSession, path: str) -> DataFrame:
+    """(a, b, metres, note) of official interchanges."""
+    kind = "interchanges array<struct<a:string,b:string,meters:int,note:string>>"
+    return spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("interchanges").alias("x")).select("x.a", "x.b", F.col("x.meters").alias("metres"), "x.note")
+
+
+def merged_walks(known: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Known walks (a, b, ..) and those fetched for pairs that lack, sorted by pair; a known walk stays as it is."""
+    return known.unionByName(fetched.join(known.select("a", "b"), ["a", "b"], "left_anti")).orderBy("a", "b")
+
+
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """(name, raw_names, lat, lon) of a JSON object keyed by name."""
     kind = "map<string,struct<raw_names:array<string>,lat:double,lon:double>>"
