@@ -183,11 +183,21 @@ def test_sorted_suffixes():
     strings = ["".join(random.choice("ab") for _ in range(random.randint(0, 30))).encode() for _ in range(60)] + [b"a" * 20, b"ab" * 10, b""]
     size = np.array([len(s) for s in strings])
     stops = np.cumsum(size)
-    who, length, common = suffix_dedup.sorted_suffixes(np.frombuffer(b"".join(strings), np.uint8), stops - size, stops)
+    found = [np.concatenate(list(suffix_dedup.sorted_suffixes(np.frombuffer(b"".join(strings), np.uint8), stops - size, stops, buffer))) for buffer in (1, 7, 256, 1 << 18)]
+    assert all((x == found[-1]).all() for x in found)
+    who, length, common = (found[-1][c] for c in ("string", "length", "common"))
     want = sorted((s[len(s) - k :], i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
     assert [(i, k) for _, i, k in want] == list(zip(who.tolist(), length.tolist()))
     prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert common.tolist() == [0] + [prefix(a[0], b[0]) for a, b in zip(want, want[1:])]
+    # windows that occur twice, however the order is dealt into parts
+    many = np.arange(len(strings)) % 7 == 0
+    seen = [s[len(s) - k :][:6] for s, _, k in ((strings[i], i, k) for _, i, k in want)]
+    twice = [j for j, (_, i, k) in enumerate(want) if k >= 6 and (seen.count(seen[j]) > 1 or many[i])]
+    for buffer in (1, 5, 4096):
+        group, string, size = suffix_dedup._repeats((found[-1][i : i + buffer] for i in range(0, len(want), buffer)), 6, many)
+        assert list(zip(string.tolist(), size.tolist())) == [want[j][1:] for j in twice]
+        assert len(set(zip(group.tolist(), [seen[j] for j in twice]))) == len(set(group.tolist())) == len({seen[j] for j in twice})
 
 
 def test_ngram_join(spark, docs, odd):

@@ -5,11 +5,12 @@ grams in it, so equal strings have equal anchors. A count-min sketch of anchor
 occurrences, merged over all tasks, leaves the strings whose anchor may occur
 twice; a run of them under one anchor is a segment. Segments are dealt by
 anchor, and in each group the Burrows-Wheeler transform and the common
-prefixes of the collection of its distinct segments are built column by
-column: every round puts one more symbol of each segment in front of its
-suffix and inserts the new suffixes into the sorted order. The order lives in
-files that a round reads and writes from front to back. Suffixes with a common
-prefix of 100 bytes are occurrences of one string; all but the earliest go.
+prefixes of the collection of its distinct segments, each with its places, are
+built column by column: every round puts one more symbol of each segment in
+front of its suffix and inserts the new suffixes into the sorted order. The
+order lives in files that a round reads and writes from front to back through
+a buffer. Suffixes with a common prefix of 100 bytes are one string; of all
+the places of their segments, the earliest stays.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,9 @@ HELD = 300_000
 GROUPED = 200_000
 #: Segments that are sorted together, at least; the segments of an anchor always are.
 SORTED = 1500
-#: Entries of the sorted order that a round reads or writes at once.
-CHUNK = 1 << 22
+#: Suffixes of the sorted order that a round reads or writes at once, of eight bytes each.
+BUFFER = 1 << 18
+SUFFIX = np.dtype([("symbol", "u1"), ("common", "u1"), ("length", "u2"), ("string", "u4")])
 
 
 def _sums(data: np.ndarray, which: int) -> np.ndarray:
@@ -70,113 +74,141 @@ def occurrences(codes: np.ndarray, least: np.ndarray, full: np.ndarray, width: i
 
 
 class Order:
-    """The sorted suffixes of a collection, as two files by turns: of each, the symbol before it and its common prefix with the one before."""
-
-    def __init__(self, folder: str):
-        self.folder, self.turn, self.size = folder, 0, 0
-
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        """(symbols, common prefixes), read from front to back."""
-        out = np.empty((self.size, 2), np.uint8)
-        with open(f"{self.folder}/order-{self.turn % 2}", "rb") as f:
-            for at in range(0, self.size, CHUNK):
-                f.readinto(memoryview(out[at : at + CHUNK]).cast("B"))
-        return np.ascontiguousarray(out[:, 0]), np.ascontiguousarray(out[:, 1])
-
-    def insert(self, symbol: np.ndarray, common: np.ndarray, at: np.ndarray, new_symbol: np.ndarray, new_common: np.ndarray) -> None:
-        """Write the order from front to back to the other file, with new suffixes at places `at` of the result."""
-        size = len(symbol) + len(at)
-        new = np.stack([new_symbol, new_common], 1).view(np.uint16).ravel()
-        old = np.stack([symbol, common], 1).view(np.uint16).ravel()
-        with open(f"{self.folder}/order-{(self.turn + 1) % 2}", "wb") as f:
-            done = taken = 0
-            for start in range(0, size, CHUNK):
-                stop = min(size, start + CHUNK)
-                upto = int(np.searchsorted(at, stop))
-                part = np.empty(stop - start, np.uint16)
-                stay = np.ones(stop - start, bool)
-                stay[at[taken:upto] - start] = False
-                kept = stop - start - (upto - taken)
-                part[stay] = old[done : done + kept]
-                part[at[taken:upto] - start] = new[taken:upto]
-                part.tofile(f)
-                done, taken = done + kept, upto
-        self.turn, self.size = self.turn + 1, size
-
-
-def _by_symbol(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(places by symbol, each place's rank in that list, the number of ends)."""
-    order = np.argsort(symbol, kind="stable")
-    rank = np.empty(len(symbol), np.int32)
-    rank[order] = np.arange(len(symbol), dtype=np.int32)
-    return order, rank, int(np.count_nonzero(symbol == 0))
-
-
-def sorted_suffixes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, length, common prefix with the suffix before) of all suffixes of strings of at most 255 bytes, in order.
+    """The sorted suffixes of a collection, in two files by turns: whose each is, how long, the symbol before it and its common prefix with the one before.
+
+    Rounds read and write `buffer` suffixes at a time. The order only grows, so
+    that a file is written over and never cut.
+    """
+
+    def __init__(self, files: list[BinaryIO], buffer: int):
+        self.files, self.buffer, self.turn, self.size = files, buffer, 0, 0
+        #: How often each symbol stands in the order.
+        self.count = np.zeros(256, np.int64)
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(place of the first, suffixes), from front to back."""
+        file = self.files[self.turn % 2]
+        file.seek(0)
+        for at in range(0, self.size, self.buffer):
+            part = np.empty(min(self.buffer, self.size - at), SUFFIX)
+            file.readinto(memoryview(part.view(np.uint8)))
+            yield at, part
+
+    def insert(self, to: np.ndarray, new: np.ndarray, changed: np.ndarray, common: np.ndarray) -> None:
+        """Write the order with new suffixes at places `to` of the result, and other common prefixes of the suffixes at places `changed` now."""
+        file = self.files[(self.turn + 1) % 2]
+        file.seek(0)
+        before = to - np.arange(len(to))
+        done = 0
+        for at, part in self.chunks():
+            a, b = np.searchsorted(changed, [at, at + len(part)])
+            part["common"][changed[a:b] - at] = common[a:b]
+            upto = int(np.searchsorted(before, at + len(part)))
+            file.write(memoryview(np.insert(part.view(np.uint64), before[done:upto] - at, new[done:upto].view(np.uint64)).view(np.uint8)))
+            done = upto
+        file.write(memoryview(new[done:].view(np.uint8)))
+        self.turn, self.size = self.turn + 1, self.size + len(to)
+        self.count += np.bincount(new["symbol"], minlength=256)
+
+
+def _least_between(common: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of common[low:high], for all pairs."""
+    if not len(low):
+        return np.zeros(0, np.uint8)
+    first = np.argsort(low, kind="stable")
+    out = np.empty(len(low), np.uint8)
+    out[first] = np.minimum.reduceat(np.append(common, np.uint8(255)), np.stack([low[first], high[first]], 1).ravel())[::2]
+    return out
+
+
+def _places(order: Order, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the suffixes at `at`, in order, and the symbols before them: (how often a symbol stands before its place,
+    the least common prefix since the last place of the symbol, the least up to the next one).
+
+    One pass. Between chunks only the least common prefix since each symbol's
+    last place is kept, and which suffix still waits for the next one.
+    """
+    seen, since = np.zeros(256, np.int64), np.full(256, 255, np.uint8)
+    waiting = np.full(256, -1)
+    nth, back, ahead = np.empty(len(at), np.int64), np.empty(len(at), np.uint8), np.full(len(at), 255, np.uint8)
+    for start, part in order.chunks():
+        symbol, common = np.ascontiguousarray(part["symbol"]), np.ascontiguousarray(part["common"])
+        by = np.argsort(symbol, kind="stable")
+        rank = np.empty(len(by), np.int32)
+        rank[by] = np.arange(len(by), dtype=np.int32)
+        here = np.bincount(symbol, minlength=256)
+        first = np.cumsum(here) - here
+        from_start = np.minimum.accumulate(common)
+        behind = np.append(np.minimum.accumulate(common[::-1])[::-1], np.uint8(255))
+        some = here > 0
+        # who waits for a symbol that stands here has its next place
+        waits = np.flatnonzero(waiting >= 0)
+        met = waits[some[waits]]
+        ahead[waiting[met]] = np.minimum(ahead[waiting[met]], from_start[by[first[met]]])
+        waiting[met] = -1
+        waits = waits[~some[waits]]
+        ahead[waiting[waits]] = np.minimum(ahead[waiting[waits]], from_start[-1])
+        i, j = np.searchsorted(at, [start, start + len(part)])
+        p, c = at[i:j] - start, own[i:j]
+        r = rank[p]
+        nth[i:j] = seen[c] + r - first[c]
+        inside = r > first[c]
+        back[i:j] = np.minimum(since[c], from_start[p])
+        back[i:j][inside] = _least_between(common, by[r[inside] - 1] + 1, p[inside] + 1)
+        inside = r + 1 < first[c] + here[c]
+        ahead[i:j][inside] = _least_between(common, p[inside] + 1, by[r[inside] + 1] + 1)
+        last = np.flatnonzero(~inside)
+        ahead[i:j][last] = behind[p[last] + 1]
+        waiting[c[last]] = i + last
+        seen += here
+        since = np.minimum(since, from_start[-1])
+        since[some] = behind[by[(first + here - 1)[some]] + 1]
+    return nth, back, ahead
+
+
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, buffer: int = BUFFER) -> Iterator[np.ndarray]:
+    """All suffixes of strings of at most 255 bytes, in order, `buffer` at a time: string, length, common prefix with the suffix before.
 
     Equal suffixes are in the order of their strings. Round r puts the r-th
     symbol from the end of each string that has one in front of its suffix.
     The place of c + S among the suffixes that begin with c is the number of
     symbols c before S in the transform; its common prefix with the c + S'
-    before it is one more than the least between S' and S.
+    before it is one more than the least between S' and S. Beside the strings,
+    memory holds some 60 bytes for each string and 40 for each suffix of the
+    buffer; the order itself is in files.
     """
     n = len(starts)
     size = stops - starts
 
-    def before(who: np.ndarray, length: int) -> np.ndarray:
-        """The symbol before a suffix: a byte plus one (255 is no byte of UTF-8), or 0 where it is the whole string."""
-        if not len(data):
-            return np.zeros(len(who), np.uint8)
-        return np.where(size[who] > length, data[np.maximum(stops[who] - length - 1, 0)] + np.uint8(1), np.uint8(0))
-
-    with tempfile.TemporaryDirectory() as folder:
-        order = Order(folder)
-        who, none = np.arange(n), np.zeros(0, np.uint8)
-        order.insert(none, none, who, before(who, 0), np.zeros(n, np.uint8))
-        at = who
+    def suffixes(who: np.ndarray, length: int, common: np.ndarray) -> np.ndarray:
+        """The symbol before a suffix is a byte plus one (255 is no byte of UTF-8), or 0 where it is the whole string."""
+        out = np.zeros(len(who), SUFFIX)
+        out["string"], out["length"], out["common"] = who, length, common
+        if len(data):
+            out["symbol"] = np.where(size[who] > length, data[np.maximum(stops[who] - length - 1, 0)] + np.uint8(1), np.uint8(0))
+        return out
+
+    with tempfile.TemporaryFile() as one, tempfile.TemporaryFile() as two:
+        order = Order([one, two], buffer)
+        at = np.arange(n)
+        new = suffixes(at, 0, np.zeros(n, np.uint8))
+        order.insert(at, new, at[:0], at[:0])
         for r in range(1, int(size.max(initial=0)) + 1):
-            symbol, common = order.read()
-            going = symbol[at] > 0
-            who, at = who[going], at[going]
-            by_symbol, ranks, ends = _by_symbol(symbol)
-            rank = ranks[at]
-            sort = np.argsort(rank, kind="stable")
-            who, at, rank = who[sort], at[sort], rank[sort]
-            own = symbol[at]
-            previous = by_symbol[rank - 1]
-            follows = (rank > ends) & (symbol[previous] == own)
-            following = by_symbol[np.minimum(rank + 1, len(symbol) - 1)]
-            leads = (rank + 1 < len(symbol)) & (symbol[following] == own)
-            low = np.concatenate([previous[follows], at[leads]]) + 1
-            high = np.concatenate([at[follows], following[leads]]) + 1
-            first = np.argsort(low, kind="stable")
-            least = np.zeros(len(low), np.uint8)
-            if len(low):
-                cut = np.stack([low[first], high[first]], 1).ravel()
-                least[first] = np.minimum.reduceat(np.append(common, np.uint8(0)), cut)[::2] + np.uint8(1)
-            n_follow = int(follows.sum())
-            new = np.zeros(len(who), np.uint8)
-            new[follows] = least[:n_follow]
+            going = new["symbol"] > 0
+            at, who, own = at[going], new["string"][going], new["symbol"][going].astype(np.int64)
+            nth, back, ahead = _places(order, at, own)
+            follows, leads = nth > 0, nth + 1 < order.count[own]
+            # suffixes by their first symbol: the n empty ones, then those behind each symbol but the ends
+            to = n + (np.cumsum(order.count) - order.count - order.count[0])[own] + nth
+            by = np.argsort(to, kind="stable")
+            at, new = to[by], suffixes(who[by], r, np.where(follows, back + np.uint8(1), np.uint8(0))[by])
             # an old suffix that comes to stand behind a new one has a new common prefix too
-            to = n + rank - ends
-            behind = to[leads] + 1
-            slot = np.searchsorted(to, behind)
-            old = to[np.minimum(slot, len(to) - 1)] != behind
-            common[(behind - slot)[old]] = least[n_follow:][old]
-            order.insert(symbol, common, to, before(who, r), new)
-            at = to
-        symbol, common = order.read()
-    # whose suffix stands where: from each end, the suffix longer by one stands at its symbol's rank
-    _, ranks, ends = _by_symbol(symbol)
-    string, length = np.empty(len(symbol), np.int32), np.empty(len(symbol), np.uint8)
-    who, r = np.arange(n), 0
-    at = who
-    while len(who):
-        string[at], length[at] = who, r
-        going = symbol[at] > 0
-        who, at, r = who[going], n + ranks[at[going]] - ends, r + 1
-    return string, length, common
+            behind, common = at[leads[by]] + 1, (ahead + np.uint8(1))[by][leads[by]]
+            slot = np.searchsorted(at, behind)
+            old = at[np.minimum(slot, len(at) - 1)] != behind
+            order.insert(at, new, (behind - slot)[old], common[old])
+        for _, part in order.chunks():
+            yield part
 
 
 def may_share(strings: list[bytes], anchor: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -206,21 +238,38 @@ def may_share(strings: list[bytes], anchor: np.ndarray, window: int, gram: int)
     return found
 
 
-def _later(strings: list[bytes], doc: np.ndarray, code: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of the windows of distinct strings that are equal to an earlier one of any of them."""
-    size = np.array([len(s) for s in strings], np.int64)
-    stops = np.cumsum(size)
-    who, length, common = sorted_suffixes(np.frombuffer(b"".join(strings), np.uint8), stops - size, stops)
-    long = length >= window
-    who, length, same = who[long], length[long], (common >= window)[long]
-    offset = size[who] - length
-    group = np.cumsum(~same)
-    many = same.copy()
-    many[:-1] |= same[1:]
-    who, offset, group = who[many], offset[many], group[many]
-    by = np.lexsort((start[who] + offset, code[who], doc[who], group))
-    later = by[1:][group[by][1:] == group[by][:-1]]
-    return who[later], offset[later]
+def _repeats(parts: Iterator[np.ndarray], window: int, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of equal windows, string, length) of the windows that occur twice: in two suffixes, or in one of a string of many occurrences."""
+    kept, held, count = [np.zeros(0, SUFFIX)], np.zeros(0, SUFFIX), 0
+    groups = [np.zeros(0, np.int64)]
+    for part in chain(parts, [None]):
+        last = part is None
+        # a shorter suffix between two has less in common with the second than a window, and so have they
+        part = held if last else np.concatenate([held, part[part["length"] >= window]])
+        if not len(part):
+            continue
+        same = part["common"] >= window
+        group = count + np.cumsum(~same)
+        twice = many[part["string"]] | same
+        twice[:-1] |= same[1:]
+        # the last one's like may open the next part
+        done = len(part) if last else len(part) - 1
+        count = int(group[done - 1]) if done else count
+        kept.append(part[:done][twice[:done]])
+        groups.append(group[:done][twice[:done]])
+        held = part[done:]
+    found = np.concatenate(kept)
+    return np.concatenate(groups), found["string"].astype(np.int64), found["length"].astype(np.int64)
+
+
+def _string_runs(string: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, length) of the runs of consecutive offsets."""
+    order = np.lexsort((offset, string))
+    string, offset = string[order], offset[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1)
+    at = np.flatnonzero(new)
+    return string[at], offset[at], np.diff(at, append=len(order))
 
 
 def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width: int) -> DataFrame:
@@ -237,7 +286,7 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
     bits, n_places = merged_sketch(docs.select("doc_id", "text").mapInArrow(lambda batches: sketch_rows(places(batches), depth, width), SKETCH_SCHEMA), depth, width)
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
     groups = max(1, -(-n_places // GROUPED))
-    names = ["bucket", "doc_id", "text_code", "start", "size", "anchor", "data"]
+    names = ["bucket", "doc_id", "text_code", "start", "member", "size", "anchor", "data"]
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(sent.value, np.uint8)
@@ -246,25 +295,27 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
         n_held = 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            """Segments by group. Of equal ones only the earliest here goes with its bytes; the fate of the others is known."""
+            """Segments by group: the bytes of each distinct one, and which of these stands at which place."""
             nonlocal held, texts, n_held
             if held:
                 anchor, doc, code, start, size, one, two = (np.concatenate(x) for x in zip(*held, strict=True))
                 data = [s for part in texts for s in part]
-                order = np.lexsort((start, code, doc, size, two, one))
+                order = np.lexsort((size, two, one))
                 new = np.ones(len(order), bool)
+                new[1:] = False
                 for x in (one, two, size):
-                    new[1:] &= x[order[1:]] == x[order[:-1]]
-                new[0] = False
-                earliest = np.zeros(len(order), bool)
-                earliest[order[~new]] = True
+                    new[1:] |= x[order[1:]] != x[order[:-1]]
+                which, shown = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+                which[order], shown[order[new]] = np.cumsum(new), True
                 bucket = (anchor % U(groups)).astype(np.int64)
-                order = np.lexsort((~earliest, bucket))
+                order = np.lexsort((which, ~shown, bucket))
                 columns: list[list] = [[] for _ in names]
                 for a, b in pieces(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)):
                     part = order[a:b]
-                    with_bytes = part[earliest[part]]
-                    for column, v in zip(columns, (int(bucket[part[0]]), doc[part].tobytes(), code[part].tobytes(), start[part].astype(np.int32).tobytes(), size[part].astype(np.uint8).tobytes(), anchor[with_bytes].tobytes(), b"".join([data[i] for i in with_bytes.tolist()])), strict=True):
+                    distinct = part[shown[part]]
+                    member = np.searchsorted(which[distinct], which[part]).astype(np.int32)
+                    values = (doc[part], code[part], start[part].astype(np.int32), member, size[distinct].astype(np.uint8), anchor[distinct])
+                    for column, v in zip(columns, (int(bucket[part[0]]), *(x.tobytes() for x in values), b"".join([data[i] for i in distinct.tolist()])), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
             held, texts, n_held = [], [], 0
@@ -302,55 +353,57 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
 
     def group(table: pa.Table) -> pa.Table:
         """All windows of the group's segments but the earliest of each, as runs."""
-        docs_, codes_, starts_, sizes_, anchors_, strings, is_first = [], [], [], [], [], [], []
+        places_, anchors_ = [], []
+        known: dict[bytes, int] = {}
         for row in table.to_pylist():
             size = np.frombuffer(row["size"], np.uint8).astype(np.int64)
             stop = np.cumsum(size)
-            anchors_.append(np.frombuffer(row["anchor"], U))
-            n = len(anchors_[-1])
-            strings += [row["data"][e - s : e] for s, e in zip(size[:n].tolist(), stop[:n].tolist(), strict=True)]
-            sizes_.append(size)
-            docs_.append(np.frombuffer(row["doc_id"], np.int64))
-            codes_.append(np.frombuffer(row["text_code"], np.int64))
-            starts_.append(np.frombuffer(row["start"], np.int32))
-            is_first.append(np.arange(len(size)) < n)
-        doc, code, start, size, first = (np.concatenate(x) for x in (docs_, codes_, starts_, sizes_, is_first))
-        count = (size - (window - 1)).astype(np.int32)
-        # the earliest of equal segments stands for them in the collection
-        rows = np.flatnonzero(first)
-        order = rows[np.lexsort((start[rows], code[rows], doc[rows]))]
-        at = np.full(len(first), -1)
-        at[rows] = np.arange(len(rows))
-        chosen: dict[bytes, int] = {}
-        for i in order.tolist():
-            chosen.setdefault(strings[at[i]], i)
-        collection = np.array(list(chosen.values()))
-        gone = np.ones(len(first), bool)
-        gone[collection] = False
-        # rows that repeat a document are not later than themselves
-        name = mixed(mixed(doc.astype(U)) ^ code.astype(U)) + start.astype(U)
-        whole = np.flatnonzero(gone & ~np.isin(name, name[collection]))
-        distinct = list(chosen)
-        own_anchor = np.concatenate(anchors_)[at[collection]]
-        _, which = np.unique(own_anchor, return_inverse=True)
-        use = np.flatnonzero(may_share(distinct, own_anchor, window, gram))
+            before = len(known)
+            which = np.array([known.setdefault(row["data"][e - s : e], len(known)) for s, e in zip(size.tolist(), stop.tolist(), strict=True)], np.int64)
+            anchors_.append(np.frombuffer(row["anchor"], U)[which >= before])
+            places_.append((which[np.frombuffer(row["member"], np.int32)], *(np.frombuffer(row[c], kind) for c, kind in (("doc_id", np.int64), ("text_code", np.int64), ("start", np.int32)))))
+        distinct, anchor = list(known), np.concatenate(anchors_)
+        # the places of each distinct segment, the earliest first; rows that repeat a document are one place
+        segment, doc, code, start = (np.concatenate(x) for x in zip(*places_, strict=True))
+        order = np.lexsort((start, code, doc, segment))
+        segment, doc, code, start = (x[order] for x in (segment, doc, code, start))
+        new = np.ones(len(order), bool)
+        new[1:] = (segment[1:] != segment[:-1]) | (doc[1:] != doc[:-1]) | (code[1:] != code[:-1]) | (start[1:] != start[:-1])
+        segment, doc, code, start = (x[new] for x in (segment, doc, code, start))
+        times = np.bincount(segment, minlength=len(distinct))
+        first = np.cumsum(times) - times
+        use = np.flatnonzero((times > 1) | may_share(distinct, anchor, window, gram))
         # whole anchors at a time, so many that the order they need stays in a processor's cache
-        use = use[np.argsort(which[use], kind="stable")]
-        ends = np.flatnonzero(np.diff(which[use], append=-1))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        _, by_anchor = np.unique(anchor, return_inverse=True)
+        use = use[np.argsort(by_anchor[use], kind="stable")]
+        ends = np.flatnonzero(np.diff(by_anchor[use], append=-1))
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none)]
         begin = 0
         for end in (ends + 1).tolist():
-            if end - begin >= SORTED or end == len(use):
-                part = use[begin:end]
-                own = collection[part]
-                who, offset = _later([distinct[k] for k in part.tolist()], doc[own], code[own], start[own], window)
-                found.append((own[who], offset))
-                begin = end
-        who, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-        places = [np.concatenate([x, y]) for x, y in ((doc[whole], doc[who]), (code[whole], code[who]), (start[whole], (start[who] + offset).astype(np.int32)), (count[whole], np.ones(len(who), np.int32)))]
-        return pack_by_document(*places, groups)
-
-    found = docs.select("doc_id", "text", "text_code").mapInArrow(candidates, "bucket long, doc_id binary, text_code binary, start binary, size binary, anchor binary, data binary")
+            if end - begin < SORTED and end < len(use):
+                continue
+            part = use[begin:end]
+            begin = end
+            size = np.array([len(distinct[k]) for k in part.tolist()], np.int64)
+            stops = np.cumsum(size)
+            data = np.frombuffer(b"".join([distinct[k] for k in part.tolist()]), np.uint8)
+            equal, string, length = _repeats(sorted_suffixes(data, stops - size, stops), window, times[part] > 1)
+            offset, string = size[string] - length, part[string]
+            # at the earliest place of equal windows only the places behind it go, at others all
+            by = np.lexsort((start[first[string]] + offset, code[first[string]], doc[first[string]], equal))
+            later = by[1:][equal[by][1:] == equal[by][:-1]]
+            who, at, count = _string_runs(string[later], offset[later])
+            found.append((first[who], at, count))
+            again = times[string] > 1
+            who, at, count = _string_runs(string[again], offset[again])
+            others = times[who] - 1
+            nth = np.arange(others.sum()) - np.repeat(np.cumsum(others) - others, others)
+            found.append((np.repeat(first[who] + 1, others) + nth, np.repeat(at, others), np.repeat(count, others)))
+        place, at, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pack_by_document(doc[place], code[place], start[place] + at, count, groups)
+
+    found = docs.select("doc_id", "text", "text_code").mapInArrow(candidates, "bucket long, doc_id binary, text_code binary, start binary, member binary, size binary, anchor binary, data binary")
     runs = found.groupBy("bucket").applyInArrow(group, RUN_SCHEMA)
     return runs.groupBy("share").applyInArrow(unpack_by_document, TEXT_SCHEMA)
 
