@@ -35,9 +35,9 @@ STEP = 1_000_000
 HELD = 300_000
 GROUPED = 200_000
 #: Segments that are sorted together, at least; the segments of an anchor always are.
-SORTED = 1500
+SORTED = 1000
 #: Suffixes of the sorted order that a round reads or writes at once, of eight bytes each.
-BUFFER = 1 << 18
+BUFFER = 1 << 15
 SUFFIX = np.dtype([("symbol", "u1"), ("common", "u1"), ("length", "u2"), ("string", "u4")])
 
 
@@ -373,7 +373,7 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
         times = np.bincount(segment, minlength=len(distinct))
         first = np.cumsum(times) - times
         use = np.flatnonzero((times > 1) | may_share(distinct, anchor, window, gram))
-        # whole anchors at a time, so many that the order they need stays in a processor's cache
+        # whole anchors at a time
         _, by_anchor = np.unique(anchor, return_inverse=True)
         use = use[np.argsort(by_anchor[use], kind="stable")]
         ends = np.flatnonzero(np.diff(by_anchor[use], append=-1))
