@@ -14,6 +14,7 @@ from wayfold.llm.ngram_join import similar_documents
 from wayfold.llm.pii import EXTRA, KINDS, find_personal_data, listed
 from wayfold.llm.quality_classifier import score as quality_score
 from wayfold.llm.sentencepiece_codec import encode_and_decode
+from wayfold.llm.source_divergence import divergence
 from wayfold.llm.substring_dedup import remove_repeats
 from wayfold.llm.suffix_dedup import remove_repeated_bytes
 from wayfold.llm.tables import table
@@ -74,6 +75,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(counts[k] for k in KINDS), F.sha2(listed(KINDS), 256).alias("base_sha256"), listed(KINDS + EXTRA).alias("spans"), *(counts[k] for k in EXTRA), total)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk": op1_topk,
     "op2_sentencepiece": op2_sentencepiece,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -140,5 +146,35 @@ WITH d AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL
+), terms AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM words GROUP BY lang, term HAVING sum(docs) >= 30
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM terms GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), cells AS (
+  SELECT g.lang, g.source, t.term, CAST(coalesce(w.n, 0) AS HUGEINT) AS n, t.n AS lang_n
+  FROM groups g JOIN terms t USING (lang) LEFT JOIN words w ON w.lang = g.lang AND w.source = g.source AND w.term = t.term
+), shares AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p, 1 + 1000000000 * (lang_n + 5) // (total + 5 * v) AS q
+  FROM cells JOIN langs USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 50
 """,
 }
