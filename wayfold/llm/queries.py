@@ -14,6 +14,7 @@ from wayfold.llm.ngram_join import similar_documents
 from wayfold.llm.pii import EXTRA, KINDS, find_personal_data, listed
 from wayfold.llm.quality_classifier import score as quality_score
 from wayfold.llm.sentencepiece_codec import encode_and_decode
+from wayfold.llm.simhash_dedup import near_duplicates
 from wayfold.llm.source_divergence import divergence
 from wayfold.llm.substring_dedup import remove_repeats
 from wayfold.llm.suffix_dedup import remove_repeated_bytes
@@ -75,6 +76,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(counts[k] for k in KINDS), F.sha2(listed(KINDS), 256).alias("base_sha256"), listed(KINDS + EXTRA).alias("spans"), *(counts[k] for k in EXTRA), total)
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
+    "op11_simhash_dedup": op11_simhash_dedup,
     "op12_source_divergence": op12_source_divergence,
 }
 
