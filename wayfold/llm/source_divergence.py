@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.tables import Scratch
-from wayfold.llm.wordcode import text_bytes
+from wayfold.llm.wordcode import steps, text_bytes
 
 LEAST_DOCS, RANKS, ADDED, SCALE = 30, 50, 5, 10**9
 #: Terms of a chunk, groups of a block and chunks of a section: what a task holds, about, and reads at most.
 CHUNK_TERMS, BLOCK_GROUPS, SECTION_CHUNKS = 2048, 32, 4
 #: Counted terms of a task that make it send what it has, and bytes of a text that are split at a time.
-HELD_TERMS, SLICE = 200_000, 1_000_000
+HELD_TERMS, SLICE = 100_000, 1_000_000
 MOST_TOTAL = 9 * 10**15
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -52,27 +52,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs) of (lang, source, text); a group's presence is a row of the term ''."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def sent() -> pa.RecordBatch:
-        rows = [(lang, source, term.decode(), n, docs[term]) for (lang, source), (words, docs) in held.items() for term, n in words.items()]
-        rows += [(lang, source, "", 0, 0) for lang, source in held]
+    def sent() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (words, docs) in held.items():
+            terms = [b"", *words]
+            same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), np.int32)))
+            counts = [pa.array([0, *x], pa.int64()) for x in (words.values(), map(docs.__getitem__, words))]
+            yield pa.RecordBatch.from_arrays([same(lang), same(source), pa.array(terms, pa.binary()).cast(pa.string()), *counts], ["lang", "source", "term", "n", "docs"])
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "source", "term", "n", "docs"])
 
-    for batch in batches:
-        whole, offsets = text_bytes(batch.column(2))
-        whole = whole.tobytes().translate(_LETTERS)
-        for lang, source, start, stop in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            words, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            seen: set[bytes] = set()
-            for part in _slices(whole[start:stop]):
-                found = part.split()
-                words.update(found)
-                seen.update(found)
-            docs.update(seen)
-        if sum(len(w) for w, _ in held.values()) > HELD_TERMS:
-            yield sent()
-    if held:
-        yield sent()
+    for whole in batches:
+        for batch in steps(whole, 2):
+            data, offsets = text_bytes(batch.column(2))
+            data = data.tobytes().translate(_LETTERS)
+            for lang, source, start, stop in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                words, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                seen: set[bytes] = set()
+                for part in _slices(data[start:stop]):
+                    found = part.split()
+                    words.update(found)
+                    seen.update(found)
+                docs.update(seen)
+            if sum(len(w) for w, _ in held.values()) > HELD_TERMS:
+                yield from sent()
+    yield from sent()
 
 
 def _share(count: Column, total: Column) -> Column:
