@@ -22,8 +22,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.components import components
@@ -33,8 +34,8 @@ from wayfold.llm.wordcode import text_bytes
 SHINGLE, THRESHOLD, SEED = 4, 4, 42
 #: Bits of an anchor's number: the code has 2^7 words at least, and 2^16 at most; about as many fingerprints call each anchor home.
 LEAST_BITS, MOST_BITS, AT_HOME = 7, 16, 16
-#: Fingerprints of a block of an anchor, on either side, and shingles hashed at a time.
-BLOCK, STEP = 1024, 50_000
+#: Fingerprints of a block of an anchor, on either side, those sent as one list, and shingles hashed at a time.
+BLOCK, PACKED, STEP = 1024, 128, 50_000
 #: A document without an id stands after all others.
 NO_ID = 2**63 - 1
 
@@ -106,21 +107,32 @@ def anchors(bits: int) -> np.ndarray:
 
 
 def _visits(bits: int, threshold: int):
-    """(print, doc, anchor, home): a fingerprint at its home, and at each anchor that it visits, its home too."""
+    """(anchor, home, prints): of each batch the fingerprints at home at an anchor, and those that visit it, in lists of PACKED at most."""
+
+    def packed(prints: np.ndarray, anchor: np.ndarray, home: bool) -> pa.RecordBatch:
+        order = np.argsort(anchor, kind="stable")
+        prints, anchor = prints[order], anchor[order]
+        at = np.arange(len(anchor))
+        first = np.searchsorted(anchor, anchor)
+        starts = np.flatnonzero((at - first) % PACKED == 0)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(at)).astype(np.int32)), pa.array(prints))
+        return pa.RecordBatch.from_arrays([pa.array(anchor[starts].astype(np.int32)), pa.array([home] * len(starts), pa.bool_()), lists], ["anchor", "home", "prints"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = anchors(bits)
         size = max(1, 2**21 // len(code))
         for batch in batches:
-            prints, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            prints = batch.column(0).to_numpy()
+            homes, who, where = [], [], []
             for k in range(0, len(prints), size):
-                own = prints[k : k + size]
-                far = np.bitwise_count(own.view(np.uint64)[:, None] ^ code[None, :])
-                home = far.argmin(axis=1)
-                who, where = np.nonzero(far <= far.min(axis=1)[:, None] + threshold)
-                who, where = np.concatenate([np.arange(len(own)), who]), np.concatenate([home, where])
-                lives = np.arange(len(who)) < len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(own[who]), pa.array(docs[k : k + size][who]), pa.array(where.astype(np.int32)), pa.array(lives)], ["print", "doc", "anchor", "home"])
+                far = np.bitwise_count(prints[k : k + size].view(np.uint64)[:, None] ^ code[None, :])
+                homes.append(far.argmin(axis=1))
+                i, j = np.nonzero(far <= far.min(axis=1)[:, None] + threshold)
+                who.append(i + k)
+                where.append(j)
+            if homes:
+                yield packed(prints, np.concatenate(homes), True)
+                yield packed(prints[np.concatenate(who)], np.concatenate(where), False)
 
     return run
 
@@ -146,14 +158,12 @@ def _joined(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _links(threshold: int):
     def run(rows: pa.Table) -> pa.Table:
-        prints, docs = rows["print"].to_numpy(), rows["doc"].to_numpy()
-        home = rows["home"].to_numpy(zero_copy_only=False)
-        h, v = np.flatnonzero(home), np.flatnonzero(~home)
-        near = np.bitwise_count(prints[h].view(np.uint64)[:, None] ^ prints[v].view(np.uint64)[None, :]) <= threshold
-        own = np.concatenate([h, v])
-        i, j = (own[x] for x in _joined(near))
-        i, j = (x[prints[i] != prints[j]] for x in (i, j))
-        return pa.table({"u_doc": docs[i], "u": prints[i], "v_doc": docs[j], "v": prints[j]})
+        home, prints = rows["home"], rows["prints"]
+        h, v = (prints.filter(x).combine_chunks().flatten().to_numpy() for x in (home, pc.invert(home)))
+        near = np.bitwise_count(h.view(np.uint64)[:, None] ^ v.view(np.uint64)[None, :]) <= threshold
+        both = np.concatenate([h, v])
+        u, w = (both[x] for x in _joined(near))
+        return pa.table({"u": u[u != w], "v": w[u != w]})
 
     return run
 
@@ -175,21 +185,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "
     known = scratch.written(rows.groupBy("print").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("doc")), "known")
     count = known.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (max(count, 1) // AT_HOME).bit_length()))
-    spread = known.repartition(max(1, min(count // 1000, 20_000))) if count else known
-    visits = scratch.written(spread.mapInArrow(_visits(bits, threshold), "print long, doc long, anchor int, home boolean"), "visits")
+    spread = known.select("print").repartition(max(1, min(count // 8000, 20_000)))
+    visits = scratch.written(spread.mapInArrow(_visits(bits, threshold), "anchor int, home boolean, prints array<long>"), "visits")
 
     # at most 2^MOST_BITS rows: the blocks of each anchor
-    blocks = lambda home: F.ceil(F.count_if(F.col("home") == home) / BLOCK).cast("int")
+    blocks = lambda home: F.ceil(F.sum(F.when(F.col("home") == home, F.size("prints")).otherwise(0)) / BLOCK).cast("int")
     anchor_blocks = visits.groupBy("anchor").agg(blocks(True).alias("homes"), blocks(False).alias("visitors")).where("homes > 0")
     dealt = visits.join(F.broadcast(anchor_blocks), "anchor")
-    own = lambda n: F.pmod(F.xxhash64("print"), F.col(n)).cast("int")
+    own = lambda n: F.array(F.pmod(F.xxhash64("prints"), F.col(n)).cast("int"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    block: Column = F.when(F.col("home"), F.array(own("homes"))).otherwise(each("homes"))
-    tiles = dealt.withColumn("low", F.explode(block)).withColumn("high", F.explode(F.when(F.col("home"), each("visitors")).otherwise(F.array(own("visitors")))))
-    links = tiles.groupBy("anchor", "low", "high").applyInArrow(_links(threshold), "u_doc long, u long, v_doc long, v long")
-    node = lambda d, p: F.struct(F.col(d).alias("doc"), F.col(p).alias("print"))
-    found = components(links.select(node("u_doc", "u").alias("u"), node("v_doc", "v").alias("v")), keep=scratch.written)
-    least = found.select(F.col("node.print").alias("print"), F.col("component.doc").alias("least"))
-    classes = scratch.written(known.join(least, "print", "left").select("print", F.coalesce("least", "doc").alias("least")), "classes")
+    low, high = F.when(F.col("home"), own("homes")).otherwise(each("homes")), F.when(F.col("home"), each("visitors")).otherwise(own("visitors"))
+    tiles = dealt.withColumn("low", F.explode(low)).withColumn("high", F.explode(high))
+    links = tiles.groupBy("anchor", "low", "high").applyInArrow(_links(threshold), "u long, v long")
+    found = components(links, keep=scratch.written)
+    # a component is named by its least fingerprint; what is wanted is its least document
+    named = scratch.written(known.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "doc", F.coalesce("component", "print").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("doc").alias("least"))
+    classes = scratch.written(named.join(least, "component").select("print", "least"), "classes")
     out = rows.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.nullif("least", F.lit(NO_ID)).alias("component_id"))
     return scratch.last(out, "simhash")
