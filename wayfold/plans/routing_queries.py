@@ -11,16 +11,17 @@ from wayfold.plans import network
 from wayfold.sources.shared import table, written
 
 
-def _routed(spark: SparkSession, sf_dir: str, vehicles: int = routing.MAX_VEHICLES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _routed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(requests, stop times, walks, labels) of the whole network."""
     requests, walks = network.requests(spark, sf_dir), network.walks(spark, sf_dir)
     times = written(network.stop_times(spark, sf_dir), "stop-times")
-    return requests, times, walks, routing.labels(requests, times, walks, vehicles)
+    return requests, times, walks, routing.labels(requests, times, walks)
 
 
 def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Pareto front of each request."""
-    requests, _, _, labels = _routed(spark, sf_dir)
+    requests = network.requests(spark, sf_dir)
+    labels = routing.labels(requests, network.stop_times(spark, sf_dir), network.walks(spark, sf_dir))
     return routing.front(requests, labels).select("q", "k", "arrival")
 
 
@@ -33,10 +34,19 @@ def walk_only_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earliest arrival with one vehicle at every stop that is reached before the destination's first arrival on foot."""
-    *_, labels = _routed(spark, sf_dir, vehicles=1)
+    labels = routing.labels(network.requests(spark, sf_dir), network.stop_times(spark, sf_dir), network.walks(spark, sf_dir), vehicles=1)
     return labels.where("k = 1 AND kind = 'ride'").groupBy("q", "stop").agg(F.min("arr").alias("arr"))
 
 
+def one_ride_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fronts of journeys of one vehicle at most, a request from every stop."""
+    stops = network.stops(spark, sf_dir)
+    size = stops.agg(F.count("*").alias("n"))
+    requests = stops.join(F.broadcast(size)).select(F.col("stop").alias("q"), F.col("stop").alias("src"), ((F.col("stop") * 29 + 7) % F.col("n")).alias("dst"), ((F.col("stop") * 37) % 1440).alias("t0"))
+    labels = routing.labels(requests, network.stop_times(spark, sf_dir), network.walks(spark, sf_dir), vehicles=1)
+    return routing.front(requests, labels).select("q", "k", "arrival")
+
+
 def earliest_departure_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first departure at a stop at or after each arrival plus the change penalty, as one ordered pass over both."""
     day = written(network.day_times(spark, sf_dir), "day-times")
@@ -228,7 +238,7 @@ _DURATION = "CASE WHEN {m} < 60 THEN printf('%d min', {m}) WHEN {m} % 60 = 0 THE
 QUERIES = {
     f.__name__: f
     for f in (
-        pareto_front, walk_only_front, round1_labels, earliest_departure_asof, next_day_expand, footpath_relax, journey_legs, journey_leg_violations, journey_description, journey_steps, journey_json,
+        pareto_front, walk_only_front, round1_labels, one_ride_fronts, earliest_departure_asof, next_day_expand, footpath_relax, journey_legs, journey_leg_violations, journey_description, journey_steps, journey_json,
         journey_labels, journey_notes, stops_worth_naming, stop_route_positions, station_badges, trip_modes, query_dedupe, lines_at_stop, stop_times_grouped, trip_groups_by_shape, overtaking_pairs, nonovertaking_routes,
     )
 }
@@ -237,6 +247,9 @@ ORACLE_SQL = {
     "pareto_front": f"WITH {_N}{_START}{_ROUNDS}, best AS ("
     + " UNION ALL ".join(f"SELECT {k} AS k, q, arr FROM ({_BEST.format(k=k)})" for k in range(routing.MAX_VEHICLES + 1))
     + ") SELECT q, CAST(k AS BIGINT) AS k, CAST(arr AS BIGINT) AS arrival FROM (SELECT *, min(arr) OVER (PARTITION BY q ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best) WHERE before IS NULL OR arr < before",
+    "one_ride_fronts": f"WITH {_N}{_START}{_ROUNDS.split(', ready2')[0]}, best AS (".replace("SELECT CAST(n_nationkey AS BIGINT) AS q, (n_nationkey * 13) % n AS src, (n_nationkey * 29 + 7) % n AS dst, (n_nationkey * 37) % 1440 AS t0 FROM nation, size", "SELECT stop AS q, stop AS src, (stop * 29 + 7) % n AS dst, (stop * 37) % 1440 AS t0 FROM stops, size")
+    + " UNION ALL ".join(f"SELECT {k} AS k, q, arr FROM ({_BEST.format(k=k)})" for k in range(2))
+    + ") SELECT q, CAST(k AS BIGINT) AS k, CAST(arr AS BIGINT) AS arrival FROM (SELECT *, min(arr) OVER (PARTITION BY q ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM best) WHERE before IS NULL OR arr < before",
     "walk_only_front": f"WITH {_N} SELECT a * 100000 + b AS q, CAST(0 AS BIGINT) AS k, (a * 7 + b) % 1440 + minutes AS arrival FROM walk",
     "round1_labels": f"WITH {_N}{_START}{_ROUNDS.split(', ready2')[0]}, best AS ({_BEST.replace('v{k}', 'v0').replace('f{k}', 'f0')}), reached AS (SELECT v1.q, v1.stop, v1.arr FROM v1 LEFT JOIN best b ON b.q = v1.q WHERE b.arr IS NULL OR v1.arr < b.arr) SELECT * FROM reached",
     "earliest_departure_asof": f"WITH {_N} SELECT p.trip, p.stop, p.arr, d.dep AS next_dep FROM day_time p ASOF LEFT JOIN (SELECT DISTINCT stop, dep FROM stop_time) d ON p.stop = d.stop AND p.arr + 5 <= d.dep",
