@@ -1,7 +1,9 @@
 """Queries without SQL against plain Python, and readers of files."""
 
+import itertools
 import json
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -77,22 +79,69 @@ def test_largest_part(spark, sf_dir, where):
 
 
 def test_paths_or_straight_lines(spark, sf_dir, where):
-    edges = [(r.a, r.b, r.minutes) for r in network.walks(spark, sf_dir).collect()]
+    edges = {(r.a, r.b): max(1, round(1000 * metres(where[r.a], where[r.b]))) for r in network.walks(spark, sf_dir).collect()}
     rows = QUERIES["path_or_line"](spark, sf_dir).collect()
-    lengths = dijkstra(edges, {r.a for r in rows})
+    lengths = dijkstra([(a, b, m) for (a, b), m in edges.items()], {r.a for r in rows})
     assert rows and {r.straight for r in rows} == {(r.a, r.b) not in lengths for r in rows}
     for r in rows:
-        assert abs(r.metres - lengths.get((r.a, r.b), metres(where[r.a], where[r.b]))) < 1e-6
+        assert abs(r.metres - (metres(where[r.a], where[r.b]) if r.straight else lengths[r.a, r.b] / 1000)) < 1e-6
+        assert (r.nodes[0], r.nodes[-1]) == (r.a, r.b)
+        assert r.straight or sum(edges[x] for x in zip(r.nodes, r.nodes[1:])) == lengths[r.a, r.b]
+
+
+def track(seed, n=60):
+    """A random track: a long chain, some loops, and a part of its own."""
+    random.seed(seed)
+    edges = [(i, i + 1, random.randint(1, 90) / 10) for i in range(n)] + [(random.randrange(n), random.randrange(n), random.randint(50, 400) / 10) for _ in range(12)]
+    return edges + [(200, 201, 4.0), (201, 202, 1.5)]
+
+
+def test_ways_along_a_track(spark):
+    edges = track(4)
+    random.seed(1)
+    pairs = [(random.randrange(60), random.randrange(60)) for _ in range(25)] + [(5, 5), (200, 202), (202, 200), (3, 201), (0, 60), (777, 3)]
+    got = {(r.a, r.b): r for r in geometry.track_paths(geometry.track_graph(spark.createDataFrame(edges, "a long, b long, m double")), spark.createDataFrame(pairs + pairs[:3], "a long, b long")).collect()}
+    both = defaultdict(lambda: 10**9)
+    for a, b, m in edges:
+        if a != b:
+            both[a, b] = both[b, a] = min(both[a, b], round(1000 * m))
+    want = dijkstra([(a, b, m) for (a, b), m in both.items()], {a for a, _ in pairs})
+    assert set(got) == {p for p in pairs if p in want}
+    for (a, b), r in got.items():
+        assert r.nodes[0] == a and r.nodes[-1] == b and round(r.m * 1000) == want[a, b] == sum(both[x] for x in zip(r.nodes, r.nodes[1:]))
+
+
+def test_snaps_along_a_track_against_all_choices(spark):
+    edges = track(7)
+    both = [(a, b, round(1000 * m)) for a, b, m in edges if a != b]
+    lengths = dijkstra(both + [(b, a, m) for a, b, m in both], set(range(61)) | {200, 201, 202})
+    random.seed(3)
+    cands = {s: [(random.choice([*range(61), 200, 202]), random.randint(0, 300) / 10) for _ in range(random.randint(1, 3))] for s in range(9)}
+    cands = {s: sorted(dict(c).items()) for s, c in cands.items()} | {9: []}
+    shapes = {f"s{i}": [random.randrange(10) for _ in range(random.randint(1, 5))] for i in range(30)} | {"twin": [1, 2, 3], "twin2": [1, 2, 3]}
+    calls = [(k, 10 * i, s) for k, stops in shapes.items() for i, s in enumerate(stops)]
+    df = geometry.snaps(spark.createDataFrame(calls, "shape string, seq long, stop long"), spark.createDataFrame([(s, p, m) for s, c in cands.items() for p, m in c], "stop long, point long, m double"), spark.createDataFrame(edges, "a long, b long, m double"))
+    got = defaultdict(dict)
+    for r in df.collect():
+        got[r["shape"]][r.seq] = r.point
+    assert set(got) == set(shapes) and got["twin"] == got["twin2"]
+    between = lambda a, b: 0 if a is None or b is None else lengths[a, b] / 1000 if (a, b) in lengths else 1e9
+    for k, stops in shapes.items():
+        layers = [cands[s] or [(None, 0.0)] for s in stops]
+        cost = lambda path: sum(m for _, m in path) + sum(between(a, b) for (a, _), (b, _) in zip(path, path[1:]))
+        best = min(map(cost, itertools.product(*layers)))
+        chosen = [(p, dict(layer)[p]) for layer, (_, p) in zip(layers, sorted(got[k].items()))]
+        assert abs(cost(chosen) - best) < 1e-6
 
 
 def test_fresh_shapes_against_loops(spark):
-    import random
-
     random.seed(2)
     rows = [(n, f"s{s}", i, round(random.choice([0.001, 0.01]) * random.randint(0, 60), 4), 0.5) for n in range(3) for s in range(12) for i in range(random.randint(5, 30))]
+    # a trunk that all lines of a network share, with branches, and copies of one line
+    rows += [(3, f"t{s}", i, 0.001 * (i if i < 20 else 100 * s + i), 0.5) for s in range(15) for i in range(22 + s % 4)] + [(3, f"copy{c}", i, 0.001 * i, 0.5) for c in range(9) for i in range(25)]
     got = {(r.network, r["shape"]) for r in geometry.fresh_shapes(spark.createDataFrame(rows, "network long, shape string, seq long, lat double, lon double")).collect()}
     want = set()
-    for n in range(3):
+    for n in range(4):
         points = defaultdict(list)
         for m, s, _, lat, lon in rows:
             if m == n:

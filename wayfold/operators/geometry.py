@@ -114,12 +114,52 @@ def largest_part(edges: DataFrame, nodes: DataFrame, metres: float = BRIDGE_METR
     return nodes.join(whole.join(F.broadcast(size), "component").select("node"), "node", "left_semi")
 
 
-def path_or_line(pairs: DataFrame, lengths: DataFrame, places: DataFrame) -> DataFrame:
-    """(a, b, metres, straight): the length along the track of each pair (a, b), or the straight line where no path joins them."""
+def track_graph(edges: DataFrame) -> DataFrame:
+    """(a, b, minutes) both ways from edges (a, b, m): whole millimetres, one at least, so that sums are exact and no way is for nothing."""
+    both = edges.select("a", "b", "m").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "m")).where("a <> b")
+    return both.groupBy("a", "b").agg(F.greatest(F.lit(1), F.round(F.min("m") * 1000)).cast("long").alias("minutes"))
+
+
+def track_lengths(graph: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, m): metres along a track_graph between the nodes of pairs (a, b); pairs that no track joins are left out."""
+    known = shortest_paths(graph, pairs.select(F.col("a").alias("source")).distinct(), pairs)
+    return pairs.distinct().join(known.select(F.col("source").alias("a"), F.col("node").alias("b"), "length"), ["a", "b"]).select("a", "b", (F.col("length") / 1000).alias("m"))
+
+
+def track_paths(graph: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, m, nodes): the shortest way along a track_graph between the nodes of pairs (a, b), from a to b.
+
+    Lengths come first. From them each node reached gets the node before it, the
+    least that a shortest way may come from. Ways back are then put together
+    from pieces: each round joins a piece to the one that goes on where it ends,
+    so pieces double, and a way of n edges takes about log2(n) rounds.
+    """
+    known = shortest_paths(graph, pairs.select(F.col("a").alias("source")).distinct(), pairs)
+    step = known.join(graph, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), F.col("node").alias("before"), (F.col("length") + F.col("minutes")).alias("length"))
+    before = step.join(known, ["source", "node", "length"]).where("node <> source").groupBy("source", "node").agg(F.min("before").alias("before"))
+    # the way from end to node, without node; it is whole once end is the source
+    pieces = written(before.select("source", "node", F.col("before").alias("end"), F.array("before").alias("way"), (F.col("before") != F.col("source")).alias("moved")), "pieces")
+    # a node beyond the wanted ends may have none before it: its pieces come to a halt
+    while not pieces.where("moved").isEmpty():
+        further = pieces.select("source", F.col("node").alias("end"), F.col("end").alias("further"), F.col("way").alias("more"))
+        joined = pieces.join(further, ["source", "end"], "left")
+        pieces = written(joined.select("source", "node", F.coalesce("further", "end").alias("end"), F.when(F.col("more").isNull(), F.col("way")).otherwise(F.concat("more", "way")).alias("way"), F.col("further").isNotNull().alias("moved")), "pieces")
+    reached = known.select(F.col("source").alias("a"), F.col("node").alias("b"), (F.col("length") / 1000).alias("m"))
+    ways = pieces.where("end = source").select(F.col("source").alias("a"), F.col("node").alias("b"), "way")
+    rows = pairs.distinct().join(reached, ["a", "b"]).join(ways, ["a", "b"], "left")
+    return rows.select("a", "b", "m", F.when(F.col("way").isNull(), F.array("a")).otherwise(F.concat("way", F.array("b"))).alias("nodes"))
+
+
+def path_or_line(pairs: DataFrame, edges: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b, metres, straight, nodes): the way along the track of each pair (a, b), or the straight line where no track joins them.
+
+    edges: (a, b, m) in metres; places: (node, lat, lon). A pair whose end has
+    no place is left out.
+    """
     end = lambda k: places.select(F.col("node").alias(k), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
-    rows = pairs.join(lengths.select(F.col("source").alias("a"), F.col("node").alias("b"), "length"), ["a", "b"], "left").join(end("a"), "a").join(end("b"), "b")
+    rows = pairs.select("a", "b").distinct().join(track_paths(track_graph(edges), pairs.select("a", "b")), ["a", "b"], "left").join(end("a"), "a").join(end("b"), "b")
     line = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return rows.select("a", "b", F.coalesce(F.col("length").cast("double"), line).alias("metres"), F.col("length").isNull().alias("straight"))
+    return rows.select("a", "b", F.coalesce("m", line).alias("metres"), F.col("m").isNull().alias("straight"), F.coalesce("nodes", F.array("a", "b")).alias("nodes"))
 
 
 def leg_lines(legs: DataFrame, points: DataFrame, places: DataFrame) -> DataFrame:
@@ -179,26 +219,60 @@ def _with_shortcuts(edges: DataFrame) -> DataFrame:
     return short
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(source, node, length): Bellman-Ford from all sources (source) at once over directed edges (a, b, minutes).
 
     Rounds end when no length improves, however many edges a path has; so that
     long paths take fewer rounds, each takes up to 16 edges. Negative minutes
-    are refused, as lengths might improve for ever.
+    are refused, as lengths might improve for ever. If wanted (a, b) names the
+    ends that matter, a source goes no further than the farthest of its ends by
+    what is known of them; all nodes on the ways to them are among the rows.
     """
     edges = _with_shortcuts(edges)
     if not edges.where("minutes < 0").isEmpty():
         raise ValueError("shortest paths need minutes that aren't negative")
     known = written(sources.select("source", F.col("source").alias("node"), F.lit(0).cast("long").alias("length")), "lengths")
+    ends = None if wanted is None else written(wanted.select(F.col("a").alias("source"), F.col("b").alias("node")).distinct(), "ends")
     current = known
     while not current.isEmpty():
         reached = current.join(edges, F.col("node") == F.col("a")).groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("length") + F.col("minutes")).alias("length"))
         better = reached.join(known.select("source", "node", F.col("length").alias("before")), ["source", "node"], "left").where(F.col("before").isNull() | (F.col("length") < F.col("before"))).drop("before")
+        if ends is not None:
+            # no bound for a source with an end that isn't reached yet
+            far = ends.join(known, ["source", "node"], "left").groupBy("source").agg(F.when(F.count("*") == F.count("length"), F.max("length")).alias("far"))
+            better = better.join(far, "source").where("far IS NULL OR length <= far").drop("far")
         current = written(better, "better")
         known = written(known.unionByName(current).groupBy("source", "node").agg(F.min("length").alias("length")), "lengths")
     return known
 
 
+def snaps(calls: DataFrame, candidates: DataFrame, edges: DataFrame) -> DataFrame:
+    """(shape, seq, point): for each call of a shape (shape, seq, stop) one of its stop's candidates (stop, point, m), or null if it has none.
+
+    The distances of the points and the lengths along the track, edges (a, b,
+    m), between those of neighbours sum to the least. Lengths are found once for
+    each pair of points that neighbouring stops of any shape may take. Shapes of
+    equal stops are snapped once.
+    """
+    of_stop = written(candidates.groupBy("stop").agg(F.array_sort(F.collect_list(F.struct("point", "m"))).alias("cands")), "candidates")
+    stops = F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop"))), lambda c: c["stop"])
+    shapes = calls.groupBy("shape").agg(stops.alias("stops")).withColumn("same", F.md5(F.to_json("stops")))
+    shapes = written(shapes, "shapes")
+    each = shapes.groupBy("same").agg(F.first("stops").alias("stops")).select("same", F.posexplode("stops").alias("pos", "stop"))
+    each = written(each.withColumn("next", F.lead("stop").over(Window.partitionBy("same").orderBy("pos"))), "calls")
+    hops = each.where("next IS NOT NULL").select("stop", "next").distinct()
+    points = lambda stop, point: of_stop.select(F.col("stop").alias(stop), F.explode("cands").alias("x")).select(stop, F.col("x.point").alias(point))
+    choices = written(hops.join(points("stop", "a"), "stop").join(points("next", "b"), "next"), "choices")
+    lengths = track_lengths(track_graph(edges), choices.select("a", "b").distinct())
+    ahead = written(choices.join(lengths, ["a", "b"]).groupBy("stop", "next").agg(F.collect_list(F.struct("a", "b", "m")).alias("ahead")), "ahead")
+    none = lambda df, c: F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c)
+    rows = each.join(of_stop, "stop", "left").join(ahead, ["stop", "next"], "left").select(F.col("same").alias("shape"), F.col("pos").cast("long").alias("seq"), none(of_stop, "cands"), none(ahead, "ahead"))
+    chosen = written(snapped(rows).select(F.col("shape").alias("same"), F.col("seq").alias("pos"), "point"), "chosen")
+    order = Window.partitionBy("shape").orderBy("seq")
+    numbered = calls.select("shape", "seq", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    return numbered.join(shapes.select("shape", "same"), "shape").join(chosen, ["same", "pos"]).select("shape", "seq", "point")
+
+
 def best_snaps(snap: list[list[tuple[int | None, float]]], between: dict[tuple[int, int], float]) -> list[int | None]:
     """One candidate point for each stop of a sequence, so that snap distances and track lengths between them sum to the least."""
     cost: list[dict] = [dict(snap[0])]
@@ -232,17 +306,26 @@ def fresh_shapes(points: DataFrame, least_new: float = 0.12) -> DataFrame:
     """(network, shape): the shapes of each network, longest first, less those whose points are nearly all on shapes kept before.
 
     points: (network, shape, seq, lat, lon); points are compared to three
-    decimals. The choice is sequential, so one network is one group.
+    decimals. The choice is one after the other, but need not be made so: of a
+    point it is known which shape is the first that is kept there, and which the
+    first that isn't decided. In each round a shape is kept if enough of its
+    points are on neither of an earlier rank, and left out if too many are on
+    kept ones of an earlier rank. The first of those undecided always is one or
+    the other, and copies of a kept shape go all at once, so rounds are few.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        kept = []
-        for _, shape, g in sorted(((-len(g), s, g) for s, g in pdf.groupby("shape")), key=lambda x: x[:2]):
-            own = list(zip(g["lat"].round(3), g["lon"].round(3), strict=True))
-            if sum(p not in seen for p in own) >= least_new * len(own):
-                kept.append(shape)
-                seen.update(own)
-        return pd.DataFrame({"network": [pdf["network"].iloc[0]] * len(kept), "shape": kept})
-
-    return points.groupBy("network").applyInPandas(one, "network long, shape string")
+    place = lambda c: F.rint(F.col(c) * 1000).cast("long")
+    own = points.groupBy("network", "shape", place("lat").alias("y"), place("lon").alias("x")).agg(F.count("*").alias("n"))
+    sizes = own.groupBy("network", "shape").agg(F.sum("n").alias("size"))
+    own = written(own.join(sizes, ["network", "shape"]).withColumn("rank", F.struct((-F.col("size")).alias("longest"), "shape")), "points")
+    state = written(sizes.select("network", "shape", F.lit("open").alias("state")), "state")
+    while not state.where("state = 'open'").isEmpty():
+        rows = own.join(state, ["network", "shape"])
+        first = lambda which: F.min(F.when(F.col("state") == which, F.col("rank")))
+        held = rows.groupBy("network", "y", "x").agg(first("kept").alias("kept"), first("open").alias("open"))
+        free = lambda c: F.coalesce(F.col(c) >= F.col("rank"), F.lit(True))
+        count = lambda here: F.sum(F.when(here, F.col("n")).otherwise(0))
+        found = rows.where("state = 'open'").join(held, ["network", "y", "x"]).groupBy("network", "shape").agg(count(free("kept") & free("open")).alias("least"), count(free("kept")).alias("most"), F.first("size").alias("size"))
+        enough = lambda c: F.col(c) >= F.lit(least_new) * F.col("size")
+        decided = found.select("network", "shape", F.when(enough("least"), "kept").when(~enough("most"), "left out").otherwise("open").alias("now"))
+        state = written(state.join(decided, ["network", "shape"], "left").select("network", "shape", F.coalesce("now", "state").alias("state")), "state")
+    return state.where("state = 'kept'").select("network", "shape")

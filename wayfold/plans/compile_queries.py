@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions.geo import haversine_sql
 from wayfold.operators import geometry, timetable, validation
 from wayfold.plans import network, timetable_queries
-from wayfold.plans.geometry_queries import places
+from wayfold.plans.geometry_queries import places, track_edges
 from wayfold.plans.routing_queries import lines_at_stop
 from wayfold.sources.shared import table, written
 
@@ -92,12 +92,11 @@ def largest_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def path_or_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest way between stops of a nation's number and others, or the straight line where none is."""
+    """The way along the track between stops of a nation's number and the stops of that nation, or the straight line where none is."""
     stops = network.stops(spark, sf_dir).select("stop", "line")
-    sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source")).join(stops.select(F.col("stop").alias("source")), "source", "left_semi")
-    lengths = geometry.shortest_paths(network.walks(spark, sf_dir), sources)
-    pairs = sources.select(F.col("source").alias("a")).join(stops.select(F.col("line").alias("a"), F.col("stop").alias("b")), "a")
-    return geometry.path_or_line(pairs, lengths, places(spark, sf_dir).select(F.col("stop").alias("node"), "lat", "lon"))
+    sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("a")).join(stops.select(F.col("stop").alias("a")), "a", "left_semi")
+    pairs = written(sources.join(stops.select(F.col("line").alias("a"), F.col("stop").alias("b")), "a"), "pairs")
+    return geometry.path_or_line(pairs, track_edges(spark, sf_dir), places(spark, sf_dir).select(F.col("stop").alias("node"), "lat", "lon"))
 
 
 def leg_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

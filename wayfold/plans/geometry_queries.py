@@ -94,16 +94,20 @@ def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.shortest_paths(network.walks(spark, sf_dir), sources)
 
 
+def track_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, m): the walks between stops as a track of straight pieces, in metres."""
+    here = places(spark, sf_dir)
+    side = lambda k: here.select(F.col("stop").alias(k), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+    m = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
+    return network.walks(spark, sf_dir).join(side("a"), "a").join(side("b"), "b").select("a", "b", m.alias("m"))
+
+
 def snap_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A track point for each call of every trip, by snap distances and lengths between; straight lines stand for track."""
-    points = _track_points(spark, sf_dir)
+    """A track point for each call of every trip, by snap distances and lengths along the track between them; points lie 200 metres from the stops."""
+    points = places(spark, sf_dir).select(F.col("stop").alias("point"), "line", (F.col("lat") + 0.0015).alias("lat"), (F.col("lon") + 0.001).alias("lon"))
     near = geometry.nearest(places(spark, sf_dir), points)
-    of_stop = written(near.join(points.select("point", "lat", "lon"), "point").groupBy("stop").agg(F.array_sort(F.collect_list(F.struct("point", "m", "lat", "lon"))).alias("all")), "candidates")
-    calls = network.day_times(spark, sf_dir).select("trip", "seq", "stop").join(of_stop, "stop", "left").withColumn("all", F.coalesce("all", F.array().cast(of_stop.schema["all"].dataType)))
-    w = Window.partitionBy("trip").orderBy("seq")
-    calls = calls.withColumn("next", F.coalesce(F.lead("all").over(w), F.array().cast(of_stop.schema["all"].dataType)))
-    ahead = F.flatten(F.transform("all", lambda a: F.transform("next", lambda b: F.struct(a["point"].alias("a"), b["point"].alias("b"), haversine(a["lat"], a["lon"], b["lat"], b["lon"]).alias("m")))))
-    return geometry.snapped(calls.select(F.col("trip").cast("string").alias("shape"), "seq", F.transform("all", lambda c: F.struct(c["point"].alias("point"), c["m"].alias("m"))).alias("cands"), ahead.alias("ahead")))
+    calls = network.calls(spark, sf_dir).select(F.col("trip").cast("string").alias("shape"), "seq", "stop")
+    return geometry.snaps(calls, near, track_edges(spark, sf_dir))
 
 
 def segment_speed_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
