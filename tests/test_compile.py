@@ -167,6 +167,54 @@ def test_readers_of_json_and_grids(spark, tmp_path):
     assert [tuple(r) for r in gtfs.merged_walks(walks([("b", "c", 5)]), walks([("b", "c", 9), ("a", "b", 1)])).collect()] == [("a", "b", 1), ("b", "c", 5)]
 
 
+def test_grids_of_many_files_keep_their_rows_numbered(spark, tmp_path):
+    grid = lambda k: f'STATION,"DRD {90000 + k}\n12 CAR"\n' + "".join(f"Stop {i},{i % 24}:{k:02d}\n" for i in range(40)) + '"Quoted, ""name""",5:00,6:00\n\n'
+    for k in range(6):
+        (tmp_path / f"sheet{k}.csv").write_text(grid(k))
+    rows = gtfs.read_grid(spark, str(tmp_path)).collect()
+    by_sheet = defaultdict(dict)
+    for r in rows:
+        by_sheet[r.sheet][r.row] = r
+    assert set(by_sheet) == {f"sheet{k}" for k in range(6)}
+    for k in range(6):
+        own = by_sheet[f"sheet{k}"]
+        assert sorted(own) == list(range(1, 44)) and own[42]["name"] == 'Quoted, "name"' and own[42].cells == ["5:00", "6:00"] and own[43]["name"] == ""
+        assert all(own[i + 2]["name"] == f"Stop {i}" for i in range(40))
+    calls = timetable.unpivot(gtfs.read_grid(spark, str(tmp_path / "sheet*.csv"))).collect()
+    assert {(r.sheet, r.train_number) for r in calls} == {(f"sheet{k}", str(90000 + k)) for k in range(6)} and len(calls) == 6 * 41
+
+
+def steps_of(first, last, bands):
+    minute, out = float(first), []
+    while minute < last:
+        out.append(minute)
+        minute += next(h for a, b, h in bands if a <= math.floor(minute) < b)
+    return [*out, float(last)]
+
+
+def test_headways_band_by_band(spark):
+    bands = {"a": [(0, 300, 7.5), (300, 310, 30.0), (310, 600, 0.25), (600, 1440, 11.0)], "b": [(0, 1440, 2000.0)], "c": [(0, 1440, 1.5)]}
+    ways = [("a", 0, 290, 1300), ("a", 1, 0, 1440), ("b", 0, 5, 600), ("c", 0, 0, 1440), ("c", 1, 700, 700)]
+    rows = timetable.headway_departures(spark.createDataFrame(ways, "line string, dir int, first int, last int"), spark.createDataFrame([(k, *x) for k, v in bands.items() for x in v], "line string, start int, stop int, minutes double")).collect()
+    for line, way, first, last in ways:
+        assert sorted(r.minute for r in rows if (r.line, r.dir) == (line, way)) == steps_of(first, last, bands[line])
+
+
+@pytest.mark.parametrize("bands", [[("a", 0, 100, 5.0), ("a", 120, 900, 5.0)], [("a", 0, 900, 0.0)], [("a", 0, 900, -3.0)]])
+def test_headways_without_a_band_or_step_are_an_error(spark, bands):
+    ways = spark.createDataFrame([("a", 0, 10, 800)], "line string, dir int, first int, last int")
+    with pytest.raises(Exception, match="headway"):
+        timetable.headway_departures(ways, spark.createDataFrame(bands, "line string, start int, stop int, minutes double")).collect()
+
+
+def test_an_alias_of_two_stations_ends_the_job_that_uses_it(spark):
+    stations = spark.createDataFrame([("A", ["Halt"]), ("B", ["halt "]), ("C", ["c", "Sea"])], "name string, raw_names array<string>")
+    rows = lambda *names: timetable.resolve(spark.createDataFrame([(n,) for n in names], "station string"), stations).collect()
+    assert {r.station: r["name"] for r in rows("sea", "b", "x")} == {"sea": "C", "b": "B", "x": None}
+    with pytest.raises(Exception, match="alias of several stations"):
+        rows("sea", "HALT")
+
+
 def test_a_broken_file_is_an_error_and_a_missing_one_is_empty(spark, tmp_path):
     assert gtfs.read_table(spark, str(tmp_path), "stops").count() == 0
 

@@ -119,8 +119,15 @@ def alias_conflicts(stations: DataFrame) -> DataFrame:
 
 
 def resolve(rows: DataFrame, stations: DataFrame) -> DataFrame:
-    """rows with a column station, and the station's name, null where no alias fits."""
-    return rows.withColumn("alias", normal_name(F.col("station"))).join(alias_table(stations), "alias", "left").drop("alias")
+    """rows with a column station, and the station's name, null where no alias fits.
+
+    The rule that an alias is one station's stands in the plan: a job that looks
+    up an alias of several ends with an error.
+    """
+    names = alias_table(stations).groupBy("alias").agg(F.min("name").alias("name"), F.count("*").alias("names"))
+    joined = rows.withColumn("alias", normal_name(F.col("station"))).join(names, "alias", "left")
+    clash = F.raise_error(F.concat(F.lit("alias of several stations: "), F.col("alias"))).cast("string")
+    return joined.withColumn("name", F.when(F.col("names") > 1, clash).otherwise(F.col("name"))).drop("alias", "names")
 
 
 def past_midnight(times: Column, least: Column, most: Column) -> Column:
@@ -195,27 +202,30 @@ def assemble(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("train").applyInPandas(one_train, "trip_id string, source string, stop long, arr long, dep long, seq long")
 
 
-def headway_departures(directions: DataFrame, bands: DataFrame, most: int = 2880) -> DataFrame:
+def headway_departures(directions: DataFrame, bands: DataFrame) -> DataFrame:
     """(line, dir, minute): departures from the first on, each a headway after the one before, and the last one always.
 
-    directions: (line, dir, first, last); bands: (line, start, stop, minutes).
-    The step depends on where the last one led, so each direction is a fold
-    over its bands. A minute that no band covers is an error; so are more than
-    `most` departures.
+    directions: (line, dir, first, last); bands: (line, start, stop, minutes),
+    which don't overlap. A direction is a fold over its line's bands: how many
+    steps a band takes from where the one before it led is a division, and what
+    they lead beyond its end is carried on. A minute before the last departure
+    that no band covers is an error, and so is a headway that isn't positive.
     """
-    by_line = bands.groupBy("line").agg(F.collect_list(F.struct("start", "stop", F.col("minutes").cast("double").alias("minutes"))).alias("bands"))
-    start = F.struct(F.col("first").cast("double").alias("minute"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, _: Column) -> Column:
-        now = F.floor(acc["minute"])
-        band = F.filter("bands", lambda b: (now >= b["start"]) & (now < b["stop"]))
-        headway = F.when(F.size(band) > 0, F.get(band, F.lit(0))["minutes"]).otherwise(F.raise_error(F.lit("no headway band covers a departure")).cast("double"))
-        going = acc["minute"] < F.col("last")
-        return F.struct(F.when(going, acc["minute"] + headway).otherwise(acc["minute"]).alias("minute"), F.when(going, F.concat(acc["out"], F.array(acc["minute"]))).otherwise(acc["out"]).alias("out"))
-
-    folded = directions.join(by_line, "line").select("line", "dir", "last", F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step).alias("x"))
-    checked = F.when(F.col("x.minute") >= F.col("last"), F.concat("x.out", F.array(F.col("last").cast("double")))).otherwise(F.raise_error(F.lit("too many departures")).cast("array<double>"))
-    return folded.select("line", "dir", F.explode(checked).alias("minute"))
+    by_line = bands.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("start", "stop", F.col("minutes").cast("double").alias("minutes")))).alias("bands"))
+    kind = "array<struct<minute:double,steps:bigint,headway:double>>"
+    start = F.struct(F.col("first").cast("double").alias("minute"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, band: Column) -> Column:
+        headway = F.when(band["minutes"] > 0, band["minutes"]).otherwise(F.raise_error(F.lit("a headway must be positive")).cast("double"))
+        inside = (acc["minute"] < F.col("last")) & (acc["minute"] >= band["start"]) & (acc["minute"] < band["stop"])
+        steps = F.ceil((F.least(band["stop"], F.col("last")) - acc["minute"]) / headway).cast("long")
+        run = F.struct(acc["minute"].alias("minute"), steps.alias("steps"), headway.alias("headway"))
+        return F.when(inside, F.struct((acc["minute"] + steps * headway).alias("minute"), F.concat(acc["out"], F.array(run)).alias("out"))).otherwise(acc)
+
+    folded = directions.join(by_line, "line").select("line", "dir", "last", F.aggregate("bands", start, step).alias("x"))
+    covered = F.when(F.col("x.minute") >= F.col("last"), F.col("x.out")).otherwise(F.raise_error(F.lit("no headway band covers a departure")).cast(kind))
+    runs = folded.select("line", "dir", F.inline(covered)).select("line", "dir", "minute", "headway", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("i"))
+    return runs.select("line", "dir", (F.col("minute") + F.col("i") * F.col("headway")).alias("minute")).unionByName(directions.select("line", "dir", F.col("last").cast("double").alias("minute")))
 
 
 def metro_stop_times(departures: DataFrame, offsets: DataFrame) -> DataFrame:

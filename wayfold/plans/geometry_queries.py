@@ -168,8 +168,7 @@ def headway_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metro_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: first and last departure, longest gap and peak headway of the generated lines."""
-    departures = timetable.headway_departures(spark.sql(f"SELECT * FROM {timetable_queries.DIRECTIONS}"), spark.sql(f"SELECT * FROM {timetable_queries.BANDS}"))
-    named = departures.select(F.concat_ws("-", "line", F.col("dir").cast("string")).alias("line"), "minute")
+    named = timetable_queries.headway_departures(spark, sf_dir).select(F.concat_ws("-", "line", F.col("dir").cast("string")).alias("line"), "minute")
     return validation.headways(named, (480, 540)).select("line", "first", "last", "n", "longest", F.round("peak_mean", 6).alias("peak_mean"))
 
 

@@ -10,22 +10,32 @@ from wayfold.operators import search, timetable
 from wayfold.plans import network
 from wayfold.sources.shared import table
 
-# Small tables of given values, in the form that both engines read.
-MINUTES = "(VALUES ('480'), ('0'), ('1439'), ('abc'), (''), ('-5'), ('1440'), ('99999999999999999999'), ('12.5'), ('6 00'), (' 480'), ('+480'), ('0480'), ('00480')) AS t(raw)"
-TIMES = "(VALUES ('5:12'), ('05:12:00'), ('05:51:59.962'), ('23:59:30'), ('23:59:29'), ('00:00:30'), ('00:01:30'), ('24:10'), ('nan'), (''), ('5.12'), ('12:5'), ('123:00')) AS t(raw)"
-HEADERS = "(VALUES ('DRD 93001'), ('95802      97202'), ('VR'), ('93005A FAST'), ('12 CAR'), ('1930012'), ('x93001')) AS t(cell)"
+# Texts made of the tables' numbers, as SELECT statements and expressions that both engines read.
+#: Minutes as users may type them.
+MINUTES = """SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN CAST(o_orderkey % 1500 AS STRING) WHEN 1 THEN concat('-', CAST(o_orderkey % 1500 AS STRING)) WHEN 2 THEN concat(CAST(o_orderkey % 100 AS STRING), '.5')
+  WHEN 3 THEN printf('%05d', o_orderkey % 1440) WHEN 4 THEN printf('%04d', o_orderkey % 1500) WHEN 5 THEN concat(' ', CAST(o_orderkey % 1440 AS STRING)) WHEN 6 THEN '' WHEN 7 THEN concat(CAST(o_orderkey AS STRING), '99999999999999999') ELSE concat(o_orderstatus, '6 00') END AS raw FROM orders"""
+#: Printed times.
+TIMES = """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN printf('%d:%02d', o_orderkey % 30, o_orderkey % 60) WHEN 1 THEN printf('%02d:%02d:%02d', o_orderkey % 24, o_custkey % 60, o_orderkey * 7 % 60) WHEN 2 THEN concat(printf('%02d:%02d:%02d', o_custkey % 25, o_orderkey % 60, o_custkey % 60), '.962')
+  WHEN 3 THEN 'nan' WHEN 4 THEN printf('%d.%02d', o_orderkey % 24, o_custkey % 60) WHEN 5 THEN printf('%d:%d', o_orderkey % 24, o_custkey % 60) WHEN 6 THEN printf(' %02d:%02d ', o_custkey % 24, o_orderkey % 60) ELSE printf('%03d:00', o_custkey % 500) END AS raw FROM orders"""
+#: Header cells of timetables.
+HEADERS = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN printf('DRD %05d', 90000 + p_partkey % 9999) WHEN 1 THEN printf('%05d      %05d', 90000 + p_partkey % 9999, 80000 + p_partkey % 9999) WHEN 2 THEN upper(substr(p_name, 1, 2)) WHEN 3 THEN printf('%05dA FAST', 90000 + p_partkey % 9999)
+  WHEN 4 THEN printf('%06d', 100000 + p_partkey) ELSE concat(printf('x%05d ', 90000 + p_partkey % 9999), printf('%05d', 70000 + p_partkey % 9999), chr(10), '60001') END AS cell FROM part"""
 #: Lines whose label or letter isn't that of their name.
 LABELS, LETTERS = {"L2": "Second", "L5": "Fifth"}, {"L3": "X", "L5": "V"}
 ALIASES = "(VALUES ('red bolt', 'rb'), ('red bolt', 'the screw'), ('no such part', 'zzz')) AS t(name, alias)"
-STATIONS = "(VALUES ('Kings Circle', 'KINGS CIRCLE|King''s Circle|Kings  Circle'), ('Matunga Road', 'MATUNGA RD|Matunga  road'), ('Dadar', 'DADAR|Dadar W'), ('Mahim', 'MAHIM JN'), ('Mahim Junction', 'Mahim jn|MAHIM')) AS t(name, raw_names)"
-PRINTED = "(VALUES ('dadar '), ('KING''S   CIRCLE'), ('matunga rd'), ('Bandra'), ('Dadar w'), ('kings circle')) AS t(station)"
-OSM_NAMES = "(VALUES ('A1', 'Mill Lane (Line 4)'), ('B7', 'Old Dock (North) [Line 9]'), ('C3', 'Fair  Oak (eastbound)'), ('D2', ' St. K. Cross '), ('A1', 'Low Hill [y] (westbound)')) AS t(line, name)"
-GRID = """(VALUES
-  (1, 1, 'STATIONS', array('DRD 93001', 'VR', '95802      97202')), (1, 2, '', array('', '93005', '')), (1, 3, 'Virar ', array('5:12', '6:00:31', '7:00 7:30')), (1, 4, 'Nallasopara', array('', '06:05', '7:05')),
-  (1, 5, 'Station', array('93007', '', '93009A')), (1, 6, 'Virar', array('23:59:30', '8:00', '9:10')), (2, 1, 'STATION', array('94001', '94003')), (2, 2, 'Panvel', array('x', '10:00')), (2, 3, 'LADIES ONLY', array('9:00', '9:01')), (2, 4, 'TRAIN NO.', array('', '94005')), (2, 5, 'nan', array('1:00', '1:00')), (2, 6, 'Nerul', array('11:00', '11:05'))) AS t(sheet, row, name, cells)"""
-DIRECTIONS = "(VALUES ('A', 0, 330, 1380), ('A', 1, 335, 1395), ('B', 0, 360, 1320)) AS t(line, dir, first, last)"
-BANDS = "(VALUES ('A', 0, 480, 8.0), ('A', 480, 660, 3.5), ('A', 660, 1440, 7.0), ('B', 0, 1440, 10.5)) AS t(line, start, stop, minutes)"
-OFFSETS = "(VALUES ('A', 0, 0.0), ('A', 1, 2.5), ('A', 2, 4.5), ('A', 3, 8.25), ('B', 0, 0.0), ('B', 1, 1.5)) AS t(line, pos, offset)"
+#: Stations with names as printed; conflicting ones share some.
+STATIONS = "SELECT concat('Stop ', CAST(s_suppkey AS STRING)) AS name, concat('STOP   ', CAST(s_suppkey AS STRING), '|Halt ', CAST(s_suppkey AS STRING)) AS raw_names FROM supplier"
+CONFLICTING = "SELECT concat('Stop ', CAST(s_suppkey AS STRING)) AS name, concat('Stand ', CAST(s_suppkey % 70 AS STRING), '|halt  ', CAST(s_suppkey AS STRING)) AS raw_names FROM supplier"
+PRINTED = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat(' STOP ', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('stop   ', CAST(c_custkey AS STRING), ' ') WHEN 2 THEN concat('hAlt ', CAST(c_custkey AS STRING)) ELSE c_name END AS station FROM customer"
+MAP_NAMES = """SELECT concat('L', CAST(p_size % 5 AS STRING)) AS line, concat(p_name, CASE p_partkey % 6 WHEN 0 THEN ' (Line 4)' WHEN 1 THEN ' (North) [Line 9]' WHEN 2 THEN '  St.  K.  (eastbound)' WHEN 3 THEN ' [y] (westbound)' WHEN 4 THEN ' ' ELSE '' END) AS name FROM part"""
+#: A line for each supplier: its first and last departures each way, headways by bands of the day, and stations.
+DIRECTIONS = "SELECT concat('M', CAST(s_suppkey AS STRING)) AS line, 0 AS dir, 300 + s_suppkey * 7 % 90 AS first, 1260 + s_suppkey * 11 % 150 AS last FROM supplier UNION ALL SELECT concat('M', CAST(s_suppkey AS STRING)), 1, 310 + s_suppkey * 7 % 90, 1275 + s_suppkey * 11 % 150 FROM supplier"
+BANDS = " UNION ALL ".join(
+    f"SELECT concat('M', CAST(s_suppkey AS STRING)) AS line, {start} AS start, {stop} AS stop, {minutes} AS minutes FROM supplier"
+    for start, stop, minutes in ((0, 480, "8.0 + s_suppkey % 5"), (480, 660, "2.5 + s_suppkey % 4 * 0.5"), (660, 1020, "5.25 + s_suppkey % 3"), (1020, 1440, "6.5 + s_suppkey % 200"))
+)
+OFFSETS = "SELECT concat('M', CAST(s_suppkey AS STRING)) AS line, p AS pos, p * (1.5 + s_suppkey % 4 * 0.25) AS offset FROM supplier, ({numbers}) WHERE p <= 2 + s_suppkey % 4"
+NUMBERS = "SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5"
 BRANCHES = "(VALUES (1, 'first tens', 0, 1), (2, 'low', 2, 9), (3, 'middle', 10, 29)) AS t(ord, branch, low, high)"
 PREFIXES = "(VALUES ('re'), ('ri'), ('b'), ('gadget'), (' Sm'), (''), ('zzz'), ('w')) AS t(raw)"
 
@@ -34,9 +44,17 @@ def _given(spark: SparkSession, values: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM {values}")
 
 
+def _made(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
+    """The rows of a statement over given tables."""
+    tables = [t for t in ("orders", "customer", "part", "supplier") if f"FROM {t}" in statement]
+    for t in tables:
+        statement = statement.replace(f"FROM {t}", f"FROM {{{t}}}")
+    return spark.sql(statement, **{t: table(spark, sf_dir, t) for t in tables})
+
+
 def invalid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts are minutes of a day: one to four digits below 1440."""
-    return _given(spark, MINUTES).select("raw", F.coalesce(F.when(F.col("raw").rlike(r"^\d{1,4}$"), F.col("raw").try_cast("int") < 1440), F.lit(False)).alias("valid"))
+    return _made(spark, sf_dir, MINUTES).select("o_orderkey", "raw", F.coalesce(F.when(F.col("raw").rlike(r"^\d{1,4}$"), F.col("raw").try_cast("int") < 1440), F.lit(False)).alias("valid"))
 
 
 def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,17 +70,38 @@ def time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def to_hhmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """printed times, seconds rounded, wrapped at a day."""
-    return _given(spark, TIMES).select("raw", timefn.to_hhmm(F.col("raw")).alias("time"))
+    return _made(spark, sf_dir, TIMES).select("o_orderkey", "raw", timefn.to_hhmm(F.col("raw")).alias("time"))
 
 
 def train_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """train numbers of header cells."""
-    return _given(spark, HEADERS).select("cell", F.array_join(timetable.train_numbers(F.col("cell")), " ").alias("numbers"))
+    return _made(spark, sf_dir, HEADERS).select("p_partkey", "cell", F.array_join(timetable.train_numbers(F.col("cell")), " ").alias("numbers"))
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sheet, row, name, cells): each order as a printed timetable of three columns, its line items as rows.
+
+    The first row is a header of a train, a cell without number and a cell of
+    two trains; the second has the number below the header; the fourth is
+    another header and the sixth a title. The others are stations with times.
+    """
+    n, k = F.col("n"), F.col("trip").cast("long") % 9999
+    number = lambda text, base: F.format_string(text, base + k)
+    hour, minute = F.col("part") % 24, F.col("part") % 60
+    two = F.format_string("%02d:%02d  %d:%02d", hour, minute, (hour + 1) % 24, F.col("quantity"))
+    name = F.when(n == 1, "STATIONS").when(n == 2, "").when(n == 4, "TRAIN NO.").when(n == 6, "LADIES ONLY").otherwise(F.concat(F.lit("Stop "), F.col("stop").cast("string"), F.lit(" ")))
+    times = F.array(F.format_string("%d:%02d", hour, minute), F.format_string("%02d:%02d:%02d", hour, F.col("quantity"), minute), F.when(F.col("part") % 2 == 0, two).otherwise(F.format_string("%d:%02d", (hour + 2) % 24, minute)))
+    cells = F.when(n == 1, F.array(number("DRD %05d", 90000), F.lit("VR"), F.concat(number("%05d      ", 80000), number("%05d", 70000))))
+    cells = cells.when(n == 2, F.array(F.lit(""), number("%05d", 60000), F.lit(""))).when(n == 4, F.array(number("%05dA FAST", 50000), F.lit(""), F.lit("12 CAR"))).otherwise(times)
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_orderkey").alias("trip"), F.row_number().over(order).cast("long").alias("n"), F.col("l_suppkey").alias("stop"), F.col("l_partkey").cast("long").alias("part"), F.col("l_quantity").cast("long").alias("quantity"))
+    return rows.select(F.col("trip").alias("sheet"), n.alias("row"), name.alias("name"), cells.alias("cells"))
 
 
 def unpivot_timetable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of two sheets, one with a second header, a cell of two trains and a number below its header."""
-    return timetable.unpivot(_given(spark, GRID))
+    """Calls of timetables with a second header, cells of two trains and numbers below their header."""
+    return timetable.unpivot(sheets(spark, sf_dir))
 
 
 def line_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,24 +115,24 @@ def line_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "name", "short_name", "color", "mode", label.alias("label"), text.line_letter(F.col("id"), label, LETTERS).alias("letter"), text.ink_on(F.col("color")).alias("ink"))
 
 
-def _stations(spark: SparkSession) -> DataFrame:
-    return _given(spark, STATIONS).select("name", F.split("raw_names", r"\|").alias("raw_names"))
+def _stations(spark: SparkSession, sf_dir: str, statement: str = STATIONS) -> DataFrame:
+    return _made(spark, sf_dir, statement).select("name", F.split("raw_names", r"\|").alias("raw_names"))
 
 
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed names to stations."""
-    return timetable.resolve(_given(spark, PRINTED), _stations(spark))
+    """Printed names to stations; one that two stations have is an error."""
+    return timetable.resolve(_made(spark, sf_dir, PRINTED), _stations(spark, sf_dir))
 
 
 def alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases of more than one station."""
-    return timetable.alias_conflicts(_stations(spark))
+    return timetable.alias_conflicts(_stations(spark, sf_dir, CONFLICTING))
 
 
 def stop_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names without hints, and stop ids."""
     clean = text.clean_name(F.col("name"))
-    return _given(spark, OSM_NAMES).select("name", clean.alias("clean"), text.metro_stop_id(F.col("line"), clean).alias("metro_id"), text.local_stop_id(clean).alias("local_id"))
+    return _made(spark, sf_dir, MAP_NAMES).select("name", clean.alias("clean"), text.metro_stop_id(F.col("line"), clean).alias("metro_id"), text.local_stop_id(clean).alias("local_id"))
 
 
 def station_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,26 +189,22 @@ def branch_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headway_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The headway of line A in force at the time of each event; a time in no band is an error."""
+    """The headway of an event's line in force at its time; a time in no band is an error."""
     minute = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
-    events = table(spark, sf_dir, "events").select("event_id", minute.alias("minute"))
-    rows = events.join(F.broadcast(_given(spark, BANDS).where("line = 'A'")), (F.col("minute") >= F.col("start")) & (F.col("minute") < F.col("stop")), "left")
+    events = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("M"), (1 + F.col("event_id") % 7).cast("string")).alias("line"), minute.alias("minute"))
+    rows = events.join(_made(spark, sf_dir, BANDS).withColumnRenamed("line", "of"), (F.col("line") == F.col("of")) & (F.col("minute") >= F.col("start")) & (F.col("minute") < F.col("stop")), "left")
     return rows.select("event_id", "minute", F.coalesce(F.col("minutes").cast("double"), F.raise_error(F.concat(F.lit("no headway at minute "), F.col("minute").cast("string"))).cast("double")).alias("headway"))
 
 
-def _departures(spark: SparkSession) -> DataFrame:
-    return timetable.headway_departures(_given(spark, DIRECTIONS), _given(spark, BANDS))
-
-
 def headway_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Departures generated from headways."""
-    return _departures(spark)
+    return timetable.headway_departures(_made(spark, sf_dir, DIRECTIONS), _made(spark, sf_dir, BANDS))
 
 
 def metro_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated trips at each station, both directions."""
-    offsets = _given(spark, OFFSETS).selectExpr("line", "pos", "CAST(offset AS DOUBLE) AS offset")
-    return timetable.metro_stop_times(_departures(spark), offsets)
+    offsets = _made(spark, sf_dir, OFFSETS.format(numbers=NUMBERS)).selectExpr("line", "pos", "CAST(offset AS DOUBLE) AS offset")
+    return timetable.metro_stop_times(headway_departures(spark, sf_dir), offsets)
 
 
 QUERIES = {
@@ -182,28 +217,33 @@ QUERIES = {
 
 _N = network.SQL
 _NORMAL = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
-_ALIASES = f"aliases AS (SELECT DISTINCT {_NORMAL.format('raw')} AS alias, name FROM (SELECT name, unnest(list_concat([name], string_split(raw_names, '|'))) AS raw FROM {STATIONS}))"
+_ALIASES = f"aliases AS (SELECT DISTINCT {_NORMAL.format('raw')} AS alias, name FROM (SELECT name, unnest(list_concat([name], string_split(raw_names, '|'))) AS raw FROM ({{stations}})))"
 _HEADWAYS = f"""WITH RECURSIVE run AS (
-  SELECT line, dir, CAST(first AS DOUBLE) AS minute, last FROM {DIRECTIONS}
+  SELECT line, dir, CAST(first AS DOUBLE) AS minute, last FROM ({DIRECTIONS})
   UNION ALL
-  SELECT r.line, r.dir, r.minute + CAST(b.minutes AS DOUBLE), r.last FROM run r JOIN {BANDS.replace('AS t(', 'AS b(')} ON r.line = b.line AND floor(r.minute) >= b.start AND floor(r.minute) < b.stop WHERE r.minute < r.last
+  SELECT r.line, r.dir, r.minute + CAST(b.minutes AS DOUBLE), r.last FROM run r JOIN ({BANDS}) b ON r.line = b.line AND floor(r.minute) >= b.start AND floor(r.minute) < b.stop WHERE r.minute < r.last
 ), departures AS (
-  SELECT line, dir, minute FROM run WHERE minute < last UNION ALL SELECT line, dir, CAST(last AS DOUBLE) FROM {DIRECTIONS}
+  SELECT line, dir, minute FROM run WHERE minute < last UNION ALL SELECT line, dir, CAST(last AS DOUBLE) FROM ({DIRECTIONS})
 )"""
 _FULL = r"'^\s*(\d{1,2}):(\d{2})(?::(\d{2}(?:\.\d+)?))?\s*$'"
 
 ORACLE_SQL = {
-    "invalid_queries": f"SELECT raw, coalesce(CASE WHEN regexp_matches(raw, '^\\d{{1,4}}$') THEN TRY_CAST(raw AS INTEGER) < 1440 END, false) AS valid FROM {MINUTES}",
+    "invalid_queries": f"SELECT o_orderkey, raw, coalesce(CASE WHEN regexp_matches(raw, '^\\d{{1,4}}$') THEN TRY_CAST(raw AS INTEGER) < 1440 END, false) AS valid FROM ({MINUTES})",
     "time_parse": "SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS minutes FROM events",
     "time_format": """SELECT o_orderkey, printf('%02d:%02d', (m % 1440) // 60, m % 60) AS clock, printf('%02d:%02d:00', m // 60, m % 60) AS long_clock,
   CASE WHEN m // 60 = 0 THEN printf('%d min', m % 60) WHEN m % 60 = 0 THEN printf('%d h', m // 60) ELSE printf('%d h %02d', m // 60, m % 60) END AS duration, m >= 1440 AS next_day, (m % 1440) AS back,
   CASE WHEN m >= 950 THEN printf('%.1f km', round(m / 1000.0 + 1e-9, 1)) ELSE printf('%d m', CAST(round(m / 10.0) * 10 AS BIGINT)) END AS metres
 FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
-    "to_hhmm": f"""SELECT raw, CASE WHEN regexp_matches(raw, {_FULL}) THEN printf('%02d:%02d', (t // 60) % 24, t % 60) END AS time FROM (
-  SELECT raw, TRY_CAST(regexp_extract(raw, {_FULL}, 1) AS BIGINT) * 60 + TRY_CAST(regexp_extract(raw, {_FULL}, 2) AS BIGINT) + CAST(round_even(coalesce(TRY_CAST(regexp_extract(raw, {_FULL}, 3) AS DOUBLE), 0) / 60, 0) AS BIGINT) AS t FROM {TIMES})""",
-    "train_numbers": f"SELECT cell, array_to_string(regexp_extract_all(string_split(cell, chr(10))[1], '\\b(\\d{{5}}[A-Z]?)\\b', 1), ' ') AS numbers FROM {HEADERS}",
-    "unpivot_timetable": """SELECT * FROM (VALUES (1, 3, '93001', 'Virar', '05:12'), (1, 3, '93005', 'Virar', '06:01'), (1, 3, '95802', 'Virar', '07:00'), (1, 3, '97202', 'Virar', '07:30'), (1, 4, '93005', 'Nallasopara', '06:05'),
-  (1, 4, '95802', 'Nallasopara', '07:05'), (1, 4, '97202', 'Nallasopara', '07:05'), (1, 6, '93007', 'Virar', '23:59'), (1, 6, '93009A', 'Virar', '09:10'), (2, 2, '94003', 'Panvel', '10:00'), (2, 6, '94005', 'Nerul', '11:05')) AS t(sheet, row, train_number, station, time)""",
+    "to_hhmm": f"""SELECT o_orderkey, raw, CASE WHEN regexp_matches(raw, {_FULL}) THEN printf('%02d:%02d', (t // 60) % 24, t % 60) END AS time FROM (
+  SELECT o_orderkey, raw, TRY_CAST(regexp_extract(raw, {_FULL}, 1) AS BIGINT) * 60 + TRY_CAST(regexp_extract(raw, {_FULL}, 2) AS BIGINT) + CAST(round_even(coalesce(TRY_CAST(regexp_extract(raw, {_FULL}, 3) AS DOUBLE), 0) / 60, 0) AS BIGINT) AS t FROM ({TIMES}))""",
+    "train_numbers": f"SELECT p_partkey, cell, array_to_string(regexp_extract_all(string_split(cell, chr(10))[1], '\\b(\\d{{5}}[A-Z]?)\\b', 1), ' ') AS numbers FROM ({HEADERS})",
+    "unpivot_timetable": f"""WITH {_N}, x AS (SELECT trip AS sheet, n AS row, trip % 9999 AS k, 'Stop ' || stop AS station, l_partkey % 24 AS h, l_partkey % 60 AS m, l_partkey % 2 = 0 AS two, quantity AS q FROM numbered), t AS (
+  SELECT sheet, row, printf('%05d', 90000 + k) AS train_number, station, h * 60 + m AS clock FROM x WHERE row = 3
+  UNION ALL SELECT sheet, row, printf('%05d', 60000 + k), station, h * 60 + q + CAST(round_even(m / 60.0, 0) AS BIGINT) FROM x WHERE row = 3
+  UNION ALL SELECT sheet, row, printf('%05d', 80000 + k), station, CASE WHEN two THEN h * 60 + m ELSE (h + 2) % 24 * 60 + m END FROM x WHERE row = 3
+  UNION ALL SELECT sheet, row, printf('%05d', 70000 + k), station, CASE WHEN two THEN (h + 1) % 24 * 60 + q ELSE (h + 2) % 24 * 60 + m END FROM x WHERE row = 3
+  UNION ALL SELECT sheet, row, printf('%05dA', 50000 + k), station, h * 60 + m FROM x WHERE row = 5 OR row > 6
+) SELECT sheet, row, train_number, station, printf('%02d:%02d', clock // 60 % 24, clock % 60) AS time FROM t""",
     "line_catalog": """WITH line AS (
   SELECT 'L' || p_partkey AS id, p_name || ' Line' AS name, upper(substr(p_name, 1, 3)) AS short_name, printf('#%06X', (CAST(p_partkey AS BIGINT) * 7919 * 613) % 16777216) AS color, (CAST(p_partkey AS BIGINT) * 7919 * 613) % 16777216 AS c,
     CASE p_size % 13 WHEN 1 THEN 'METRO' WHEN 12 THEN 'MONORAIL' ELSE 'LOCAL' END AS mode FROM part
@@ -212,10 +252,10 @@ FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
 ), named AS (
   SELECT *, 0.2126 * v[1] + 0.7152 * v[2] + 0.0722 * v[3] + 0.05 AS l, CASE WHEN mode <> 'LOCAL' THEN short_name WHEN id = 'L2' THEN 'Second' WHEN id = 'L5' THEN 'Fifth' ELSE regexp_replace(name, ' Line$', '') END AS label FROM lit
 ) SELECT id, name, short_name, color, mode, label, CASE id WHEN 'L3' THEN 'X' WHEN 'L5' THEN 'V' ELSE substr(label, 1, 1) END AS letter, CASE WHEN l / 0.0598 > 1.05 / l THEN '#0C1A26' ELSE '#FFFFFF' END AS ink FROM named""",
-    "alias_resolution": f"WITH {_ALIASES} SELECT station, name FROM {PRINTED} LEFT JOIN aliases ON alias = {_NORMAL.format('station')}",
-    "alias_conflicts": f"WITH {_ALIASES} SELECT alias, count(*) AS names FROM aliases GROUP BY alias HAVING count(*) > 1",
+    "alias_resolution": f"WITH {_ALIASES.format(stations=STATIONS)} SELECT c_custkey, station, name FROM ({PRINTED}) LEFT JOIN aliases ON alias = {_NORMAL.format('station')}",
+    "alias_conflicts": f"WITH {_ALIASES.format(stations=CONFLICTING)} SELECT alias, count(*) AS names FROM aliases GROUP BY alias HAVING count(*) > 1",
     "stop_names": f"""SELECT name, clean, line || '_' || trim(regexp_replace(upper(clean), '[^A-Z0-9]+', '_', 'g'), '_') AS metro_id, upper(replace(clean, ' ', '_')) AS local_id FROM (
-  SELECT line, name, trim(regexp_replace(regexp_replace(regexp_replace(name, '\\s*\\[[^\\]]*\\]', '', 'g'), '\\s*\\((Line \\w+|eastbound|westbound)\\)', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM {OSM_NAMES})""",
+  SELECT line, name, trim(regexp_replace(regexp_replace(regexp_replace(name, '\\s*\\[[^\\]]*\\]', '', 'g'), '\\s*\\((Line \\w+|eastbound|westbound)\\)', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM ({MAP_NAMES}))""",
     "station_search": f"""WITH names AS (SELECT DISTINCT p_name AS name FROM part), typed AS (SELECT raw, replace(replace(lower(substr(trim(raw), 1, 60)), '''', ''), '.', '') AS prefix FROM {PREFIXES}), hits AS (
   SELECT raw, name, starts_with(replace(replace(lower(name), '''', ''), '.', ''), prefix) AS first FROM typed, names
   WHERE len(list_filter(range(len(string_split(name, ' '))), lambda i: starts_with(replace(replace(lower(array_to_string(string_split(name, ' ')[i + 1:], ' ')), '''', ''), '.', ''), prefix))) > 0
@@ -238,8 +278,8 @@ FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
   SELECT x.trip, x.n, x.stop, f.run + CAST(list_contains(f.seen, x.stop) AS BIGINT), CASE WHEN list_contains(f.seen, x.stop) THEN [x.stop] ELSE list_append(f.seen, x.stop) END FROM folded f JOIN numbered x ON x.trip = f.trip AND x.n = f.n + 1
 ) SELECT trip, n, stop, run FROM folded""",
     "branch_route": f"WITH {_N} SELECT trip, coalesce(arg_min(branch, ord), 'main') AS route, trip % 2 AS direction FROM call LEFT JOIN {BRANCHES.replace('AS t(', 'AS b(')} ON stop BETWEEN low AND high GROUP BY trip",
-    "headway_lookup": f"SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS minute, CAST(minutes AS DOUBLE) AS headway FROM events JOIN {BANDS} ON line = 'A' AND hour(ts) * 60 + minute(ts) >= start AND hour(ts) * 60 + minute(ts) < stop",
+    "headway_lookup": f"SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS BIGINT) AS minute, CAST(minutes AS DOUBLE) AS headway FROM events JOIN ({BANDS}) ON line = 'M' || (1 + event_id % 7) AND hour(ts) * 60 + minute(ts) >= start AND hour(ts) * 60 + minute(ts) < stop",
     "headway_departures": f"{_HEADWAYS} SELECT line, dir, minute FROM departures",
-    "metro_stop_times": f"""{_HEADWAYS}, placed AS (SELECT line, pos, CAST("offset" AS DOUBLE) AS o, CAST(max("offset") OVER (PARTITION BY line) AS DOUBLE) AS total, count(*) OVER (PARTITION BY line) AS stations FROM {OFFSETS.replace('offset)', '"offset")')})
+    "metro_stop_times": f"""{_HEADWAYS}, placed AS (SELECT line, pos, CAST("offset" AS DOUBLE) AS o, CAST(max("offset") OVER (PARTITION BY line) AS DOUBLE) AS total, count(*) OVER (PARTITION BY line) AS stations FROM ({OFFSETS.replace('AS offset', 'AS "offset"').format(numbers=NUMBERS)}))
 SELECT printf('%s-%d-%02d%02d', line, dir, CAST(floor(minute) AS BIGINT) // 60, CAST(floor(minute) AS BIGINT) % 60) AS trip_id, CASE WHEN dir = 0 THEN pos + 1 ELSE stations - pos END AS seq, CAST(round_even(minute + CASE WHEN dir = 0 THEN o ELSE total - o END, 0) AS BIGINT) AS minute FROM departures JOIN placed USING (line)""",
 }

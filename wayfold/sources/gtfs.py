@@ -6,7 +6,13 @@ column that a file lacks is null or, for strings, empty.
 
 from __future__ import annotations
 
+import csv
+import io
+import posixpath
+from collections.abc import Iterator
+
 from pyspark.errors import AnalysisException
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,12 +60,27 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(header=True, quote='"', escape='"', emptyValue="").csv(path)
 
 
-def read_grid(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """A sheet saved as CSV without a header, as (sheet, row, name, cells): its first column, and the others."""
-    raw = spark.read.options(quote='"', escape='"', multiLine=True, header=False).csv(path)
-    cells = F.array(*(F.coalesce(F.col(c), F.lit("")) for c in raw.columns[1:]))
-    # one file is one partition, read in its order
-    return raw.coalesce(1).select(F.lit(sheet).alias("sheet"), (F.monotonically_increasing_id() + 1).alias("row"), F.coalesce(F.col(raw.columns[0]), F.lit("")).alias("name"), cells.alias("cells"))
+def _grid_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sheet, row, name, cells) of CSV files (path, content), a batch a file."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            lines = list(csv.reader(io.StringIO(content.as_py().decode("utf-8-sig"), newline="")))
+            sheet = posixpath.splitext(posixpath.basename(path))[0]
+            columns = [[sheet] * len(lines), list(range(1, len(lines) + 1)), [x[0] if x else "" for x in lines], [x[1:] for x in lines]]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["sheet", "row", "name", "cells"])
+
+
+def read_grid(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Sheets saved as CSV without a header, as (sheet, row, name, cells): a sheet's first column, and the others.
+
+    path names a file, a folder or a pattern; files are read side by side, each
+    whole and in its own order, so rows are numbered however Spark deals them.
+    A sheet is called by its file's name, or all by the one given.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(_grid_rows, "sheet string, row long, name string, cells array<string>")
+    return rows if sheet is None else rows.withColumn("sheet", F.lit(sheet))
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
