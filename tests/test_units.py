@@ -53,6 +53,37 @@ def test_request_lines(spark, tmp_path):
     assert all("bad request" in got[i] for i in ("z", "no pipe at all", "w", "", "t")) and len(got) == len(lines)
 
 
+def test_requests_of_an_earlier_batch_are_answered_from_what_is_kept(spark, tmp_path, monkeypatch):
+    times = spark.createDataFrame([(1, 1, 1, 100, 100), (1, 2, 2, 110, 110)], "trip long, stop long, seq long, arr long, dep long")
+    walks = spark.createDataFrame([(2, 3, 4)], "a long, b long, minutes long")
+    asked, real = [], requests.routing.labels
+
+    def labels(once, *rest):
+        asked.append(sorted((r.src, r.dst, r.t0) for r in once.collect()))
+        return real(once, *rest)
+
+    monkeypatch.setattr(requests.routing, "labels", labels)
+    got = {}
+    for number, lines in enumerate((["a|1,3,90", "b|1,2,80", "e|x,2,80"], ["c|1,3,90", "d|1,2,95", "f|x,2,80"], ["g|1,2,95", "h|1,3,90"])):
+        folder = tmp_path / "in"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{number}.txt").write_text("\n".join(lines) + "\n")
+        requests.serve(spark.readStream.text(str(folder)), times, walks, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+        got |= {r.id: r.line.split("|", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).where(F.col("batch") == number).collect()}
+    assert asked == [[(1, 2, 80), (1, 3, 90)], [(1, 2, 95)], []]
+    assert got["a"].startswith('{"cached":false') and '"arr_min":114' in got["a"] and got["c"] == got["h"] == got["a"].replace('"cached":false', '"cached":true', 1)
+    assert got["g"] == got["d"].replace('"cached":false', '"cached":true', 1) and "bad request" in got["e"] and got["e"] == got["f"]
+
+
+def test_stations_are_ranked_as_unicode_sorts_them(spark):
+    stations = [(1, "Élan Road", "LOCAL"), (2, "elan Park", "METRO"), (3, "Zoo Elan", "LOCAL"), (4, "Elan park", "LOCAL"), (5, "Elan Park", "METRO"), (6, "Elan Park", "LOCAL"), (7, "Eland", "LOCAL"), (8, "Azure elan", "METRO")]
+    typed = spark.createDataFrame([("el",), ("zz",)], "raw string")
+    rows = search.ranked_stations(spark.createDataFrame(stations, "id long, name string, mode string"), typed).collect()
+    assert [r.id for r in sorted(rows, key=lambda r: r["rank"])] == [2, 4, 6, 5, 7, 8, 3]
+    everything = search.ranked_stations(spark.createDataFrame(stations, "id long, name string, mode string"), spark.createDataFrame([("",)], "raw string")).collect()
+    assert [r.id for r in sorted(everything, key=lambda r: r["rank"])] == [8, 2, 4, 6, 5, 1, 7, 3]
+
+
 def test_texts(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first().x

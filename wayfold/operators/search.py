@@ -20,17 +20,35 @@ def index(names: DataFrame, column: str, aliases: DataFrame | None = None) -> Da
     return out if aliases is None else out.unionByName(aliases.join(names.select(F.col(column).alias("name")), "name", "left_semi").select("name", F.lit(1).alias("at"), search_form(F.col("alias")).alias("suffix")))
 
 
-def suggestions(suffixes: DataFrame, typed: DataFrame, least_typed: int = 0) -> DataFrame:
-    """(raw, name, rank) of typed texts (raw): names that start with the prefix first, then by name; an empty prefix finds all.
+def suggested(suffixes: DataFrame, typed: DataFrame, least_typed: int) -> DataFrame:
+    """(raw, name, at): the names that typed texts (raw) find, and the first word that begins so.
 
-    Texts of fewer than least_typed characters find nothing. Suffixes are cut to
-    each length that is typed, of which there are PREFIX_LENGTH at most, and
-    meet the prefixes by equality.
+    Suffixes are cut to each length that is typed, of which there are
+    PREFIX_LENGTH at most, and meet the prefixes by equality.
     """
     raw = F.btrim("raw")
     prefixes = typed.where(F.length(raw) >= least_typed).select("raw", search_form(F.substring(raw, 1, PREFIX_LENGTH)).alias("prefix"))
     sizes = prefixes.select(F.length("prefix").alias("size")).distinct()
     cut = suffixes.join(F.broadcast(sizes), F.length("suffix") >= F.col("size")).select("name", "at", F.expr("left(suffix, size)").alias("prefix")).distinct()
-    hits = cut.join(prefixes, "prefix").groupBy("raw", "name").agg(F.min("at").alias("at"))
-    order = Window.partitionBy("raw").orderBy(F.col("at") > 0, "name")
-    return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= SHOWN).select("raw", "name", "rank")
+    return cut.join(prefixes, "prefix").groupBy("raw", "name").agg(F.min("at").alias("at"))
+
+
+def suggestions(suffixes: DataFrame, typed: DataFrame, least_typed: int = 0) -> DataFrame:
+    """(raw, name, rank) of typed texts (raw): names that start with the prefix first, then by Unicode's collation; an empty prefix finds all.
+
+    Texts of fewer than least_typed characters find nothing.
+    """
+    order = Window.partitionBy("raw").orderBy(F.col("at") > 0, F.collate("name", "UNICODE"), "name")
+    return suggested(suffixes, typed, least_typed).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= SHOWN).select("raw", "name", "rank")
+
+
+def ranked_stations(stations: DataFrame, typed: DataFrame) -> DataFrame:
+    """(raw, id, name, mode, rank): all stations (id, name, mode) that a typed text (raw) finds, in order.
+
+    Names that begin with the text come first, then names by the rules of
+    Unicode's collation (accents and case decide only between equal letters),
+    then local stations before others of their name. An empty text finds all.
+    """
+    hits = suggested(index(stations.select(F.col("name").alias("station")).distinct(), "station"), typed, 0)
+    order = Window.partitionBy("raw").orderBy(F.col("at") > 0, F.collate("name", "UNICODE"), F.col("mode") != "LOCAL", "id")
+    return hits.join(stations.select("id", "name", "mode"), "name").withColumn("rank", F.row_number().over(order).cast("long")).select("raw", "id", "name", "mode", "rank")

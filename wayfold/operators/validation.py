@@ -86,10 +86,12 @@ def facts(stats: DataFrame, published: DataFrame) -> DataFrame:
     """Lines whose statistics (line, first, last, longest, peak_mean, minutes, km) differ from what is published.
 
     published: (line, first, last, peak, minutes, km); a null fact isn't checked.
+    A published line without statistics is named too.
     """
-    rows = stats.join(published.select("line", *(F.col(c).alias(f"p_{c}") for c in ("first", "last", "peak", "minutes", "km"))), "line")
+    rows = published.select("line", *(F.col(c).alias(f"p_{c}") for c in ("first", "last", "peak", "minutes", "km"))).join(stats, "line", "left")
     line = F.col("line").cast("string")
     return together(
+        problems(published.join(stats, "line", "left_anti"), "metro", F.lit("no trains"), line),
         problems(rows.where((F.col("first") != F.col("p_first")) | (F.col("last") != F.col("p_last"))), "metro", F.lit("first or last train"), line),
         problems(rows.where(F.col("longest") > MAX_GAP_MINUTES), "metro", F.lit("gap"), line),
         problems(rows.where(F.abs(F.col("peak_mean") - F.col("p_peak")) > PEAK_MINUTES), "metro", F.lit("headway"), line),
@@ -98,6 +100,34 @@ def facts(stats: DataFrame, published: DataFrame) -> DataFrame:
     )
 
 
+def line_orders(stations: DataFrame, trips: DataFrame, published: DataFrame) -> DataFrame:
+    """Lines that lack stations or trips of a direction, or whose stations aren't in the published order.
+
+    stations: (line, pos, name); trips: (line, dir); published: (line, stations,
+    keys: array). A published line counts even if nothing is known of it. A key
+    stands for the first station whose name holds it, in any case; keys must
+    stand for stations farther and farther along, and the first that doesn't is
+    named. Order is only looked at where both directions have trips.
+    """
+    own = stations.groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.lower("name").alias("name")))), lambda x: x["name"]).alias("names"))
+    ways = trips.groupBy("line").agg(F.coalesce(F.bool_or(F.col("dir") == 0) & F.bool_or(F.col("dir") == 1), F.lit(False)).alias("both"))
+    rows = published.join(own, "line", "left").join(ways, "line", "left").withColumns({"names": F.coalesce("names", F.array().cast("array<string>")), "both": F.coalesce("both", F.lit(False))}).withColumn("n", F.size("names"))
+    start = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("string").alias("bad"))
+
+    def step(acc: Column, key: Column) -> Column:
+        hit = F.array_min(F.filter(F.transform("names", lambda name, i: F.when(F.contains(name, F.lower(key)), i)), lambda i: i.isNotNull()))
+        fits = F.coalesce(hit > acc["at"], F.lit(False))
+        return F.when(acc["bad"].isNotNull(), acc).otherwise(F.struct(F.when(fits, hit).otherwise(acc["at"]).alias("at"), F.when(~fits, key).alias("bad")))
+
+    rows = rows.withColumn("bad", F.aggregate("keys", start, step)["bad"])
+    line = F.col("line").cast("string")
+    return together(
+        problems(rows.where(F.col("n") != F.col("stations")), "metro", F.lit("stations"), line, F.col("n").cast("string"), F.lit("of"), F.col("stations").cast("string")),
+        problems(rows.where(~F.col("both")), "metro", F.lit("no trips in one direction"), line),
+        problems(rows.where(F.col("both") & F.col("bad").isNotNull()), "metro", F.lit("missing or out of order"), line, F.col("bad")),
+    )
+
+
 def metro_hops(times: DataFrame, places: DataFrame) -> DataFrame:
     """Hops of trips (trip, seq, stop, arr, dep) of less than a minute, or of more than half a kilometre at over 90 km/h."""
     w = Window.partitionBy("trip").orderBy("seq")

@@ -72,9 +72,9 @@ def local_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unlinked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of stops closer than a kilometre that share no line."""
-    lines = lines_at_stop(spark, sf_dir).select("stop", F.when(F.col("n_lines") > 0, F.split("lines", " ")).otherwise(F.array().cast("array<string>")).alias("lines"))
-    here = places(spark, sf_dir).select("stop", "lat", "lon").join(lines, "stop")
+    """Pairs of stops closer than a kilometre that share none of the lines that start there; a stop's own is among them."""
+    starts = network.calls(spark, sf_dir).where("seq = 1").groupBy("stop").agg(F.collect_set((F.col("trip") % 30011).cast("string")).alias("starts"))
+    here = places(spark, sf_dir).select("stop", "line", "lat", "lon").join(starts, "stop", "left").withColumn("lines", F.array_union(F.array(F.col("line").cast("string")), F.coalesce("starts", F.array().cast("array<string>"))))
     side = lambda k: here.select(F.col("stop").alias(k), F.col("lines").alias(f"{k}_lines"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
     return geometry.near_pairs(side("a"), side("b"), geometry.WALK_METRES).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("a_lines", "b_lines")).select("a", "b", F.round("m").cast("long").alias("metres"))
 
@@ -153,6 +153,22 @@ def line_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.facts(stats.join(first, "line"), published)
 
 
+def line_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: published lines that lack stations or a direction, or whose stations come in another order; each customer's orders are a line's trips."""
+    calls = network.calls(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("trip"), F.col("o_custkey").alias("line")), "trip")
+    trips = calls.where("seq = 1").select("line", "trip", (F.col("trip") % 2).alias("dir"))
+    first = trips.groupBy("line").agg(F.min("trip").alias("trip"))
+    stations = calls.join(first, ["line", "trip"]).select("line", F.col("seq").alias("pos"), F.concat(F.lit("Stop "), F.col("stop").cast("string"), F.lit(".")).alias("name"))
+    key = lambda k, n: F.concat(F.lit(" "), ((F.col("c_custkey") * k) % F.lit(n)).cast("string"), F.lit("."))
+    ends = calls.join(first, ["line", "trip"]).groupBy("line").agg(F.min_by("stop", "seq").alias("a"), F.max_by("stop", "seq").alias("z"))
+    known = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("line")).join(ends, "line", "left")
+    end = lambda c: F.concat(F.lit("STOP "), F.coalesce(F.col(c), F.lit(7)).cast("string"), F.lit("."))
+    turn = F.col("c_custkey") % 3
+    keys = F.when(turn == 0, F.array(end("a"), end("z"))).when(turn == 1, F.array(end("z"), end("a"))).otherwise(F.array(end("a"), key(7, 10), end("z")))
+    published = known.select("line", (2 + F.col("c_custkey") % 5).cast("int").alias("stations"), keys.alias("keys"))
+    return validation.line_orders(stations, trips.select("line", "dir"), published)
+
+
 def metro_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: hops of no minute or beyond 90 km/h."""
     return validation.metro_hops(network.day_times(spark, sf_dir), places(spark, sf_dir))
@@ -168,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         backward_times, line_assembly, line_offsets, trips_by_route, loaded_network, local_shapes, unlinked_pairs, via_points, largest_part, path_or_line, leg_lines, northward_checks, filed_lines, shape_stop_checks, line_facts,
-        metro_hops, network_report,
+        line_orders, metro_hops, network_report,
     )
 }
 
@@ -201,7 +217,8 @@ _FACTS = f"""dep AS (SELECT trip % 25 AS line, dep AS minute FROM day_time WHERE
 ), fact AS (
   SELECT s.*, w.minutes, w.km, n.n_nationkey AS n FROM stats s JOIN whole w ON w.trip % 25 = s.line JOIN nation n ON n.n_nationkey = s.line
 ), facts_bad AS (
-  SELECT 'metro' AS "check", 'first or last train ' || line AS problem FROM fact WHERE first <> n % 4 OR last <> 1439 - n % 3
+  SELECT 'metro' AS "check", 'no trains ' || n_nationkey AS problem FROM nation WHERE n_nationkey NOT IN (SELECT line FROM fact)
+  UNION ALL SELECT 'metro', 'first or last train ' || line FROM fact WHERE first <> n % 4 OR last <> 1439 - n % 3
   UNION ALL SELECT 'metro', 'gap ' || line FROM fact WHERE longest > 15
   UNION ALL SELECT 'metro', 'headway ' || line FROM fact WHERE abs(peak - (n % 7 + 0.5)) > 0.6
   UNION ALL SELECT 'metro', 'end to end ' || line FROM fact WHERE n % 2 = 0 AND abs(minutes - (20 + n)) > 1
@@ -237,9 +254,10 @@ ORACLE_SQL = {
 ) SELECT 'stops' AS what, count(*) AS n FROM ok UNION ALL SELECT 'trips', count(*) FROM trip_ok WHERE trip IN (SELECT trip FROM call_ok) UNION ALL SELECT 'calls', count(*) FROM call_ok
 UNION ALL SELECT 'transfers', count(*) FROM walk WHERE a IN (SELECT stop FROM ok) AND b IN (SELECT stop FROM ok)""",
     "local_shapes": f"WITH {_N} SELECT trip FROM call LEFT JOIN stops USING (stop) GROUP BY trip HAVING bool_and(coalesce(line % 3 <> 0, false))",
-    "unlinked_pairs": f"""WITH {_N}, {_PLACE}, served AS (SELECT stop, list(DISTINCT c_nationkey) AS lines FROM call JOIN orders ON trip = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY stop), here AS (
-  SELECT p.*, coalesce(lines, []) AS lines FROM place p LEFT JOIN served USING (stop)
-) SELECT a, b, CAST(round(m) AS BIGINT) AS metres FROM (SELECT x.stop AS a, y.stop AS b, {haversine_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS m FROM here x JOIN here y ON x.stop < y.stop AND NOT list_has_any(x.lines, y.lines)) WHERE m < 1000""",
+    "unlinked_pairs": f"""WITH {_N}, {_PLACE}, served AS (SELECT stop, line FROM stops UNION SELECT stop, trip % 30011 FROM call WHERE seq = 1), lines AS (
+  SELECT stop, list(DISTINCT line) AS lines FROM served GROUP BY stop
+), here AS (SELECT p.*, lines FROM place p JOIN lines USING (stop)) SELECT a, b, CAST(round(m) AS BIGINT) AS metres FROM (
+  SELECT x.stop AS a, y.stop AS b, {haversine_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')} AS m FROM here x JOIN here y ON x.stop < y.stop AND NOT list_has_any(x.lines, y.lines)) WHERE m < 1000""",
     "via_points": f"""WITH {_N}, ahead AS (SELECT trip, seq, stop, lead(stop) OVER (PARTITION BY trip ORDER BY seq) AS next FROM call), whole AS (
   SELECT trip, seq, 0 AS k, stop FROM ahead UNION ALL SELECT trip, seq, 1, stop + next + 1000000 FROM ahead WHERE next BETWEEN stop + 1 AND stop + 4 AND stop IN (SELECT stop FROM stops)
 ) SELECT trip, row_number() OVER (PARTITION BY trip ORDER BY seq, k) AS seq, stop FROM whole""",
@@ -247,6 +265,24 @@ UNION ALL SELECT 'transfers', count(*) FROM walk WHERE a IN (SELECT stop FROM ok
     "filed_lines": f"WITH {_N}, {_FILED}, {_LINES} SELECT * FROM lines_bad",
     "shape_stop_checks": f"WITH {_N}, {_PLACE}, {_SHAPES} SELECT * FROM shapes_bad",
     "line_facts": f"WITH {_N}, {_PLACE}, {_FACTS} SELECT * FROM facts_bad",
+    "line_orders": f"""WITH {_N}, filed AS (SELECT c.*, o_custkey AS line FROM call c JOIN orders ON trip = o_orderkey), of_line AS (
+  SELECT line, seq AS pos, stop FROM filed WHERE trip IN (SELECT min(trip) FROM filed GROUP BY line)
+), ends AS (SELECT line, arg_min(stop, pos) AS a, arg_max(stop, pos) AS z, count(*) AS n FROM of_line GROUP BY line), ways AS (
+  SELECT line, count(DISTINCT trip % 2) = 2 AS two FROM filed GROUP BY line
+), published AS (
+  SELECT c_custkey AS line, 2 + c_custkey % 5 AS stations, coalesce(n, 0) AS n, coalesce(two, false) AS two, coalesce(a, 7) AS a, coalesce(z, 7) AS z, c_custkey * 7 % 10 AS y, c_custkey % 3 AS turn FROM customer LEFT JOIN ends ON line = c_custkey LEFT JOIN ways w ON w.line = c_custkey
+), keyed AS (
+  SELECT line, 1 AS j, CASE turn WHEN 1 THEN 'STOP ' || z || '.' ELSE 'STOP ' || a || '.' END AS key FROM published
+  UNION ALL SELECT line, 2, CASE turn WHEN 0 THEN 'STOP ' || z || '.' WHEN 1 THEN 'STOP ' || a || '.' ELSE ' ' || y || '.' END FROM published
+  UNION ALL SELECT line, 3, 'STOP ' || z || '.' FROM published WHERE turn = 2
+), placed AS (
+  SELECT k.line, j, key, min(pos) AS hit FROM keyed k LEFT JOIN of_line o ON o.line = k.line AND contains('stop ' || o.stop || '.', lower(key)) GROUP BY ALL
+), bad AS (
+  SELECT line, arg_min(key, j) AS key FROM (SELECT *, lag(hit) OVER (PARTITION BY line ORDER BY j) AS before FROM placed) WHERE hit IS NULL OR hit <= before GROUP BY line
+)
+SELECT 'metro' AS "check", 'stations ' || line || ' ' || n || ' of ' || stations AS problem FROM published WHERE n <> stations
+UNION ALL SELECT 'metro', 'no trips in one direction ' || line FROM published WHERE NOT two
+UNION ALL SELECT 'metro', 'missing or out of order ' || line || ' ' || key FROM published JOIN bad USING (line) WHERE two""",
     "metro_hops": f"WITH {_N}, {_PLACE}, {_FACTS} SELECT * FROM hops_bad",
     "network_report": f"""WITH {_N}, {_PLACE}, {_ORDER}, {_FILED}, {_NORTH}, {_LINES}, {_SHAPES}, {_FACTS}, problem AS (
   SELECT * FROM north UNION ALL SELECT * FROM lines_bad UNION ALL SELECT * FROM shapes_bad UNION ALL SELECT * FROM facts_bad UNION ALL SELECT * FROM hops_bad

@@ -27,6 +27,7 @@ ALIASES = "(VALUES ('red bolt', 'rb'), ('red bolt', 'the screw'), ('no such part
 STATIONS = "SELECT concat('Stop ', CAST(s_suppkey AS STRING)) AS name, concat('STOP   ', CAST(s_suppkey AS STRING), '|Halt ', CAST(s_suppkey AS STRING)) AS raw_names FROM supplier"
 CONFLICTING = "SELECT concat('Stop ', CAST(s_suppkey AS STRING)) AS name, concat('Stand ', CAST(s_suppkey % 70 AS STRING), '|halt  ', CAST(s_suppkey AS STRING)) AS raw_names FROM supplier"
 PRINTED = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat(' STOP ', CAST(c_custkey AS STRING)) WHEN 1 THEN concat('stop   ', CAST(c_custkey AS STRING), ' ') WHEN 2 THEN concat('hAlt ', CAST(c_custkey AS STRING)) ELSE c_name END AS station FROM customer"
+SPELLED = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'e', 'é') ELSE p_name END AS name, p_size % 13 AS kind FROM part"
 MAP_NAMES = """SELECT concat('L', CAST(p_size % 5 AS STRING)) AS line, concat(p_name, CASE p_partkey % 6 WHEN 0 THEN ' (Line 4)' WHEN 1 THEN ' (North) [Line 9]' WHEN 2 THEN '  St.  K.  (eastbound)' WHEN 3 THEN ' [y] (westbound)' WHEN 4 THEN ' ' ELSE '' END) AS name FROM part"""
 #: A line for each supplier: its first and last departures each way, headways by bands of the day, and stations.
 DIRECTIONS = "SELECT concat('M', CAST(s_suppkey AS STRING)) AS line, 0 AS dir, 300 + s_suppkey * 7 % 90 AS first, 1260 + s_suppkey * 11 % 150 AS last FROM supplier UNION ALL SELECT concat('M', CAST(s_suppkey AS STRING)), 1, 310 + s_suppkey * 7 % 90, 1275 + s_suppkey * 11 % 150 FROM supplier"
@@ -147,6 +148,13 @@ def suggestion_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.suggestions(search.index(names, "p_name", _given(spark, ALIASES)), _given(spark, PREFIXES.replace("('w')", "('w'), ('rb'), ('the s')")), search.LEAST_TYPED)
 
 
+def station_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1, Q1, Q4: every part as a station of its name in one of three spellings, ranked for the beginning of each name, by Unicode's collation, local ones first."""
+    stations = _made(spark, sf_dir, SPELLED).withColumn("mode", text.mode_of(F.col("kind")))
+    typed = table(spark, sf_dir, "part").select(F.substring("p_name", 1, 3).alias("raw")).distinct()
+    return search.ranked_stations(stations, typed)
+
+
 def rollover_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of one day put back in order past midnight."""
     day = network.day_times(spark, sf_dir)
@@ -210,7 +218,7 @@ def metro_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        invalid_queries, time_parse, time_format, to_hhmm, train_numbers, unpivot_timetable, line_catalog, alias_resolution, alias_conflicts, stop_names, station_search, suggestion_box,
+        invalid_queries, time_parse, time_format, to_hhmm, train_numbers, unpivot_timetable, line_catalog, alias_resolution, alias_conflicts, stop_names, station_search, suggestion_box, station_ranking,
         rollover_fix, past_midnight, run_split, assemble_pieces, branch_route, headway_lookup, headway_departures, metro_stop_times,
     )
 }
@@ -265,6 +273,9 @@ FROM (SELECT o_orderkey, o_orderkey * 37 % 4320 AS m FROM orders)""",
   WHERE len(list_filter(range(len(string_split(name, ' '))), lambda i: starts_with(lower(array_to_string(string_split(name, ' ')[i + 1:], ' ')), prefix))) > 0
      OR EXISTS (SELECT 1 FROM {ALIASES.replace('AS t(', 'AS al(')} WHERE al.name = names.name AND starts_with(al.alias, prefix))
 ) SELECT raw, name, rank FROM (SELECT raw, name, row_number() OVER (PARTITION BY raw ORDER BY first DESC, name) AS rank FROM hits) WHERE rank <= 8""",
+    "station_ranking": f"""WITH stations AS (SELECT id, name, lower(name) AS form, CASE kind WHEN 1 THEN 'METRO' WHEN 12 THEN 'MONORAIL' ELSE 'LOCAL' END AS mode FROM ({SPELLED})), hits AS (
+  SELECT raw, s.*, starts_with(form, raw) AS first FROM stations s, (SELECT DISTINCT substr(p_name, 1, 3) AS raw FROM part) WHERE starts_with(form, raw) OR contains(form, ' ' || raw)
+) SELECT raw, id, name, mode, row_number() OVER (PARTITION BY raw ORDER BY NOT first, name COLLATE en, mode <> 'LOCAL', id) AS rank FROM hits""",
     "rollover_fix": f"""WITH RECURSIVE {_N}, day AS MATERIALIZED (SELECT trip, seq, arr % 1440 AS arr, dep % 1440 AS dep FROM day_time), fixed AS (
   SELECT trip, seq, arr, dep + CASE WHEN dep < arr THEN 1440 ELSE 0 END AS dep, CAST(0 AS BIGINT) AS extra FROM day WHERE seq = 1
   UNION ALL
