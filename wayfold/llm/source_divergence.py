@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.tables import Scratch
 from wayfold.llm.wordcode import steps, text_bytes
 
-LEAST_DOCS, RANKS, ADDED, SCALE = 30, 50, 5, 10**9
+LEAST_DOCS, RANKS, ADDED = 30, 50, 5
 #: Terms of a chunk, groups of a block and chunks of a section: what a task holds, about, and reads at most.
 CHUNK_TERMS, BLOCK_GROUPS, SECTION_CHUNKS = 2048, 32, 4
 #: Counted terms of a task that make it send what it has, and bytes of a text that are split at a time.
@@ -181,7 +181,8 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RANKS
     chunks = F.greatest(F.lit(1), F.ceil(F.col("v") / chunk_terms)).cast("int")
     in_chunk = Window.partitionBy("lang", "chunk")
     numbered = terms.join(langs.select("lang", chunks.alias("chunks")), "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
-    numbered = scratch.written(numbered.withColumn("at", (F.row_number().over(in_chunk.orderBy("term")) - 1).cast("long")).select("lang", "term", "chunk", "at"), "numbers")
+    # dealt by language and chunk: the join by language alone may put most terms into one task
+    numbered = scratch.written(numbered.repartition("lang", "chunk").withColumn("at", (F.row_number().over(in_chunk.orderBy("term")) - 1).cast("long")).select("lang", "term", "chunk", "at"), "numbers")
     chunk_sizes = numbered.groupBy("lang", "chunk").agg(F.count("*").cast("int").alias("size"))
     pack = kept.join(numbered, ["lang", "term"]).groupBy("lang", "source", "chunk").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("counts"))
     blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / block_groups).cast("int").alias("blocks"))
