@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from wayfold.functions.geo import haversine_sql
 from wayfold.operators import geometry, timetable, validation
-from wayfold.plans import network, timetable_queries
+from wayfold.operators.network_build import build
+from wayfold.plans import geometry_queries, network, timetable_queries
 from wayfold.plans.geometry_queries import places, track_edges
-from wayfold.plans.routing_queries import lines_at_stop
+from wayfold.plans.routing_queries import shapes
 from wayfold.sources.shared import table, written
 
 #: Degrees by which a stop may lie south of the one before.
@@ -65,6 +66,52 @@ def loaded_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.together(*counts)
 
 
+def _local_source(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Suppliers as stops (some without an id), nations as routes, orders as trips (some missing), their polylines as shapes."""
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    here = written(places(spark, sf_dir).select("stop", "line", "lat", "lon"), "places")
+    stops = here.select(F.when(F.col("stop") % 7 == 3, "").otherwise(name("stop")).alias("stop_id"), name("stop").alias("stop_name"), "lat", "lon", F.lit("LOCAL").alias("mode"), F.lit("").alias("line"))
+    nation = table(spark, sf_dir, "nation")
+    routes = nation.select(F.concat(F.lit("R"), F.col("n_nationkey").cast("string")).alias("route_id"), F.lit("A").alias("agency_id"), F.substring("n_name", 1, 3).alias("short_name"), F.col("n_name").alias("long_name"), F.lit(2).alias("route_type"), F.lit("#0C1A26").alias("color"))
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 5 <> 2")
+    shaped = written(shapes(spark, sf_dir).select("trip", F.col("sequence").alias("shape_id")), "shapes")
+    trips = orders.select(F.col("o_orderkey").cast("long").alias("trip"), "c_nationkey").join(shaped, "trip", "left")
+    trips = trips.select(F.col("trip").cast("string").alias("trip_id"), F.concat(F.lit("R"), F.col("c_nationkey").cast("string")).alias("route_id"), (F.col("trip") % 2).alias("direction"), "shape_id")
+    day = written(network.day_times(spark, sf_dir), "day-times")
+    first = shaped.groupBy("shape_id").agg(F.min("trip").alias("trip"))
+    points = first.join(day, "trip").join(here, "stop").select("shape_id", "seq", "lat", "lon")
+    loops = network.stops(spark, sf_dir).select(F.col("stop").alias("a"), F.col("stop").alias("b"), F.lit(1).cast("long").alias("minutes"))
+    transfers = network.walks(spark, sf_dir).unionByName(loops).select(name("a").alias("a"), name("b").alias("b"), (F.col("minutes") * 60).alias("seconds"))
+    calls = day.select(F.col("trip").cast("string").alias("trip_id"), "seq", name("stop").alias("stop_id"), "arr", "dep")
+    # the first trips of each nation come twice
+    again = trips.where(F.col("trip_id").cast("long") % 97 == 0)
+    return {"stops": stops, "routes": routes, "trips": trips.unionByName(again), "stop_times": calls, "shapes": points, "transfers": transfers}
+
+
+def _metro_source(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A line for each supplier with trips by headways; each station is a stop of its line."""
+    offsets = written(timetable_queries.line_stations(spark, sf_dir), "stations")
+    calls = timetable_queries.metro_stop_times(spark, sf_dir)
+    part = F.split("trip_id", "-")
+    size = offsets.groupBy("line").agg(F.count("*").alias("size"))
+    calls = calls.withColumns({"line": part[0], "dir": part[1].cast("int")}).join(size, "line")
+    pos = F.when(F.col("dir") == 0, F.col("seq") - 1).otherwise(F.col("size") - F.col("seq"))
+    calls = written(calls.select("line", "dir", "trip_id", "seq", F.concat_ws("_", "line", pos.cast("string")).alias("stop_id"), F.col("minute").alias("arr"), F.col("minute").alias("dep")), "metro-calls")
+    stops = offsets.select(F.concat_ws("_", "line", "pos").alias("stop_id"), F.concat_ws(" ", "line", "pos").alias("stop_name"), F.lit(19.0).alias("lat"), (F.lit(72.8) + F.col("offset") / 1000).alias("lon"), F.lit("METRO").alias("mode"), "line")
+    routes = size.select(F.col("line").alias("route_id"), F.lit("M").alias("agency_id"), F.col("line").alias("short_name"), F.col("line").alias("long_name"), F.lit(1).alias("route_type"), F.lit("#FFFFFF").alias("color"))
+    trips = calls.select("trip_id", F.col("line").alias("route_id"), F.col("dir").cast("long").alias("direction"), F.concat_ws("_", "line", "dir").alias("shape_id")).distinct()
+    points = offsets.withColumn("dir", F.explode(F.array(F.lit(0), F.lit(1)))).select(F.concat_ws("_", "line", "dir").alias("shape_id"), F.col("pos").cast("long").alias("seq"), F.lit(19.0).alias("lat"), (F.lit(72.8) + F.col("offset") / 1000).alias("lon"))
+    return {"stops": stops, "routes": routes, "trips": trips, "stop_times": calls.select("trip_id", "seq", "stop_id", "arr", "dep"), "shapes": points}
+
+
+def built_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of the network of local and metro lines, and rows that went, by reason."""
+    made = build(_local_source(spark, sf_dir), _metro_source(spark, sf_dir))
+    counts = [df.agg(F.lit(name).alias("what"), F.lit("kept").alias("how"), F.count("*").alias("n")) for name, df in made.tables.items()]
+    gone = spark.createDataFrame([(name, reason, n) for name, reasons in made.dropped.items() for reason, n in reasons.items()], "what string, how string, n long")
+    return validation.together(*counts, gone)
+
+
 def local_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips all of whose stops are of local lines."""
     local = network.stops(spark, sf_dir).select("stop", (F.col("line") % 3 != 0).alias("local"))
@@ -180,11 +227,24 @@ def network_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.report(written(found, "problems"))
 
 
+#: The checks of V1-V7, by the module that has their queries.
+CHECKS = {
+    geometry_queries: ("trunk_order_check", "reference_checks", "station_checks", "coverage_diff", "footpath_checks", "segment_speed_checks"),
+    None: ("northward_checks", "filed_lines", "shape_stop_checks", "line_facts", "line_orders", "metro_hops"),
+}
+
+
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems by check over all checks of the network, and the first fifteen of each."""
+    found = [(geometry_queries.QUERIES if module else QUERIES)[name](spark, sf_dir) for module, names in CHECKS.items() for name in names]
+    return validation.report(written(validation.together(*found), "problems"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        backward_times, line_assembly, line_offsets, trips_by_route, loaded_network, local_shapes, unlinked_pairs, via_points, largest_part, path_or_line, leg_lines, northward_checks, filed_lines, shape_stop_checks, line_facts,
-        line_orders, metro_hops, network_report,
+        backward_times, line_assembly, line_offsets, trips_by_route, loaded_network, built_network, local_shapes, unlinked_pairs, via_points, largest_part, path_or_line, leg_lines, northward_checks, filed_lines, shape_stop_checks, line_facts,
+        line_orders, metro_hops, network_report, full_report,
     )
 }
 
@@ -253,6 +313,29 @@ ORACLE_SQL = {
   SELECT * FROM call WHERE stop IN (SELECT stop FROM ok) AND trip IN (SELECT trip FROM trip_ok)
 ) SELECT 'stops' AS what, count(*) AS n FROM ok UNION ALL SELECT 'trips', count(*) FROM trip_ok WHERE trip IN (SELECT trip FROM call_ok) UNION ALL SELECT 'calls', count(*) FROM call_ok
 UNION ALL SELECT 'transfers', count(*) FROM walk WHERE a IN (SELECT stop FROM ok) AND b IN (SELECT stop FROM ok)""",
+    "built_network": f"""{timetable_queries._HEADWAYS}, {_N}, station AS (SELECT line, pos FROM ({timetable_queries.OFFSETS.replace('AS offset', 'AS o').format(numbers=timetable_queries.NUMBERS)})), ok AS (SELECT stop FROM stops WHERE stop % 7 <> 3), filed AS (
+  SELECT o_orderkey AS trip, c_nationkey AS route FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 5 <> 2
+), told AS (SELECT c.*, stop IN (SELECT stop FROM ok) AS has_stop, trip IN (SELECT trip FROM filed) AS has_trip FROM call c), called AS (SELECT DISTINCT trip FROM told WHERE has_stop AND has_trip), kept AS (SELECT * FROM filed WHERE trip IN (SELECT trip FROM called)), shaped AS (
+  SELECT trip, md5(string_agg(CAST(stop AS VARCHAR), '_' ORDER BY seq)) AS shape FROM call GROUP BY trip
+), used AS (SELECT DISTINCT shape FROM shaped JOIN kept USING (trip)), point AS (
+  SELECT f.shape FROM (SELECT shape, min(trip) AS trip FROM shaped GROUP BY shape) f JOIN call USING (trip) JOIN stops USING (stop)
+), change AS (SELECT a, b FROM walk UNION ALL SELECT stop, stop FROM stops), metro AS (SELECT line, count(*) AS n FROM departures GROUP BY line), line_size AS (SELECT line, count(*) AS k FROM station GROUP BY line), metro_size AS (
+  SELECT sum(n) AS trips, sum(n * k) AS calls FROM metro JOIN line_size USING (line)
+)
+SELECT what, how, CAST(n AS BIGINT) AS n FROM (
+SELECT 'stops' AS what, 'kept' AS how, (SELECT count(*) FROM ok) + (SELECT count(*) FROM station) AS n
+UNION ALL SELECT 'stops', 'without_id', count(*) FROM stops WHERE stop % 7 = 3 UNION ALL SELECT 'stops', 'twice', 0
+UNION ALL SELECT 'stop_times', 'kept', (SELECT count(*) FROM told WHERE has_stop AND has_trip) + (SELECT calls FROM metro_size)
+UNION ALL SELECT 'stop_times', 'unknown_trip', count(*) FROM told WHERE NOT has_trip UNION ALL SELECT 'stop_times', 'unknown_stop', count(*) FROM told WHERE has_trip AND NOT has_stop
+UNION ALL SELECT 'trips', 'kept', (SELECT count(*) FROM kept) + (SELECT trips FROM metro_size)
+UNION ALL SELECT 'trips', 'twice', count(*) FROM filed WHERE trip % 97 = 0 UNION ALL SELECT 'trips', 'without_calls', count(*) FROM filed WHERE trip NOT IN (SELECT trip FROM called)
+UNION ALL SELECT 'routes', 'kept', (SELECT count(*) FROM nation WHERE n_nationkey IN (SELECT route FROM kept)) + (SELECT count(*) FROM metro)
+UNION ALL SELECT 'routes', 'without_trips', count(*) FROM nation WHERE n_nationkey NOT IN (SELECT route FROM kept)
+UNION ALL SELECT 'shapes', 'kept', (SELECT count(*) FROM point WHERE shape IN (SELECT shape FROM used)) + 2 * (SELECT count(*) FROM station)
+UNION ALL SELECT 'shapes', 'without_trips', count(*) FROM point WHERE shape NOT IN (SELECT shape FROM used)
+UNION ALL SELECT 'transfers', 'kept', count(*) FROM change WHERE a <> b AND a IN (SELECT stop FROM ok) AND b IN (SELECT stop FROM ok)
+UNION ALL SELECT 'transfers', 'to_itself', count(*) FROM change WHERE a = b
+UNION ALL SELECT 'transfers', 'unknown_end', count(*) FROM change WHERE a <> b AND NOT (a IN (SELECT stop FROM ok) AND b IN (SELECT stop FROM ok)))""",
     "local_shapes": f"WITH {_N} SELECT trip FROM call LEFT JOIN stops USING (stop) GROUP BY trip HAVING bool_and(coalesce(line % 3 <> 0, false))",
     "unlinked_pairs": f"""WITH {_N}, {_PLACE}, served AS (SELECT stop, line FROM stops UNION SELECT stop, trip % 30011 FROM call WHERE seq = 1), lines AS (
   SELECT stop, list(DISTINCT line) AS lines FROM served GROUP BY stop
@@ -289,3 +372,7 @@ UNION ALL SELECT 'metro', 'missing or out of order ' || line || ' ' || key FROM
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY problem) AS r FROM problem)
 SELECT "check", count(*) AS n, string_agg(problem, '; ' ORDER BY problem) FILTER (r <= 15) AS listed FROM ranked GROUP BY "check\"""",
 }
+ORACLE_SQL["full_report"] = "WITH found AS (" + " UNION ALL ".join(
+    f'SELECT "check", problem FROM ({(geometry_queries.ORACLE_SQL if module else ORACLE_SQL)[name]})' for module, names in CHECKS.items() for name in names
+) + """), ranked AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY problem) AS r FROM found)
+SELECT "check", count(*) AS n, string_agg(problem, '; ' ORDER BY problem) FILTER (r <= 15) AS listed FROM ranked GROUP BY "check\""""

@@ -209,10 +209,14 @@ def headway_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timetable.headway_departures(_made(spark, sf_dir, DIRECTIONS), _made(spark, sf_dir, BANDS))
 
 
+def line_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line, pos, offset) of the lines that have headways."""
+    return _made(spark, sf_dir, OFFSETS.format(numbers=NUMBERS)).selectExpr("line", "pos", "CAST(offset AS DOUBLE) AS offset")
+
+
 def metro_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated trips at each station, both directions."""
-    offsets = _made(spark, sf_dir, OFFSETS.format(numbers=NUMBERS)).selectExpr("line", "pos", "CAST(offset AS DOUBLE) AS offset")
-    return timetable.metro_stop_times(headway_departures(spark, sf_dir), offsets)
+    return timetable.metro_stop_times(headway_departures(spark, sf_dir), line_stations(spark, sf_dir))
 
 
 QUERIES = {
