@@ -372,13 +372,23 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
         segment, doc, code, start = (x[new] for x in (segment, doc, code, start))
         times = np.bincount(segment, minlength=len(distinct))
         first = np.cumsum(times) - times
-        use = np.flatnonzero((times > 1) | may_share(distinct, anchor, window, gram))
+        share = may_share(distinct, anchor, window, gram)
+        use = np.flatnonzero(share)
         # whole anchors at a time
         _, by_anchor = np.unique(anchor, return_inverse=True)
         use = use[np.argsort(by_anchor[use], kind="stable")]
         ends = np.flatnonzero(np.diff(by_anchor[use], append=-1))
-        none = np.zeros(0, np.int64)
-        found = [(none, none, none)]
+        found = []
+
+        def but_first(who: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+            """Runs of windows of segments go at all places of these but the first."""
+            others = times[who] - 1
+            nth = np.arange(others.sum()) - np.repeat(np.cumsum(others) - others, others)
+            found.append((np.repeat(first[who] + 1, others) + nth, np.repeat(at, others), np.repeat(count, others)))
+
+        # what has no string in common with another segment is settled by its own places
+        alone = np.flatnonzero((times > 1) & ~share)
+        but_first(alone, np.zeros(len(alone), np.int64), np.array([len(distinct[k]) for k in alone.tolist()], np.int64) - window + 1)
         begin = 0
         for end in (ends + 1).tolist():
             if end - begin < SORTED and end < len(use):
@@ -396,10 +406,7 @@ def repeated_strings(docs: DataFrame, window: int, gram: int, depth: int, width:
             who, at, count = _string_runs(string[later], offset[later])
             found.append((first[who], at, count))
             again = times[string] > 1
-            who, at, count = _string_runs(string[again], offset[again])
-            others = times[who] - 1
-            nth = np.arange(others.sum()) - np.repeat(np.cumsum(others) - others, others)
-            found.append((np.repeat(first[who] + 1, others) + nth, np.repeat(at, others), np.repeat(count, others)))
+            but_first(*_string_runs(string[again], offset[again]))
         place, at, count = (np.concatenate(x) for x in zip(*found, strict=True))
         return pack_by_document(doc[place], code[place], start[place] + at, count, groups)
 
