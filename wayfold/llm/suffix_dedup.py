@@ -138,31 +138,33 @@ def _places(order: Order, at: np.ndarray, own: np.ndarray) -> tuple[np.ndarray,
         rank[by] = np.arange(len(by), dtype=np.int32)
         here = np.bincount(symbol, minlength=256)
         first = np.cumsum(here) - here
-        from_start = np.minimum.accumulate(common)
-        behind = np.append(np.minimum.accumulate(common[::-1])[::-1], np.uint8(255))
+        # few places are wanted, so ranges are gone through for these and not added up for all
+        until = lambda stop: _least_between(common, np.zeros(len(stop), np.int64), stop)  # noqa: E731, B023
+        since_then = lambda begin: _least_between(common, begin, np.full(len(begin), len(common)))  # noqa: E731, B023
+        whole = common.min()
         some = here > 0
         # who waits for a symbol that stands here has its next place
         waits = np.flatnonzero(waiting >= 0)
         met = waits[some[waits]]
-        ahead[waiting[met]] = np.minimum(ahead[waiting[met]], from_start[by[first[met]]])
+        ahead[waiting[met]] = np.minimum(ahead[waiting[met]], until(by[first[met]] + 1))
         waiting[met] = -1
         waits = waits[~some[waits]]
-        ahead[waiting[waits]] = np.minimum(ahead[waiting[waits]], from_start[-1])
+        ahead[waiting[waits]] = np.minimum(ahead[waiting[waits]], whole)
         i, j = np.searchsorted(at, [start, start + len(part)])
         p, c = at[i:j] - start, own[i:j]
         r = rank[p]
         nth[i:j] = seen[c] + r - first[c]
         inside = r > first[c]
-        back[i:j] = np.minimum(since[c], from_start[p])
+        back[i:j][~inside] = np.minimum(since[c[~inside]], until(p[~inside] + 1))
         back[i:j][inside] = _least_between(common, by[r[inside] - 1] + 1, p[inside] + 1)
         inside = r + 1 < first[c] + here[c]
         ahead[i:j][inside] = _least_between(common, p[inside] + 1, by[r[inside] + 1] + 1)
         last = np.flatnonzero(~inside)
-        ahead[i:j][last] = behind[p[last] + 1]
+        ahead[i:j][last] = since_then(p[last] + 1)
         waiting[c[last]] = i + last
         seen += here
-        since = np.minimum(since, from_start[-1])
-        since[some] = behind[by[(first + here - 1)[some]] + 1]
+        since = np.minimum(since, whole)
+        since[some] = since_then(by[(first + here - 1)[some]] + 1)
     return nth, back, ahead
 
 
