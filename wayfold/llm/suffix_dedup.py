@@ -5,8 +5,8 @@ grams in it, so equal strings have equal anchors. A count-min sketch of anchor
 occurrences, merged over all tasks, leaves the strings whose anchor may occur
 twice; a run of them under one anchor is a segment. Segments are dealt by
 anchor, and in each group the Burrows-Wheeler transform and the common
-prefixes of the collection of its distinct segments, each with its places, are
-built column by column: every round puts one more symbol of each segment in
+prefixes of the collection of its distinct segments that may share a string are
+built column by column (others are settled by their own places): every round puts one more symbol of each segment in
 front of its suffix and inserts the new suffixes into the sorted order. The
 order lives in files that a round reads and writes from front to back through
 a buffer. Suffixes with a common prefix of 100 bytes are one string; of all
