@@ -160,9 +160,9 @@ def test_readers_of_json_and_grids(spark, tmp_path):
     assert (row.relation, row.stops[0].name, row.ways[0][1]) == (7, "A", [1.5, 2.5])
     (tmp_path / "inter.json").write_text(json.dumps({"interchanges": [{"a": "x", "b": "y", "meters": 300, "note": "n"}]}))
     assert [tuple(r) for r in gtfs.read_interchanges(spark, str(tmp_path / "inter.json")).collect()] == [("x", "y", 300, "n")]
-    (tmp_path / "grid.csv").write_text('STATION,"DRD 93001\n12 CAR",VR\n,,93005\nVirar,5:12,6:00\n')
+    (tmp_path / "grid.csv").write_text('STATION,"DRD 93001\n12 CAR",VR\n,,93005\nVale,5:12,6:00\n')
     calls = timetable.unpivot(gtfs.read_grid(spark, str(tmp_path / "grid.csv"), "s")).collect()
-    assert {(r.train_number, r.station, r.time) for r in calls} == {("93001", "Virar", "05:12"), ("93005", "Virar", "06:00")}
+    assert {(r.train_number, r.station, r.time) for r in calls} == {("93001", "Vale", "05:12"), ("93005", "Vale", "06:00")}
     walks = lambda rows: spark.createDataFrame(rows, "a string, b string, metres int")
     assert [tuple(r) for r in gtfs.merged_walks(walks([("b", "c", 5)]), walks([("b", "c", 9), ("a", "b", 1)])).collect()] == [("a", "b", 1), ("b", "c", 5)]
 
