@@ -26,6 +26,8 @@ KINDS = ["email", "ip", "card", "phone"]
 EXTRA = ["secret", "number"]
 #: Code points before a candidate that context labelers see.
 NEAR = 28
+#: Redaction cuts a text into pieces of 2^10 code points.
+PIECE_BITS = 10
 
 #: Patterns as given. A run that a match could start in is entered at its start, or where the last match ended, and never
 #: given back: the matches are the same and long runs take linear time.
@@ -85,6 +87,41 @@ def _spans_of_pieces(pieces: Column) -> Column:
     return F.element_at(F.transform(F.array(rows), lambda r: F.flatten(F.zip_with(F.aggregate(r, first, goes_on), r, of_row))), 1)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def reach_before(stops: Column) -> Column:
+    """For each of an array of numbers the greatest of those before it, 0 for the first: by rows of about the square root of their number."""
+
+    def of_rows(rows: Column) -> Column:
+        return _let(F.transform(rows, F.array_max), lambda tops: F.flatten(F.transform(rows, lambda row, i: _let(F.greatest(F.lit(0), F.array_max(F.slice(tops, F.lit(1), i))), lambda top: of_row(row, top)))))
+
+    def of_row(row: Column, top: Column) -> Column:
+        return F.transform(row, lambda _, j: F.greatest(top, F.array_max(F.slice(row, F.lit(1), j))))
+
+    def of(values: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(values))).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / width).cast("int")), lambda i: F.slice(values, (i * width + 1).cast("int"), width)), of_rows)
+
+    return _let(stops, lambda values: F.when(F.size(values) > 0, of(values)).otherwise(F.array().cast("array<int>")))
+
+
+def apart(runs: Column, spans: Column) -> Column:
+    """The runs, which are in order and don't overlap each other, that overlap none of the spans.
+
+    Both go in order, a run by its end and a span by its start, so the spans before a run are those that start
+    before it ends; it overlaps one of them if the farthest end among them lies beyond its start.
+    """
+    of_span = lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("is_span"), b["stop"].alias("stop"), F.get(runs, F.lit(-1)).alias("run"))
+    of_run = lambda c: F.struct(c["stop"].alias("at"), F.lit(0).alias("is_span"), F.lit(0).alias("stop"), c.alias("run"))
+    both = F.sort_array(F.concat(F.transform(spans, of_span), F.transform(runs, of_run)))
+    free = lambda e, reach: F.when((e["is_span"] == 0) & (reach <= e["run"]["start"]), e["run"])
+    merged = _let(both, lambda events: F.filter(F.zip_with(events, reach_before(F.transform(events, lambda e: e["stop"])), free), lambda c: c.isNotNull()))
+    return F.when((F.size(runs) == 0) | (F.size(spans) == 0), runs).otherwise(merged)
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -252,8 +289,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bare = lambda spans: F.transform(spans, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop")))
     found = source.select(*(["kept"] if keep else []), "doc_id", *(["text"] if keep_text else []), *(bare(base_spans(clean, k)).alias(k) for k in KINDS), runs.alias("runs"))
     found = written(found, "spans")
-    base = F.concat(*KINDS)
-    free = F.filter("runs", lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
+    free = apart(F.col("runs"), F.concat(*KINDS))
     weights = _classifier(found.select(F.explode("runs").alias("c")))
     added = F.filter(free, lambda c: _accepted(c, weights) & (F.length(_core(c)) > 0))
     numeric = lambda c: ~_core(c).rlike("[A-Za-z]")
@@ -286,12 +322,19 @@ def listed(kinds: list[str]) -> Column:
 def redacted(text: Column, kinds: list[str]) -> Column:
     """The text with each span replaced by its kind in angle brackets; a span that overlaps an earlier one goes into it."""
     spans = F.array_sort(F.concat(*(F.transform(k, (lambda k: lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), F.lit(k).alias("kind")))(k)) for k in kinds)))
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        between = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), new.alias("out"))
-
-    done = F.aggregate(spans, empty, add)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text))))
+    size = F.length(text)
+
+    def between(pieces: Column, gap: Column) -> Column:
+        """The text of a gap, from the pieces that it touches: a position in a long text is found by counting from its start."""
+        first = F.shiftright(gap["start"], PIECE_BITS)
+        near = F.array_join(F.slice(pieces, first + 1, F.shiftright(gap["stop"] - 1, PIECE_BITS) - first + 1), "")
+        return F.when(gap["stop"] > gap["start"], F.substr(near, gap["start"] % (1 << PIECE_BITS) + 1, gap["stop"] - gap["start"])).otherwise("")
+
+    def of(spans: Column) -> Column:
+        gap = lambda s, reach: F.struct(reach.alias("start"), s["start"].alias("stop"), F.concat(F.lit("<"), s["kind"], F.lit(">")).alias("mark"))
+        stops = F.transform(spans, lambda s: s["stop"])
+        gaps = F.filter(F.zip_with(spans, reach_before(stops), gap), lambda g: g["stop"] >= g["start"])
+        last = F.struct(F.array_max(stops).alias("start"), size.alias("stop"), F.lit("").alias("mark"))
+        return _let(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{1 << PIECE_BITS}}})"), F.lit(1)), lambda pieces: F.array_join(F.transform(F.concat(gaps, F.array(last)), lambda g: F.concat(between(pieces, g), g["mark"])), ""))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(spans, of))
