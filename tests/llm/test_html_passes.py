@@ -1,7 +1,11 @@
 """Two passes on every page: an article or main element is evidence, not the answer."""
 
 import html
+import itertools
+import random
 import re
+import time
+import tracemalloc
 
 from wayfold.llm import html_extraction
 
@@ -74,3 +78,35 @@ def test_a_short_block_goes_with_the_blocks_of_its_own_element():
     text = "It was the best that they had, and so it is with all of us who have been there, as one would say of them. " * 3
     page = f"<body><div><p>{text}</p><p>Short last one.</p></div><div><a href=x>Home and all the links of it</a></div><div><p>Also</p><a href=x>More links to be found there</a></div></body>"
     assert html_extraction.extract(page) == f"{text.strip()} Short last one."
+
+
+def test_deep_nesting_and_tags_without_end_take_linear_time_and_memory():
+    pages = ["<div>x" * 50_000, "<div>x" * 50_000 + "</div>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "</svg>" + "<svg>" * 50_000, "<article>x" * 20_000 + "</article>" * 20_000, "<a" * 100_000, "<" + "a" * 200_000]
+    tracemalloc.start()
+    start = time.time()
+    for page in pages:
+        html_extraction.extract(page)
+    assert time.time() - start < 60 and tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+
+
+def test_neighbours_share_the_elements_open_between_them():
+    """What the least number of open elements tells is what lists of the elements around each block tell."""
+    random.seed(4)
+    for _ in range(50):
+        tags = [random.choice(["<div>", "<ul>", "<td>", "</div>", "</ul>", "</td>"]) for _ in range(60)]
+        page = "".join(f"{t}w{i}" for i, t in enumerate(tags)) + "</div></ul></td>"
+        stack, paths = [("", -1)], {}
+        for i, t in enumerate(tags):
+            name = t.strip("</>")
+            if t[1] != "/":
+                stack.append((name, i))
+            elif any(s[0] == name for s in stack):
+                while stack.pop()[0] != name:
+                    pass
+            paths[f"w{i}"] = list(stack)
+        found = html_extraction.blocks(page)
+        assert [b.text for b in found] == list(paths)
+        for a, b in itertools.pairwise(found):
+            common = sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(paths[a.text], paths[b.text], strict=False)))
+            assert (b.depth, b.shared) == (len(paths[b.text]), common)

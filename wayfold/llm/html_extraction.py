@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -67,7 +68,7 @@ SHORT, LONG, NONE, LOW, HIGH, LINKED = 70, 200, 0.03, 0.12, 0.22, 0.35
 #: Inside an article or main element: what is short, what is good, and the links of a block of fewer stop words that make it bad.
 MAIN_SHORT, MAIN_HIGH, MAIN_LINKED = 30, 0.12, 0.1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>\"']*+)(?P<attrs>(?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+>", re.S)
 _ATTR = re.compile(r"([a-zA-Z:_-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 GOOD, BAD, OPEN, NEAR, ODD = 1, 0, -1, -2, -3
@@ -80,8 +81,9 @@ class Block:
     outside: bool
     main: bool
     heading: bool
-    #: Numbers of the elements around it.
-    path: tuple[int, ...] = ()
+    #: How many elements hold it, and how many of them the block before it too.
+    depth: int = 0
+    shared: int = 0
 
     def decided(self) -> int:
         """Pass one; NEAR is undecided inside an article or main element, ODD without stop words and links outside one."""
@@ -100,10 +102,6 @@ class Block:
             return BAD if self.linked else ODD if density < NONE else OPEN
         return GOOD if size >= LONG else OPEN
 
-    def shared(self, other: Block) -> int:
-        """How many elements hold both blocks."""
-        return next((k for k, (a, b) in enumerate(zip(self.path, other.path)) if a != b), min(len(self.path), len(other.path)))
-
 
 def _outside(tag: str, attrs: str, in_main: bool) -> bool:
     """Whether an element holds what surrounds an article."""
@@ -121,22 +119,33 @@ def _outside(tag: str, attrs: str, in_main: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page, in order, with what pass one looks at."""
+    """The blocks of a page, in order, with what pass one looks at.
+
+    Two blocks share the elements that stay open from one to the other, so the least number of open elements on
+    the way tells how many; no block holds a list of them.
+    """
     out: list[Block] = []
     text: list[str] = []
-    state = {"linked": 0, "heading": False}
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    state = {"linked": 0, "heading": False, "least": 1}
+    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    opened: Counter[str] = Counter()
+    unclosed: set[str] = set()
     closed = {t.lower() for t in re.findall(r"</([a-zA-Z]+)", page)}
     links = 0
 
     def flush() -> None:
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
-            _, outside, main, _ = stack[-1]
-            out.append(Block(whole, state["linked"], outside, main, state["heading"], tuple(s[3] for s in stack)))
+            _, outside, main = stack[-1]
+            out.append(Block(whole, state["linked"], outside, main, state["heading"], len(stack), state["least"]))
+            state["least"] = len(stack)
         text.clear()
         state["linked"] = 0
 
+    def push(tag: str, outside: bool, main: bool) -> None:
+        stack.append((tag, outside, main))
+        opened[tag] += 1
+
     def add(piece: str) -> None:
         if piece:
             text.append(piece)
@@ -160,14 +169,17 @@ def blocks(page: str) -> list[Block]:
                 flush()
                 if tag[0] == "h" and tag[1:].isdigit():
                     state["heading"] = False
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    flush()
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                flush()
+                while opened[tag] and stack[-1][0] != tag:
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
+                state["least"] = min(state["least"], len(stack))
             continue
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if not end:
+                unclosed.add(tag)
             at = end.end() if end else len(page) if tag in ("script", "style") else at
             continue
         if tag == "a":
@@ -178,16 +190,16 @@ def blocks(page: str) -> list[Block]:
                 state["heading"] = True
         if tag in VOID_TAGS or m["attrs"].rstrip().endswith("/") and tag not in BLOCK_TAGS:
             continue
-        _, outside, main, _ = stack[-1]
-        if tag in MAIN_TAGS and not any(s[0] in OUTSIDE_TAGS for s in stack):
+        _, outside, main = stack[-1]
+        if tag in MAIN_TAGS and not any(opened[t] for t in OUTSIDE_TAGS):
             # a wrapper's class can name what stands beside the article in it
             flush()
-            stack.append((tag, _outside(tag, m["attrs"], True), True, at))
+            push(tag, _outside(tag, m["attrs"], True), True)
         elif tag in closed and _outside(tag, m["attrs"], main):
             flush()
-            stack.append((tag, True, main, at))
+            push(tag, True, main)
         elif tag in closed and tag not in ("p", "a", "b", "i", "br"):
-            stack.append((tag, outside, main, at))
+            push(tag, outside, main)
     add(page[at:])
     flush()
     return out
@@ -202,26 +214,27 @@ def extract(page: str) -> str:
         left_open = (NEAR,) if NEAR in labels else (OPEN, ODD)
         if NEAR in labels or sum(len(b.text) for b, x in zip(found, labels, strict=True) if x in left_open) >= MAIN_SHORT:
             labels = [GOOD if x in left_open else x for x in labels]
-    before: list[tuple[int, int]] = []
-    last = (BAD, -1)
+    # label and place of the nearest decided block, and how many elements it shares with this one
+    before: list[tuple[int, int, int]] = []
+    last = (BAD, -1, -1)
     for i, label in enumerate(labels):
-        last = (label, i) if label in (GOOD, BAD) else last
+        last = (last[0], last[1], min(last[2], found[i].shared))
         before.append(last)
-    last = (BAD, len(labels))
+        last = (label, i, found[i].depth) if label in (GOOD, BAD) else last
+    last = (BAD, len(labels), -1)
     kept = []
     for i in range(len(labels) - 1, -1, -1):
-        if labels[i] in (GOOD, BAD):
-            last = (labels[i], i)
         left, right = before[i], last
         if labels[i] == NEAR:
             good = GOOD in (left[0], right[0])
         elif labels[i] in (OPEN, ODD):
             # a heading belongs to what follows it
-            near = [(-found[i].shared(found[k]) if 0 <= k < len(found) else 1, 0 if found[i].heading and k > i else abs(k - i), label) for label, k in (left, right)]
-            shared, _, label = min(near)
-            good = label == GOOD and (labels[i] == OPEN or -shared == len(found[i].path))
+            shared, _, label = min((-common, 0 if found[i].heading and k > i else abs(k - i), label) for label, k, common in (left, right))
+            good = label == GOOD and (labels[i] == OPEN or -shared == found[i].depth)
         else:
             good = labels[i] == GOOD
+            last = (labels[i], i, found[i].depth)
+        last = (last[0], last[1], min(last[2], found[i].shared))
         if good:
             kept.append(found[i].text)
     return " ".join(reversed(kept))
