@@ -1,7 +1,8 @@
 """Exact top-k search by distributed histogram selection.
 
 Vectors are packed into matrices, one row of a table for each. Queries are
-taken in blocks of bounded size; a block goes to every task, which scores it
+numbered and taken in blocks of consecutive numbers, whatever their ids, so a
+block's size is bounded; it goes to every task, which scores it
 against its matrices. Where each query's k-th best score lies is found by
 histograms: all tasks count scores in equal bins, the sums name the bin that
 holds the k-th best, and the next round divides that bin, until it is one
@@ -12,6 +13,7 @@ the smallest ids that are still needed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.tables import written
+from wayfold.llm.tables import Scratch
 
 #: Queries in a block, and components of a block's matrix, at most (a longer single vector aside).
 BLOCK_QUERIES = 2048
@@ -76,17 +78,30 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 10, scale: int = 1024, id_
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vector_col), lambda x: x.cast("double")).alias("v"))
     rows = rows.withColumn("v", F.when(~F.exists("v", lambda x: x.isNull()), F.col("v")))
-    packed = written(_packed(rows, scale), "vectors")
-    queries = rows.where(F.expr(is_query))
+    scratch = Scratch(spark)
+    packed = scratch.written(_packed(rows, scale), "vectors")
+    queries = _numbered(rows.where(F.expr(is_query)), scratch)
     size = queries.agg(F.count("*"), F.max(F.size("v"))).first()
-    blocks = max(1, -(-2 * size[0] // BLOCK_QUERIES), -(-2 * size[0] * max(size[1] or 1, 1) // BLOCK_CELLS))
-    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "queries")
+    per = max(1, min(BLOCK_QUERIES, BLOCK_CELLS // max(size[1] or 1, 1)))
     most = packed.agg(F.max("top")).first()[0] or 0.0
-    found = None
-    for b in range(blocks):
-        part = _block(packed, queries.where(F.col("block") == b).select("id", "v"), scale, k, most, spark)
-        found = part if found is None else found.unionByName(part)
-    return found
+    done = []
+    for start in range(0, max(1, size[0]), per):
+        part = queries.where((F.col("number") >= start) & (F.col("number") < start + per)).select("id", "v")
+        best = _block(packed, part, scale, k, most, spark)
+        done.append(best if size[0] <= per else scratch.written(best, "block"))
+    # the results of several blocks are tables, so the plan that reads them has one scan a block and no more
+    return scratch.last(reduce(DataFrame.unionByName, done), "top_k")
+
+
+def _numbered(queries: DataFrame, scratch: Scratch) -> DataFrame:
+    """queries with their number, from 0 on without gaps: a row's place in its task, and the rows of the tasks before."""
+    low = F.lit((1 << 33) - 1)
+    placed = queries.withColumn("at", F.monotonically_increasing_id())
+    placed = scratch.written(placed.select("id", "v", F.shiftright("at", 33).cast("int").alias("task"), F.col("at").bitwiseAND(low).alias("place")), "placed")
+    # one row a task
+    tasks = placed.groupBy("task").agg(F.count("*").alias("n"))
+    starts = tasks.select("task", (F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
+    return scratch.written(placed.join(F.broadcast(starts), "task").select("id", "v", (F.col("start") + F.col("place")).alias("number")), "queries")
 
 
 def _block(packed: DataFrame, queries: DataFrame, scale: int, k: int, most: float, spark) -> DataFrame:
