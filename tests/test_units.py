@@ -114,3 +114,14 @@ def test_search_by_words(spark):
     typed = spark.createDataFrame([("road",), ("QUEENS",), ("gat",), ("zzz",)], "raw string")
     got = {(r.raw, r["rank"]): r["name"] for r in search.suggestions(search.index(names, "n"), typed).collect()}
     assert got == {("road", 1): "Road End", ("road", 2): "Maple Road", ("QUEENS", 1): "Queen's Gate", ("gat", 1): "Queen's Gate"}
+
+
+def test_request_faults(spark):
+    from wayfold.operators.validation import request_faults
+
+    asked = [("A", "B", "0480"), ("A", "B", "1439"), ("A", "B", "1440"), ("A", "B", "+480"), ("A", "B", " 480"), ("A", "B", "480\n"), ("A", "B", "00480"), ("A", "B", "\u0664"), ("A", "B", None), ("a", "B", "1"), ("A ", "B", "1"), (None, "B", "1"), ("A", "constructor", "1"), ("A", "", ""), ("A", "A", "0")]
+    df = spark.createDataFrame(asked, "source string, target string, at string")
+    keys = spark.createDataFrame([("A",), ("B",), ("B",), (None,)], "key string")
+    faults = {(r.source, r.target, r["at"]): r.fault for r in request_faults(df, keys).collect()}
+    assert [faults[a] for a in asked] == [None, None, "at", "at", "at", "at", "at", "at", "at", "source", "source", "source", "target", "target", None]
+    assert request_faults(df.limit(0), keys).count() == 0

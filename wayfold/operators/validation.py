@@ -237,3 +237,17 @@ def report(found: DataFrame, shown: int = REPORTED) -> DataFrame:
     counts = found.groupBy("check").agg(F.count("*").alias("n"))
     listed = ranked.where(F.col("rank") <= shown).groupBy("check").agg(F.array_join(F.array_sort(F.collect_list("problem")), "; ").alias("listed"))
     return counts.join(listed, "check")
+
+
+def request_faults(requests: DataFrame, stations: DataFrame) -> DataFrame:
+    """requests (source, target, at; texts) with fault: null, or the first of source, target, at that can't be asked.
+
+    A station is one whose key (stations.key) equals the text, to the letter; a
+    time is one to four digits 0-9 and nothing else, below a day's 1440 minutes.
+    Nulls are faults. Each row of requests gives one row, whatever repeats.
+    """
+    keys = stations.where("key IS NOT NULL").select("key").distinct()
+    known = lambda name: keys.select(F.col("key").alias(name), F.lit(True).alias(f"{name}_known"))
+    at = F.col("at").rlike(r"\A[0-9]{1,4}\z") & (F.expr("try_cast(at AS INT)") < 1440)
+    fault = F.when(F.col("source_known").isNull(), "source").when(F.col("target_known").isNull(), "target").when(~F.coalesce(at, F.lit(False)), "at")
+    return requests.join(known("source"), "source", "left").join(known("target"), "target", "left").select(*requests.columns, fault.alias("fault"))

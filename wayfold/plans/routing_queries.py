@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import text
 from wayfold.operators import analytics, routing
+from wayfold.operators.validation import request_faults
 from wayfold.plans import network
 from wayfold.sources.shared import table, written
 
@@ -147,6 +148,15 @@ def stop_route_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c.stop").alias("stop"), "shape", "sequence", F.col("position").cast("long").alias("position")).distinct()
 
 
+def asked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a request in texts, some with blanks, signs, other digits or keys of no station; what can't be asked."""
+    n = F.col("o_orderkey").cast("long")
+    key = lambda c, k: F.concat(F.lit("S"), c, F.when(n % 10 == k, " ").otherwise(""))
+    at = F.element_at(F.array(F.lit(""), F.lit("+"), F.lit(" "), F.lit("0")), F.when(n % 13 < 3, n % 13 + 1).otherwise(4).cast("int"))
+    asked = table(spark, sf_dir, "orders").select(n.alias("request"), key(F.col("o_custkey").cast("long") % 120, 1).alias("source"), key(n % 110, 2).alias("target"), F.concat(at, (n % 1500).cast("string")).alias("at"))
+    return request_faults(asked, table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("key")))
+
+
 def station_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6: one badge for each letter of a stop's lines, in the order in which letters first come, with the last line of the letter."""
     lines = lines_at_stop(spark, sf_dir).where("n_lines > 0").select("stop", F.posexplode(F.split("lines", " ")).alias("pos", "line"))
@@ -239,7 +249,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pareto_front, walk_only_front, round1_labels, one_ride_fronts, earliest_departure_asof, next_day_expand, footpath_relax, journey_legs, journey_leg_violations, journey_description, journey_steps, journey_json,
-        journey_labels, journey_notes, stops_worth_naming, stop_route_positions, station_badges, trip_modes, query_dedupe, lines_at_stop, stop_times_grouped, trip_groups_by_shape, overtaking_pairs, nonovertaking_routes,
+        journey_labels, journey_notes, stops_worth_naming, stop_route_positions, asked_requests, station_badges, trip_modes, query_dedupe, lines_at_stop, stop_times_grouped, trip_groups_by_shape, overtaking_pairs, nonovertaking_routes,
     )
 }
 
@@ -277,6 +287,11 @@ ORACLE_SQL = {
   UNION ALL SELECT q, journey, n, 2, next, 'change' FROM o WHERE next <> to_stop
 ) SELECT q, journey, row_number() OVER (PARTITION BY q, journey ORDER BY n, k) AS pos, stop, kind FROM listed""",
     "stop_route_positions": f"WITH {_N}{_SHAPES} SELECT DISTINCT stop, shape, sequence, seq - 1 AS position FROM day_time JOIN shapes USING (trip)",
+    "asked_requests": """WITH asked AS (
+        SELECT CAST(o_orderkey AS BIGINT) AS request, 'S' || (o_custkey % 120) || CASE WHEN o_orderkey % 10 = 1 THEN ' ' ELSE '' END AS source, 'S' || (o_orderkey % 110) || CASE WHEN o_orderkey % 10 = 2 THEN ' ' ELSE '' END AS target,
+          CASE o_orderkey % 13 WHEN 0 THEN '' WHEN 1 THEN '+' WHEN 2 THEN ' ' ELSE '0' END || (o_orderkey % 1500) AS "at" FROM orders), keys AS (SELECT DISTINCT 'S' || s_suppkey AS key FROM supplier)
+        SELECT request, source, target, "at", CASE WHEN source NOT IN (FROM keys) THEN 'source' WHEN target NOT IN (FROM keys) THEN 'target'
+          WHEN NOT regexp_full_match("at", '[0-9]{1,4}') OR CAST(trim("at") AS INT) >= 1440 THEN 'at' END AS fault FROM asked""",
     "station_badges": f"""WITH {_N}, served AS (SELECT DISTINCT stop, c_nationkey AS line FROM call JOIN orders ON trip = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE stop IN (SELECT stop FROM stops)), letters AS (
   SELECT stop, n_name[1] AS letter, min(line) AS first, max(line) AS last FROM served JOIN nation ON line = n_nationkey GROUP BY stop, n_name[1]
 ) SELECT stop, string_agg(letter || ':' || last, ' ' ORDER BY first) AS badges FROM letters GROUP BY stop""",
