@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from wayfold.functions.geo import cell, haversine
 from wayfold.sources.shared import written
 
-#: Fixed values of the reference, in metres: walks, bridges between track parts, snapping per line and at all.
-WALK_METRES, BRIDGE_METRES, SNAP_LINE, SNAP_ANY = 1000, 500, 400, 1000
+#: Fixed values of the reference, in metres: walks, bridges between track parts, snapping per line and at all, metro stations from their track.
+WALK_METRES, BRIDGE_METRES, SNAP_LINE, SNAP_ANY, TRACK_METRES = 1000, 500, 400, 1000, 250
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
@@ -53,6 +53,19 @@ def nearest(stops: DataFrame, points: DataFrame) -> DataFrame:
     return kept.select(F.col("a").alias("stop"), "line", F.col("x.b").alias("point"), F.col("x.m").alias("m"))
 
 
+def on_track(stations: DataFrame, nodes: DataFrame, metres: float = TRACK_METRES) -> DataFrame:
+    """(station, node, m): the track node (node, lat, lon) nearest to each station (station, lat, lon), of equal ones the least.
+
+    A job that reads a station with no node within so many metres ends with an error.
+    """
+    # one metre more, as pairs are closer than the limit and a station may be just as far
+    near = near_pairs(stations.select(F.col("station").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon")), nodes.select(F.col("node").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), metres + 1)
+    best = near.where(F.col("m") <= metres).groupBy(F.col("a").alias("station")).agg(F.min(F.struct("m", "b")).alias("x"))
+    off = F.raise_error(F.concat_ws(" ", F.lit("no track within"), F.lit(str(metres)), F.lit("metres of station"), F.col("station").cast("string")))
+    rows = stations.select("station").join(best, "station", "left")
+    return rows.select("station", F.coalesce("x.b", off.cast(nodes.schema["node"].dataType)).alias("node"), F.col("x.m").alias("m"))
+
+
 def without_repeats(points: DataFrame, key: str, order: str) -> DataFrame:
     """Points of polylines less those equal to the one before."""
     w = Window.partitionBy(key).orderBy(order)

@@ -52,3 +52,14 @@ def ranked_stations(stations: DataFrame, typed: DataFrame) -> DataFrame:
     hits = suggested(index(stations.select(F.col("name").alias("station")).distinct(), "station"), typed, 0)
     order = Window.partitionBy("raw").orderBy(F.col("at") > 0, F.collate("name", "UNICODE"), F.col("mode") != "LOCAL", "id")
     return hits.join(stations.select("id", "name", "mode"), "name").withColumn("rank", F.row_number().over(order).cast("long")).select("raw", "id", "name", "mode", "rank")
+
+
+def station_records(stops: DataFrame, calls: DataFrame, trips: DataFrame) -> DataFrame:
+    """(id, name, lat, lon, mode, line, lines) of stops (id, name, lat, lon, mode, line): lines are the routes of trips (trip, route) with calls (trip, stop) there, in order.
+
+    An empty line is none. Calls of unknown trips and trips without a route
+    count for nothing; a stop that no trip serves has no lines.
+    """
+    served = calls.join(trips.where("route IS NOT NULL").select("trip", "route"), "trip").select(F.col("stop").alias("id"), "route").distinct()
+    lines = served.groupBy("id").agg(F.sort_array(F.collect_list("route")).alias("lines"))
+    return stops.join(lines, "id", "left").select("id", "name", "lat", "lon", "mode", F.nullif("line", F.lit("")).alias("line"), F.coalesce("lines", F.array().cast("array<string>")).alias("lines"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.text import clean_name, normal_name
+from wayfold.functions.text import clean_name, normal_name, shape_id
 from wayfold.functions.timefn import rollover, to_hhmm
 
 # A train's number, what a header cell holds, what no station's name holds, and the least minutes between metro stations.
@@ -202,6 +202,62 @@ def assemble(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("train").applyInPandas(one_train, "trip_id string, source string, stop long, arr long, dep long, seq long")
 
 
+def ordered_pieces(calls: DataFrame, sources: DataFrame) -> DataFrame:
+    """(train, piece, source, n, stop, minute): the runs of each train (train, source, n, stop, minute), numbered by their source's priority.
+
+    sources: (source, priority), the least first; rows of a source that isn't
+    listed take no part. n is a call's place in its sheet; a stop that repeats
+    there starts the next piece.
+    """
+    listed = calls.join(sources.select("source", "priority"), "source").select(F.struct("train", "priority", "source").alias("trip"), "n", "stop", "minute")
+    rows = runs(listed).join(listed.select("trip", "n", "minute"), ["trip", "n"]).select("trip.*", "run", "n", "stop", "minute")
+    piece = F.dense_rank().over(Window.partitionBy("train").orderBy("priority", "source", "run"))
+    return rows.select("train", piece.cast("long").alias("piece"), "source", "n", "stop", "minute")
+
+
+def chronological(calls: DataFrame) -> DataFrame:
+    """(trip, seq, stop, arr, dep) of calls (trip, n, stop, arr, dep): numbered from 1 by arrival, departure and n.
+
+    Times are of one day; a trip whose times span 18 hours goes on past midnight.
+    """
+    trip = Window.partitionBy("trip")
+    ends = {"least": F.min(F.least("arr", "dep")).over(trip), "most": F.max(F.greatest("arr", "dep")).over(trip)}
+    timed = calls.withColumns(ends).withColumns({c: past_midnight(F.col(c), F.col("least"), F.col("most")) for c in ("arr", "dep")})
+    return timed.select("trip", F.row_number().over(trip.orderBy("arr", "dep", "n")).cast("long").alias("seq"), "stop", "arr", "dep")
+
+
+def known_branches(branches: DataFrame, stops: DataFrame) -> DataFrame:
+    """(ord, route, stop) of branches (ord, route, stops: array); a job that reads one of a stop that stops (stop) lacks ends with an error."""
+    own = stops.select("stop").distinct().withColumn("known", F.lit(True))
+    rows = branches.select("ord", "route", F.explode(F.array_distinct("stops")).alias("stop")).join(own, "stop", "left")
+    unknown = F.raise_error(F.concat_ws(" ", F.lit("unknown stop of branch"), "route", F.col("stop").cast("string"))).cast("long")
+    return rows.select("ord", "route", F.coalesce(F.when(F.col("known"), F.col("stop")), unknown).alias("stop"))
+
+
+def filed_trips(calls: DataFrame, branches: DataFrame, families: DataFrame) -> DataFrame:
+    """(trip, route, direction, shape, shared, n_calls) of calls (trip, source, seq, stop).
+
+    A trip is of the first branch (ord, route, stop) that it has a stop of, and
+    shared are its stops there, in order of their ids; else of its source's
+    family (family, route), the part of a source's name before the first _. A
+    source of no family is an error then. Sources whose names end in up run in
+    direction 0, those in dn in direction 1, others in none.
+    """
+    hits = calls.select("trip", "stop").join(branches, "stop").groupBy("trip", "ord", "route").agg(F.sort_array(F.collect_set("stop")).alias("shared"))
+    first = hits.groupBy("trip").agg(F.min_by(F.struct("route", "shared"), "ord").alias("branch"))
+    whole = calls.groupBy("trip").agg(F.min("source").alias("source"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "stop"))), lambda c: c["stop"].cast("string")).alias("stops"))
+    rows = whole.withColumn("family", F.split_part("source", F.lit("_"), F.lit(1))).join(first, "trip", "left").join(families.select("family", F.col("route").alias("own")), "family", "left")
+    none = F.raise_error(F.concat(F.lit("no route for trains of "), F.col("source"))).cast("string")
+    rows = rows.withColumn("route", F.coalesce("branch.route", "own", none))
+    direction = F.when(F.endswith("source", F.lit("up")), 0).when(F.endswith("source", F.lit("dn")), 1)
+    return rows.select("trip", "route", direction.cast("long").alias("direction"), shape_id(F.col("route"), F.col("stops")).alias("shape"), F.coalesce(F.array_join(F.transform("branch.shared", lambda x: x.cast("string")), " "), F.lit("")).alias("shared"), F.size("stops").cast("long").alias("n_calls"))
+
+
+def shape_routes(trips: DataFrame) -> DataFrame:
+    """(shape, route) of trips (n, shape, route): the route of each shape's last trip by n, also if it has none."""
+    return trips.where("shape IS NOT NULL").groupBy("shape").agg(F.max_by(F.struct("route"), "n").alias("last")).select("shape", "last.route")
+
+
 def headway_departures(directions: DataFrame, bands: DataFrame) -> DataFrame:
     """(line, dir, minute): departures from the first on, each a headway after the one before, and the last one always.
 

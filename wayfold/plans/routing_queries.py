@@ -49,13 +49,11 @@ def one_ride_fronts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earliest_departure_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first departure at a stop at or after each arrival plus the change penalty, as one ordered pass over both."""
+    """The first departure at a stop at or after each arrival plus the change penalty."""
     day = written(network.day_times(spark, sf_dir), "day-times")
-    departures = network.next_day(day).select("stop", F.col("dep").alias("at"), F.lit(1).alias("is_dep"), F.lit(None).cast("long").alias("trip"), F.lit(None).cast("long").alias("arr"))
-    probes = day.select("stop", (F.col("arr") + routing.CHANGE_MINUTES).alias("at"), F.lit(0).alias("is_dep"), "trip", "arr")
-    later = Window.partitionBy("stop").orderBy(F.desc("at"), F.desc("is_dep")).rowsBetween(Window.unboundedPreceding, 0)
-    both = departures.unionByName(probes).withColumn("next_dep", F.min(F.when(F.col("is_dep") == 1, F.col("at"))).over(later))
-    return both.where("is_dep = 0").select("trip", "stop", "arr", "next_dep")
+    departures = network.next_day(day).select("stop", F.col("dep").alias("at"))
+    probes = day.select("trip", "stop", "arr", (F.col("arr") + routing.CHANGE_MINUTES).alias("at"))
+    return routing.next_departures(probes, departures).select("trip", "stop", "arr", "next_dep")
 
 
 def next_day_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +135,12 @@ def journey_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.steps(legs, asked).select("q", "journey", "leg", "wait", "change", "then_walk", "note", "strip")
 
 
+def journey_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the summary and the strip's text of the same journeys, by the names of their lines."""
+    lines = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return analytics.journey_texts(_made_up_legs(spark, sf_dir).join(lines.select(F.col("o_orderkey").cast("long").alias("trip"), F.col("n_name").alias("line_name")), "trip", "left"))
+
+
 def stops_worth_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Origin, changes and destination of the same journeys."""
     return analytics.named_stops(_made_up_legs(spark, sf_dir))
@@ -249,7 +253,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pareto_front, walk_only_front, round1_labels, one_ride_fronts, earliest_departure_asof, next_day_expand, footpath_relax, journey_legs, journey_leg_violations, journey_description, journey_steps, journey_json,
-        journey_labels, journey_notes, stops_worth_naming, stop_route_positions, asked_requests, station_badges, trip_modes, query_dedupe, lines_at_stop, stop_times_grouped, trip_groups_by_shape, overtaking_pairs, nonovertaking_routes,
+        journey_labels, journey_notes, journey_texts, stops_worth_naming, stop_route_positions, asked_requests, station_badges, trip_modes, query_dedupe, lines_at_stop, stop_times_grouped, trip_groups_by_shape, overtaking_pairs, nonovertaking_routes,
     )
 }
 
@@ -281,6 +285,14 @@ ORACLE_SQL = {
   SELECT *, leg = min(leg) OVER w AS first, dep - coalesce(lag(arr) OVER o, (q * 37) % 1440) AS wait, NOT is_walk AND coalesce(NOT lag(is_walk) OVER o, false) AS change, coalesce(lead(is_walk) OVER o, false) AS then_walk FROM legs WINDOW w AS (PARTITION BY q, journey), o AS (PARTITION BY q, journey ORDER BY leg)
 ) SELECT q, journey, leg, wait, change, then_walk, greatest(arr - dep, 6) AS strip,
   CASE WHEN wait >= CASE WHEN first THEN 2 ELSE 1 END THEN CASE WHEN change THEN 'Change here, wait ' ELSE 'Wait ' END || {_DURATION.format(m='wait')} WHEN change THEN 'Change here' ELSE '' END AS note FROM seen""",
+    "journey_texts": f"""WITH {_N}{_LEGS}, named AS (
+  SELECT legs.*, n_name FROM legs LEFT JOIN (orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) ON o_orderkey = q * 7 + journey
+), whole AS (
+  SELECT q, journey, count(*) FILTER (NOT is_walk) AS vehicles, CAST(coalesce(sum(arr - dep) FILTER (is_walk), 0) * 80 AS BIGINT) AS m,
+    string_agg(CASE WHEN is_walk THEN 'walk' ELSE n_name END || ' ' || (arr - dep) || ' minutes', ', ' ORDER BY leg) AS strip FROM named GROUP BY q, journey
+), measured AS (
+  SELECT *, CASE WHEN m >= 950 THEN printf('%.1f km', m / 1000.0) ELSE printf('%d m', CAST(round(m / 10.0) * 10 AS BIGINT)) END AS far FROM whole
+) SELECT q, journey, CASE WHEN vehicles = 0 THEN 'Walk only · ' || far ELSE CASE vehicles WHEN 1 THEN 'Direct' WHEN 2 THEN '1 change' ELSE (vehicles - 1) || ' changes' END || CASE WHEN m > 0 THEN ' · ' || far || ' walk' ELSE '' END END AS summary, strip FROM measured""",
     "stops_worth_naming": f"""WITH {_N}{_LEGS}, o AS (SELECT *, row_number() OVER w AS n, lead(from_stop) OVER w AS next FROM legs WINDOW w AS (PARTITION BY q, journey ORDER BY leg)), listed AS (
   SELECT q, journey, n, 0 AS k, from_stop AS stop, 'origin' AS kind FROM o WHERE n = 1
   UNION ALL SELECT q, journey, n, 1, to_stop, CASE WHEN next IS NULL THEN 'destination' ELSE 'change' END FROM o
