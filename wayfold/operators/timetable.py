@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ TRAIN_NUMBER = r"\b(\d{5}[A-Z]?)\b"
 HEADER_START, HEADER_CELLS = "STATION", ["TR.NO", "TRAIN NO"]
 NOT_A_STATION = ["LADIES ONLY", "TIME TABLE", "W.E.F", "TRAINS"]
 LEAST_SEGMENT_MINUTES = 1.0
+#: Calls that a batch of assembled trips has, or a train's more.
+ASSEMBLED = 10_000
 
 
 def is_header(cell: Column) -> Column:
@@ -184,22 +188,37 @@ def assemble(pieces: DataFrame) -> DataFrame:
     """(trip_id, source, stop, arr, dep, seq) from pieces (train, piece, source, n, stop, minute), by train.
 
     Trips of a train are named train, train-2 and so on; calls are in order of
-    time, then of their appearance.
+    time, then of their appearance. Rows are dealt and sorted by train, and a
+    task holds those of one train at a time.
     """
+    names = ["trip_id", "source", "stop", "arr", "dep", "seq"]
 
-    def one_train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["piece", "n"])
-        parts = [(g["source"].iloc[0], list(zip(g["stop"].tolist(), g["minute"].tolist(), strict=True))) for _, g in pdf.groupby("piece", sort=True)]
-        rows = []
+    def one_train(train: str | None, rows: list[dict]) -> list[tuple]:
+        parts = [(own[0]["source"], [(r["stop"], r["minute"]) for r in own]) for own in (list(g) for _, g in groupby(rows, lambda r: r["piece"]))]
+        out = []
         for i, (source, trip) in enumerate(fold_pieces(parts)):
-            name = f"{pdf['train'].iloc[0]}" + (f"-{i + 1}" if i else "")
+            name = f"{train}" + (f"-{i + 1}" if i else "")
             times = [t for pair in trip.values() for t in pair]
-            add = lambda t: t + 1440 if max(times) // 60 - min(times) // 60 >= 18 and t < 720 else t  # noqa: E731, B023
-            calls = sorted(((add(a), add(d), k, s) for k, (s, (a, d)) in enumerate(trip.items())), key=lambda c: c[:3])
-            rows += [(name, source, s, a, d, seq) for seq, (a, d, _, s) in enumerate(calls, 1)]
-        return pd.DataFrame(rows, columns=["trip_id", "source", "stop", "arr", "dep", "seq"])
-
-    return pieces.groupBy("train").applyInPandas(one_train, "trip_id string, source string, stop long, arr long, dep long, seq long")
+            late = max(times) // 60 - min(times) // 60 >= 18
+            add = lambda t: t + 1440 if late and t < 720 else t  # noqa: E731, B023
+            calls = sorted((add(a), add(d), k, s) for k, (s, (a, d)) in enumerate(trip.items()))
+            out += [(name, source, s, a, d, seq) for seq, (a, d, _, s) in enumerate(calls, 1)]
+        return out
+
+    def by_train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        held = []
+        for train, own in groupby(rows, lambda r: r["train"]):
+            held += one_train(train, list(own))
+            if len(held) >= ASSEMBLED:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema)
+
+    schema = pa.schema([(c, pa.string() if c in ("trip_id", "source") else pa.int64()) for c in names])
+    dealt = pieces.select("train", "piece", "source", "n", "stop", "minute").repartition("train").sortWithinPartitions("train", "piece", "n")
+    return dealt.mapInArrow(by_train, "trip_id string, source string, stop long, arr long, dep long, seq long")
 
 
 def ordered_pieces(calls: DataFrame, sources: DataFrame) -> DataFrame:
