@@ -54,3 +54,10 @@ def test_a_place_meets_only_the_spots_near_it(spark):
 def test_lines_of_stops_are_numbers(spark, sf_dir):
     plan = QUERIES["unlinked_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "cast(line" not in plan
+
+
+def test_a_long_chain_takes_few_rounds(spark):
+    edges = [(i, i + 1, 1 + i % 3) for i in range(600)]
+    _, rounds = geometry.contracted(spark.createDataFrame(edges, "a long, b long, minutes long"))
+    # one edge a round would take 600, sixteen 38
+    assert rounds <= 24
