@@ -1,6 +1,11 @@
 """What lets queries grow with their tables: plans without needless shuffles or sorts of packed tables, and the rows they give."""
 
-from wayfold.operators import validation
+import random
+
+import pytest
+
+from wayfold.operators import routing, validation
+from wayfold.plans import network
 from wayfold.plans.catalog import QUERIES
 
 
@@ -37,3 +42,24 @@ def test_report_sorts_no_whole_table(spark):
     df = validation.report(found)
     assert {(r.check, r.n): r.listed for r in df.collect()} == {("a", 40): "; ".join(f"p{i:03d}" for i in range(15)), ("b", 3): "y; z"}
     assert "Window" not in plan(df) and "TakeOrderedAndProject" in plan(df)
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_days_are_not_stored(spark, monkeypatch, broadcast):
+    """Trips that run on two days give the fronts of trips stored twice, also where a late trip is overtaken by the next day's first."""
+    monkeypatch.setattr(routing, "BROADCAST_LABELS", broadcast)
+    random.seed(5)
+    rows = [(1, 0, 1, 1400, 1400), (1, 1, 2, 1500, 1500), (1, 2, 3, 2900, 2900), (2, 0, 1, 5, 5), (2, 1, 2, 61, 61), (2, 2, 3, 90, 90)]
+    for trip in range(3, 40):
+        at = random.randrange(1440)
+        for seq, stop in enumerate(random.choice([(0, 3, 4), (4, 5, 2), (3, 1, 5), (5, 0)]), 1):
+            rows.append((trip, stop, seq, at, at + 1))
+            at += random.randint(2, 30)
+    day = spark.createDataFrame(rows, "trip long, stop long, seq long, arr long, dep long")
+    walks = spark.createDataFrame([(0, 1, 7), (1, 0, 7), (2, 5, 3), (5, 2, 3)], "a long, b long, minutes long")
+    requests = spark.createDataFrame([(q, q % 6, (q * 5 + 2) % 6, (q * 173) % 1440) for q in range(60)], "q long, src long, dst long, t0 long")
+    fronts = lambda labels: sorted((r.q, r.k, r.arrival) for r in routing.front(requests, labels).collect())
+    both = network.next_day(day)
+    assert fronts(routing.labels(requests, day, walks, 2, days=2)) == fronts(routing.labels(requests, both, walks, 2))
+    want = fronts(routing.labels(requests, both, walks, 1))
+    assert want and sorted((r.q, r.k, r.arrival) for r in routing.one_ride_front(requests, day, walks, days=2).collect()) == want
