@@ -18,7 +18,7 @@ def exchanges(df):
 
 
 def test_shapes_are_checked_where_their_calls_are_dealt(spark, sf_dir):
-    # calls and points by trip, and points by the names of their shapes; before, five and a table on the way
+    # calls and points by trip, and points by the names of their shapes; no table of calls on the way
     df = QUERIES["shape_checks"](spark, sf_dir)
     assert exchanges(df) <= 3 and "lineitem" in plan(df)
 
@@ -33,7 +33,7 @@ def test_shape_ends_of_all_kinds(spark):
 
 def test_written_calls_are_dealt_by_shape(spark, sf_dir):
     text = plan(QUERIES["shape_stop_checks"](spark, sf_dir))
-    # no grouping lies right on the table; it was read whole by three
+    # no grouping lies right on the written table
     assert "REPARTITION_BY_NUM" in text and "Exchange hashpartitioning(shape" in text and text.count("REPARTITION_BY_NUM") >= 2
 
 
