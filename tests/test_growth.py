@@ -63,3 +63,26 @@ def test_days_are_not_stored(spark, monkeypatch, broadcast):
     assert fronts(routing.labels(requests, day, walks, 2, days=2)) == fronts(routing.labels(requests, both, walks, 2))
     want = fronts(routing.labels(requests, both, walks, 1))
     assert want and sorted((r.q, r.k, r.arrival) for r in routing.one_ride_front(requests, day, walks, days=2).collect()) == want
+
+
+def test_a_round_meets_the_timetable_once(spark, sf_dir, monkeypatch):
+    plans = {}
+
+    def record(df, name, written=routing.written):
+        plans[name] = plan(df)
+        return written(df, name)
+
+    monkeypatch.setattr(routing, "written", record)
+    QUERIES["round1_labels"](spark, sf_dir)
+    # the routes as they are, and those that were split
+    met = [line for name, text in plans.items() if not name.startswith("routes") for line in text.splitlines() if "FileScan" in line and "deps" in line]
+    assert len(met) == 2
+
+
+def test_only_the_wanted_trips_are_dealt(spark, sf_dir):
+    whole = network.day_times(spark, sf_dir)
+    wanted = whole.select("trip").distinct().where("trip % 50 = 7")
+    df = network.day_times(spark, sf_dir, spark.createDataFrame([r.trip for r in wanted.collect()], "long").withColumnRenamed("value", "trip"))
+    text = plan(df)
+    assert text.index("LeftSemi") > text.rindex("Window")
+    assert sorted(df.collect()) == sorted(whole.where("trip % 50 = 7").collect()) != []
