@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from wayfold.operators import routing, validation
+from wayfold.operators import routing, timetable, validation
 from wayfold.plans import network
 from wayfold.plans.catalog import QUERIES
 
@@ -86,3 +86,19 @@ def test_only_the_wanted_trips_are_dealt(spark, sf_dir):
     text = plan(df)
     assert text.index("LeftSemi") > text.rindex("Window")
     assert sorted(df.collect()) == sorted(whole.where("trip % 50 = 7").collect()) != []
+
+
+def test_trains_are_dealt_once(spark, sf_dir):
+    # all of a train's steps where its calls are, no join back of their minutes
+    df = QUERIES["compiled_calls"](spark, sf_dir)
+    assert exchanges(df) == 1 and "SortMergeJoin" not in plan(df)
+    by_trip = [line for line in plan(QUERIES["compiled_trips"](spark, sf_dir)).splitlines() if "Exchange hashpartitioning(trip#" in line]
+    assert len(by_trip) == 1
+    assert "Exchange hashpartitioning(stop" not in "".join(line for line in plan(QUERIES["trip_routes"](spark, sf_dir)).splitlines() if "seq" in line)
+
+
+def test_a_stop_of_two_branches_counts_for_the_first(spark):
+    calls = spark.createDataFrame([("t", "west_up", 1, 5), ("t", "west_up", 2, 4), ("t", "west_up", 3, 6), ("u", "west_dn", 1, 9)], "trip string, source string, seq long, stop long")
+    branches = spark.createDataFrame([(2, "B2", 4), (2, "B2", 5), (1, "B1", 5), (1, "B1", 6)], "ord long, route string, stop long")
+    rows = {r.trip: (r.route, r.shared, r.n_calls) for r in timetable.filed_trips(calls, branches, spark.createDataFrame([("west", "R_W")], "family string, route string")).collect()}
+    assert rows == {"t": ("B1", "5 6", 3), "u": ("R_W", "", 1)}

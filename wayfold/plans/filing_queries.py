@@ -11,7 +11,7 @@ from wayfold.operators import geometry, search, timetable
 from wayfold.plans import geometry_queries, network
 from wayfold.plans.geometry_queries import places
 from wayfold.plans.routing_queries import shapes
-from wayfold.sources.shared import table, written
+from wayfold.sources.shared import table
 
 #: Names of timetables in order of priority, and the route of each family of them.
 SOURCES = ["hill_line", "coast_line", "island", "north_dn", "north_up", "east_dn", "east_up", "west_dn", "west_up"]
@@ -42,19 +42,22 @@ def trip_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = network.day_times(spark, sf_dir).select("trip", F.col("seq").alias("n"), "stop", (F.col("arr") % 1440).alias("arr"), (F.col("dep") % 1440).alias("dep"))
     calls = timetable.chronological(day).withColumn("source", _source(F.col("trip")))
     branches = timetable.known_branches(_branches(spark, sf_dir, F.col("stop")), network.stops(spark, sf_dir))
-    return timetable.filed_trips(written(calls, "calls"), branches, _families(spark))
+    return timetable.filed_trips(calls, branches, _families(spark))
 
 
 def compiled_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of three orders each, from nine timetables by priority, folded into trips."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    by = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    order = Window.partitionBy("train", "l_orderkey").orderBy(*by)
     trip = F.col("l_orderkey").cast("long")
-    calls = table(spark, sf_dir, "lineitem").select(
-        F.floor(trip / TRAIN_ORDERS).cast("string").alias("train"), _source(trip).alias("source"), F.row_number().over(order).cast("long").alias("n"),
+    # an order's train has all of it, so what is dealt by train once isn't dealt again
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(trip / TRAIN_ORDERS).cast("string").alias("train"), "l_orderkey", *by).repartition("train")
+    calls = rows.select(
+        "train", _source(trip).alias("source"), F.row_number().over(order).cast("long").alias("n"),
         (F.col("l_suppkey") % TIMETABLE_STOPS).cast("long").alias("stop"), ((trip * 7919 + F.col("l_linenumber") * 17 + F.col("l_partkey") % 12) % 1440).cast("long").alias("minute"),
     )
     sources = spark.createDataFrame(list(zip(SOURCES, range(len(SOURCES)), strict=True)), "source string, priority long")
-    return timetable.assemble(timetable.ordered_pieces(calls, sources))
+    return timetable.assemble(timetable.ordered_pieces(calls, sources), dealt=True)
 
 
 def compiled_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +65,7 @@ def compiled_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     stop = (F.col("stop") % TIMETABLE_STOPS).cast("long")
     branches = timetable.known_branches(_branches(spark, sf_dir, stop), network.stops(spark, sf_dir).select(stop.alias("stop")))
     calls = compiled_calls(spark, sf_dir).select(F.col("trip_id").alias("trip"), "source", "seq", "stop")
-    return timetable.filed_trips(written(calls, "compiled-calls"), branches, _families(spark))
+    return timetable.filed_trips(calls, branches, _families(spark))
 
 
 def station_records(spark: SparkSession, sf_dir: str) -> DataFrame:
