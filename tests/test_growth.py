@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from wayfold.operators import routing, timetable, validation
+from wayfold.operators import geometry, routing, timetable, validation
 from wayfold.plans import network
 from wayfold.plans.catalog import QUERIES
 
@@ -102,3 +102,22 @@ def test_a_stop_of_two_branches_counts_for_the_first(spark):
     branches = spark.createDataFrame([(2, "B2", 4), (2, "B2", 5), (1, "B1", 5), (1, "B1", 6)], "ord long, route string, stop long")
     rows = {r.trip: (r.route, r.shared, r.n_calls) for r in timetable.filed_trips(calls, branches, spark.createDataFrame([("west", "R_W")], "family string, route string")).collect()}
     assert rows == {"t": ("B1", "5 6", 3), "u": ("R_W", "", 1)}
+
+
+def test_legs_meet_their_shapes_where_they_lie(spark, sf_dir):
+    df = QUERIES["leg_lines"](spark, sf_dir)
+    lines = [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+    assert lines and all("hashpartitioning(trip#" in line for line in lines) and len(lines) <= 2
+
+
+def test_shapes_of_own_points_take_no_round(spark, monkeypatch):
+    names = []
+
+    def record(df, name, written=geometry.written):
+        names.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(geometry, "written", record)
+    rows = [(n, f"s{k}", i, n + k / 10, i / 100) for n in range(3) for k in range(4) for i in range(5)]
+    df = geometry.fresh_shapes(spark.createDataFrame(rows, "network long, shape string, seq long, lat double, lon double"))
+    assert df.count() == 12 and names.count("state") == 1
