@@ -5,7 +5,7 @@ import random
 import pytest
 
 from wayfold.operators import geometry, routing, timetable, validation
-from wayfold.plans import network
+from wayfold.plans import compile_queries, network
 from wayfold.plans.catalog import QUERIES
 
 
@@ -121,3 +121,17 @@ def test_shapes_of_own_points_take_no_round(spark, monkeypatch):
     rows = [(n, f"s{k}", i, n + k / 10, i / 100) for n in range(3) for k in range(4) for i in range(5)]
     df = geometry.fresh_shapes(spark.createDataFrame(rows, "network long, shape string, seq long, lat double, lon double"))
     assert df.count() == 12 and names.count("state") == 1
+
+
+def test_trips_are_drawn_and_filed_by_one_pass(spark, sf_dir, monkeypatch):
+    plans = []
+
+    def record(df, name, written=compile_queries.written):
+        plans.append(plan(df))
+        return written(df, name)
+
+    monkeypatch.setattr(compile_queries, "written", record)
+    made = compile_queries._local_source(spark, sf_dir)
+    plans += [plan(df) for df in made.values()]
+    assert sum("FileScan" in line and "l_orderkey" in line for text in plans for line in text.splitlines()) == 1
+    assert made["stop_times"].count() == network.calls(spark, sf_dir).count()
