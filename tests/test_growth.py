@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
+from compare import same
 
 from wayfold.operators import geometry, routing, timetable, validation
 from wayfold.plans import compile_queries, network
-from wayfold.plans.catalog import QUERIES
+from wayfold.plans.catalog import ORACLE_SQL, QUERIES
 
 
 def plan(df):
@@ -135,3 +137,49 @@ def test_trips_are_drawn_and_filed_by_one_pass(spark, sf_dir, monkeypatch):
     plans += [plan(df) for df in made.values()]
     assert sum("FileScan" in line and "l_orderkey" in line for text in plans for line in text.splitlines()) == 1
     assert made["stop_times"].count() == network.calls(spark, sf_dir).count()
+
+
+def test_full_report_makes_the_timetable_once(spark, sf_dir, monkeypatch):
+    made, plans = [], []
+    for name in ("day_times", "calls"):
+        monkeypatch.setattr(network, name, lambda *a, name=name, before=getattr(network, name), **k: made.append(name) or before(*a, **k))
+
+    def record(df, name, written=compile_queries.written):
+        plans.append(plan(df))
+        return written(df, name)
+
+    monkeypatch.setattr(compile_queries, "written", record)
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert QUERIES["full_report"](spark, sf_dir).count() > 0
+    assert made == ["day_times"] and len(spark.sparkContext._jsc.getPersistentRDDs()) == kept
+    # trips' calls lie as dealt, so what passes by stops is told without a shuffle
+    passing = [text for text in plans if "passes by" in text]
+    assert len(passing) == 1 and "Exchange hashpartitioning(shape" not in passing[0] and "InMemoryTableScan" in passing[0]
+
+
+def test_headways_of_equal_minutes(spark):
+    random.seed(3)
+    rows = [(k, random.randrange(4 * 1440)) for k in range(3) for _ in range(40)]
+    rows += [(k, m) for k, m in rows if m % 3 == 0] + [(9, 100), (8, 500), (8, 500), (7, 485), (7, 500)]
+    df = validation.headways(spark.createDataFrame(rows, "line long, minute long"), (480, 2000))
+    got = {r.line: (r.first, r.last, r.n, r.longest, r.peak_mean) for r in df.collect()}
+    want = {}
+    for line in {k for k, _ in rows}:
+        at = sorted(m for k, m in rows if k == line)
+        gaps = [(a, b - a) for a, b in zip(at, at[1:])]
+        inside = [g for a, g in gaps if 480 <= a < 2000]
+        want[line] = (at[0], at[-1], len(at), max((g for _, g in gaps), default=None), sum(inside) / len(inside) if inside else None)
+    assert got == want
+    # departures of a line's minute are put together before they are sorted
+    assert plan(df).index("Window") < plan(df).rindex("partial_count(1)")
+
+
+def test_orders_that_stand_twice(spark, sf_dir, tmp_path):
+    for t in ("nation", "customer", "supplier", "lineitem", "orders"):
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        (rows.unionByName(rows.where("o_orderkey % 3 = 0")) if t == "orders" else rows).write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("line_orders", "filed_lines"):
+        same(QUERIES[name](spark, str(tmp_path)), con, ORACLE_SQL[name])
