@@ -1,6 +1,7 @@
 """What the driver holds of a job: scans of a plan, however many rounds there were, and tables sent to all."""
 
 from wayfold.operators import routing
+from wayfold.plans.catalog import QUERIES
 
 
 def scans(df):
@@ -21,3 +22,9 @@ def test_rounds_and_steps_are_one_scan(spark):
     broken = legs.withColumn("dep", legs.dep - 1)
     found = {r.rule: r.violations for r in routing.leg_violations(requests, broken, times, walks).collect()}
     assert found == {"printed times": 4, "footpath time": 1, "connection": 1, "two walks": 0, "early start": 1, "wrong end": 0}
+
+
+def test_departures_by_headways_are_not_sent_to_all(spark, sf_dir):
+    # an explode makes a table large that looks small
+    plan = QUERIES["metro_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Window" in plan
