@@ -1,7 +1,10 @@
 """What the driver holds of a job: scans of a plan, however many rounds there were, and tables sent to all."""
 
-from wayfold.operators import routing
+import pytest
+
+from wayfold.operators import geometry, routing
 from wayfold.plans.catalog import QUERIES
+from wayfold.sources import shared
 
 
 def scans(df):
@@ -28,3 +31,16 @@ def test_departures_by_headways_are_not_sent_to_all(spark, sf_dir):
     # an explode makes a table large that looks small
     plan = QUERIES["metro_facts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Window" in plan
+
+
+def test_calls_are_snapped_without_their_candidates(spark, monkeypatch):
+    calls = spark.createDataFrame([(k, i, s) for k in "abc" for i, s in enumerate([1, 2, 9] if k < "c" else [2, 1])], "shape string, seq long, stop long")
+    near = spark.createDataFrame([(1, 10, 1.0), (1, 11, 5.0), (2, 12, 3.0), (2, 13, 1.0)], "stop long, point long, m double")
+    snaps = geometry.snaps(calls, near, spark.createDataFrame([(11, 12, 2.0), (12, 14, 7.0)], "a long, b long, m double"))
+    plan = snaps._jdf.queryExecution().executedPlan().toString()
+    # points 11 and 12 alone are joined; stop 9 has no candidate
+    assert sorted(map(tuple, snaps.collect()), key=str) == sorted([("a", 0, 11), ("a", 1, 12), ("a", 2, None), ("b", 0, 11), ("b", 1, 12), ("b", 2, None), ("c", 0, 12), ("c", 1, 11)], key=str)
+    assert "hub" not in plan and "cands" not in plan and "Join" not in plan and plan.count("Exchange ") == 1
+    monkeypatch.setattr(shared, "shared_folder", lambda _: "hdfs://nowhere/shared")
+    with pytest.raises(ValueError):
+        shared.arrow_files(calls, "files")
